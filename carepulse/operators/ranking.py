@@ -83,6 +83,11 @@ def _prefix(df: DataFrame, keys: list[Key], weight: Column, out: str, parts: int
     r = (df.withColumn("_w", weight)
            .repartitionByRange(parts, *sort)
            .withColumn("_b", F.spark_partition_id()))
+    # The range bounds come from a sample seeded by the RDD id, so two
+    # evaluations of the exchange may cut differently.  Fix the assignment once
+    # (reliable checkpoint) so the local sums and the partition totals agree,
+    # also when a lost task is recomputed.
+    r = checkpointed(r)
     local = Window.partitionBy("_b").orderBy(*sort).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     r = r.withColumn("_lc", F.sum("_w").over(local))
@@ -112,37 +117,67 @@ def rank_all(df: DataFrame, by, tie=(), *, rank: str | None = None,
     ``tie``: extra keys that make the order unique for ROW_NUMBER / NTILE
     (the reference leaves NTILE ties arbitrary; we make them deterministic).
     """
-    by_k, tie_k = _keys(by), _keys(tie)
-    full = by_k + tie_k
-    ntiles = [] if ntile is None else ([ntile] if isinstance(ntile, tuple) else list(ntile))
-    strategy = strategy or cfg.rank_strategy
+    spec = dict(by=by, tie=tie, rank=rank, dense_rank=dense_rank, row_number=row_number,
+                ntile=ntile, percent_rank=percent_rank)
+    return rank_many(df, [spec], strategy=strategy, cfg=cfg)
+
+
+def rank_many(df: DataFrame, specs: list[dict], *, strategy: str | None = None,
+              cfg: Config = DEFAULTS) -> DataFrame:
+    """Apply several ranking specs over one input with one size check.
 
+    Each spec is a dict with ``by``, optional ``tie``, output names (``rank``,
+    ``dense_rank``, ``row_number``, ``ntile=(k, name)``, ``percent_rank``) and
+    optional ``with_`` (columns computed from earlier specs' outputs first)."""
+    strategy = strategy or cfg.rank_strategy
     n_rows = None
     if strategy in ("auto", "distributed"):
         df = checkpointed(df)
         n_rows = df.count()
         if strategy == "auto":
             strategy = "window" if n_rows <= cfg.window_row_limit else "distributed"
-
-    if strategy == "window":
-        w_by = Window.orderBy(*[k.sort() for k in by_k])
-        w_full = Window.orderBy(*[k.sort() for k in full])
-        cols = {}
-        if rank:
-            cols[rank] = F.rank().over(w_by).cast("long")
-        if dense_rank:
-            cols[dense_rank] = F.dense_rank().over(w_by).cast("long")
-        if percent_rank:
-            cols[percent_rank] = F.percent_rank().over(w_by)
-        if row_number:
-            cols[row_number] = F.row_number().over(w_full).cast("long")
-        for k, name in ntiles:
-            cols[name] = F.ntile(k).over(w_full).cast("long")
-        return df.withColumns(cols)
-
-    if strategy != "distributed":
+    if strategy not in ("window", "distributed"):
         raise ValueError(f"unknown rank strategy {strategy!r}")
+    for i, spec in enumerate(specs):
+        if spec.get("with_"):
+            df = df.withColumns(spec["with_"])
+        if strategy == "window":
+            df = _rank_window(df, spec)
+        else:
+            if i:
+                df = checkpointed(df)
+            df = _rank_distributed(df, spec, n_rows, cfg)
+    return df
+
+
+def _ntiles(spec) -> list[tuple[int, str]]:
+    nt = spec.get("ntile")
+    return [] if nt is None else ([nt] if isinstance(nt, tuple) else list(nt))
+
+
+def _rank_window(df: DataFrame, spec: dict) -> DataFrame:
+    by_k, full = _keys(spec["by"]), _keys(spec["by"]) + _keys(spec.get("tie") or ())
+    w_by = Window.orderBy(*[k.sort() for k in by_k])
+    w_full = Window.orderBy(*[k.sort() for k in full])
+    cols = {}
+    if spec.get("rank"):
+        cols[spec["rank"]] = F.rank().over(w_by).cast("long")
+    if spec.get("dense_rank"):
+        cols[spec["dense_rank"]] = F.dense_rank().over(w_by).cast("long")
+    if spec.get("percent_rank"):
+        cols[spec["percent_rank"]] = F.percent_rank().over(w_by)
+    if spec.get("row_number"):
+        cols[spec["row_number"]] = F.row_number().over(w_full).cast("long")
+    for k, name in _ntiles(spec):
+        cols[name] = F.ntile(k).over(w_full).cast("long")
+    return df.withColumns(cols)
+
+
+def _rank_distributed(df: DataFrame, spec: dict, n_rows: int, cfg: Config) -> DataFrame:
+    by_k = _keys(spec["by"])
+    full = by_k + _keys(spec.get("tie") or ())
     parts = _partitions(df, cfg)
+    rank, dense_rank, percent_rank = spec.get("rank"), spec.get("dense_rank"), spec.get("percent_rank")
     out = df
     if rank or dense_rank or percent_rank:
         names = [k.name for k in by_k]
@@ -157,17 +192,18 @@ def rank_all(df: DataFrame, by, tie=(), *, rank: str | None = None,
             sel.append((F.col("_dbefore") + 1).cast("long").alias(dense_rank))
         if percent_rank:
             sel.append((F.when(F.lit(n_rows) <= 1, F.lit(0.0))
-                        .otherwise(F.col("_before") / F.lit(n_rows - 1))).alias(percent_rank))
-        kc = kc.select(*sel)
-        kc = checkpointed(kc)
+                        .otherwise(F.col("_before") / F.lit(max(n_rows - 1, 1))))
+                       .alias(percent_rank))
+        kc = checkpointed(kc.select(*sel))
         out = _join_on_keys(out, kc, names, kc.count(), cfg)
-    if row_number or ntiles:
+    nts = _ntiles(spec)
+    if spec.get("row_number") or nts:
         out = _prefix(out, full, F.lit(1).cast("long"), "_rn0", parts)
         rn = F.col("_rn0") + 1
         cols = {}
-        if row_number:
-            cols[row_number] = rn.cast("long")
-        for k, name in ntiles:
+        if spec.get("row_number"):
+            cols[spec["row_number"]] = rn.cast("long")
+        for k, name in nts:
             cols[name] = ntile_of(rn, n_rows, k)
         out = out.withColumns(cols).drop("_rn0")
     return out

@@ -1,14 +1,16 @@
 """Shares of a total, group distributions, size-checked joins.
 
-``COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()`` written as a window over ``()``
-moves the grouped rows into one task.  For categorical axes that is harmless,
-but for entity-level rows (hospitals, doctors) it is not, so the total is a
-global aggregate (provably one row) broadcast next to the grouped rows.
+``COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()`` is a window over ``()``: it moves
+the *grouped* rows into one task.  For a categorical axis (condition, insurer,
+admission type, a tier label) the grouped rows are a handful, so that is the
+cheapest plan (:func:`grand`).  For entity-level rows (hospitals, doctors,
+rooms) the total is instead a global aggregate - provably one row - broadcast
+next to the grouped rows (:func:`with_totals`), so no task sees all entities.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
@@ -16,6 +18,11 @@ from ..functions import exprs as X
 from .ranking import checkpointed
 
 
+def grand(c) -> Column:
+    """Whole-result total of an aggregated categorical column."""
+    return F.sum(c).over(Window.partitionBy())
+
+
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
     """Attach whole-table aggregates (one row, broadcast) to every row."""
     one = df.agg(*[c.alias(k) for k, c in totals.items()])
@@ -25,15 +32,14 @@ def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
 def distribution(adm: DataFrame, key: Column | str, name: str | None = None,
                  count_name: str = "total_patients", pct_name: str = "pct_of_total",
                  digits: int = 1, extra: dict | None = None) -> DataFrame:
-    """Rows per value of ``key`` with their percentage of all rows."""
+    """Rows per value of a categorical ``key`` with their percentage of all rows."""
     k = X.col(key)
     if name:
         k = k.alias(name)
     aggs = [F.count(F.lit(1)).alias(count_name)]
     aggs += [c.alias(n) for n, c in (extra or {}).items()]
     g = adm.groupBy(k).agg(*aggs)
-    g = with_totals(g, _all=F.sum(count_name))
-    return g.withColumn(pct_name, X.pct(count_name, "_all", digits)).drop("_all")
+    return g.withColumn(pct_name, X.pct(count_name, grand(count_name), digits))
 
 
 def sized_join(big: DataFrame, small: DataFrame, on, how: str = "inner",

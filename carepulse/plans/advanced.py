@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
 from ..operators import timeseries as TS
-from ..operators.ranking import rank_all, rank_by_counts, top_k_per_group
+from ..operators.ranking import rank_all, rank_by_counts, rank_many, top_k_per_group
 from ..operators.shares import distribution
 from .operations import entity_metrics
 from .revenue import monthly_revenue
@@ -51,15 +51,16 @@ def a03_doctor_scorecard(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Four NTILE(4) dimension scores, weighted into one composite, ranked.
     Weights are integer percentages so ties in the score stay exact."""
     m = doctor_metrics(adm)
-    m = rank_all(m, [("total_patients", False)], ["doctor"], ntile=(4, "volume_score"), cfg=cfg)
-    m = rank_all(m, [("_rev", False)], ["doctor"], ntile=(4, "revenue_score"), cfg=cfg)
-    m = rank_all(m, [("normal_outcome_rate", False)], ["doctor"],
-                 ntile=(4, "outcome_score"), cfg=cfg)
-    m = rank_all(m, [("avg_los", True)], ["doctor"], ntile=(4, "efficiency_score"), cfg=cfg)
     wv, wr, wo, we = cfg.score_weights
-    m = m.withColumn("_score100", F.col("volume_score") * wv + F.col("revenue_score") * wr
-                     + F.col("outcome_score") * wo + F.col("efficiency_score") * we)
-    m = rank_all(m, [("_score100", True)], rank="overall_rank", cfg=cfg)
+    score = (F.col("volume_score") * wv + F.col("revenue_score") * wr
+             + F.col("outcome_score") * wo + F.col("efficiency_score") * we)
+    m = rank_many(m, [
+        dict(by=[("total_patients", False)], tie=["doctor"], ntile=(4, "volume_score")),
+        dict(by=[("_rev", False)], tie=["doctor"], ntile=(4, "revenue_score")),
+        dict(by=[("normal_outcome_rate", False)], tie=["doctor"], ntile=(4, "outcome_score")),
+        dict(by=[("avg_los", True)], tie=["doctor"], ntile=(4, "efficiency_score")),
+        dict(with_={"_score100": score}, by=[("_score100", True)], rank="overall_rank"),
+    ], cfg=cfg)
     return m.select(
         "doctor", "total_patients", X.rhu("_rev", 2).alias("total_revenue"),
         X.rhu("normal_outcome_rate", 2).alias("normal_outcome_rate"),

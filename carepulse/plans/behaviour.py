@@ -14,7 +14,7 @@ from ..config import Config, DEFAULTS
 from ..functions import exprs as X
 from ..operators import timeseries as TS
 from ..operators.quantiles import exact_percentiles
-from ..operators.shares import distribution, with_totals
+from ..operators.shares import distribution, grand
 
 
 
@@ -97,7 +97,9 @@ def chi_square_cells(cells: DataFrame, row: str, col: str, count: str) -> DataFr
     wr, wc = Window.partitionBy(row), Window.partitionBy(col)
     c = (cells.withColumn("_r", F.sum(count).over(wr))
               .withColumn("_c", F.sum(count).over(wc)))
-    c = with_totals(c, _n=F.sum(count), _rows=F.countDistinct(row), _cols=F.countDistinct(col))
+    c = c.withColumn("_n", grand(count))
+    c = c.withColumns({"_rows": F.size(F.collect_set(row).over(Window.partitionBy())),
+                       "_cols": F.size(F.collect_set(col).over(Window.partitionBy()))})
     return c.withColumn("_term", F.col(count).cast("double") * F.col(count) * F.col("_n")
                         / (F.col("_r").cast("double") * F.col("_c")))
 
@@ -139,12 +141,11 @@ def b12_medication_outcomes(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame
     cells = adm.groupBy("medication", "test_results").agg(F.count(F.lit(1)).alias("_o"))
     c = chi_square_cells(cells, "medication", "test_results", "_o")
     c = c.withColumn("_normal", F.when(F.col("test_results") == "Normal", F.col("_o")))
-    c = c.withColumn("_normal_all", F.when(F.col("test_results") == "Normal", F.col("_c")))
     g = c.groupBy("medication").agg(
         F.first("_r").alias("total_patients"), F.first("_n").alias("_n"),
         F.coalesce(F.sum("_normal"), F.lit(0)).alias("_nm"),
         F.sum("_term").alias("_s"))
-    g = with_totals(g, _na=F.sum("_nm"))
+    g = g.withColumn("_na", grand("_nm"))
     rate = F.col("_nm").cast("double") * 100.0 / F.col("total_patients")
     overall = F.col("_na").cast("double") * 100.0 / F.col("_n")
     return g.select("medication", F.col("total_patients").cast("long").alias("total_patients"),

@@ -10,7 +10,7 @@ from ..functions import exprs as X
 from ..operators import timeseries as TS
 from ..operators.quantiles import exact_percentiles
 from ..operators.ranking import rank_all
-from ..operators.shares import distribution, with_totals
+from ..operators.shares import grand
 
 
 
@@ -29,7 +29,7 @@ def _revenue_by(adm: DataFrame, key: str) -> DataFrame:
 
 
 def r02_condition_share(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    g = with_totals(_revenue_by(adm, "medical_condition"), _all=F.sum("_rev"))
+    g = _revenue_by(adm, "medical_condition").withColumn("_all", grand("_rev"))
     g = g.withColumn("revenue_rank", F.rank().over(Window.orderBy(F.col("_rev").desc()))
                      .cast("long"))
     return g.select("medical_condition", X.rhu("_rev", 2).alias("revenue"),
@@ -81,7 +81,7 @@ def r05_monthly_trend(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 def r06_billing_tiers(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     g = adm.groupBy(X.billing_tier("billing_amount", cfg).alias("billing_tier")).agg(
         F.count(F.lit(1)).alias("total_patients"), F.sum(F.col("billing_amount")).alias("_rev"))
-    g = with_totals(g, _n=F.sum("total_patients"), _r=F.sum("_rev"))
+    g = g.withColumns({"_n": grand("total_patients"), "_r": grand("_rev")})
     return g.select("billing_tier", "total_patients", X.rhu("_rev", 2).alias("revenue"),
                     X.pct("total_patients", "_n", 1).alias("pct_patients"),
                     X.pct("_rev", "_r", 1).alias("pct_revenue"))
@@ -107,7 +107,7 @@ def hospital_quartiles(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 def r08_hospital_quartiles(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     q = hospital_quartiles(adm, cfg).groupBy("revenue_quartile").agg(
         F.count(F.lit(1)).alias("hospitals"), F.sum("_rev").alias("_rev"))
-    q = with_totals(q, _all=F.sum("_rev"))
+    q = q.withColumn("_all", grand("_rev"))
     return q.select("revenue_quartile", "hospitals", X.rhu("_rev", 2).alias("revenue"),
                     X.pct("_rev", "_all", 1).alias("share_pct"))
 
