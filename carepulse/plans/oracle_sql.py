@@ -434,8 +434,23 @@ def full_sql(body: str) -> str:
     return head + "\n" + b
 
 
+# Over the events table directly (brute force: every signup x view pair of a
+# user, fine for an oracle on the small fixture).
+EVENT_BODIES = {
+    "x2_review_deadline_check": f"""SELECT s.event_id, s.user_id, COUNT(v.event_id) > 0 AS reviewed,
+  {R('MIN(epoch_us(v.ts) - epoch_us(s.ts)) / 60000000.0', 2)} AS minutes_to_review
+FROM events s LEFT JOIN events v
+  ON v.user_id = s.user_id AND v.event_type = 'view'
+ AND v.ts BETWEEN s.ts AND s.ts + INTERVAL 4 HOUR
+WHERE s.event_type = 'signup'
+GROUP BY s.event_id, s.user_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: full_sql(v) for k, v in BODIES.items()}
+    out = {k: full_sql(v) for k, v in BODIES.items()}
+    out.update(EVENT_BODIES)
+    return out
 
 
 # Output columns of DATE type.  The driver contract compares pandas frames, in

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config, FIXTURE
 from ..session import ensure_checkpoint_dir
-from ..sources.fixture import fixture_admissions
+from ..sources.fixture import fixture_admissions, table
+from ..streaming import intake
 from ..sources.schema import with_derived
 from . import advanced, behaviour, dashboard, explore, operations, revenue
 
@@ -22,6 +23,13 @@ for _m in _MODULES:
             ANALYSES[_name] = getattr(_m, _name)
 
 
+# analyses over the events table (the intake extension's batch twin)
+EVENT_ANALYSES: dict[str, Callable[[DataFrame, Config], DataFrame]] = {
+    "x2_review_deadline_check": intake.x2_review_deadline_check,
+}
+ALL = {**ANALYSES, **EVENT_ANALYSES}
+
+
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture admissions view (lazy; the joins run inside each query)."""
     return with_derived(fixture_admissions(spark, sf_dir))
@@ -45,5 +53,7 @@ def materialized_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run(name: str, spark: SparkSession, sf_dir: str, cfg: Config = FIXTURE,
         adm: DataFrame | None = None) -> DataFrame:
+    if name in EVENT_ANALYSES:
+        return EVENT_ANALYSES[name](table(spark, sf_dir, "events"), cfg)
     adm = admissions(spark, sf_dir) if adm is None else adm
     return ANALYSES[name](adm, cfg)
