@@ -74,6 +74,7 @@ def slice_(adm: DataFrame, **ctx) -> DataFrame:
     """Apply slicer selections as one ANDed filter (pushed down to the scan;
     a year range prunes admission_year partitions of the stored table)."""
     cond = None
+    partitioned = "admission_year" in adm.columns
     for key, val in ctx.items():
         if val is None:
             continue
@@ -84,13 +85,20 @@ def slice_(adm: DataFrame, **ctx) -> DataFrame:
                 p = F.col("date_of_admission").between(
                     F.make_date(F.lit(lo), F.lit(1), F.lit(1)),
                     F.make_date(F.lit(hi), F.lit(12), F.lit(31)))
+                if partitioned:
+                    p = p & F.col("admission_year").between(lo, hi)
             elif isinstance(val, (tuple, list, set)):
                 p = c.isin(*val)
+                if partitioned:
+                    p = p & F.col("admission_year").isin(*val)
             else:
-                # a date range (not YEAR(d) = v) so Parquet min/max stats apply
+                # a date range (not YEAR(d) = v) so Parquet min/max stats apply,
+                # plus the partition column of the stored table when present
                 p = F.col("date_of_admission").between(
                     F.make_date(F.lit(val), F.lit(1), F.lit(1)),
                     F.make_date(F.lit(val), F.lit(12), F.lit(31)))
+                if partitioned:
+                    p = p & (F.col("admission_year") == val)
         else:
             c = F.col(SLICERS.get(key, key))
             if isinstance(val, (tuple, list, set)):

@@ -48,7 +48,7 @@ def materialized_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):  # type: ignore
         from ..sources.schema import write_admissions
         write_admissions(fixture_admissions(spark, sf_dir), path)
-    return with_derived(spark.read.parquet(path).drop("admission_year"))
+    return with_derived(spark.read.parquet(path))
 
 
 def run(name: str, spark: SparkSession, sf_dir: str, cfg: Config = FIXTURE,

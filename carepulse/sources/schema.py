@@ -86,11 +86,10 @@ def with_admission_id(df: DataFrame) -> DataFrame:
 
 def with_derived(adm: DataFrame) -> DataFrame:
     """Derived columns every analysis may use; unused ones are pruned by Catalyst."""
-    return adm.withColumns({
-        "length_of_stay": X.length_of_stay(),
-        "admission_month": X.month_start(),
-        "admission_year": F.year("date_of_admission"),
-    })
+    cols = {"length_of_stay": X.length_of_stay(), "admission_month": X.month_start()}
+    if "admission_year" not in adm.columns:   # keep a stored table's partition column
+        cols["admission_year"] = F.year("date_of_admission")
+    return adm.withColumns(cols)
 
 
 def write_admissions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
