@@ -94,22 +94,34 @@ def a05_patient_risk(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 def a06_executive_summary(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """One row of headline KPIs plus the top condition, hospital and insurer by
-    revenue.  Additive KPIs come from one aggregate; each "top" scalar from a
-    grouped aggregate reduced with min_by (ties to the smaller name)."""
-    n = F.count(F.lit(1))
-    kpis = adm.agg(
-        X.rhu(F.sum(F.col("billing_amount")), 2).alias("total_revenue"), n.alias("total_patients"),
-        X.rhu(X.avg_exact(F.col("billing_amount")), 2).alias("avg_billing"),
-        X.rhu(X.avg_exact(F.col("length_of_stay")), 1).alias("avg_los"),
-        X.rhu(X.safe_div(F.sum(F.col("billing_amount")), F.sum(F.col("length_of_stay"))), 2).alias("revenue_per_day"),
-        X.pct(F.count_if(F.col("admission_type") == "Emergency"), n, 1).alias("emergency_pct"),
-        X.pct(F.count_if(F.col("test_results") == "Normal"), n, 1).alias("normal_pct"))
+    revenue.  One scan: GROUPING SETS computes the grand total and the three
+    per-entity revenue tables together; each "top" scalar is reduced from its
+    slice with min_by (ties to the smaller name), and the one-row results are
+    put side by side."""
+    keys = ["medical_condition", "hospital", "insurance_provider"]
+    b, los = F.col("billing_amount"), F.col("length_of_stay")
+    g = adm.groupingSets([[k] for k in keys] + [[]], *keys).agg(
+        F.grouping_id().alias("_gid"), F.sum(b).alias("_rev"), F.count(F.lit(1)).alias("_n"),
+        F.count(b).alias("_nb"), F.sum(los).alias("_los"), F.count(los).alias("_nlos"),
+        F.count_if(F.col("admission_type") == "Emergency").alias("_e"),
+        F.count_if(F.col("test_results") == "Normal").alias("_normal"))
+    full = (1 << len(keys)) - 1          # grouping id of the grand-total set
+    # a global aggregate over the grand-total slice: exactly one row, also
+    # for an empty input (a grouping set over no rows yields none)
+    tot = g.where(F.col("_gid") == full).agg(
+        *[F.sum(c).alias(c) for c in ("_rev", "_nb", "_los", "_nlos", "_e", "_normal")],
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+    kpis = tot.select(
+        X.rhu("_rev", 2).alias("total_revenue"), F.col("_n").alias("total_patients"),
+        X.rhu(X.safe_div("_rev", "_nb"), 2).alias("avg_billing"),
+        X.rhu(X.safe_div("_los", "_nlos"), 1).alias("avg_los"),
+        X.rhu(X.safe_div("_rev", "_los"), 2).alias("revenue_per_day"),
+        X.pct("_e", "_n", 1).alias("emergency_pct"), X.pct("_normal", "_n", 1).alias("normal_pct"))
     out = kpis
-    for key, name in (("medical_condition", "top_condition"), ("hospital", "top_hospital"),
-                      ("insurance_provider", "top_insurer")):
-        g = adm.groupBy(key).agg(F.sum(F.col("billing_amount")).alias("_rev"))
-        top = g.agg(F.min_by(key, F.struct((-F.col("_rev")).alias("r"), F.col(key).alias("k")))
-                    .alias(name))
+    for i, (key, name) in enumerate(zip(keys, ("top_condition", "top_hospital", "top_insurer"))):
+        gid = full & ~(1 << (len(keys) - 1 - i))   # only this key grouped
+        top = g.where(F.col("_gid") == gid).agg(
+            F.min_by(key, F.struct((-F.col("_rev")).alias("r"), F.col(key).alias("k"))).alias(name))
         out = out.crossJoin(F.broadcast(top))
     return out
 

@@ -39,10 +39,18 @@ def _pick(values, idx):
     return out.otherwise(values[-1])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a fact that has fewer input splits than the cluster has
+    cores (a small local file); at scale the scan already has thousands of
+    splits and this is a no-op, so no shuffle is added there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fixture_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        "l_extendedprice", "l_returnflag", "l_shipdate")
+        "l_extendedprice", "l_returnflag", "l_shipdate"))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
                                                  "c_mktsegment")
