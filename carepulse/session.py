@@ -36,20 +36,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder configured for this session, if any."""
-    d = spark.sparkContext.getCheckpointDir()
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Return the context's checkpoint folder.  It is set only once: from
+    ``spark.checkpoint.dir`` when the session names one (a cluster's shared
+    folder, never overridden), else - tests and local runs - a scratch folder.
+    (``setCheckpointDir`` adds a fresh sub-folder on every call, so it must not
+    be called again once set.)"""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
     if d:
         return d
-    return spark.conf.get("spark.checkpoint.dir", None) or None
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; only when the session names none (tests,
-    local runs) create a scratch one.  On a cluster the setting is read, never
-    overridden."""
-    d = checkpoint_dir(spark)
-    if d is None:
-        d = tempfile.mkdtemp(prefix="carepulse-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
+        "spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="carepulse-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(base)
+    return sc.getCheckpointDir() or base
