@@ -52,6 +52,11 @@ class Config:
         "doctor", "hospital", "insurance_provider", "billing_amount", "room_number",
         "admission_type", "discharge_date", "medication", "test_results")
     max_valid_age: int = 120
+    # matrix conditional formatting: cell value over the mean cell, high / low
+    cell_bucket_cuts: tuple[float, float] = (1.1, 0.9)
+    # approximate variants (off: exact results)
+    approx_distinct: bool = False        # e01: approx_count_distinct (HyperLogLog++)
+    percentile_accuracy: int = 0         # r01/b01: >0 uses percentile_approx(accuracy)
     # global rankings: 'auto' picks one window task for small inputs and the
     # range-partitioned form above ``window_row_limit`` rows
     rank_strategy: str = "auto"

@@ -40,6 +40,7 @@ RISK_TIER_LABELS = ("Critical", "High", "Medium", "Low")
 SEASONS = (("Winter", (12, 1, 2)), ("Spring", (3, 4, 5)),
            ("Summer", (6, 7, 8)), ("Autumn", (9, 10, 11)))
 TREND_LABELS = ("Baseline", "Growth", "Decline", "Flat")
+CELL_BUCKET_LABELS = ("High", "Mid", "Low")
 QUARTILE_TIER_LABELS = ("Top Performer", "Above Average", "Below Average",
                         "Needs Improvement")
 UNKNOWN = "Unknown"
@@ -144,6 +145,15 @@ def room_tier(ratio, cfg: Config = DEFAULTS) -> Column:
             .otherwise(ROOM_TIER_LABELS[2]))
 
 
+def cell_bucket(ratio, cfg: Config = DEFAULTS) -> Column:
+    """Conditional-formatting bucket of a matrix cell from its ratio to the
+    mean cell (P17)."""
+    hi, lo = cfg.cell_bucket_cuts
+    r = col(ratio)
+    return (F.when(r >= hi, CELL_BUCKET_LABELS[0]).when(r <= lo, CELL_BUCKET_LABELS[2])
+            .otherwise(CELL_BUCKET_LABELS[1]))
+
+
 def trend_label(growth) -> Column:
     g = col(growth)
     return (F.when(g.isNull(), TREND_LABELS[0])

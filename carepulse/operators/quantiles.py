@@ -49,3 +49,15 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float],
         a, b = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         finals.append((a + (b - a) * F.lit(frac)).alias(name) if hi != lo else a.alias(name))
     return vc.agg(*aggs).select(*finals)
+
+
+def percentiles(df: DataFrame, column: str, probs: dict[str, float],
+                cfg: Config = DEFAULTS) -> DataFrame:
+    """Exact by default; ``cfg.percentile_accuracy > 0`` switches to Spark's
+    ``percentile_approx`` (a mergeable sketch, one pass, bounded memory)."""
+    if cfg.percentile_accuracy > 0:
+        arr = F.percentile_approx(F.col(column).cast("double"), list(probs.values()),
+                                  cfg.percentile_accuracy)
+        one = df.agg(arr.alias("_q"))
+        return one.select(*[F.col("_q")[i].alias(k) for i, k in enumerate(probs)])
+    return exact_percentiles(df, column, probs, cfg)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
 from ..operators import timeseries as TS
-from ..operators.quantiles import exact_percentiles
+from ..operators.quantiles import percentiles
 from ..operators.shares import distribution, grand
 
 
@@ -22,7 +22,7 @@ def b01_los_overall(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     one = adm.agg(X.rhu(X.avg_exact(F.col("length_of_stay")), 2).alias("avg_los"),
                   F.min(F.col("length_of_stay")).cast("long").alias("min_los"),
                   F.max(F.col("length_of_stay")).cast("long").alias("max_los"))
-    med = exact_percentiles(adm, "length_of_stay", {"median_los": 0.5}, cfg)
+    med = percentiles(adm, "length_of_stay", {"median_los": 0.5}, cfg)
     return one.crossJoin(F.broadcast(med.select(X.rhu("median_los", 2).alias("median_los"))))
 
 

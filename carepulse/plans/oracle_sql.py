@@ -169,8 +169,14 @@ a AS (SELECT SUM(rev) FILTER (WHERE revenue_quartile = 1) AS top,
              SUM(rev) FILTER (WHERE revenue_quartile = 4) AS bot FROM q)
 SELECT {R('top', 2)} AS top_quartile_revenue, {R('bot', 2)} AS bottom_quartile_revenue,
   {R('CAST(top AS DOUBLE) / NULLIF(CAST(bot AS DOUBLE), 0)', 2)} AS top_to_bottom_ratio FROM a""",
-    "r10_condition_admission_matrix": f"""SELECT medical_condition, admission_type, COUNT(*) AS total_patients,
-  {R('SUM(billing_amount)', 2)} AS revenue FROM adm GROUP BY 1, 2""",
+    "r10_condition_admission_matrix": f"""WITH g AS (SELECT medical_condition, admission_type,
+  COUNT(*) AS total_patients, SUM(billing_amount) AS rev FROM adm GROUP BY 1, 2),
+x AS (SELECT *, SUM(rev) OVER () AS tot, COUNT(*) OVER () AS cells FROM g),
+y AS (SELECT *, CAST(rev AS DOUBLE) * cells / CAST(tot AS DOUBLE) AS ratio FROM x)
+SELECT medical_condition, admission_type, total_patients, {R('rev', 2)} AS revenue,
+  {P('rev', 'tot')} AS share_pct, {R('ratio', 3)} AS heat_ratio,
+  CASE WHEN ratio >= 1.1 THEN 'High' WHEN ratio <= 0.9 THEN 'Low' ELSE 'Mid' END AS cell_bucket
+FROM y""",
     "r11_insurer_condition_matrix": "SELECT insurance_provider, " + ", ".join(
         f"""{R(f"SUM(billing_amount) FILTER (WHERE medical_condition = '{v}')", 2)} AS "{v}\""""
         for v in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))
@@ -419,6 +425,10 @@ FROM adm WHERE year(date_of_admission) = 1996 AND admission_type = 'Emergency'""
 n AS (SELECT {R(AVG('billing_amount'), 2)} AS network_avg_billing FROM adm)
 SELECT hospital, sliced_avg_billing, network_avg_billing,
   {R('sliced_avg_billing - network_avg_billing', 2)} AS variance_vs_network FROM h CROSS JOIN n""",
+    "d05_hospital_rank_sliced": f"""WITH h AS (SELECT hospital, SUM(billing_amount) AS rev FROM adm
+  WHERE year(date_of_admission) = 1996 AND admission_type = 'Emergency' GROUP BY 1)
+SELECT hospital, {R('rev', 2)} AS revenue, CAST(RANK() OVER (ORDER BY rev DESC) AS BIGINT) AS revenue_rank,
+  CAST(NTILE(4) OVER (ORDER BY rev DESC, hospital) AS BIGINT) AS revenue_quartile FROM h""",
     "m01_measures_by_year": MEASURES_BY_YEAR,
 }
 

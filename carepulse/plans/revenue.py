@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
 from ..operators import timeseries as TS
-from ..operators.quantiles import exact_percentiles
+from ..operators.quantiles import percentiles
 from ..operators.ranking import rank_all
 from ..operators.shares import grand
 
@@ -18,7 +18,7 @@ def r01_billing_kpis(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Total, average, median and quartiles of billing (exact percentiles)."""
     kpis = adm.agg(X.rhu(F.sum(F.col("billing_amount")), 2).alias("total_revenue"),
                    X.rhu(X.avg_exact(F.col("billing_amount")), 2).alias("avg_billing"))
-    q = exact_percentiles(adm, "billing_amount",
+    q = percentiles(adm, "billing_amount",
                           {"median_billing": 0.5, "p25_billing": 0.25, "p75_billing": 0.75}, cfg)
     q = q.select(*[X.rhu(c, 2).alias(c) for c in q.columns])
     return kpis.crossJoin(F.broadcast(q))
@@ -122,8 +122,16 @@ def r09_quartile_ratio(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def r10_condition_admission_matrix(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    return adm.groupBy("medical_condition", "admission_type").agg(
-        F.count(F.lit(1)).alias("total_patients"), X.rhu(F.sum(F.col("billing_amount")), 2).alias("revenue"))
+    """Condition x admission type revenue (stacked bar / matrix) with each
+    cell's share of all revenue and its conditional-formatting bucket (ratio
+    to the mean cell)."""
+    g = adm.groupBy("medical_condition", "admission_type").agg(
+        F.count(F.lit(1)).alias("total_patients"), F.sum(F.col("billing_amount")).alias("_rev"))
+    g = g.withColumns({"_tot": grand("_rev"), "_cells": F.count(F.lit(1)).over(Window.partitionBy())})
+    ratio = F.col("_rev").cast("double") * F.col("_cells") / F.col("_tot").cast("double")
+    return g.select("medical_condition", "admission_type", "total_patients",
+                    X.rhu("_rev", 2).alias("revenue"), X.pct("_rev", "_tot", 1).alias("share_pct"),
+                    X.rhu(ratio, 3).alias("heat_ratio"), X.cell_bucket(ratio, cfg).alias("cell_bucket"))
 
 
 def r11_insurer_condition_matrix(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
