@@ -73,8 +73,13 @@ SLICERS = {
 def slice_(adm: DataFrame, **ctx) -> DataFrame:
     """Apply slicer selections as one ANDed filter (pushed down to the scan;
     a year range prunes admission_year partitions of the stored table)."""
+    cond = slice_condition("admission_year" in adm.columns, **ctx)
+    return adm if cond is None else adm.filter(cond)
+
+
+def slice_condition(partitioned: bool = False, **ctx) -> Column | None:
+    """The slicer selections as one boolean Column (None when empty)."""
     cond = None
-    partitioned = "admission_year" in adm.columns
     for key, val in ctx.items():
         if val is None:
             continue
@@ -106,7 +111,7 @@ def slice_(adm: DataFrame, **ctx) -> DataFrame:
             else:
                 p = c == val
         cond = p if cond is None else cond & p
-    return adm if cond is None else adm.filter(cond)
+    return cond
 
 
 def evaluate(adm: DataFrame, measures, by=(), where: dict | None = None) -> DataFrame:

@@ -20,19 +20,26 @@ from .ranking import Key, _partitions, _prefix, checkpointed
 
 
 def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float],
-                      cfg: Config = DEFAULTS) -> DataFrame:
+                      cfg: Config = DEFAULTS, summary: bool = False) -> DataFrame:
     """One row with a DOUBLE column per ``name -> p``, linear interpolation
     between closest ranks (R-7 / PERCENTILE_CONT).  NULLs are ignored; an empty
-    input gives NULLs."""
-    vc = (df.select(F.col(column).cast("double").alias("v"))
+    input gives NULLs.  With ``summary`` the row also carries ``_n`` (non-NULL
+    count), ``_sum`` (exact sum in the column's type), ``_min`` and ``_max``,
+    all read from the same value counts, so one scan serves both."""
+    vc = (df.select(F.col(column).alias("v"))
             .where(F.col("v").isNotNull())
             .groupBy("v").agg(F.count(F.lit(1)).alias("_c")))
     vc = checkpointed(vc)
     stats = vc.agg(F.count(F.lit(1)).alias("d"), F.sum("_c").alias("n")).first()
     d, n = int(stats["d"]), int(stats["n"] or 0)
+    extra = [F.sum(F.col("v") * F.col("_c")).alias("_sum"), F.min("v").alias("_min"),
+             F.max("v").alias("_max"), F.sum("_c").alias("_n")] if summary else []
     if n == 0:
-        return df.sparkSession.range(1).select(
-            *[F.lit(None).cast("double").alias(k) for k in probs])
+        nulls = [F.lit(None).cast("double").alias(k) for k in probs]
+        if summary:
+            nulls += [F.lit(None).alias("_sum"), F.lit(None).alias("_min"),
+                      F.lit(None).alias("_max"), F.lit(0).cast("long").alias("_n")]
+        return df.sparkSession.range(1).select(*nulls)
     if d <= cfg.window_row_limit:
         w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         vc = vc.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
@@ -45,19 +52,25 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float],
         frac = pos - lo
         for tag, idx in (("lo", lo), ("hi", hi)):
             hit = (F.col("_before") <= idx) & (F.col("_before") + F.col("_c") > idx)
-            aggs.append(F.max(F.when(hit, F.col("v"))).alias(f"_{name}_{tag}"))
+            aggs.append(F.max(F.when(hit, F.col("v").cast("double"))).alias(f"_{name}_{tag}"))
         a, b = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         finals.append((a + (b - a) * F.lit(frac)).alias(name) if hi != lo else a.alias(name))
-    return vc.agg(*aggs).select(*finals)
+    if summary:
+        finals += [F.col(x) for x in ("_sum", "_min", "_max", "_n")]
+    return vc.agg(*aggs, *extra).select(*finals)
 
 
 def percentiles(df: DataFrame, column: str, probs: dict[str, float],
-                cfg: Config = DEFAULTS) -> DataFrame:
+                cfg: Config = DEFAULTS, summary: bool = False) -> DataFrame:
     """Exact by default; ``cfg.percentile_accuracy > 0`` switches to Spark's
     ``percentile_approx`` (a mergeable sketch, one pass, bounded memory)."""
     if cfg.percentile_accuracy > 0:
-        arr = F.percentile_approx(F.col(column).cast("double"), list(probs.values()),
+        c = F.col(column)
+        arr = F.percentile_approx(c.cast("double"), list(probs.values()),
                                   cfg.percentile_accuracy)
-        one = df.agg(arr.alias("_q"))
-        return one.select(*[F.col("_q")[i].alias(k) for i, k in enumerate(probs)])
-    return exact_percentiles(df, column, probs, cfg)
+        extra = [F.sum(c).alias("_sum"), F.min(c).alias("_min"), F.max(c).alias("_max"),
+                 F.count(c).alias("_n")] if summary else []
+        one = df.agg(arr.alias("_q"), *extra)
+        return one.select(*[F.col("_q")[i].alias(k) for i, k in enumerate(probs)],
+                          *([F.col(x) for x in ("_sum", "_min", "_max", "_n")] if summary else []))
+    return exact_percentiles(df, column, probs, cfg, summary)

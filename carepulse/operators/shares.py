@@ -24,7 +24,13 @@ def grand(c) -> Column:
 
 
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
-    """Attach whole-table aggregates (one row, broadcast) to every row."""
+    """Attach whole-table aggregates (one row, broadcast) to every row.
+
+    ``df`` (grouped entity rows) is checkpointed first: a second branch over
+    the same aggregate is otherwise planned again - Catalyst prunes each
+    branch's aggregate to the columns it needs, the two exchanges differ and
+    the fact is scanned twice."""
+    df = checkpointed(df)
     one = df.agg(*[c.alias(k) for k, c in totals.items()])
     return df.crossJoin(F.broadcast(one))
 

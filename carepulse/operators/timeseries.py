@@ -43,18 +43,20 @@ def growth_pct(cur: str | Column, prev: str | Column, digits: int = 1) -> Column
     return X.rhu(F.try_divide((c - p).cast("double") * F.lit(100.0), F.nullif(p, F.lit(0)).cast("double")), digits)
 
 
-def month_spine(monthly: DataFrame, month: str = "month") -> DataFrame:
-    """Every calendar month from the first to the last present month (J5),
-    built from the min/max of the (already aggregated) series."""
-    bounds = monthly.agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"))
-    return bounds.select(F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH")))
-                         .alias(month))
-
-
 def calendar_previous(monthly: DataFrame, value: str, month: str = "month",
                       out: str = "last_month") -> DataFrame:
-    """Dense monthly series with the value of the previous *calendar* month
-    (blank when that month had no rows), as DAX time intelligence reads it."""
-    spine = month_spine(monthly, month)
-    dense = spine.join(monthly, month, "left")
-    return dense.withColumn(out, F.lag(value).over(Window.orderBy(month)))
+    """Every calendar month from the first to the last present month (J5),
+    with ``value`` (NULL for an empty month) and the value of the previous
+    *calendar* month (blank when that month had no rows), as DAX time
+    intelligence reads it.
+
+    The monthly series (bounded by the calendar, not by the data) is folded
+    into one row holding a month -> value map; the dense spine is exploded from
+    that row and both lookups are map reads, so the aggregate is consumed by a
+    single branch (no self-join that would re-plan the fact scan)."""
+    one = monthly.agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"),
+                      F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_m"))
+    d = one.select(F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias(month),
+                   "_m")
+    return d.select(month, F.try_element_at("_m", F.col(month)).alias(value),
+                    F.try_element_at("_m", F.add_months(month, -1)).alias(out))

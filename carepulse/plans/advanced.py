@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
 from ..operators import timeseries as TS
-from ..operators.ranking import rank_all, rank_by_counts, rank_many, top_k_per_group
+from ..operators.ranking import checkpointed, rank_all, rank_by_counts, rank_many, top_k_per_group
 from ..operators.shares import distribution
 from .operations import entity_metrics
 from .revenue import monthly_revenue
@@ -105,6 +105,10 @@ def a06_executive_summary(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
         F.count(b).alias("_nb"), F.sum(los).alias("_los"), F.count(los).alias("_nlos"),
         F.count_if(F.col("admission_type") == "Emergency").alias("_e"),
         F.count_if(F.col("test_results") == "Normal").alias("_normal"))
+    # the grouping-sets result is small (one row per condition, hospital,
+    # insurer, plus the total); materialise it once so the four branches below
+    # do not each re-plan (and re-scan) the fact with a pruned aggregate
+    g = checkpointed(g)
     full = (1 << len(keys)) - 1          # grouping id of the grand-total set
     # a global aggregate over the grand-total slice: exactly one row, also
     # for an empty input (a grouping set over no rows yields none)

@@ -19,11 +19,13 @@ from ..operators.shares import distribution, grand
 
 
 def b01_los_overall(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    one = adm.agg(X.rhu(X.avg_exact(F.col("length_of_stay")), 2).alias("avg_los"),
-                  F.min(F.col("length_of_stay")).cast("long").alias("min_los"),
-                  F.max(F.col("length_of_stay")).cast("long").alias("max_los"))
-    med = percentiles(adm, "length_of_stay", {"median_los": 0.5}, cfg)
-    return one.crossJoin(F.broadcast(med.select(X.rhu("median_los", 2).alias("median_los"))))
+    """Average, minimum, maximum and median length of stay, all from one set of
+    per-value counts (one scan)."""
+    q = percentiles(adm, "length_of_stay", {"median_los": 0.5}, cfg, summary=True)
+    return q.select(X.rhu(X.safe_div("_sum", "_n"), 2).alias("avg_los"),
+                    F.col("_min").cast("long").alias("min_los"),
+                    F.col("_max").cast("long").alias("max_los"),
+                    X.rhu("median_los", 2).alias("median_los"))
 
 
 def b02_los_by_condition(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
-from ..functions.measures import evaluate, slice_
+from ..functions.measures import evaluate, slice_, slice_condition
 
 
 CARD_MEASURES = ("total_revenue", "total_patients", "avg_billing", "avg_length_of_stay")
@@ -32,13 +32,21 @@ def d03_sliced_cards(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 def d04_variance_vs_network(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Average billing per hospital under the slicers minus the network average
-    that ignores them (a measure evaluated outside the filter context)."""
-    sliced = slice_(adm, **dict(cfg.slice_example))
-    h = sliced.groupBy("hospital").agg(X.rhu(X.avg_exact(F.col("billing_amount")), 2).alias("sliced_avg_billing"))
-    net = adm.agg(X.rhu(X.avg_exact(F.col("billing_amount")), 2).alias("network_avg_billing"))
-    j = h.crossJoin(F.broadcast(net))
-    return j.withColumn("variance_vs_network",
-                        X.rhu(F.col("sliced_avg_billing") - F.col("network_avg_billing"), 2))
+    that ignores them (a measure evaluated outside the filter context).  One
+    scan: per hospital, the sliced sums are conditional aggregates next to the
+    unsliced ones, and the network figure is the total of the latter."""
+    from ..operators.shares import with_totals
+    ctx = slice_condition(**dict(cfg.slice_example))
+    b = F.col("billing_amount")
+    h = adm.groupBy("hospital").agg(
+        F.sum(F.when(ctx, b)).alias("_ss"), F.count(F.when(ctx, b)).alias("_sc"),
+        F.sum(b).alias("_s"), F.count(b).alias("_c"))
+    h = with_totals(h, _ns=F.sum("_s"), _nc=F.sum("_c"))
+    sliced = X.rhu(X.safe_div("_ss", "_sc"), 2)
+    net = X.rhu(X.safe_div("_ns", "_nc"), 2)
+    return h.where(F.col("_sc") > 0).select(
+        "hospital", sliced.alias("sliced_avg_billing"), net.alias("network_avg_billing"),
+        X.rhu(sliced - net, 2).alias("variance_vs_network"))
 
 
 def m01_measures_by_year(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:

@@ -75,12 +75,12 @@ def review_check(events: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     e = events.where(F.col("event_type").isin(SIGNUP, VIEW)).select(
         "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
         (F.col("event_type") == VIEW).cast("int").alias("kind"))
-    e = e.withColumn("bucket", F.date_trunc("day", "ts"))
-    views = e.where("kind = 1")
-    # a view early in a day may answer a signup late on the previous day
-    carry = views.where(F.col("ts") < F.col("bucket") + F.make_interval(hours=F.lit(hours))) \
-                 .withColumn("bucket", F.col("bucket") - F.expr("INTERVAL 1 DAY"))
-    u = e.where("kind = 0").unionByName(views).unionByName(carry)
+    day = F.date_trunc("day", "ts")
+    # a view early in a day may answer a signup late on the previous day, so
+    # it is also placed in that day's bucket (one scan, at most two copies)
+    early = (F.col("kind") == 1) & (F.col("ts") < day + F.make_interval(hours=F.lit(hours)))
+    u = e.withColumn("bucket", F.explode(
+        F.when(early, F.array(day, day - F.expr("INTERVAL 1 DAY"))).otherwise(F.array(day))))
     w = (Window.partitionBy("user_id", "bucket")
          .orderBy(F.col("ts").desc(), F.col("kind").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -102,7 +102,7 @@ OUT_SCHEMA = "event_id long, user_id long, ts timestamp, deadline timestamp"
 STATE_SCHEMA = "pending_ids array<long>, pending_ts array<long>, views array<long>"
 
 
-def _pending_update(hours: int):
+def _pending_update(hours: int, tz: str):
     window_us = hours * 3600 * 1_000_000
 
     def fn(key, pdfs, state):
@@ -118,11 +118,15 @@ def _pending_update(hours: int):
         wm = state.getCurrentWatermarkMs() * 1000
         if not state.hasTimedOut:
             for pdf in pdfs:
-                t_us = pdf["ts"].astype("datetime64[us]").astype("int64")
+                # Arrow hands timestamps over as session-local wall time
+                t = pd.to_datetime(pdf["ts"])
+                if t.dt.tz is None:
+                    t = t.dt.tz_localize(tz)
+                t_us = t.dt.tz_convert("UTC").astype("datetime64[us, UTC]").astype("int64").to_numpy()
                 is_view = (pdf["event_type"] == VIEW).to_numpy()
                 views.extend(int(v) for v in t_us[is_view])
-                for eid, t in zip(pdf["event_id"][~is_view], t_us[~is_view]):
-                    pending[int(eid)] = int(t)
+                for eid, tv in zip(pdf["event_id"].to_numpy()[~is_view], t_us[~is_view]):
+                    pending[int(eid)] = int(tv)
         views.sort()
         # a pending signup is answered by any view in [t, t + window]
         if views and pending:
@@ -163,5 +167,7 @@ def unreviewed_stream(events_stream: DataFrame, cfg: Config = DEFAULTS,
          .select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
          .withWatermark("ts", lateness))
     return e.groupBy("user_id").applyInPandasWithState(
-        _pending_update(cfg.review_within_hours), OUT_SCHEMA, STATE_SCHEMA, "append",
+        _pending_update(cfg.review_within_hours,
+                        events_stream.sparkSession.conf.get("spark.sql.session.timeZone")),
+        OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)

@@ -75,3 +75,21 @@ def test_distributed_ranking_uses_range_partitions(adm01):
     # of per-partition totals (at most 4 rows) does
     assert "Window [sum(_w" in p or "Window [sum(" in p
     assert "hashpartitioning(_b" in p
+
+
+@pytest.mark.parametrize("key", ["o01_doctor_benchmark", "a06_executive_summary",
+                                 "r12_monthly_calendar_mom", "r01_billing_kpis",
+                                 "b01_los_overall", "d04_variance_vs_network", "o03_room_utilization",
+                                 "o11_gap_to_network"])
+def test_branching_analyses_scan_the_fact_once(adm01, key):
+    """Analyses that reuse an aggregate in two branches materialise it (or
+    fold it into one row) so the fact is not scanned twice."""
+    from carepulse.plans.registry import ALL
+    p = final_plan(ALL[key](adm01, FIXTURE))
+    assert p.count("FileScan parquet") <= 1
+
+
+def test_review_check_reads_events_once(spark):
+    from carepulse.streaming.intake import review_check
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    assert final_plan(review_check(ev, FIXTURE)).count("FileScan parquet") == 1

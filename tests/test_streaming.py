@@ -34,7 +34,20 @@ def test_x1_risk_flags_stream_equals_batch(spark, adm01):
     assert got.exceptAll(exp.select(*got.columns)).count() == 0
 
 
-def test_x2_stream_equals_batch(spark):
+import pytest
+
+
+@pytest.mark.parametrize("tz", ["UTC", "America/New_York"])
+def test_x2_stream_equals_batch(spark, tz):
+    old_tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", tz)
+    try:
+        _x2_stream_equals_batch(spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
+
+
+def _x2_stream_equals_batch(spark):
     d = _scratch()
     ev = spark.read.parquet(f"{SF01}/events.parquet")
     # five time-ordered files, then a far-future sentinel that moves the
