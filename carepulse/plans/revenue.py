@@ -137,11 +137,21 @@ def r10_condition_admission_matrix(adm: DataFrame, cfg: Config = DEFAULTS) -> Da
                     X.rhu(ratio, 3).alias("heat_ratio"), X.cell_bucket(ratio, cfg).alias("cell_bucket"))
 
 
+PIVOT_INLINE_LIMIT = 32
+
+
 def r11_insurer_condition_matrix(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Insurer rows x one revenue column per condition.  The pivot values are
-    given explicitly, so Spark needs no extra job to discover them."""
+    """Insurer rows x one revenue column per condition.  The column values are
+    given explicitly (no job to discover them).  For a short list each column
+    is a conditional sum in one aggregate (one shuffle); a long list uses
+    Spark's two-phase pivot."""
     vals = list(cfg.condition_values)
-    p = adm.groupBy("insurance_provider").pivot("medical_condition", vals).agg(F.sum(F.col("billing_amount")))
+    b = F.col("billing_amount")
+    if len(vals) <= PIVOT_INLINE_LIMIT:
+        p = adm.groupBy("insurance_provider").agg(
+            *[F.sum(F.when(F.col("medical_condition") == v, b)).alias(v) for v in vals])
+    else:
+        p = adm.groupBy("insurance_provider").pivot("medical_condition", vals).agg(F.sum(b))
     return p.select("insurance_provider", *[X.rhu(F.col(f"`{v}`"), 2).alias(v) for v in vals])
 
 
