@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,14 @@ def materialized_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     into the session's checkpoint folder (shared storage on a cluster) and
     read it back: the flat table the reference imports once and then queries.
     Reused when the same folder already holds it."""
+    with _BUILD_LOCK:
+        return _materialized(spark, sf_dir)
+
+
+_BUILD_LOCK = threading.Lock()
+
+
+def _materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
     path = f"{base}/admissions-{tag}"
@@ -52,8 +61,13 @@ def materialized_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run(name: str, spark: SparkSession, sf_dir: str, cfg: Config = FIXTURE,
-        adm: DataFrame | None = None) -> DataFrame:
+        adm: DataFrame | None = None, materialize: bool = False) -> DataFrame:
+    """Run one analysis over the fixture at ``sf_dir``.  With ``materialize``
+    the flat admissions table is built once per session (see
+    :func:`materialized_admissions`) and every analysis reads it."""
     if name in EVENT_ANALYSES:
         return EVENT_ANALYSES[name](table(spark, sf_dir, "events"), cfg)
-    adm = admissions(spark, sf_dir) if adm is None else adm
+    if adm is None:
+        adm = (materialized_admissions(spark, sf_dir) if materialize
+               else admissions(spark, sf_dir))
     return ANALYSES[name](adm, cfg)
