@@ -53,9 +53,12 @@ def _x2_stream_equals_batch(spark):
     # five time-ordered files, then a far-future sentinel that moves the
     # watermark past every real deadline (an outer/timeout result is final only
     # once the watermark passes it)
-    ev.withColumn("_f", F.ntile(5).over(
-        Window.orderBy("ts"))) \
-        .repartition(5, "_f").drop("_f").write.parquet(f"{d}/in")
+    # written one after another: the file source reads files in modification
+    # order, and the watermark treats rows older than it as late
+    chunks = ev.withColumn("_f", F.ntile(5).over(Window.orderBy("ts")))
+    for i in range(1, 6):
+        chunks.where(F.col("_f") == i).drop("_f").coalesce(1) \
+              .write.mode("append").parquet(f"{d}/in")
     sentinel = spark.createDataFrame(
         [(-1, -1, "view")], "event_id long, user_id long, event_type string") \
         .select("event_id", F.to_timestamp_ntz(F.lit("2099-01-01 00:00:00")).alias("ts"),
