@@ -26,3 +26,17 @@ def test_parameters_move_results(adm01):
     lower = revenue.r07_high_value_cohort(
         adm01, FIXTURE.with_(billing_cuts=(10_000, 20_000, 40_000))).first()["cohort_patients"]
     assert lower > base
+
+
+def test_chi_square_matches_ml_chisquaretest(adm01):
+    """b10's statistic against Spark ML's ChiSquareTest on the same table."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.stat import ChiSquareTest
+
+    df = StringIndexer(inputCols=["medical_condition", "medication"],
+                       outputCols=["label", "med_idx"]).fit(adm01).transform(adm01)
+    df = VectorAssembler(inputCols=["med_idx"], outputCol="features").transform(df)
+    ml = ChiSquareTest.test(df, "features", "label").first()
+    ours = behaviour.b10_medication_independence(adm01, FIXTURE).first()
+    assert abs(ml["statistics"][0] - ours["chi2_stat"]) < 1e-3
+    assert ml["degreesOfFreedom"][0] == ours["degrees_of_freedom"]
