@@ -71,6 +71,9 @@ def a03_doctor_scorecard(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def a04_condition_insurer_cohorts(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Condition x insurer cohorts: size, revenue, average, share of the condition's revenue
+    and rank within the condition (windows partitioned by condition over the aggregated
+    cells)."""
     g = adm.groupBy("medical_condition", "insurance_provider").agg(
         F.count(F.lit(1)).alias("total_patients"), F.sum(F.col("billing_amount")).alias("_rev"))
     w = Window.partitionBy("medical_condition")
@@ -131,6 +134,7 @@ def a06_executive_summary(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def a07_risk_distribution(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per risk tier with share, average billing and average stay."""
     r = X.with_risk(adm, cfg)
     return distribution(r, "risk_tier", extra={
         "avg_billing": X.rhu(X.avg_exact(F.col("billing_amount")), 2), "avg_los": X.rhu(X.avg_exact(F.col("length_of_stay")), 2)})
@@ -144,6 +148,8 @@ def a08_review_queue(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def a09_topk_insurer_per_condition(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Top insurers by revenue within each condition (RANK <= k, ties kept; a
+    WindowGroupLimit before the shuffle)."""
     g = adm.groupBy("medical_condition", "insurance_provider").agg(F.sum(F.col("billing_amount")).alias("_rev"))
     t = top_k_per_group(g, ["medical_condition"], [("_rev", True)], cfg.top_k_per_group,
                         "insurer_rank")

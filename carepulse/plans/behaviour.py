@@ -29,28 +29,34 @@ def b01_los_overall(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def b02_los_by_condition(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Average length of stay per condition."""
     return adm.groupBy("medical_condition").agg(
         F.count(F.lit(1)).alias("total_patients"), X.rhu(X.avg_exact(F.col("length_of_stay")), 2).alias("avg_los"))
 
 
 def b03_los_by_admission_type(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Average length of stay and billing per admission type."""
     return adm.groupBy("admission_type").agg(
         F.count(F.lit(1)).alias("total_patients"), X.rhu(X.avg_exact(F.col("length_of_stay")), 2).alias("avg_los"),
         X.rhu(X.avg_exact(F.col("billing_amount")), 2).alias("avg_billing"))
 
 
 def b04_los_tiers(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per length-of-stay tier with share and average billing."""
     return distribution(adm, X.los_tier("length_of_stay", cfg), "los_tier",
                         extra={"avg_billing": X.rhu(X.avg_exact(F.col("billing_amount")), 2)})
 
 
 def b05_seasonal(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per season with share and the average per year the season occurs in."""
     d = distribution(adm, X.season(), "season",
                      extra={"years_present": F.countDistinct(F.year("date_of_admission"))})
     return d.withColumn("avg_per_year", X.rhu(X.safe_div("total_patients", "years_present"), 1))
 
 
 def b06_month_of_year(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per calendar month with a rolling average over the preceding months (the
+    series is bounded by the calendar)."""
     g = adm.groupBy(F.year("date_of_admission").alias("admission_year"),
                     F.month("date_of_admission").alias("admission_month")).agg(
         F.count(F.lit(1)).alias("total_patients"))
@@ -61,6 +67,7 @@ def b06_month_of_year(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def b07_day_of_week(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per day of the week with share and average billing."""
     d = distribution(adm, X.day_name(), "day_of_week",
                      extra={"day_number": F.min(F.dayofweek("date_of_admission")).cast("long"),
                             "avg_billing": X.rhu(X.avg_exact(F.col("billing_amount")), 2)})
@@ -68,11 +75,13 @@ def b07_day_of_week(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def medication_cells(adm: DataFrame) -> DataFrame:
+    """Admissions per condition x medication cell."""
     return adm.groupBy("medical_condition", "medication").agg(
         F.count(F.lit(1)).alias("total_patients"))
 
 
 def b08_medication_by_condition(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Medication mix within each condition (share of the condition's admissions)."""
     c = medication_cells(adm)
     w = Window.partitionBy("medical_condition")
     return c.withColumn("pct_in_condition",
@@ -121,6 +130,8 @@ def b10_medication_independence(adm: DataFrame, cfg: Config = DEFAULTS) -> DataF
 
 
 def outcome_rates(adm: DataFrame, key, name: str | None = None) -> DataFrame:
+    """Normal / abnormal / inconclusive rates per value of ``key`` (conditional counts, one
+    pass)."""
     k = X.col(key)
     if name:
         k = k.alias(name)
@@ -134,6 +145,7 @@ def outcome_rates(adm: DataFrame, key, name: str | None = None) -> DataFrame:
 
 
 def b11_outcome_by_age_group(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Test-result rates per age group."""
     return outcome_rates(adm, X.age_group("age"), "age_group")
 
 
@@ -157,6 +169,8 @@ def b12_medication_outcomes(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame
 
 
 def b13_condition_outcomes(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Test-result rates per condition and whether the normal rate exceeds the limit (35% in
+    the reference)."""
     o = outcome_rates(adm, "medical_condition")
     return o.withColumn("normal_above_limit", F.col("normal_rate") > cfg.normal_rate_limit_pct)
 
@@ -173,4 +187,5 @@ def b14_abnormal_billing(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def b15_outcome_mix(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Share of each test result."""
     return distribution(adm, "test_results")

@@ -15,11 +15,13 @@ CARD_MEASURES = ("total_revenue", "total_patients", "avg_billing", "avg_length_o
 
 
 def d01_monthly_admissions(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per month (page-1 line chart)."""
     return adm.groupBy(X.month_start().alias("month")).agg(
         F.count(F.lit(1)).alias("total_patients"))
 
 
 def d02_condition_scatter(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Average stay against average billing per condition (page-2 scatter)."""
     return adm.groupBy("medical_condition").agg(
         F.count(F.lit(1)).alias("total_patients"), X.rhu(X.avg_exact(F.col("length_of_stay")), 2).alias("avg_los"),
         X.rhu(X.avg_exact(F.col("billing_amount")), 2).alias("avg_billing"))

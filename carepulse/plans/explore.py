@@ -71,20 +71,25 @@ def e05_age_groups(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def e06_gender_dist(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per gender with share."""
     return distribution(adm, "gender")
 
 
 def e07_blood_type_dist(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per blood type with share."""
     return distribution(adm, "blood_type")
 
 
 def e08_condition_counts(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per condition with share."""
     return distribution(adm, "medical_condition")
 
 
 def e09_medication_overview(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per medication with share."""
     return distribution(adm, "medication")
 
 
 def e10_admission_type_dist(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions per admission type with share (the donut chart)."""
     return distribution(adm, "admission_type")

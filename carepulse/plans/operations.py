@@ -23,6 +23,9 @@ def entity_metrics(adm: DataFrame, key: str) -> DataFrame:
 
 
 def o01_doctor_benchmark(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Per-doctor volume, revenue, average billing and stay, normal-result rate, and the
+    average billing's difference from the network average (from the doctors' own sums; the
+    doctor rows are materialised once so the fact is scanned once)."""
     m = with_totals(entity_metrics(adm, "doctor"), _net_rev=F.sum("_rev"), _net_nb=F.sum("_nb"))
     avg_b = X.rhu(X.safe_div("_rev", "_nb"), 2)
     net_b = X.rhu(X.safe_div("_net_rev", "_net_nb"), 2)
@@ -70,6 +73,8 @@ def o04_revenue_per_day_hospital(adm: DataFrame, cfg: Config = DEFAULTS) -> Data
 
 
 def o05_revenue_per_day_admission_type(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Per admission type: share, average billing, average stay and revenue per day (ratio of
+    sums)."""
     d = distribution(adm, "admission_type", extra={
         "avg_billing": X.rhu(X.avg_exact(F.col("billing_amount")), 2), "avg_los": X.rhu(X.avg_exact(F.col("length_of_stay")), 2),
         "revenue_per_day": X.rhu(X.safe_div(F.sum(F.col("billing_amount")), F.sum(F.col("length_of_stay"))), 2)})
@@ -121,6 +126,7 @@ def o08_test_outcome_stack(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def o09_doctor_bar(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Top doctors by revenue (distributed top-n)."""
     m = entity_metrics(adm, "doctor")
     t = top_n_by(m, "doctor", "_rev", cfg.top_n, "revenue_rank")
     return t.select("doctor", X.rhu("_rev", 2).alias("revenue"),
@@ -128,6 +134,7 @@ def o09_doctor_bar(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def _quartile_extremes(adm: DataFrame, key: str, cfg: Config) -> DataFrame:
+    """Entities of one kind in the top and bottom revenue quartile."""
     g = adm.groupBy(key).agg(F.sum(F.col("billing_amount")).alias("_rev"))
     q = rank_all(g, [("_rev", True)], [key], ntile=(4, "revenue_quartile"), cfg=cfg)
     q = q.filter(F.col("revenue_quartile").isin(1, 4))
@@ -138,6 +145,7 @@ def _quartile_extremes(adm: DataFrame, key: str, cfg: Config) -> DataFrame:
 
 
 def o10_top_bottom_performers(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Top- and bottom-quartile hospitals and doctors by revenue."""
     return _quartile_extremes(adm, "hospital", cfg).unionByName(
         _quartile_extremes(adm, "doctor", cfg))
 

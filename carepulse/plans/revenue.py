@@ -28,10 +28,12 @@ def r01_billing_kpis(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def _revenue_by(adm: DataFrame, key: str) -> DataFrame:
+    """Revenue and admissions per value of ``key``."""
     return adm.groupBy(key).agg(F.sum(F.col("billing_amount")).alias("_rev"), F.count(F.lit(1)).alias("_n"))
 
 
 def r02_condition_share(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Revenue per condition, its share of all revenue and its rank."""
     g = _revenue_by(adm, "medical_condition").withColumn("_all", grand("_rev"))
     g = g.withColumn("revenue_rank", F.rank().over(Window.orderBy(F.col("_rev").desc()))
                      .cast("long"))
@@ -40,6 +42,7 @@ def r02_condition_share(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def r03_insurer_ranking(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Revenue, average billing and admissions per insurer, ranked by revenue."""
     g = _revenue_by(adm, "insurance_provider")
     g = g.withColumn("revenue_rank", F.rank().over(Window.orderBy(F.col("_rev").desc()))
                      .cast("long"))
@@ -58,6 +61,7 @@ def top_n_by(g: DataFrame, key: str, metric: str, n: int, rank_name: str) -> Dat
 
 
 def r04_hospital_top10(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Top hospitals by revenue (distributed top-n)."""
     t = top_n_by(_revenue_by(adm, "hospital"), "hospital", "_rev", cfg.top_n, "revenue_rank")
     return t.select("hospital", X.rhu("_rev", 2).alias("revenue"), "revenue_rank")
 
@@ -82,6 +86,7 @@ def r05_monthly_trend(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def r06_billing_tiers(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions and revenue per billing tier with both shares."""
     g = adm.groupBy(X.billing_tier("billing_amount", cfg).alias("billing_tier")).agg(
         F.count(F.lit(1)).alias("total_patients"), F.sum(F.col("billing_amount")).alias("_rev"))
     g = g.withColumns({"_n": grand("total_patients"), "_r": grand("_rev")})
@@ -91,6 +96,8 @@ def r06_billing_tiers(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def r07_high_value_cohort(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Admissions above the top billing cut: count, revenue and their shares (one conditional
+    aggregate)."""
     cut = cfg.billing_cuts[-1]
     hv = F.col("billing_amount") > cut
     one = adm.agg(F.count_if(hv).alias("cohort_patients"), F.count(F.lit(1)).alias("_n"),
@@ -108,6 +115,7 @@ def hospital_quartiles(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def r08_hospital_quartiles(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Hospitals and revenue per revenue quartile (NTILE(4), highest first)."""
     q = hospital_quartiles(adm, cfg).groupBy("revenue_quartile").agg(
         F.count(F.lit(1)).alias("hospitals"), F.sum("_rev").alias("_rev"))
     q = q.withColumn("_all", grand("_rev"))
@@ -116,6 +124,7 @@ def r08_hospital_quartiles(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def r09_quartile_ratio(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Top-quartile hospital revenue over bottom-quartile revenue."""
     q = hospital_quartiles(adm, cfg).agg(
         F.sum(F.when(F.col("revenue_quartile") == 1, F.col("_rev"))).alias("_top"),
         F.sum(F.when(F.col("revenue_quartile") == 4, F.col("_rev"))).alias("_bot"))
