@@ -76,3 +76,39 @@ def _x2_stream_equals_batch(spark):
     exp = {r[0] for r in batch.where("NOT reviewed").select("event_id").collect()}
     assert len(exp) == 2017 - 136
     assert got == exp
+
+
+def test_x2_late_review_beyond_watermark_is_dropped(spark):
+    """Files arrive in order: (1) signups, (2) an event four hours later that
+    moves the watermark, (3) two reviews - one for a signup whose deadline the
+    watermark has passed (late: dropped, so that signup is reported) and one
+    within the allowed lateness (kept, so that signup is not reported)."""
+    d = _scratch()
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    t = lambda s: F.to_timestamp_ntz(F.lit(f"2024-01-01 {s}"))
+
+    def write(rows):
+        df = spark.createDataFrame([(i, u, k) for i, u, k, _ in rows],
+                                   "event_id long, user_id long, event_type string")
+        ts = F.when(F.lit(False), None)
+        for i, _, _, s in rows:
+            ts = ts.when(F.col("event_id") == i, t(s))
+        df.select("event_id", ts.alias("ts"), "user_id", "event_type", F.lit(0.0).alias("value"),
+                  F.lit("{}").alias("props")).coalesce(1).write.mode("append").parquet(f"{d}/in")
+
+    write([(1, 1, "signup", "10:00:00"), (2, 2, "signup", "14:00:00"),
+           (3, 3, "signup", "09:00:00"), (4, 3, "view", "09:30:00")])
+    write([(5, 9, "click", "16:00:00")])
+    write([(6, 1, "view", "10:30:00"), (7, 2, "view", "15:30:00")])
+    spark.createDataFrame([(8, 9, "view")], "event_id long, user_id long, event_type string") \
+        .select("event_id", F.to_timestamp_ntz(F.lit("2099-01-01 00:00:00")).alias("ts"),
+                "user_id", "event_type", F.lit(0.0).alias("value"), F.lit("{}").alias("props")) \
+        .write.mode("append").parquet(f"{d}/in")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
+    q = (intake.unreviewed_stream(stream, FIXTURE).writeStream.format("parquet")
+         .option("path", f"{d}/out").option("checkpointLocation", f"{d}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r[0] for r in spark.read.parquet(f"{d}/out").select("event_id").collect()}
+    assert got == {1}
