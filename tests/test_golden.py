@@ -181,3 +181,23 @@ def test_shares_and_running_total_invariants(spark, adm01):
     tiers = collect(advanced.a07_risk_distribution(adm01, FIXTURE), "risk_tier")
     assert {k: v["total_patients"] for k, v in tiers.items()} == {
         "Critical": 8499, "High": 15533, "Medium": 26481, "Low": 9487}
+
+
+def test_evaluate_under_filter_context(spark):
+    from carepulse.functions.measures import evaluate, slice_
+    rows = [row(name=f"p{i}", admit=D(2019 + i % 3, 1 + i % 12, 3), hospital=f"H{i % 2}",
+                atype=("Emergency", "Elective", "Urgent")[i % 3], billing=f"{100 + i}.00",
+                gender=("Male", "Female")[i % 2]) for i in range(30)]
+    a = adm(spark, rows)
+    by_h = collect(evaluate(a, ["total_patients", "total_revenue", "emergency_rate_pct"],
+                            by=["hospital"], where={"year_range": (2019, 2020),
+                                                    "gender": ["Male", "Female"]}), "hospital")
+    exp = [r for r in rows if r[5].year in (2019, 2020)]
+    for h in ("H0", "H1"):
+        sel = [r for r in exp if r[7] == h]
+        assert by_h[h]["total_patients"] == len(sel)
+        assert by_h[h]["total_revenue"] == float(sum(r[9] for r in sel))
+    assert slice_(a, year=2021).count() == sum(1 for r in rows if r[5].year == 2021)
+    assert slice_(a, year=[2019, 2021], admission_type="Urgent").count() == sum(
+        1 for r in rows if r[5].year in (2019, 2021) and r[11] == "Urgent")
+    assert slice_(a).count() == 30
