@@ -57,8 +57,8 @@ def b05_seasonal(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 def b06_month_of_year(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Admissions per calendar month with a rolling average over the preceding months (the
     series is bounded by the calendar)."""
-    g = adm.groupBy(F.year("date_of_admission").alias("admission_year"),
-                    F.month("date_of_admission").alias("admission_month")).agg(
+    g = adm.groupBy(F.year("date_of_admission").cast("long").alias("admission_year"),
+                    F.month("date_of_admission").cast("long").alias("admission_month")).agg(
         F.count(F.lit(1)).alias("total_patients"))
     k = cfg.rolling_months
     w = Window.orderBy("admission_year", "admission_month").rowsBetween(-(k - 1), 0)

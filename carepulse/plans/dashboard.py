@@ -54,7 +54,7 @@ def d04_variance_vs_network(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame
 def m01_measures_by_year(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Every catalogue measure on the year axis."""
     from ..functions.measures import MEASURES
-    return evaluate(adm, list(MEASURES), by=[F.year("date_of_admission").alias("year")])
+    return evaluate(adm, list(MEASURES), by=[F.year("date_of_admission").cast("long").alias("year")])
 
 
 def d05_hospital_rank_sliced(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
