@@ -1,10 +1,10 @@
-"""Batch and streaming jobs for ``spark-submit``.
+"""Batch and streaming jobs for ``spark-submit`` (via ``run_job.py``).
 
-    spark-submit -m carepulse.jobs import   --csv s3://raw/admissions/ --table s3://lake/admissions
-    spark-submit -m carepulse.jobs marts    --table s3://lake/admissions --out s3://lake/marts [--years 2023 2024]
-    spark-submit -m carepulse.jobs analyse  --table s3://lake/admissions --key r05_monthly_trend --out s3://lake/r05
-    spark-submit -m carepulse.jobs intake   --source s3://landing/admissions/ --sink s3://lake/flags \\
-                                            --checkpoint s3://lake/_chk/intake
+    spark-submit --py-files carepulse.zip run_job.py import   --csv s3://raw/admissions/ --table s3://lake/admissions
+    spark-submit --py-files carepulse.zip run_job.py marts    --table s3://lake/admissions --out s3://lake/marts [--years 2023 2024]
+    spark-submit --py-files carepulse.zip run_job.py analyse  --table s3://lake/admissions --key r05_monthly_trend --out s3://lake/r05
+    spark-submit --py-files carepulse.zip run_job.py intake   --source s3://landing/admissions/ --sink s3://lake/flags \\
+          --checkpoint s3://lake/_chk/intake
 
 The session comes from the cluster (``SparkSession.builder.getOrCreate()``);
 its settings, including ``spark.checkpoint.dir``, are read, never overridden.
