@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
-from ..operators import timeseries as TS
 from ..operators.quantiles import percentiles
 from ..operators.shares import distribution, grand
 

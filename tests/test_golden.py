@@ -6,7 +6,6 @@ exactly the network average, no Emergency rows, an empty table, NULLs."""
 import datetime as dt
 from decimal import Decimal
 
-import pytest
 
 from carepulse.config import DEFAULTS
 from carepulse.functions import exprs as X

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF01
-from oracle_compare import canon, compare
+from oracle_compare import compare
 
 KEYS = sorted(entry.queries())
 

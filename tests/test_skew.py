@@ -3,7 +3,6 @@ third of all rows.  The analyses most exposed to hot keys (joins to
 aggregates, rankings, top-n, duplicates, the review check) must still match
 the oracle run on the same skewed tables."""
 
-import os
 import tempfile
 
 import duckdb
