@@ -14,7 +14,6 @@ from .operations import entity_metrics
 from .revenue import monthly_revenue
 
 
-
 def a01_mom_rolling_trend(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Monthly revenue, previous month, MoM %, rolling average, trend label."""
     m = monthly_revenue(adm)
@@ -39,7 +38,7 @@ def a02_hospital_tiers(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def doctor_metrics(adm: DataFrame) -> DataFrame:
-    """The scorecard's input CTE: volume, revenue, normal-outcome rate, F.col("length_of_stay")."""
+    """The scorecard's input CTE: volume, revenue, normal-outcome rate, average stay."""
     m = entity_metrics(adm, "doctor")
     return m.select("doctor", F.col("_n").alias("total_patients"), F.col("_rev"),
                     (F.col("_normal").cast("double") * 100.0 / F.col("_n"))
