@@ -124,7 +124,7 @@ def b10_medication_independence(adm: DataFrame, cfg: Config = DEFAULTS) -> DataF
         X.rhu(chi2, 4).alias("chi2_stat"),
         ((F.col("_rows") - 1) * (F.col("_cols") - 1)).cast("long").alias("degrees_of_freedom"),
         F.col("_n").cast("long").alias("total_observations"),
-        X.rhu(F.sqrt(chi2 / (F.col("_n") * (F.least("_rows", "_cols") - 1))), 4)
+        X.rhu(F.sqrt(F.try_divide(chi2, F.col("_n") * (F.least("_rows", "_cols") - 1))), 4)
         .alias("cramers_v"))
 
 

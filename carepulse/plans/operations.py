@@ -92,7 +92,7 @@ def o06_long_stay_patients(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
                     F.col("billing_amount").cast("double").alias("billing_amount"),
                     F.col("length_of_stay").cast("long").alias("length_of_stay"),
                     X.rhu("_avg", 2).alias("condition_avg_los"),
-                    X.rhu(F.col("length_of_stay") / F.col("_avg"), 2).alias("los_ratio"))
+                    X.rhu(X.safe_div("length_of_stay", "_avg"), 2).alias("los_ratio"))
 
 
 def o07_emergency_rate(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:

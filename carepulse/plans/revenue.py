@@ -140,7 +140,7 @@ def r10_condition_admission_matrix(adm: DataFrame, cfg: Config = DEFAULTS) -> Da
     g = adm.groupBy("medical_condition", "admission_type").agg(
         F.count(F.lit(1)).alias("total_patients"), F.sum(F.col("billing_amount")).alias("_rev"))
     g = g.withColumns({"_tot": grand("_rev"), "_cells": F.count(F.lit(1)).over(Window.partitionBy())})
-    ratio = F.col("_rev").cast("double") * F.col("_cells") / F.col("_tot").cast("double")
+    ratio = F.try_divide(F.col("_rev").cast("double") * F.col("_cells"), F.col("_tot").cast("double"))
     return g.select("medical_condition", "admission_type", "total_patients",
                     X.rhu("_rev", 2).alias("revenue"), X.pct("_rev", "_tot", 1).alias("share_pct"),
                     X.rhu(ratio, 3).alias("heat_ratio"), X.cell_bucket(ratio, cfg).alias("cell_bucket"))

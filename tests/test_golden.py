@@ -200,3 +200,16 @@ def test_evaluate_under_filter_context(spark):
     assert slice_(a, year=[2019, 2021], admission_type="Urgent").count() == sum(
         1 for r in rows if r[5].year in (2019, 2021) and r[11] == "Urgent")
     assert slice_(a).count() == 30
+
+
+def test_zero_divisors_give_null_not_errors(spark):
+    """One condition, zero revenue, zero stays: ratios are NULL (DIVIDE semantics)."""
+    rows = [row(name=f"z{i}", billing="0.00", los=0, med=("Aspirin", "Lipitor")[i % 2])
+            for i in range(4)]
+    a = adm(spark, rows)
+    b10 = behaviour.b10_medication_independence(a, DEFAULTS).first()
+    assert b10["cramers_v"] is None and b10["degrees_of_freedom"] == 0
+    r10 = revenue.r10_condition_admission_matrix(a, DEFAULTS).first()
+    assert r10["heat_ratio"] is None and r10["share_pct"] is None
+    assert operations.o06_long_stay_patients(a, DEFAULTS).count() == 0
+    assert operations.o04_revenue_per_day_hospital(a, DEFAULTS).first()["revenue_per_day"] is None
