@@ -54,8 +54,10 @@ def calendar_previous(monthly: DataFrame, value: str, month: str = "month",
     into one row holding a month -> value map; the dense spine is exploded from
     that row and both lookups are map reads, so the aggregate is consumed by a
     single branch (no self-join that would re-plan the fact scan)."""
-    one = monthly.agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"),
-                      F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_m"))
+    # rows without a date have no calendar month; the spine spans real months
+    one = monthly.where(F.col(month).isNotNull()).agg(
+        F.min(month).alias("_lo"), F.max(month).alias("_hi"),
+        F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_m"))
     d = one.select(F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias(month),
                    "_m")
     return d.select(month, F.try_element_at("_m", F.col(month)).alias(value),
