@@ -65,6 +65,27 @@ def main() -> None:
         single = "; ".join(sorted(set(s["single_partition"]))) or "-"
         print(f"| `{k}` | {s['scans']} | {s['checkpoint_reads']} | {s['hash_shuffles']} |"
               f" {s['range_shuffles']} | {s['broadcasts']} | {s['windows']} | {single} | {notes} |")
+    print("\n## Selected executed plans\n")
+    selected = [
+        ("e02_null_audit", FIXTURE, "one aggregate pass over the fact, then an unpivot of one row"),
+        ("o06_long_stay_patients", FIXTURE,
+         "rows joined to the checkpointed, counted per-condition averages (broadcast because small)"),
+        ("a05_patient_risk", FIXTURE,
+         "per-row risk rank from the per-score counts: no window over the rows"),
+        ("r12_monthly_calendar_mom", FIXTURE,
+         "dense calendar from a one-row month map: one scan, no self-join"),
+        ("a02_hospital_tiers", FIXTURE.with_(rank_strategy="distributed", rank_partitions=4),
+         "forced range-partitioned ranking: local running counts per range partition plus a "
+         "broadcast table of partition offsets"),
+    ]
+    for k, cfg, why in selected:
+        df = run(k, spark, sf, cfg, adm=adm)
+        df.collect()
+        p = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        p = re.sub(r"Location: InMemoryFileIndex\([^)]*\)\[[^\]]*\]", "Location: ...", p)
+        p = re.sub(r"file:/tmp/[^ ,\]]+", "<checkpoint>", p)
+        lines = [ln[:160] for ln in p.splitlines()]
+        print(f"### `{k}`\n\n{why}.\n\n```\n" + "\n".join(lines) + "\n```\n")
     spark.stop()
 
 
