@@ -44,7 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder, never overridden), else - tests and local runs - a scratch folder.
     (``setCheckpointDir`` adds a fresh sub-folder on every call, so it must not
     be called again once set.)"""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     d = sc.getCheckpointDir()
     if d:
         return d

@@ -43,8 +43,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a fact that has fewer input splits than the cluster has
     cores (a small local file); at scale the scan already has thousands of
     splits and this is a no-op, so no shuffle is added there."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of this session (remote): leave as is
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 def fixture_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
