@@ -53,6 +53,8 @@ _BUILT: set[str] = set()
 
 def _materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
+    if not base:          # no shared folder known: run on the lazy view instead
+        return admissions(spark, sf_dir)
     tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
     path = f"{base}/admissions-{tag}"
     # the checkpoint folder is unique to this SparkContext, so a path recorded
