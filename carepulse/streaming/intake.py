@@ -86,7 +86,8 @@ def review_check(events: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     u = u.withColumn("_next", F.min(F.when(F.col("kind") == 1, F.col("ts"))).over(w))
     due = F.col("ts") + F.make_interval(hours=F.lit(hours))
-    ok = F.col("_next").isNotNull() & (F.col("_next") <= due)
+    # an undated signup cannot be answered: reviewed is false, never NULL
+    ok = F.coalesce(F.col("_next").isNotNull() & (F.col("_next") <= due), F.lit(False))
     minutes = (F.unix_micros("_next") - F.unix_micros("ts")) / 60_000_000.0
     return u.where("kind = 0").select(
         "event_id", "user_id", ok.alias("reviewed"),
@@ -163,7 +164,9 @@ def unreviewed_stream(events_stream: DataFrame, cfg: Config = DEFAULTS,
                       lateness: str = "1 hour") -> DataFrame:
     """Signups with no view of the same user within the window, emitted once
     the watermark has passed their deadline."""
-    e = (events_stream.where(F.col("event_type").isin(SIGNUP, VIEW))
+    # rows without a user or a time cannot be placed in event time
+    e = (events_stream.where(F.col("event_type").isin(SIGNUP, VIEW)
+                             & F.col("user_id").isNotNull() & F.col("ts").isNotNull())
          .select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
          .withWatermark("ts", lateness))
     return e.groupBy("user_id").applyInPandasWithState(
