@@ -38,8 +38,6 @@ def write_marts(adm: DataFrame, out_dir: str, cfg: Config = DEFAULTS,
     """Compute every visual's dataset and write it under ``out_dir/<page>/<key>``.
     ``years`` limits a refresh to a year range; only time-partitioned marts are
     then rewritten (dynamic partition overwrite), the rest are left as they are."""
-    spark = adm.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     src = slice_(adm, year_range=years) if years else adm
     written = []
     for page, keys in (pages or PAGES).items():
@@ -48,7 +46,9 @@ def write_marts(adm: DataFrame, out_dir: str, cfg: Config = DEFAULTS,
             month = _year_column(ds)
             path = f"{out_dir.rstrip('/')}/{page}/{key}"
             if month:
+                # dynamic: an overwrite replaces only the years it writes
                 ds.withColumn("year", F.year(month)).write.mode("overwrite") \
+                  .option("partitionOverwriteMode", "dynamic") \
                   .partitionBy("year").parquet(path)
             elif years:
                 continue  # whole-history marts are not refreshed by a partial run

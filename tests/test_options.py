@@ -40,3 +40,17 @@ def test_chi_square_matches_ml_chisquaretest(adm01):
     ours = behaviour.b10_medication_independence(adm01, FIXTURE).first()
     assert abs(ml["statistics"][0] - ours["chi2_stat"]) < 1e-3
     assert ml["degreesOfFreedom"][0] == ours["degrees_of_freedom"]
+
+
+def test_medication_outcome_chi_square_parts_match_ml(adm01):
+    """The per-medication parts of b12 add up to Spark ML's statistic for the
+    medication x test-result table."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.stat import ChiSquareTest
+
+    df = StringIndexer(inputCols=["test_results", "medication"],
+                       outputCols=["label", "med_idx"]).fit(adm01).transform(adm01)
+    df = VectorAssembler(inputCols=["med_idx"], outputCol="features").transform(df)
+    ml = ChiSquareTest.test(df, "features", "label").first()["statistics"][0]
+    parts = sum(r["chi2_part"] for r in behaviour.b12_medication_outcomes(adm01, FIXTURE).collect())
+    assert abs(parts - ml) < 1e-3
