@@ -41,12 +41,19 @@ def marts(spark: SparkSession, table: str, out: str, years=None) -> list[str]:
     return refresh_marts(adm, out, DEFAULTS, years=tuple(years) if years else None)
 
 
-def analyse(spark: SparkSession, table: str, key: str, out: str) -> None:
-    """Run one analysis over the stored table and write its result."""
+def analyse(spark: SparkSession, table: str, key: str, out: str) -> list[str]:
+    """Run one analysis (or every one, ``key='all'``) over the stored table
+    and write each result; with ``all`` each key goes to ``out/<key>``."""
     from .plans.registry import ANALYSES
     from .sources.schema import read_table, with_derived
     adm = with_derived(read_table(spark, table))
-    ANALYSES[key](adm, DEFAULTS).write.mode("overwrite").parquet(out)
+    keys = list(ANALYSES) if key == "all" else [key]
+    written = []
+    for k in keys:
+        path = f"{out.rstrip('/')}/{k}" if key == "all" else out
+        ANALYSES[k](adm, DEFAULTS).write.mode("overwrite").parquet(path)
+        written.append(path)
+    return written
 
 
 def intake(spark: SparkSession, source: str, sink: str, checkpoint: str,
@@ -72,7 +79,7 @@ def main(argv=None) -> None:
     p.add_argument("--years", nargs=2, type=int)
     p = sub.add_parser("analyse")
     p.add_argument("--table", required=True)
-    p.add_argument("--key", required=True)
+    p.add_argument("--key", required=True, help="an analysis key, or 'all'")
     p.add_argument("--out", required=True)
     p = sub.add_parser("intake")
     p.add_argument("--source", required=True)

@@ -20,6 +20,9 @@ def test_jobs_end_to_end(spark, adm01):
     jobs.main(["analyse", "--table", f"{d}/table", "--key", "r05_monthly_trend",
                "--out", f"{d}/r05"])
     assert spark.read.parquet(f"{d}/r05").count() == 83
+    written = jobs.analyse(spark, f"{d}/table", "all", f"{d}/all")
+    assert len(written) == 65
+    assert spark.read.parquet(f"{d}/all/a06_executive_summary").count() == 1
     jobs.main(["marts", "--table", f"{d}/table", "--out", f"{d}/marts"])
     assert spark.read.parquet(f"{d}/marts/executive_overview/a06_executive_summary").count() == 1
     jobs.main(["intake", "--source", f"{d}/table", "--sink", f"{d}/flags",
