@@ -213,3 +213,9 @@ def test_zero_divisors_give_null_not_errors(spark):
     assert r10["heat_ratio"] is None and r10["share_pct"] is None
     assert operations.o06_long_stay_patients(a, DEFAULTS).count() == 0
     assert operations.o04_revenue_per_day_hospital(a, DEFAULTS).first()["revenue_per_day"] is None
+
+
+def test_ratio_of_sums_identity(adm01):
+    from carepulse.config import FIXTURE
+    for r in dashboard.m01_measures_by_year(adm01, FIXTURE).collect():
+        assert abs(r["revenue_per_day"] - r["total_revenue"] / r["total_los_days"]) < 0.01
