@@ -58,12 +58,13 @@ def m01_measures_by_year(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def d05_hospital_rank_sliced(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """RANKX / NTILE measures under the slicers: hospitals ranked and split
-    into quartiles by revenue within the filter context only."""
+    """RANKX / NTILE measures under the slicers: hospitals ranked (RANKX
+    ``skip`` = RANK and ``dense`` = DENSE_RANK) and split into quartiles by
+    revenue within the filter context only."""
     from ..operators.ranking import rank_all
     sliced = slice_(adm, **dict(cfg.slice_example))
     g = sliced.groupBy("hospital").agg(F.sum(F.col("billing_amount")).alias("_rev"))
     r = rank_all(g, [("_rev", True)], ["hospital"], rank="revenue_rank",
-                 ntile=(4, "revenue_quartile"), cfg=cfg)
+                 dense_rank="revenue_dense_rank", ntile=(4, "revenue_quartile"), cfg=cfg)
     return r.select("hospital", X.rhu("_rev", 2).alias("revenue"), "revenue_rank",
-                    "revenue_quartile")
+                    "revenue_dense_rank", "revenue_quartile")

@@ -428,6 +428,7 @@ SELECT hospital, sliced_avg_billing, network_avg_billing,
     "d05_hospital_rank_sliced": f"""WITH h AS (SELECT hospital, SUM(billing_amount) AS rev FROM adm
   WHERE year(date_of_admission) = 1996 AND admission_type = 'Emergency' GROUP BY 1)
 SELECT hospital, {R('rev', 2)} AS revenue, CAST(RANK() OVER (ORDER BY rev DESC) AS BIGINT) AS revenue_rank,
+  CAST(DENSE_RANK() OVER (ORDER BY rev DESC) AS BIGINT) AS revenue_dense_rank,
   CAST(NTILE(4) OVER (ORDER BY rev DESC, hospital) AS BIGINT) AS revenue_quartile FROM h""",
     "m01_measures_by_year": MEASURES_BY_YEAR,
 }
