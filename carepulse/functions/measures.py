@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from . import exprs as X
 
 
-
 def _share(cond: Column) -> Column:
     return X.pct(F.count_if(cond), F.count(F.lit(1)), 1)
 

@@ -16,7 +16,6 @@ from ..operators.quantiles import percentiles
 from ..operators.shares import distribution, grand
 
 
-
 def b01_los_overall(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Average, minimum, maximum and median length of stay, all from one set of
     per-value counts (one scan)."""

@@ -12,13 +12,13 @@ from ..operators.shares import distribution, sized_join, with_totals
 from .revenue import top_n_by
 
 
-
 def entity_metrics(adm: DataFrame, key: str) -> DataFrame:
     """Per-entity sums and counts; averages and rates are derived from them,
     and the network row is the sum of these sums (one fact scan)."""
+    b, los = F.col("billing_amount"), F.col("length_of_stay")
     return adm.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col("billing_amount")).alias("_rev"), F.sum(F.col("length_of_stay")).alias("_los"),
-        F.count(F.col("length_of_stay")).alias("_nlos"), F.count(F.col("billing_amount")).alias("_nb"),
+        F.count(F.lit(1)).alias("_n"), F.sum(b).alias("_rev"), F.sum(los).alias("_los"),
+        F.count(los).alias("_nlos"), F.count(b).alias("_nb"),
         F.count_if(F.col("test_results") == "Normal").alias("_normal"))
 
 

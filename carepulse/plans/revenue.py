@@ -13,7 +13,6 @@ from ..operators.ranking import rank_all
 from ..operators.shares import grand
 
 
-
 def r01_billing_kpis(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Total, average, median and quartiles of billing (exact percentiles).
     Total and average come from the same per-value counts as the percentiles
