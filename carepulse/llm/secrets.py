@@ -1,0 +1,191 @@
+"""Secret scans: base patterns, and zstandard novelty for what they miss.
+
+A candidate near a sensitive word is compressed together with the code around
+it, primed with a dictionary of common identifiers and that context; the bytes
+it adds (its marginal size) tell random strings from names and words."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+from functools import lru_cache
+
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import as_texts, batch, map_batches, table
+
+# The base patterns, in the order that breaks ties of a start.
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                    re.ASCII | re.IGNORECASE)
+#: One of these is in the lower-cased text of any match: a cheap first test.
+ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")     # the maximal runs of 24 or more
+
+_HEX_MARKS = bytes(ord("x") if b in b"0123456789abcdef" else 32 for b in range(256))
+
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+SENSITIVE = re.compile(
+    r"passw|passphrase|pwd|secret|token|api[_ -]?key|apikey|credential|auth|bearer|private[_ -]?key"
+    r"|access[_ -]?key|session[_ -]?key|client[_ -]?key|encryption[_ -]?key|signing[_ -]?key|signature",
+    re.ASCII | re.IGNORECASE)
+SENSITIVE_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "credential", "auth",
+                   "bearer", "private", "access", "session", "client", "encryption", "signing",
+                   "signature")
+
+#: Identifiers and words of configuration and code that prime the compressor.
+IDENTIFIERS = (
+    "password passwd secret token api_key apikey access_key secret_key private_key client_id "
+    "client_secret authorization bearer credentials username user email account session cookie "
+    "config settings environment production development staging default value string number "
+    "boolean object array function return import export const let var public private static "
+    "class interface package module require include define https http localhost com org net "
+    "json xml yaml html utf-8 base64 content-type application connection database host port "
+    "server client request response header timeout version true false null none undefined "
+    "getElementById addEventListener setTimeout createElement toString hashCode equals length "
+    "first second third before after because through without example placeholder changeme "
+    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 "
+    "AAAAAAAAAAAA xxxxxxxxxxxx XXXXXXXXXXXX ____________ ------------ ============ 000000000000")
+
+
+@dataclass(frozen=True)
+class Novelty:
+    before: int = 48            # code points before a candidate that may hold a sensitive word
+    context: int = 1024         # code points around it that the compressor knows
+    min_ratio: float = 0.7      # marginal bytes per byte at which a string is incompressible
+    level: int = 3
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in code points, by start and kind."""
+    out = []
+    low = text.lower()
+    if any(x in low for x in ASSIGN_HINTS):
+        out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    if b"x" * 24 in text.encode("utf-8", "replace").translate(_HEX_MARKS):
+        out += [("hex", *m.span()) for m in HEX.finditer(text)]
+    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+@lru_cache(1)
+def _identifiers() -> bytes:
+    return IDENTIFIERS.encode()
+
+
+def marginal_bytes(candidate: bytes, around: bytes, level: int = 3) -> int:
+    """Bytes that ``candidate`` adds to a frame that holds a short lead, given
+    the identifier dictionary and the text around it."""
+    known = zstandard.ZstdCompressionDict(_identifiers() + b"\n" + around,
+                                          dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    z = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False)
+    lead = around[-16:]
+    return len(z.compress(lead + candidate)) - len(z.compress(lead))
+
+
+def novel_spans(text: str, base: list[tuple[str, int, int]],
+                cfg: Novelty = Novelty()) -> list[tuple[str, int, int]]:
+    """Incompressible strings in a sensitive context that no base span meets."""
+    low = text.lower()
+    if not any(x in low for x in SENSITIVE_HINTS):
+        return []
+    out = []
+    done = -1
+    for hint in SENSITIVE.finditer(text):
+        lo, hi = hint.start(), hint.end() + cfg.before
+        # a name such as access_key_id may hold the hint itself
+        for m in CANDIDATE.finditer(text, max(done, lo), len(text)):
+            a, b = m.span()
+            if a > hi:
+                break
+            done = b
+            word = m[0]
+            if a <= hint.start() < b and "=" not in word and ":" not in word:
+                continue                                   # the sensitive word itself
+            if any(s < b and a < e for _, s, e in base):
+                continue
+            kinds = sum(bool(re.search(p, word)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+            if kinds < 2 or not re.search("[0-9]", word):
+                continue                                   # words and names
+            around = text[max(0, a - cfg.context):a] + text[b:b + cfg.context]
+            if marginal_bytes(word.encode(), around.encode(), cfg.level) >= cfg.min_ratio * len(word):
+                out.append(("novel", a, b))
+    return out
+
+
+def find_secrets(text: str, cfg: Novelty = Novelty()) -> list[tuple[str, int, int]]:
+    """All spans (kind, start, end), by start and then kind; base spans first."""
+    base = base_spans(text)
+    order = (*KINDS, "novel")
+    return sorted(base + novel_spans(text, base, cfg), key=lambda s: (s[1], order.index(s[0])))
+
+
+def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:
+    """``text`` with every span (overlaps joined) replaced by ``mark``."""
+    out, at = [], 0
+    for _, a, b in sorted(spans, key=lambda s: (s[1], s[2])):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
+_SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+                 cfg: Novelty = Novelty()) -> DataFrame:
+    """``id_col, spans`` per row; a null or empty text has no spans."""
+    rows = docs.select(F.col(id_col), F.col(text).alias("__text"))
+    kind = rows.schema[0].dataType.simpleString()
+
+    def start():
+        def step(b: pa.RecordBatch):
+            found = [[dict(zip(("kind", "start", "end"), s)) for s in find_secrets(t, cfg)]
+                     for t in as_texts(b.column(1))]
+            return batch(b.column(0), pa.array(found, _SPAN_ARROW), names=[id_col, "spans"])
+        return step
+    return map_batches(rows, f"`{id_col}` {kind}, spans {SPAN}", start)
+
+
+def redact_secrets(docs: DataFrame, text: str = "text", cfg: Novelty = Novelty(),
+                   mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced by ``mark``; rows without
+    secrets, null texts included, are unchanged."""
+    schema = docs.schema
+
+    def start():
+        def step(b: pa.RecordBatch):
+            i = b.schema.get_field_index(text)
+            col = b.column(i)
+            texts = as_texts(col)
+            found = [find_secrets(t, cfg) for t in texts]
+            if not any(found):
+                return b
+            new = [redact(t, f, mark) if f else (t if ok else None)
+                   for t, f, ok in zip(texts, found, col.is_valid().to_pylist())]
+            return b.set_column(i, b.schema.field(i), pa.array(new, col.type))
+        return step
+    return map_batches(docs, schema, start)
+
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+
+    def text_of(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+        count("hex").alias("n_hex"), F.sha2(text_of(base), 256).alias("base_sha256"),
+        text_of(F.col("spans")).alias("spans"), count("novel").alias("n_novel"))
