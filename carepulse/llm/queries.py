@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, quality, secrets, simhash
+from . import chat, quality, secret_scan, simhash
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op9_chat_formatting": chat.op9_chat_formatting,
-    "op10_secret_scans": secrets.op10_secret_scans,
+    "op10_secret_scans": secret_scan.op10_secret_scans,
 }
 
 SQL = {
