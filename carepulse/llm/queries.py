@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, quality, secret_scan, simhash
+from . import chat, pieces, quality, secret_scan, simhash
 
 QUERIES = {
+    "op3_token_counts": pieces.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_secret_scans": secret_scan.op10_secret_scans,
 }
