@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, pieces, quality, secret_scan, simhash
+from . import chat, decontaminate, pieces, quality, secret_scan, simhash
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op3_token_counts": pieces.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
