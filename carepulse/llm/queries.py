@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, pieces, quality, secret_scan, simhash
+from . import chat, decontaminate, licenses, pieces, quality, secret_scan, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_license_scans": licenses.op8_license_scans,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_secret_scans": secret_scan.op10_secret_scans,
 }
