@@ -28,7 +28,8 @@ from .common import as_texts, batch, map_batches, table
 
 #: Words of a benchmark block: its index stays under about 60 bytes a word.
 BLOCK_WORDS = 200_000
-_PUNCTUATION = str.maketrans(dict.fromkeys(".,;:!?\"'()[]{}", " "))
+_MARKS = b".,;:!?\"'()[]{}"
+_BLANKED = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 
 
 @dataclass(frozen=True)
@@ -40,8 +41,9 @@ class Leak:
     min_score: float = 0.5      # of the item's perfect alignment score
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().translate(_PUNCTUATION).split()
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words between blanks and punctuation, as UTF-8."""
+    return text.lower().encode("utf-8", "replace").translate(_BLANKED).split()
 
 
 class Index:
@@ -49,7 +51,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.n = n
-        self.vocab: dict[str, int] = {}
+        self.vocab: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for key, text in items:
             w = words_of(text)
