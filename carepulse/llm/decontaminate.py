@@ -215,7 +215,6 @@ def corpus_counts(docs: DataFrame, text: str, index) -> np.ndarray:
 
 
 HIT = "array<struct<item_id:bigint,score:double>>"
-_HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text",
@@ -236,8 +235,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
 
 
 def _search(rows: DataFrame, index, seeds, cfg: Leak) -> DataFrame:
-    names = rows.columns
-
     def start():
         idx, own = index.value, seeds.value
 
@@ -245,9 +242,10 @@ def _search(rows: DataFrame, index, seeds, cfg: Leak) -> DataFrame:
             found = [leaks(idx, own, idx.numbers(t), cfg) for t in as_texts(b.column(b.num_columns - 2))]
             if not any(found):
                 return b
-            old = b.column(b.num_columns - 1).to_pylist()
-            new = [o + [{"item_id": k, "score": s} for k, s in f] for o, f in zip(old, found)]
-            return batch(*b.columns[:-1], pa.array(new, _HIT_ARROW), names=names)
+            last = b.num_columns - 1
+            new = [o + [{"item_id": k, "score": s} for k, s in f]
+                   for o, f in zip(b.column(last).to_pylist(), found)]
+            return b.set_column(last, b.schema.field(last), pa.array(new, b.schema.field(last).type))
         return step
     return map_batches(rows, rows.schema, start)
 
