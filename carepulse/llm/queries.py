@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, licenses, pieces, quality, secret_scan, simhash
+from . import chat, decontaminate, langid, licenses, lm, pieces, quality, secret_scan, simhash
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_language_id": langid.op2_language_id,
     "op3_token_counts": pieces.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_lm_scoring": lm.op5_lm_scoring,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_license_scans": licenses.op8_license_scans,
