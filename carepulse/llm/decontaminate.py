@@ -219,19 +219,19 @@ HIT = "array<struct<item_id:bigint,score:double>>"
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text",
                item_id: str = "item_id", item_text: str = "text",
-               cfg: Leak = Leak()) -> DataFrame:
-    """Columns ``keep`` and ``leaks`` (items and scores, by item id) per row of
+               cfg: Leak = Leak(), out: str = "leaks") -> DataFrame:
+    """Columns ``keep`` and ``out`` (items and scores, by item id) per row of
     ``docs``.  Null and empty texts have none; an empty benchmark gives none;
     repeated rows are each judged."""
     sc = docs.sparkSession.sparkContext
-    out = docs.select(*keep, F.col(text).alias("__text"),
+    rows = docs.select(*keep, F.col(text).alias("__text"),
                       F.array().cast(HIT).alias("__leaks"))
     for block in benchmark_blocks(benchmark, item_id, item_text, cfg.n):
         index = sc.broadcast(block)
         counts = corpus_counts(docs, text, index)
         seeds = sc.broadcast(Seeds(block, counts[:-1], int(counts[-1]), cfg))
-        out = _search(out, index, seeds, cfg)
-    return out.select(*keep, F.array_sort("__leaks").alias("leaks"))
+        rows = _search(rows, index, seeds, cfg)
+    return rows.select(*keep, F.array_sort("__leaks").alias(out))
 
 
 def _search(rows: DataFrame, index, seeds, cfg: Leak) -> DataFrame:
@@ -253,7 +253,8 @@ def _search(rows: DataFrame, index, seeds, cfg: Leak) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cfg: Leak = Leak()) -> DataFrame:
     """The rows of ``docs`` into which no benchmark item leaked."""
     cols = docs.columns
-    return find_leaks(docs, benchmark, cols, text, cfg=cfg).where(F.size("leaks") == 0).select(*cols)
+    found = find_leaks(docs, benchmark, cols, text, cfg=cfg, out="__found")
+    return found.where(F.size("__found") == 0).select(*cols)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

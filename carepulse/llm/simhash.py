@@ -266,12 +266,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw)
     kept = docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
     # repeated ids and null ids are rare: settle them apart from the rest
     odd = groups.groupBy("id").count().where("count > 1 or id is null")
-    odd = checkpointed(odd.select("id"))
+    odd = checkpointed(odd.select(F.col("id").alias("__odd")))
     if odd.isEmpty():
         return kept
     key = F.col(id_col).cast("bigint")
-    rare = kept.join(odd, key.eqNullSafe(F.col("id")), "left_semi")
-    plain = kept.join(odd, key.eqNullSafe(F.col("id")), "left_anti")
+    rare = kept.join(odd, key.eqNullSafe(F.col("__odd")), "left_semi")
+    plain = kept.join(odd, key.eqNullSafe(F.col("__odd")), "left_anti")
     return plain.unionByName(_settle(rare, groups, id_col, text, kw.get("shingle", 4))).select(*cols)
 
 
