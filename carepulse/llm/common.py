@@ -11,6 +11,7 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,6 +66,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a Parquet table below the shared checkpoint folder, and the
+    function that removes it once nothing reads it any more (at the latest the
+    end of the JVM does)."""
+    spark = df.sparkSession
+    jvm, path = spark._jvm, f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(where)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: fs.delete(where, True)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast hint for a table whose counted size is within the bound; the
     plain table, joined by shuffle, otherwise."""

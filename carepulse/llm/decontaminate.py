@@ -7,8 +7,8 @@ read once and passes the blocks one after the other.  No text is shuffled.
 1. Corpus counts: in how many documents each benchmark n-gram occurs (all
    documents; summed per task, then by one small aggregation).
 2. Seeds of an item are its n-grams found in at most ``rare_share`` of the
-   documents, and always its rarer half, so an item that leaked into a third of
-   the corpus keeps its seeds.
+   documents, and always those not above the median of its own n-grams, so an
+   item that leaked into a third of the corpus keeps its seeds.
 3. Seed hits near each other on one item open a window of the document; the
    local alignment of window and item (word by word: match +2, mismatch and gap
    -1) over the item's perfect score is the leak's score.
@@ -115,10 +115,8 @@ class Seeds:
         self.needed = []
         for i, where in enumerate(index.where):
             freq = df[where]
-            distinct, first = np.unique(where, return_index=True)
-            half = set(distinct[np.argsort(df[distinct], kind="stable")[:(len(distinct) + 1) // 2]].tolist())
-            chosen = {g for g, f in zip(where.tolist(), freq.tolist())
-                      if f <= cfg.rare_share * documents} | half
+            limit = max(cfg.rare_share * documents, float(np.median(freq)))
+            chosen = {g for g, f in zip(where.tolist(), freq.tolist()) if f <= limit}
             pairs += [(g, i, p) for p, g in enumerate(where.tolist()) if g in chosen]
             self.needed.append(min(cfg.min_seeds, len(chosen)))
         pairs.sort()

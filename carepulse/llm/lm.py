@@ -6,9 +6,11 @@
 2. Word counts over all training documents; the ``words`` most frequent get
    numbers in the network, the rest share the class of rare words, inside which
    a word has probability (c + 1) / (rare tokens + rare words + 1).
-3. Every task trains the network of ``gru.py`` on the training documents of its
-   blocks from a common start; parameters are averaged, weighted by tokens, by
-   sums over ever fewer partitions.  Two rounds: a thin one, then all documents.
+3. Every task trains the network of ``gru.py`` on every ``train_every``-th
+   training document of its blocks from a common start; parameters are averaged,
+   weighted by tokens, by sums over ever fewer partitions.  A thinner round makes
+   the common start.  Counts, vocabulary and output biases come from all
+   training documents.
 4. Each document is scored whole: the state is carried from window to window.
 """
 
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, checkpointed, held_out, map_batches, table
+from .common import as_bytes, batch, checkpointed, held_out, map_batches, table, written
 from .gru import Gru
 
 END, RARE = 0, 1
@@ -36,9 +38,10 @@ class Lm:
     words: int = 1024           # with a number of their own in the network
     hidden: int = 12
     rate: float = 0.1
-    block_tokens: int = 1_500_000
-    block_words: int = 300_000
-    warm_up: int = 8            # the first round takes every 8th training document
+    block_tokens: int = 600_000
+    block_words: int = 150_000
+    train_every: int = 3        # the network is fitted on every third training document,
+    warm_up: int = 24           # in the first round on every 24th
     fan_in: int = 16            # parameter vectors summed by a task
 
 
@@ -225,7 +228,7 @@ def fit(prepared: DataFrame, t: Totals, cfg: Lm) -> Gru:
     logs = np.log(counts + 1.0)
     model.start_from((logs - logs.max()).astype(np.float32))
     flat = train_round(prepared, model.flat, words, cfg, cfg.warm_up)
-    flat = train_round(prepared, flat, words, cfg, 1)
+    flat = train_round(prepared, flat, words, cfg, cfg.train_every)
     return Gru(words, cfg.hidden, flat=flat)
 
 
@@ -258,12 +261,14 @@ def lm_scores(docs: DataFrame, cfg: Lm = Lm()) -> DataFrame:
     id stays null; repeated rows are scored alike and learned from each time; an
     empty table gives an empty result; with nothing to learn from the network
     stays at its start."""
-    cut = checkpointed(blocks(docs, cfg))
-    counts = checkpointed(
+    cut, drop_cut = written(blocks(docs, cfg))
+    counts, drop_counts = written(
         cut.select(F.explode(F.arrays_zip("words", "train")).alias("x"))
         .groupBy(F.col("x.words").alias("word")).agg(F.sum("x.train").alias("c")))
     t = totals(cut, counts, cfg)
     prepared = checkpointed(prepare(cut, counts, t))
+    drop_cut()
+    drop_counts()
     model = fit(prepared, t, cfg)
     return score_blocks(prepared, model, cfg).withColumn("train_tokens", F.lit(t.tokens).cast("bigint"))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carepulse.llm import chat, decontaminate, langid, licenses, lm, pieces, quality, secret_scan, simhash
-from conftest_llm import AWKWARD
+from llm_helpers import AWKWARD, make_docs  # noqa: F401
 
 CLASH = ["ids", "score", "leaks", "spans", "kept", "id", "fp", "block", "hits", "key", "__x", "count"]
 
