@@ -4,11 +4,13 @@ The benchmark is cut into blocks of at most ``BLOCK_WORDS`` words, each with a
 broadcast index of proven size, so any benchmark can be searched: a document is
 read once and passes the blocks one after the other.  No text is shuffled.
 
-1. Corpus counts: in how many documents each benchmark n-gram occurs (all
-   documents; summed per task, then by one small aggregation).
-2. Seeds of an item are its n-grams found in at most ``rare_share`` of the
-   documents, and always those not above the median of its own n-grams, so an
-   item that leaked into a third of the corpus keeps its seeds.
+1. Corpus counts: how often each word of the benchmark occurs (all documents;
+   summed per task, then by one small aggregation).
+2. Seeds of an item are its n-grams that chance would put into at most
+   ``rare_share`` as many places as there are documents (words taken as
+   independent), and always those not above the median of the item's own.  Their
+   own counts are not used: an item, or an edited copy of it, that leaked into a
+   third of the corpus keeps its seeds.
 3. Seed hits near each other on one item open a window of the document; the
    local alignment of window and item (word by word: match +2, mismatch and gap
    -1) over the item's perfect score is the leak's score.
@@ -35,7 +37,7 @@ _BLANKED = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 @dataclass(frozen=True)
 class Leak:
     n: int = 3                  # words of a seed
-    rare_share: float = 0.001   # of the documents
+    rare_share: float = 0.001   # expected places of a seed, by documents
     min_seeds: int = 2          # different seeds of an item in a window (if it has as many)
     slack: int = 10             # words added to a window on both sides, beside the item's length
     min_score: float = 0.5      # of the item's perfect alignment score
@@ -110,13 +112,20 @@ class Index:
 class Seeds:
     """Seeds of a block: for each n-gram number the items that use it as a seed."""
 
-    def __init__(self, index: Index, df: np.ndarray, documents: int, cfg: Leak):
+    def __init__(self, index: Index, words: np.ndarray, documents: int, cfg: Leak):
+        """``words``: corpus counts by word number; 0 is every other word."""
+        total = max(1, int(words.sum()))
+        expected, rest = np.full(len(index.keys), float(total)), index.keys.copy()
+        share = np.maximum(words, 1) / total
+        share[0] = 1.0                          # no word: the n-gram is shorter
+        for _ in range(index.n):
+            expected *= share[rest % index.base]
+            rest //= index.base
         pairs: list[tuple[int, int, int]] = []
         self.needed = []
         for i, where in enumerate(index.where):
-            freq = df[where]
-            limit = max(cfg.rare_share * documents, float(np.median(freq)))
-            chosen = {g for g, f in zip(where.tolist(), freq.tolist()) if f <= limit}
+            limit = max(cfg.rare_share * documents, float(np.median(expected[where])))
+            chosen = {g for g in where.tolist() if expected[g] <= limit}
             pairs += [(g, i, p) for p, g in enumerate(where.tolist()) if g in chosen]
             self.needed.append(min(cfg.min_seeds, len(chosen)))
         pairs.sort()
@@ -192,24 +201,29 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, n: int) -> l
     return [b for b in blocks if b.items]
 
 
-def corpus_counts(docs: DataFrame, text: str, index) -> np.ndarray:
-    """In how many documents each n-gram of a block occurs; last: documents."""
-    size = len(index.value.keys)
+def corpus_counts(docs: DataFrame, text: str, index) -> tuple[np.ndarray, int]:
+    """How often each word of a block occurs in all documents (number 0: all
+    other words), and the documents."""
+    size = index.value.base
 
     def run(batches):
         idx, total = index.value, np.zeros(size + 1, np.int64)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 for t in as_texts(b.slice(i, 256).column(0)):
-                    total[np.unique(idx.hits(idx.numbers(t))[1])] += 1
+                    ids = idx.numbers(t)
+                    if len(ids) > size:
+                        total[:size] += np.bincount(ids, minlength=size)
+                    else:
+                        np.add.at(total, ids, 1)
                     total[size] += 1
         at = np.flatnonzero(total)
-        yield batch(pa.array(at), pa.array(total[at]), names=["gram", "n"])
-    sums = docs.select(F.col(text).alias("t")).mapInArrow(run, "gram bigint, n bigint") \
-        .groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        yield batch(pa.array(at), pa.array(total[at]), names=["word", "n"])
+    sums = docs.select(F.col(text).alias("t")).mapInArrow(run, "word bigint, n bigint") \
+        .groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size + 1, np.int64)
-    out[sums.column("gram").to_numpy()] = sums.column("n").to_numpy()
-    return out
+    out[sums.column("word").to_numpy()] = sums.column("n").to_numpy()
+    return out[:-1], int(out[-1])
 
 
 HIT = "array<struct<item_id:bigint,score:double>>"
@@ -226,8 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
                       F.array().cast(HIT).alias("__leaks"))
     for block in benchmark_blocks(benchmark, item_id, item_text, cfg.n):
         index = sc.broadcast(block)
-        counts = corpus_counts(docs, text, index)
-        seeds = sc.broadcast(Seeds(block, counts[:-1], int(counts[-1]), cfg))
+        seeds = sc.broadcast(Seeds(block, *corpus_counts(docs, text, index), cfg))
         rows = _search(rows, index, seeds, cfg)
     return rows.select(*keep, F.array_sort("__leaks").alias(out))
 
