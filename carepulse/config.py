@@ -8,7 +8,7 @@ analysis takes a ``Config`` so none of them is a literal buried in a query.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -52,22 +52,16 @@ class Config:
         "doctor", "hospital", "insurance_provider", "billing_amount", "room_number",
         "admission_type", "discharge_date", "medication", "test_results")
     max_valid_age: int = 120
+    # a10: billing that the elderly emergency cohort is compared with
+    cohort_billing_cut: float = 35_000
     # matrix conditional formatting: cell value over the mean cell, high / low
     cell_bucket_cuts: tuple[float, float] = (1.1, 0.9)
     # approximate variants (off: exact results)
     approx_distinct: bool = False        # e01: approx_count_distinct (HyperLogLog++)
     percentile_accuracy: int = 0         # r01/b01: >0 uses percentile_approx(accuracy)
-    # global rankings: 'auto' picks one window task for small inputs and the
-    # range-partitioned form above ``window_row_limit`` rows
-    rank_strategy: str = "auto"
-    window_row_limit: int = 1_000_000
-    rank_partitions: int = 0          # 0: use spark.sql.shuffle.partitions
-    # explicit broadcast of a derived table only when it has at most this many rows
-    broadcast_row_limit: int = 1_000_000
     # slicer examples used by the dashboard datasets d03/d04
     slice_example: tuple[tuple[str, object], ...] = (
         ("year", 2023), ("admission_type", "Emergency"))
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Config":
         return replace(self, **kw)
@@ -80,6 +74,7 @@ DEFAULTS = Config()
 # identified by the line-item keys, and conditions are the part types.
 FIXTURE = Config(
     billing_cuts=(20_000, 50_000, 80_000),
+    cohort_billing_cut=70_000,
     condition_values=("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"),
     row_keys=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
     duplicate_keys=("l_orderkey", "l_linenumber"),

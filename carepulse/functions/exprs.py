@@ -204,11 +204,6 @@ def billing_points(billing="billing_amount", cfg: Config = DEFAULTS) -> Column:
     return (F.when(b > c3, p3).when(b > c2, p2).when(b > c1, p1).otherwise(0))
 
 
-def risk_score(cfg: Config = DEFAULTS) -> Column:
-    return (age_points("age", cfg) + admission_type_points("admission_type", cfg)
-            + result_points("test_results", cfg) + billing_points("billing_amount", cfg))
-
-
 def risk_tier(score="risk_score", cfg: Config = DEFAULTS) -> Column:
     crit, high, med = cfg.risk_tier_cuts
     s = col(score)

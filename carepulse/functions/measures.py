@@ -20,10 +20,6 @@ def _share(cond: Column) -> Column:
     return X.pct(F.count_if(cond), F.count(F.lit(1)), 1)
 
 
-def total_revenue() -> Column:
-    return F.sum(F.col("billing_amount"))
-
-
 # name -> zero-argument builder of an aggregate Column
 MEASURES: dict[str, Callable[[], Column]] = {
     "total_revenue": lambda: X.rhu(F.sum(F.col("billing_amount")), 2),
@@ -33,11 +29,15 @@ MEASURES: dict[str, Callable[[], Column]] = {
     "revenue_per_day": lambda: X.rhu(X.safe_div(F.sum(F.col("billing_amount")), F.sum(F.col("length_of_stay"))), 2),
     "emergency_rate_pct": lambda: _share(F.col("admission_type") == "Emergency"),
     "elective_rate_pct": lambda: _share(F.col("admission_type") == "Elective"),
+    "urgent_rate_pct": lambda: _share(F.col("admission_type") == "Urgent"),
     "normal_rate_pct": lambda: _share(F.col("test_results") == "Normal"),
     "abnormal_rate_pct": lambda: _share(F.col("test_results") == "Abnormal"),
     "inconclusive_rate_pct": lambda: _share(F.col("test_results") == "Inconclusive"),
     "emergency_admissions": lambda: F.count_if(F.col("admission_type") == "Emergency"),
     "elective_admissions": lambda: F.count_if(F.col("admission_type") == "Elective"),
+    "urgent_admissions": lambda: F.count_if(F.col("admission_type") == "Urgent"),
+    "urgent_revenue": lambda: X.rhu(
+        F.sum(F.when(F.col("admission_type") == "Urgent", F.col("billing_amount"))), 2),
     "emergency_revenue": lambda: X.rhu(
         F.sum(F.when(F.col("admission_type") == "Emergency", F.col("billing_amount"))), 2),
     "elective_revenue": lambda: X.rhu(

@@ -2,21 +2,65 @@
 
 Spark's exact ``percentile`` aggregate keeps a value -> count map and merges it
 in one final task; with high-cardinality money values that map is the whole
-column.  Here the values are counted per distinct value (map-side partial
-aggregation), ordered with cumulative counts (one window task while the
-distinct values are few, range-partitioned prefix sums beyond), and each
-requested percentile reads the one or two values around its position.
+column.  Here each requested rank is searched by histogram: every pass counts
+the rows of ``BUCKETS`` equal slices of the range that still holds a rank (one
+map-side combined aggregate with a bounded result) and goes on with the slice
+that holds it, until that slice is one value.  No rows are sorted, shuffled
+whole or kept, and the plan is the same at every size.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
-from .ranking import Key, _partitions, _prefix, checkpointed
+
+BUCKETS = 4096
+
+
+def _slices(df: DataFrame, ranges: list[tuple]) -> dict[int, list[tuple]]:
+    """Per range: (count, least, greatest) of its non-empty slices, in order."""
+    v, d = F.col("v"), F.col("v").cast("double")
+    seg, slot = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for i, (lo, hi) in enumerate(ranges):
+        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+        a, b = float(lo), float(hi)
+        # monotone in v; where doubles cannot tell two values apart, by value
+        at = (F.least(F.lit(BUCKETS - 1), F.floor((d - a) / F.lit(b - a) * BUCKETS)).cast("int")
+              if b > a else F.when(v == F.lit(lo), 0).otherwise(1))
+        seg, slot = F.when(inside, i).otherwise(seg), F.when(inside, at).otherwise(slot)
+    rows = (df.select("v", seg.alias("s"), slot.alias("k")).where("s is not null")
+              .groupBy("s", "k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"),
+                                     F.max("v").alias("b")).collect())
+    out: dict[int, list[tuple]] = {i: [] for i in range(len(ranges))}
+    for r in sorted(rows, key=lambda r: (r["s"], r["k"])):
+        out[r["s"]].append((r["n"], r["a"], r["b"]))
+    return out
+
+
+def select_ranks(df: DataFrame, ranks: list[int], lo, hi) -> dict[int, object]:
+    """The values at 0-based ``ranks`` of the non-null column ``v`` in [lo, hi]."""
+    found: dict[int, object] = {}
+    left = {r: (r, lo, hi) for r in ranks}         # rank -> (rank inside, range)
+    while left:
+        for r, (_, a, b) in list(left.items()):
+            if a == b:
+                found[r] = a
+                del left[r]
+        if not left:
+            break
+        ranges = sorted({(a, b) for _, a, b in left.values()})
+        counts = _slices(df, ranges)
+        for r, (inside, a, b) in list(left.items()):
+            for n, x, y in counts[ranges.index((a, b))]:
+                if inside < n:
+                    left[r] = (inside, x, y)
+                    break
+                inside -= n
+    return found
 
 
 def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float],
@@ -24,40 +68,26 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float],
     """One row with a DOUBLE column per ``name -> p``, linear interpolation
     between closest ranks (R-7 / PERCENTILE_CONT).  NULLs are ignored; an empty
     input gives NULLs.  With ``summary`` the row also carries ``_n`` (non-NULL
-    count), ``_sum`` (exact sum in the column's type), ``_min`` and ``_max``,
-    all read from the same value counts, so one scan serves both."""
-    vc = (df.select(F.col(column).alias("v"))
-            .where(F.col("v").isNotNull())
-            .groupBy("v").agg(F.count(F.lit(1)).alias("_c")))
-    vc = checkpointed(vc)
-    stats = vc.agg(F.count(F.lit(1)).alias("d"), F.sum("_c").alias("n")).first()
-    d, n = int(stats["d"]), int(stats["n"] or 0)
-    extra = [F.sum(F.col("v") * F.col("_c")).alias("_sum"), F.min("v").alias("_min"),
-             F.max("v").alias("_max"), F.sum("_c").alias("_n")] if summary else []
-    if n == 0:
-        nulls = [F.lit(None).cast("double").alias(k) for k in probs]
-        if summary:
-            nulls += [F.lit(None).alias("_sum"), F.lit(None).alias("_min"),
-                      F.lit(None).alias("_max"), F.lit(0).cast("long").alias("_n")]
-        return df.sparkSession.range(1).select(*nulls)
-    if d <= cfg.window_row_limit:
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        vc = vc.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
-    else:
-        vc = _prefix(vc, [Key("v")], F.col("_c"), "_before", _partitions(df, cfg))
-    aggs, finals = [], []
-    for name, p in probs.items():
-        pos = p * (n - 1)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        frac = pos - lo
-        for tag, idx in (("lo", lo), ("hi", hi)):
-            hit = (F.col("_before") <= idx) & (F.col("_before") + F.col("_c") > idx)
-            aggs.append(F.max(F.when(hit, F.col("v").cast("double"))).alias(f"_{name}_{tag}"))
-        a, b = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        finals.append((a + (b - a) * F.lit(frac)).alias(name) if hi != lo else a.alias(name))
+    count), ``_sum`` (exact sum in the column's type), ``_min`` and ``_max``."""
+    v = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
+    one = v.agg(F.sum("v").alias("_sum"), F.min("v").alias("_min"), F.max("v").alias("_max"),
+                F.count("v").alias("_n"))
+    row = one.first()
+    n = row["_n"]
+    places = {k: p * (n - 1) for k, p in probs.items()}
+    ranks = {f(x) for x in places.values() for f in (math.floor, math.ceil)} if n else set()
+    at = select_ranks(v, sorted(ranks), row["_min"], row["_max"]) if n else {}
+    cols = []
+    for k, x in places.items():
+        if not n:
+            cols.append(F.lit(None).cast("double").alias(k))
+            continue
+        a, b = float(at[math.floor(x)]), float(at[math.ceil(x)])
+        cols.append(F.lit(a + (b - a) * (x - math.floor(x))).alias(k))
+    types = dict(one.dtypes)
     if summary:
-        finals += [F.col(x) for x in ("_sum", "_min", "_max", "_n")]
-    return vc.agg(*aggs, *extra).select(*finals)
+        cols += [F.lit(row[c]).cast(types[c]).alias(c) for c in ("_sum", "_min", "_max", "_n")]
+    return df.sparkSession.range(1).select(*cols)
 
 
 def percentiles(df: DataFrame, column: str, probs: dict[str, float],

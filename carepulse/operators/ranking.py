@@ -1,22 +1,19 @@
 """Global ranking without a single-task window.
 
 ``Window.orderBy(...)`` with no ``partitionBy`` sends every row to one task.
-That is fine for a few thousand entities and fatal for billions of rows.
 :func:`rank_all` computes RANK, DENSE_RANK, ROW_NUMBER, NTILE and PERCENT_RANK
-over a global order in two ways:
-
-* ``window``: the plain window (one sort in one task), for small inputs;
-* ``distributed``: prefix sums over range partitions.  The input is
-  range-partitioned on the sort key (Spark samples the bounds, equal keys land
-  in one partition), each partition computes local running counts, and a tiny
-  table of per-partition totals (at most ``P`` rows, so its broadcast is
-  bounded) turns local positions into global ones.  RANK-like outputs work on
-  the per-key counts, so a key that holds a third of all rows collapses to one
-  row in the map-side partial aggregate instead of one heavy task.
-
-``auto`` checkpoints the input into the session's checkpoint folder (cutting
-lineage, so retries and the second pass read the same rows), counts it, and
-picks ``window`` up to ``cfg.window_row_limit`` rows.
+over a global order with one plan at every size:
+
+* the rows are range-partitioned and sorted on a unique key, so a row's place in
+  its partition is known without a window; partitions' row counts (one row each,
+  so their broadcast is bounded) turn places into global row numbers;
+* NTILE is arithmetic on the row number and the row count;
+* RANK and PERCENT_RANK of a value are its least row number, found per value
+  with a map-side combined aggregate and joined back, DENSE_RANK the row number
+  of the value among the different values.
+
+The numbered rows are checkpointed, as range bounds come from a sample and two
+evaluations may cut differently.
 """
 
 from __future__ import annotations
@@ -69,34 +66,21 @@ def ntile_of(rn: Column, n: Column | int, k: int) -> Column:
             .cast("long")
 
 
-def _partitions(df: DataFrame, cfg: Config) -> int:
-    if cfg.rank_partitions > 0:
-        return cfg.rank_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def _prefix(df: DataFrame, keys: list[Key], weight: Column, out: str, parts: int) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` over all rows strictly before each row in
-    the global order ``keys`` (which must be unique per row).  No step sees more
-    than one range partition, except the broadcast table of partition totals."""
+def numbered(df: DataFrame, keys: list[Key], out: str) -> DataFrame:
+    """Add ``out``: the 1-based place of each row in the global order ``keys``,
+    which must be unique per row."""
+    spark = df.sparkSession
     sort = [k.sort() for k in keys]
-    r = (df.withColumn("_w", weight)
-           .repartitionByRange(parts, *sort)
-           .withColumn("_b", F.spark_partition_id()))
-    # The range bounds come from a sample seeded by the RDD id, so two
-    # evaluations of the exchange may cut differently.  Fix the assignment once
-    # (reliable checkpoint) so the local sums and the partition totals agree,
-    # also when a lost task is recomputed.
-    r = checkpointed(r)
-    local = Window.partitionBy("_b").orderBy(*sort).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumn("_lc", F.sum("_w").over(local))
-    totals = r.groupBy("_b").agg(F.sum("_w").alias("_bt"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    r = (df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+           .withColumn("_m", F.monotonically_increasing_id()))
+    r = checkpointed(r).withColumn("_b", F.shiftright("_m", 33))
+    counts = r.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     ordered = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = totals.select("_b", (F.sum("_bt").over(ordered) - F.col("_bt")).alias("_off"))
-    return (r.join(F.broadcast(offsets), "_b")
-             .withColumn(out, F.col("_off") + F.col("_lc") - F.col("_w"))
-             .drop("_b", "_lc", "_off", "_w"))
+    before = counts.select("_b", (F.sum("_n").over(ordered) - F.col("_n")).alias("_off"))
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return (r.join(F.broadcast(before), "_b")
+             .withColumn(out, F.col("_off") + place + 1).drop("_b", "_m", "_off"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -109,8 +93,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def rank_all(df: DataFrame, by, tie=(), *, rank: str | None = None,
              dense_rank: str | None = None, row_number: str | None = None,
              ntile: tuple[int, str] | list[tuple[int, str]] | None = None,
-             percent_rank: str | None = None, strategy: str | None = None,
-             cfg: Config = DEFAULTS) -> DataFrame:
+             percent_rank: str | None = None, cfg: Config = DEFAULTS) -> DataFrame:
     """Add global ranking columns.
 
     ``by``: the ORDER BY keys (RANK / DENSE_RANK / PERCENT_RANK tie on them);
@@ -119,34 +102,19 @@ def rank_all(df: DataFrame, by, tie=(), *, rank: str | None = None,
     """
     spec = dict(by=by, tie=tie, rank=rank, dense_rank=dense_rank, row_number=row_number,
                 ntile=ntile, percent_rank=percent_rank)
-    return rank_many(df, [spec], strategy=strategy, cfg=cfg)
+    return rank_many(df, [spec], cfg=cfg)
 
 
-def rank_many(df: DataFrame, specs: list[dict], *, strategy: str | None = None,
-              cfg: Config = DEFAULTS) -> DataFrame:
-    """Apply several ranking specs over one input with one size check.
+def rank_many(df: DataFrame, specs: list[dict], *, cfg: Config = DEFAULTS) -> DataFrame:
+    """Apply several ranking specs over one input.
 
     Each spec is a dict with ``by``, optional ``tie``, output names (``rank``,
     ``dense_rank``, ``row_number``, ``ntile=(k, name)``, ``percent_rank``) and
     optional ``with_`` (columns computed from earlier specs' outputs first)."""
-    strategy = strategy or cfg.rank_strategy
-    n_rows = None
-    if strategy in ("auto", "distributed"):
-        df = checkpointed(df)
-        n_rows = df.count()
-        if strategy == "auto":
-            strategy = "window" if n_rows <= cfg.window_row_limit else "distributed"
-    if strategy not in ("window", "distributed"):
-        raise ValueError(f"unknown rank strategy {strategy!r}")
-    for i, spec in enumerate(specs):
+    for spec in specs:
         if spec.get("with_"):
             df = df.withColumns(spec["with_"])
-        if strategy == "window":
-            df = _rank_window(df, spec)
-        else:
-            if i:
-                df = checkpointed(df)
-            df = _rank_distributed(df, spec, n_rows, cfg)
+        df = _rank_one(df, spec)
     return df
 
 
@@ -155,67 +123,69 @@ def _ntiles(spec) -> list[tuple[int, str]]:
     return [] if nt is None else ([nt] if isinstance(nt, tuple) else list(nt))
 
 
-def _rank_window(df: DataFrame, spec: dict) -> DataFrame:
-    by_k, full = _keys(spec["by"]), _keys(spec["by"]) + _keys(spec.get("tie") or ())
-    w_by = Window.orderBy(*[k.sort() for k in by_k])
-    w_full = Window.orderBy(*[k.sort() for k in full])
-    cols = {}
-    if spec.get("rank"):
-        cols[spec["rank"]] = F.rank().over(w_by).cast("long")
-    if spec.get("dense_rank"):
-        cols[spec["dense_rank"]] = F.dense_rank().over(w_by).cast("long")
-    if spec.get("percent_rank"):
-        cols[spec["percent_rank"]] = F.percent_rank().over(w_by)
-    if spec.get("row_number"):
-        cols[spec["row_number"]] = F.row_number().over(w_full).cast("long")
-    for k, name in _ntiles(spec):
-        cols[name] = F.ntile(k).over(w_full).cast("long")
-    return df.withColumns(cols)
-
-
-def _rank_distributed(df: DataFrame, spec: dict, n_rows: int, cfg: Config) -> DataFrame:
-    by_k = _keys(spec["by"])
-    full = by_k + _keys(spec.get("tie") or ())
-    parts = _partitions(df, cfg)
-    rank, dense_rank, percent_rank = spec.get("rank"), spec.get("dense_rank"), spec.get("percent_rank")
-    out = df
-    if rank or dense_rank or percent_rank:
-        names = [k.name for k in by_k]
-        kc = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))
-        kc = _prefix(kc, by_k, F.col("_c"), "_before", parts)
-        if dense_rank:
-            kc = _prefix(kc, by_k, F.lit(1).cast("long"), "_dbefore", parts)
-        sel = [*names]
-        if rank:
-            sel.append((F.col("_before") + 1).cast("long").alias(rank))
-        if dense_rank:
-            sel.append((F.col("_dbefore") + 1).cast("long").alias(dense_rank))
-        if percent_rank:
-            sel.append((F.when(F.lit(n_rows) <= 1, F.lit(0.0))
-                        .otherwise(F.col("_before") / F.lit(max(n_rows - 1, 1))))
-                       .alias(percent_rank))
-        kc = checkpointed(kc.select(*sel))
-        out = _join_on_keys(out, kc, names, kc.count(), cfg)
-    nts = _ntiles(spec)
-    if spec.get("row_number") or nts:
-        out = _prefix(out, full, F.lit(1).cast("long"), "_rn0", parts)
-        rn = F.col("_rn0") + 1
+def _rank_one(df: DataFrame, spec: dict) -> DataFrame:
+    by = _keys(spec["by"])
+    names = [k.name for k in by]
+    tiles = _ntiles(spec)
+    if spec.get("row_number") or tiles:
+        df = numbered(df, by + _keys(spec.get("tie") or ()), "_rn")
         cols = {}
+        if tiles:
+            df = _with_count(df)
+        for k, name in tiles:
+            cols[name] = ntile_of(F.col("_rn"), F.col("_all"), k)
         if spec.get("row_number"):
-            cols[spec["row_number"]] = rn.cast("long")
-        for k, name in nts:
-            cols[name] = ntile_of(rn, n_rows, k)
-        out = out.withColumns(cols).drop("_rn0")
-    return out
-
-
-def _join_on_keys(df: DataFrame, side: DataFrame, names: list[str], d: int,
-                  cfg: Config) -> DataFrame:
-    """Join per-key results back to the rows (NULL-safe), broadcasting the
-    per-key table only when its counted size is within the limit."""
+            cols[spec["row_number"]] = F.col("_rn").cast("long")
+        df = df.withColumns(cols)
+        least = df.groupBy(*names).agg(F.min("_rn").alias("_rank"))
+    elif spec.get("rank") or spec.get("percent_rank"):
+        # only the values are ordered: their rows are counted first
+        df = checkpointed(df)
+        least = _ranked_values(df, by)
+    if not (spec.get("rank") or spec.get("dense_rank") or spec.get("percent_rank")):
+        return df.drop("_rn", "_all")
+    if spec.get("dense_rank"):
+        dense = numbered(df.select(*names).distinct(), by, "_dense")
+        df = join_on_keys(df, dense, names).withColumn(spec["dense_rank"], F.col("_dense").cast("long"))
+    if spec.get("rank") or spec.get("percent_rank"):
+        if spec.get("percent_rank") and "_all" not in df.columns:
+            df = _with_count(df)
+        df = join_on_keys(df, least, names)
+        if spec.get("rank"):
+            df = df.withColumn(spec["rank"], F.col("_rank").cast("long"))
+        if spec.get("percent_rank"):
+            df = df.withColumn(spec["percent_rank"], F.when(F.col("_all") <= 1, F.lit(0.0)).otherwise(
+                (F.col("_rank") - 1) / F.greatest(F.col("_all") - 1, F.lit(1))))
+    return df.drop("_rn", "_all", "_dense", "_rank")
+
+
+def _with_count(df: DataFrame) -> DataFrame:
+    """Add ``_all``, the row count (one row, broadcast)."""
+    return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all"))))
+
+
+def _ranked_values(df: DataFrame, by: list[Key]) -> DataFrame:
+    """The different values of the keys with ``_rank``: 1 + the rows before.
+    Values are range-partitioned; their running row counts stay in a partition,
+    and the partitions' totals (one row each) are broadcast."""
+    names = [k.name for k in by]
+    sort = [k.sort() for k in by]
+    counts = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    r = checkpointed(counts.repartitionByRange(parts, *sort).withColumn("_b", F.spark_partition_id()))
+    to_here = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = r.groupBy("_b").agg(F.sum("_c").alias("_n"))
+    before = totals.select("_b", (F.sum("_n").over(to_here.orderBy("_b")) - F.col("_n")).alias("_off"))
+    place = F.sum("_c").over(to_here.partitionBy("_b").orderBy(*sort)) - F.col("_c")
+    return (r.withColumn("_place", place).join(F.broadcast(before), "_b")
+             .select(*names, (F.col("_off") + F.col("_place") + 1).alias("_rank")))
+
+
+def join_on_keys(df: DataFrame, side: DataFrame, names: list[str]) -> DataFrame:
+    """Join per-key results back to the rows (NULL-safe); Spark chooses the
+    join by bytes and splits hot keys (AQE)."""
     ren = {n: f"_k{i}" for i, n in enumerate(names)}
     side = side.withColumnsRenamed(ren)
-    side = F.broadcast(side) if d <= cfg.broadcast_row_limit else side
     cond = None
     for n, r in ren.items():
         c = F.col(n).eqNullSafe(F.col(r))
@@ -224,22 +194,14 @@ def _join_on_keys(df: DataFrame, side: DataFrame, names: list[str], d: int,
 
 
 def rank_by_counts(df: DataFrame, by, *, rank: str, cfg: Config = DEFAULTS) -> DataFrame:
-    """RANK over a low-cardinality key (for example a bounded score) on per-row
-    data: rank = 1 + rows with a strictly earlier key.  Counts per key are
-    pre-aggregated map-side, so a key with a third of all rows costs one row.
-    The distinct-key table is counted before it is broadcast."""
+    """RANK of rows over a key with few values (a bounded score): 1 + the rows
+    with a strictly earlier key.  Counts per value are combined map-side, so a
+    value with a third of all rows costs one row; the rows are not ordered."""
     by_k = _keys(by)
     names = [k.name for k in by_k]
-    kc = checkpointed(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_c")))
-    d = kc.count()
-    if d <= cfg.window_row_limit:
-        w = Window.orderBy(*[k.sort() for k in by_k]).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        kc = kc.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
-    else:
-        kc = _prefix(kc, by_k, F.col("_c"), "_before", _partitions(df, cfg))
-    kc = kc.select(*names, (F.col("_before") + 1).cast("long").alias(rank))
-    return _join_on_keys(df, kc, names, d, cfg)
+    least = _ranked_values(df, by_k).withColumnRenamed("_rank", rank)
+    out = join_on_keys(df, least, names)
+    return out.select(*df.columns, F.col(rank).cast("long").alias(rank))
 
 
 def top_k_per_group(df: DataFrame, group, order, k: int, rank_col: str = "rank") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Shares of a total, group distributions, size-checked joins.
+"""Shares of a total and group distributions.
 
 ``COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()`` is a window over ``()``: it moves
 the *grouped* rows into one task.  For a categorical axis (condition, insurer,
@@ -46,17 +46,3 @@ def distribution(adm: DataFrame, key: Column | str, name: str | None = None,
     aggs += [c.alias(n) for n, c in (extra or {}).items()]
     g = adm.groupBy(k).agg(*aggs)
     return g.withColumn(pct_name, X.pct(count_name, grand(count_name), digits))
-
-
-def sized_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               cfg: Config = DEFAULTS) -> DataFrame:
-    """Join ``big`` to a derived table whose size is not known in advance.
-
-    The derived side is checkpointed (written once to the checkpoint folder,
-    lineage cut) and counted; it is broadcast only when it has at most
-    ``cfg.broadcast_row_limit`` rows, otherwise the join stays a shuffle join
-    (with AQE skew handling for hot keys)."""
-    small = checkpointed(small)
-    n = small.count()
-    side = F.broadcast(small) if n <= cfg.broadcast_row_limit else small
-    return big.join(side, on, how)

@@ -96,17 +96,21 @@ def a05_patient_risk(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 def a06_executive_summary(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """One row of headline KPIs plus the top condition, hospital and insurer by
-    revenue.  One scan: GROUPING SETS computes the grand total and the three
-    per-entity revenue tables together; each "top" scalar is reduced from its
-    slice with min_by (ties to the smaller name), and the one-row results are
-    put side by side."""
+    revenue.  One scan: the rows are summed to condition x hospital x insurer
+    cells, GROUPING SETS over the cells gives the grand total and the three
+    per-entity tables; each "top" scalar is reduced from its slice with min_by
+    (no revenue last, ties to the smaller name), and the one-row results are put
+    side by side."""
     keys = ["medical_condition", "hospital", "insurance_provider"]
     b, los = F.col("billing_amount"), F.col("length_of_stay")
-    g = adm.groupingSets([[k] for k in keys] + [[]], *keys).agg(
-        F.grouping_id().alias("_gid"), F.sum(b).alias("_rev"), F.count(F.lit(1)).alias("_n"),
+    cells = adm.groupBy(*keys).agg(
+        F.sum(b).alias("_rev"), F.count(F.lit(1)).alias("_n"),
         F.count(b).alias("_nb"), F.sum(los).alias("_los"), F.count(los).alias("_nlos"),
         F.count_if(F.col("admission_type") == "Emergency").alias("_e"),
         F.count_if(F.col("test_results") == "Normal").alias("_normal"))
+    sums = ("_rev", "_n", "_nb", "_los", "_nlos", "_e", "_normal")
+    g = cells.groupingSets([[k] for k in keys] + [[]], *keys).agg(
+        F.grouping_id().alias("_gid"), *[F.sum(c).alias(c) for c in sums])
     # the grouping-sets result is small (one row per condition, hospital,
     # insurer, plus the total); materialise it once so the four branches below
     # do not each re-plan (and re-scan) the fact with a pruned aggregate
@@ -127,7 +131,8 @@ def a06_executive_summary(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     for i, (key, name) in enumerate(zip(keys, ("top_condition", "top_hospital", "top_insurer"))):
         gid = full & ~(1 << (len(keys) - 1 - i))   # only this key grouped
         top = g.where(F.col("_gid") == gid).agg(
-            F.min_by(key, F.struct((-F.col("_rev")).alias("r"), F.col(key).alias("k"))).alias(name))
+            F.min_by(key, F.struct(F.col("_rev").isNull().alias("x"), (-F.col("_rev")).alias("r"),
+                                   F.col(key).isNull().alias("y"), F.col(key).alias("k"))).alias(name))
         out = out.crossJoin(F.broadcast(top))
     return out
 
@@ -154,3 +159,20 @@ def a09_topk_insurer_per_condition(adm: DataFrame, cfg: Config = DEFAULTS) -> Da
                         "insurer_rank")
     return t.select("medical_condition", "insurance_provider",
                     X.rhu("_rev", 2).alias("revenue"), "insurer_rank")
+
+
+def a10_elderly_emergency_cohort(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """The oldest age group admitted as an emergency with an abnormal result:
+    its size, range of risk scores and share above a billing cut."""
+    r = X.with_risk(adm, cfg)
+    oldest = max(cfg.risk_age_points)
+    b = F.col("billing_amount")
+    c = r.where((F.col("age_points") == oldest) & (F.col("admission_type") == "Emergency")
+                & (F.col("test_results") == "Abnormal"))
+    above = b > cfg.cohort_billing_cut
+    return c.agg(
+        F.count(F.lit(1)).alias("cohort_patients"), F.min("risk_score").cast("long").alias("min_risk_score"),
+        F.max("risk_score").cast("long").alias("max_risk_score"),
+        F.count_if(above).alias("patients_above_cut"),
+        X.pct(F.count_if(above), F.count(F.lit(1)), 1).alias("pct_above_cut"),
+        X.rhu(X.avg_exact(b), 2).alias("avg_billing"))

@@ -7,7 +7,7 @@ categorical domains, so the windows over them are small by construction.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
@@ -113,14 +113,28 @@ def chi_square_cells(cells: DataFrame, row: str, col: str, count: str) -> DataFr
                         / (F.col("_r").cast("double") * F.col("_c")))
 
 
+def chi_square_tail(x: Column, df: Column) -> Column:
+    """Upper tail of chi-square with an even number of degrees of freedom, a
+    finite sum: exp(-x/2) * sum over k < df/2 of (x/2)^k / k!.  NULL if odd."""
+    half = x / 2
+    tail = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), (df / 2).cast("int"))),
+        F.struct(F.exp(-half).alias("term"), F.lit(0.0).alias("sum")),
+        lambda acc, k: F.struct((acc["term"] * half / k).alias("term"),
+                                (acc["sum"] + acc["term"]).alias("sum")),
+        lambda acc: acc["sum"])
+    return F.when((df > 0) & (df % 2 == 0), X.rhu(F.least(F.lit(1.0), tail), 4))
+
+
 def b10_medication_independence(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Chi-square test of condition x medication independence."""
     c = chi_square_cells(medication_cells(adm), "medical_condition", "medication",
                          "total_patients")
     one = c.groupBy("_n", "_rows", "_cols").agg(F.sum("_term").alias("_s"))
     chi2 = F.col("_s") - F.col("_n")
+    one = one.withColumns({"_chi2": chi2, "_df": (F.col("_rows") - 1) * (F.col("_cols") - 1)})
     return one.select(
-        X.rhu(chi2, 4).alias("chi2_stat"),
+        X.rhu(chi2, 4).alias("chi2_stat"), chi_square_tail(F.col("_chi2"), F.col("_df")).alias("p_value"),
         ((F.col("_rows") - 1) * (F.col("_cols") - 1)).cast("long").alias("degrees_of_freedom"),
         F.col("_n").cast("long").alias("total_observations"),
         X.rhu(F.sqrt(F.try_divide(chi2, F.col("_n") * (F.least("_rows", "_cols") - 1))), 4)
@@ -149,12 +163,13 @@ def b11_outcome_by_age_group(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFram
 
 def b12_medication_outcomes(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Normal rate per medication, its difference from the overall normal rate,
-    and the medication's share of the medication x outcome chi-square."""
+    the medication's share of the medication x outcome chi-square and, from it,
+    the p-value of its results against the overall mix (outcomes - 1 degrees)."""
     cells = adm.groupBy("medication", "test_results").agg(F.count(F.lit(1)).alias("_o"))
     c = chi_square_cells(cells, "medication", "test_results", "_o")
     c = c.withColumn("_normal", F.when(F.col("test_results") == "Normal", F.col("_o")))
     g = c.groupBy("medication").agg(
-        F.first("_r").alias("total_patients"), F.first("_n").alias("_n"),
+        F.first("_r").alias("total_patients"), F.first("_n").alias("_n"), F.first("_cols").alias("_k"),
         F.coalesce(F.sum("_normal"), F.lit(0)).alias("_nm"),
         F.sum("_term").alias("_s"))
     g = g.withColumn("_na", grand("_nm"))
@@ -163,7 +178,8 @@ def b12_medication_outcomes(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame
     return g.select("medication", F.col("total_patients").cast("long").alias("total_patients"),
                     X.rhu(rate, 1).alias("normal_rate"),
                     X.rhu(rate - overall, 2).alias("diff_vs_overall"),
-                    X.rhu(F.col("_s") - F.col("total_patients"), 4).alias("chi2_part"))
+                    X.rhu(F.col("_s") - F.col("total_patients"), 4).alias("chi2_part"),
+                    chi_square_tail(F.col("_s") - F.col("total_patients"), F.col("_k") - 1).alias("p_value"))
 
 
 def b13_condition_outcomes(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:

@@ -57,14 +57,30 @@ def m01_measures_by_year(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     return evaluate(adm, list(MEASURES), by=[F.year("date_of_admission").cast("long").alias("year")])
 
 
+def _ranked_sliced(adm: DataFrame, key: str, cfg: Config) -> DataFrame:
+    from ..operators.ranking import rank_all
+    g = slice_(adm, **dict(cfg.slice_example)).groupBy(key).agg(
+        F.sum(F.col("billing_amount")).alias("_rev"))
+    r = rank_all(g, [("_rev", True)], [key], rank="revenue_rank",
+                 dense_rank="revenue_dense_rank", ntile=(4, "revenue_quartile"), cfg=cfg)
+    return r.select(key, X.rhu("_rev", 2).alias("revenue"), "revenue_rank",
+                    "revenue_dense_rank", "revenue_quartile")
+
+
 def d05_hospital_rank_sliced(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """RANKX / NTILE measures under the slicers: hospitals ranked (RANKX
     ``skip`` = RANK and ``dense`` = DENSE_RANK) and split into quartiles by
     revenue within the filter context only."""
-    from ..operators.ranking import rank_all
-    sliced = slice_(adm, **dict(cfg.slice_example))
-    g = sliced.groupBy("hospital").agg(F.sum(F.col("billing_amount")).alias("_rev"))
-    r = rank_all(g, [("_rev", True)], ["hospital"], rank="revenue_rank",
-                 dense_rank="revenue_dense_rank", ntile=(4, "revenue_quartile"), cfg=cfg)
-    return r.select("hospital", X.rhu("_rev", 2).alias("revenue"), "revenue_rank",
-                    "revenue_dense_rank", "revenue_quartile")
+    return _ranked_sliced(adm, "hospital", cfg)
+
+
+def d06_doctor_rank_sliced(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """The same measures for doctors."""
+    return _ranked_sliced(adm, "doctor", cfg)
+
+
+def d07_sliced_conditions(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """The condition visual of a page under its slicers, answered from the
+    slicers' pre-aggregate as the published page does."""
+    from ..sources.marts import sliced_page, slices
+    return sliced_page(slices(adm), ("medical_condition",), **dict(cfg.slice_example))

@@ -12,15 +12,18 @@ from ..sources.schema import COLUMNS
 
 
 def e01_row_audit(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Row count, date span and distinct entity counts, in one scan.  Exact
-    distinct counts (Spark expands the rows once per distinct column and
-    pre-aggregates each before the shuffle); ``cfg.approx_distinct`` switches
-    to HyperLogLog++ sketches."""
+    """Row count, date span and distinct entity counts, in one scan.  The rows
+    are summed per combination of the entities first (map-side combined), and
+    the exact distinct counts expand those; ``cfg.approx_distinct`` switches to
+    HyperLogLog++ sketches."""
     dc = F.approx_count_distinct if cfg.approx_distinct else F.countDistinct
-    return adm.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.min("date_of_admission").alias("min_date"),
-        F.max("date_of_admission").alias("max_date"),
+    cells = adm.groupBy("hospital", "doctor", "medical_condition", "insurance_provider").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("date_of_admission").alias("_lo"),
+        F.max("date_of_admission").alias("_hi"))
+    return cells.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"),
+        F.min("_lo").alias("min_date"),
+        F.max("_hi").alias("max_date"),
         dc("hospital").alias("distinct_hospitals"),
         dc("doctor").alias("distinct_doctors"),
         dc("medical_condition").alias("distinct_conditions"),
@@ -46,6 +49,21 @@ def e03_duplicate_audit(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
                .filter(F.col("copies") > 1))
 
 
+def e11_full_duplicate_audit(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Rows equal in all columns of the source file, with their copies.  Only a
+    128-bit fingerprint is shuffled for every row; the columns themselves are
+    grouped for rows whose fingerprint occurs twice."""
+    def mark(c):      # the length tells values apart, a dash is a NULL
+        s = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
+    fp = F.unhex(F.md5(F.concat_ws("|", *[mark(c) for c in COLUMNS])))
+    rows = adm.select(*COLUMNS, fp.alias("_fp"))
+    twice = rows.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_fp")
+    return (rows.join(twice, "_fp", "left_semi").groupBy(*COLUMNS)
+                .agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+                .withColumn("billing_amount", F.col("billing_amount").cast("double")))
+
+
 def range_rules(cfg: Config = DEFAULTS) -> dict:
     los = X.length_of_stay()
     return {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
 from ..operators.ranking import rank_all
-from ..operators.shares import distribution, sized_join, with_totals
+from ..operators.shares import distribution, with_totals
 from .revenue import top_n_by
 
 
@@ -64,12 +64,15 @@ def o03_room_utilization(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def o04_revenue_per_day_hospital(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Top hospitals by revenue per day (ratio of sums, DIVIDE semantics)."""
-    m = entity_metrics(adm, "hospital").withColumn("_rpd", X.safe_div("_rev", "_los"))
+    """Top hospitals by revenue per day (ratio of sums, DIVIDE semantics) beside
+    the network's figure."""
+    m = with_totals(entity_metrics(adm, "hospital"), _nrev=F.sum("_rev"), _nlos_all=F.sum("_los"))
+    m = m.withColumn("_rpd", X.safe_div("_rev", "_los"))
     t = top_n_by(m, "hospital", "_rpd", cfg.top_n, "rpd_rank")
     return t.select("hospital", X.rhu("_rev", 2).alias("revenue"),
                     F.col("_los").cast("long").alias("total_los_days"),
-                    X.rhu("_rpd", 2).alias("revenue_per_day"), "rpd_rank")
+                    X.rhu("_rpd", 2).alias("revenue_per_day"), "rpd_rank",
+                    X.rhu(X.safe_div("_nrev", "_nlos_all"), 2).alias("network_revenue_per_day"))
 
 
 def o05_revenue_per_day_admission_type(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
@@ -84,9 +87,9 @@ def o05_revenue_per_day_admission_type(adm: DataFrame, cfg: Config = DEFAULTS) -
 def o06_long_stay_patients(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Admissions staying longer than ``long_stay_factor`` times their
     condition's average (an equi-join of the rows to a per-condition aggregate,
-    then a row filter).  The aggregate is size-checked before broadcast."""
+    then a row filter).  Spark chooses the join by bytes and splits hot keys."""
     avg = adm.groupBy("medical_condition").agg(X.avg_exact(F.col("length_of_stay")).alias("_avg"))
-    j = sized_join(adm, avg, "medical_condition", cfg=cfg)
+    j = adm.join(avg, "medical_condition")
     j = j.filter(F.col("length_of_stay") > F.col("_avg") * cfg.long_stay_factor)
     return j.select(*cfg.row_keys, "medical_condition", "hospital",
                     F.col("billing_amount").cast("double").alias("billing_amount"),
@@ -96,11 +99,12 @@ def o06_long_stay_patients(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def o07_emergency_rate(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Emergency share for the network and for each hospital (one ROLLUP pass)
-    against the target."""
-    g = adm.rollup("hospital").agg(
-        F.grouping("hospital").alias("_g"), F.count(F.lit(1)).alias("total_patients"),
-        F.count_if(F.col("admission_type") == "Emergency").alias("_e"))
+    """Emergency share for the network and for each hospital against the target
+    (rows summed per hospital first; the ROLLUP expands the hospitals only)."""
+    h = adm.groupBy("hospital").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("admission_type") == "Emergency").alias("_em"))
+    g = h.rollup("hospital").agg(F.grouping("hospital").alias("_g"),
+                                 F.sum("_n").alias("total_patients"), F.sum("_em").alias("_e"))
     pct = X.pct("_e", "total_patients", 1)
     return g.select(
         F.when(F.col("_g") == 1, "network").otherwise("hospital").alias("scope_type"),
@@ -112,11 +116,13 @@ def o07_emergency_rate(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 def o08_test_outcome_stack(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Result mix within each hospital and each condition (100% stacked bars),
-    both groupings in one GROUPING SETS pass."""
-    g = adm.groupingSets(
+    both groupings over the hospital x condition x result cells."""
+    cells = adm.groupBy("hospital", "medical_condition", "test_results").agg(
+        F.count(F.lit(1)).alias("_n"))
+    g = cells.groupingSets(
         [["hospital", "test_results"], ["medical_condition", "test_results"]],
         "hospital", "medical_condition", "test_results",
-    ).agg(F.count(F.lit(1)).alias("total_patients"), F.grouping("hospital").alias("_gh"))
+    ).agg(F.sum("_n").alias("total_patients"), F.grouping("hospital").alias("_gh"))
     g = g.select(
         F.when(F.col("_gh") == 0, "hospital").otherwise("condition").alias("dimension"),
         F.when(F.col("_gh") == 0, F.col("hospital")).otherwise(F.col("medical_condition"))
@@ -183,3 +189,16 @@ def o12_day_mix_shift(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
         X.rhu(d("rev", "los"), 2).alias("base_revenue_per_day"),
         X.rhu(sh_b, 2).alias("shifted_avg_billing"), X.rhu(sh_l, 2).alias("shifted_avg_los"),
         X.rhu(F.try_divide(sh_b, sh_l), 2).alias("shifted_revenue_per_day"))
+
+
+def o13_hospital_risk_profile(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Two sets of hospital metrics, operations and patient risk, joined on the
+    hospital (NULL-safe: admissions without a hospital are one entity)."""
+    ops = entity_metrics(adm, "hospital")
+    risk = X.with_risk(adm, cfg).groupBy(F.col("hospital").alias("_h")).agg(
+        F.sum("risk_score").alias("_score"),
+        F.count_if(F.col("risk_score") >= cfg.review_threshold).alias("review_patients"))
+    j = ops.join(risk, F.col("hospital").eqNullSafe(F.col("_h")))
+    return j.select("hospital", F.col("_n").alias("total_patients"), X.rhu("_rev", 2).alias("revenue"),
+                    X.rhu(X.safe_div("_score", "_n"), 2).alias("avg_risk_score"), "review_patients",
+                    X.pct("review_patients", "_n", 1).alias("review_pct"))

@@ -10,6 +10,7 @@ from zero after fixing 6 decimals.
 
 from __future__ import annotations
 
+from ..functions.exprs import AGE_GROUP_LABELS as AGE_LABELS
 from ..sources.fixture import ADMISSIONS_SQL
 from ..sources.schema import COLUMNS
 
@@ -32,11 +33,23 @@ def CNT(cond: str) -> str:
     return f"COUNT(*) FILTER (WHERE {cond})"
 
 
-AGE_GROUP = """CASE WHEN age BETWEEN 0 AND 17 THEN '0-17  Pediatric'
-     WHEN age BETWEEN 18 AND 35 THEN '18-35 Young Adult'
-     WHEN age BETWEEN 36 AND 55 THEN '36-55 Middle-Aged'
-     WHEN age BETWEEN 56 AND 70 THEN '56-70 Senior'
-     ELSE '71+ Elderly' END"""
+def TILE(place: str, tiles: int = 4) -> str:
+    """NTILE from a 0-based place and the count ``total``, by its definition."""
+    small, extra = f"(total // {tiles})", f"(total % {tiles})"
+    return (f"CAST(CASE WHEN {place} < {extra} * ({small} + 1) THEN {place} // ({small} + 1) "
+            f"ELSE {extra} + ({place} - {extra} * ({small} + 1)) // GREATEST({small}, 1) END + 1 AS BIGINT)")
+
+
+def TAIL(x: str, df: str) -> str:
+    """Upper tail of chi-square for an even number of degrees of freedom."""
+    terms = (f"list_sum(list_transform(range(CAST(({df}) // 2 AS BIGINT)), "
+             f"lambda k: exp(k * ln(greatest(({x}) / 2, 1e-300)) - lgamma(k + 1) - ({x}) / 2)))")
+    return f"CASE WHEN ({df}) > 0 AND ({df}) % 2 = 0 THEN {R(f'least(1.0, {terms})', 4)} END"
+
+
+AGE_GROUP = ("CASE " + " ".join(
+    f"WHEN age BETWEEN {lo} AND {hi} THEN '{name}'" for (lo, hi), name in zip(
+        ((0, 17), (18, 35), (36, 55), (56, 70)), AGE_LABELS)) + f" ELSE '{AGE_LABELS[-1]}' END")
 
 MONTH = "make_date(year(date_of_admission), month(date_of_admission), 1)"
 
@@ -67,6 +80,22 @@ def rates(expr: str, name: str) -> str:
 FROM adm GROUP BY 1"""
 
 
+def r11_sql() -> str:
+    names = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+    quoted = ", ".join(f"'{n}'" for n in names)
+    money = ", ".join(f"MAX(rev) FILTER (WHERE c = '{n}') AS \"{n}\"" for n in (*names, "other"))
+    bucket = ", ".join(
+        f"CASE WHEN \"{n}\" IS NULL THEN NULL WHEN CAST(\"{n}\" AS DOUBLE) * cells / CAST(everything AS DOUBLE) >= 1.1 "
+        f"THEN 'High' WHEN CAST(\"{n}\" AS DOUBLE) * cells / CAST(everything AS DOUBLE) <= 0.9 THEN 'Low' "
+        f"ELSE 'Mid' END AS \"{n}_bucket\"" for n in names)
+    shown = ", ".join(R(f'"{n}"', 2) + f' AS "{n}"' for n in (*names, "other"))
+    return f"""WITH g AS (SELECT insurance_provider AS i, IF(medical_condition IN ({quoted}), medical_condition, 'other') AS c,
+  SUM(billing_amount) AS rev FROM adm GROUP BY 1, 2),
+w AS (SELECT i, {money}, SUM(rev) AS total FROM g GROUP BY 1),
+t AS (SELECT SUM(rev) AS everything, COUNT(rev) AS cells FROM g)
+SELECT i AS insurance_provider, {shown}, {R('total', 2)} AS insurer_total, {bucket} FROM w, t"""
+
+
 def _null_audit() -> str:
     parts = [f"SELECT '{c}' AS column_name, CAST({CNT(f'{c} IS NULL')} AS BIGINT) AS null_count, "
              f"{P(CNT(f'{c} IS NULL'), 'COUNT(*)', 2)} AS null_pct FROM adm" for c in COLUMNS]
@@ -97,6 +126,9 @@ MEASURES_BY_YEAR = f"""SELECT year(date_of_admission) AS year,
   {P(CNT("test_results = 'Normal'"), 'COUNT(*)')} AS normal_rate_pct,
   {P(CNT("test_results = 'Abnormal'"), 'COUNT(*)')} AS abnormal_rate_pct,
   {P(CNT("test_results = 'Inconclusive'"), 'COUNT(*)')} AS inconclusive_rate_pct,
+  {P(CNT("admission_type = 'Urgent'"), 'COUNT(*)')} AS urgent_rate_pct,
+  {CNT("admission_type = 'Urgent'")} AS urgent_admissions,
+  {R("SUM(billing_amount) FILTER (WHERE admission_type = 'Urgent')", 2)} AS urgent_revenue,
   {CNT("admission_type = 'Emergency'")} AS emergency_admissions,
   {CNT("admission_type = 'Elective'")} AS elective_admissions,
   {R("SUM(billing_amount) FILTER (WHERE admission_type = 'Emergency')", 2)} AS emergency_revenue,
@@ -114,10 +146,9 @@ BODIES: dict[str, str] = {
     "e03_duplicate_audit": """SELECT l_orderkey, l_linenumber, COUNT(*) AS copies FROM adm
 GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""",
     "e04_range_audit": _range_audit(),
-    "e05_age_groups": f"""SELECT age_group, COUNT(*) AS total_patients,
-  {P('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS pct_of_total
-FROM (SELECT billing_amount, {AGE_GROUP} AS age_group FROM adm) AS aged
-GROUP BY age_group ORDER BY age_group""",
+    "e05_age_groups": f"""SELECT a AS age_group, n AS total_patients, {P('n', 'everyone')} AS pct_of_total
+FROM (SELECT {AGE_GROUP} AS a, COUNT(*) AS n FROM adm GROUP BY 1)
+JOIN (SELECT COUNT(*) AS everyone FROM adm) ON TRUE""",
     "e06_gender_dist": dist("gender", "gender"),
     "e07_blood_type_dist": dist("blood_type", "blood_type"),
     "e08_condition_counts": dist("medical_condition", "medical_condition"),
@@ -141,12 +172,14 @@ SELECT insurance_provider, {R('rev', 2)} AS revenue, {R('CAST(rev AS DOUBLE) / n
 r AS (SELECT hospital, rev, RANK() OVER (ORDER BY rev DESC) AS rk FROM g)
 SELECT hospital, {R('rev', 2)} AS revenue, CAST(rk AS BIGINT) AS revenue_rank FROM r
 ORDER BY rev DESC, hospital LIMIT 10""",
-    "r05_monthly_trend": f"""WITH monthly_revenue AS (
-  SELECT {MONTH} AS month, ROUND(SUM(billing_amount), 2) AS mr FROM adm GROUP BY 1)
-SELECT month, CAST(mr AS DOUBLE) AS monthly_revenue,
-  CAST(SUM(mr) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running_total,
-  {R('CAST(mr - LAG(mr) OVER (ORDER BY month) AS DOUBLE) * 100.0 / CAST(NULLIF(LAG(mr) OVER (ORDER BY month), 0) AS DOUBLE)', 1)} AS mom_growth_pct
-FROM monthly_revenue ORDER BY month""",
+    "r05_monthly_trend": f"""WITH t AS (SELECT {MONTH} AS mon, ROUND(SUM(billing_amount), 2) AS rev,
+  COUNT(*) AS c FROM adm GROUP BY 1),
+before AS (SELECT t.mon, MAX(p.mon) AS pmon, COUNT(p.c) AS k, COALESCE(SUM(p.rev), 0) AS earlier FROM t
+  LEFT JOIN t p ON p.mon < t.mon OR (p.mon IS NULL AND t.mon IS NOT NULL) GROUP BY 1)
+SELECT t.mon AS month, CAST(t.rev AS DOUBLE) AS monthly_revenue,
+  CAST(before.earlier + t.rev AS DOUBLE) AS running_total,
+  {R('CAST(t.rev - q.rev AS DOUBLE) * 100.0 / CAST(NULLIF(q.rev, 0) AS DOUBLE)', 1)} AS mom_growth_pct
+FROM t JOIN before ON before.mon IS NOT DISTINCT FROM t.mon LEFT JOIN t q ON before.k > 0 AND q.mon IS NOT DISTINCT FROM before.pmon""",
     "r06_billing_tiers": f"""WITH t AS (SELECT CASE WHEN billing_amount IS NULL THEN 'Unknown'
     WHEN billing_amount > 80000 THEN '4-Premium' WHEN billing_amount > 50000 THEN '3-High'
     WHEN billing_amount > 20000 THEN '2-Medium' ELSE '1-Low' END AS billing_tier, billing_amount FROM adm),
@@ -177,10 +210,7 @@ SELECT medical_condition, admission_type, total_patients, {R('rev', 2)} AS reven
   {P('rev', 'tot')} AS share_pct, {R('ratio', 3)} AS heat_ratio,
   CASE WHEN ratio >= 1.1 THEN 'High' WHEN ratio <= 0.9 THEN 'Low' ELSE 'Mid' END AS cell_bucket
 FROM y""",
-    "r11_insurer_condition_matrix": "SELECT insurance_provider, " + ", ".join(
-        f"""{R(f"SUM(billing_amount) FILTER (WHERE medical_condition = '{v}')", 2)} AS "{v}\""""
-        for v in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))
-        + " FROM adm GROUP BY 1",
+    "r11_insurer_condition_matrix": r11_sql(),
     "r12_monthly_calendar_mom": f"""WITH m AS (SELECT {MONTH} AS month, SUM(billing_amount) AS rev FROM adm GROUP BY 1),
 b AS (SELECT MIN(month) AS lo, MAX(month) AS hi FROM m),
 s AS (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM b),
@@ -217,7 +247,7 @@ SELECT *, {R('CAST(total_patients AS DOUBLE) / NULLIF(CAST(years_present AS DOUB
   month(date_of_admission) AS admission_month, COUNT(*) AS total_patients FROM adm GROUP BY 1, 2)
 SELECT admission_year, admission_month, total_patients,
   {R('CAST(SUM(total_patients) OVER w AS DOUBLE) / COUNT(total_patients) OVER w', 2)} AS rolling_avg_3m
-FROM g WINDOW w AS (ORDER BY admission_year, admission_month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+FROM g WINDOW w AS (ORDER BY admission_year NULLS FIRST, admission_month NULLS FIRST ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
     "b07_day_of_week": dist("dayname(date_of_admission)", "day_of_week",
                             ",\n  CAST(MIN(dayofweek(date_of_admission)) + 1 AS BIGINT) AS day_number"
                             f",\n  {R(AVG('billing_amount'), 2)} AS avg_billing"),
@@ -236,6 +266,7 @@ t AS (SELECT o, SUM(o) OVER (PARTITION BY r) AS rt, SUM(o) OVER (PARTITION BY k)
 a AS (SELECT SUM(CAST(o AS DOUBLE) * o * n / (CAST(rt AS DOUBLE) * ct)) - MAX(n) AS chi2, MAX(n) AS n FROM t),
 d AS (SELECT COUNT(DISTINCT medical_condition) AS nr, COUNT(DISTINCT medication) AS nc FROM adm)
 SELECT {R('chi2', 4)} AS chi2_stat, CAST((nr - 1) * (nc - 1) AS BIGINT) AS degrees_of_freedom,
+  {TAIL('chi2', '(nr - 1) * (nc - 1)')} AS p_value,
   CAST(n AS BIGINT) AS total_observations,
   {R('SQRT(chi2 / (n * (LEAST(nr, nc) - 1)))', 4)} AS cramers_v FROM a, d""",
     "b11_outcome_by_age_group": rates(AGE_GROUP, "age_group"),
@@ -245,11 +276,12 @@ t AS (SELECT *, SUM(o) OVER (PARTITION BY medication) AS rt, SUM(o) OVER (PARTIT
 g AS (SELECT medication, MAX(rt) AS tp, MAX(n) AS n,
         COALESCE(SUM(o) FILTER (WHERE test_results = 'Normal'), 0) AS nm,
         SUM(CAST(o AS DOUBLE) * o * n / (CAST(rt AS DOUBLE) * ct)) AS s FROM t GROUP BY 1),
-x AS (SELECT *, SUM(nm) OVER () AS na FROM g)
+k AS (SELECT COUNT(DISTINCT test_results) AS outcomes FROM adm),
+x AS (SELECT *, SUM(nm) OVER () AS na FROM g, k)
 SELECT medication, CAST(tp AS BIGINT) AS total_patients,
   {R('CAST(nm AS DOUBLE) * 100.0 / tp', 1)} AS normal_rate,
   {R('CAST(nm AS DOUBLE) * 100.0 / tp - CAST(na AS DOUBLE) * 100.0 / n', 2)} AS diff_vs_overall,
-  {R('s - tp', 4)} AS chi2_part FROM x""",
+  {R('s - tp', 4)} AS chi2_part, {TAIL('s - tp', 'outcomes - 1')} AS p_value FROM x""",
     "b13_condition_outcomes": f"""WITH r AS ({rates('medical_condition', 'medical_condition')})
 SELECT *, normal_rate > 35.0 AS normal_above_limit FROM r""",
     "b14_abnormal_billing": f"""SELECT medical_condition,
@@ -267,13 +299,12 @@ x AS (SELECT *, {R('CAST(rev AS DOUBLE) / NULLIF(nb, 0)', 2)} AS avg_billing,
 SELECT doctor, n AS total_patients, {R('rev', 2)} AS revenue, avg_billing,
   {R('CAST(los AS DOUBLE) / NULLIF(nlos, 0)', 2)} AS avg_los, {P('normal', 'n')} AS normal_rate,
   {R('avg_billing - net', 2)} AS billing_diff_vs_network FROM x""",
-    "o02_hospital_vs_network": f"""WITH hospital_stats AS (
-  SELECT hospital, {R(AVG('billing_amount'), 2)} AS avg_billing FROM adm GROUP BY hospital),
-network_avg AS (SELECT {R(AVG('billing_amount'), 2)} AS network_avg_billing FROM adm)
-SELECT h.hospital, h.avg_billing, n.network_avg_billing,
-  {R('h.avg_billing - n.network_avg_billing', 2)} AS diff_from_network_avg,
-  CASE WHEN h.avg_billing > n.network_avg_billing THEN 'Above Average' ELSE 'Below Average' END AS flag
-FROM hospital_stats h CROSS JOIN network_avg n ORDER BY diff_from_network_avg DESC""",
+    "o02_hospital_vs_network": f"""WITH s AS (SELECT hospital, SUM(billing_amount) AS amount, COUNT(billing_amount) AS k
+  FROM adm GROUP BY 1),
+v AS (SELECT hospital, {R('CAST(amount AS DOUBLE) / NULLIF(k, 0)', 2)} AS own,
+  {R('CAST(SUM(amount) OVER () AS DOUBLE) / NULLIF(SUM(k) OVER (), 0)', 2)} AS net FROM s)
+SELECT hospital, own AS avg_billing, net AS network_avg_billing, {R('own - net', 2)} AS diff_from_network_avg,
+  IF(own > net, 'Above Average', 'Below Average') AS flag FROM v""",
     "o03_room_utilization": f"""WITH r AS (SELECT room_number, COUNT(*) AS admissions, SUM(length_of_stay) AS days
   FROM adm GROUP BY 1),
 x AS (SELECT *, SUM(days) OVER () AS alld, COUNT(*) OVER () AS rooms FROM r),
@@ -286,8 +317,10 @@ SELECT *, CASE WHEN utilization_ratio >= 1.2 THEN 'High' WHEN utilization_ratio
 x AS (SELECT *, CAST(rev AS DOUBLE) / NULLIF(CAST(los AS DOUBLE), 0) AS rpd FROM m),
 y AS (SELECT *, RANK() OVER (ORDER BY rpd DESC NULLS LAST) AS rk FROM x)
 SELECT hospital, {R('rev', 2)} AS revenue, CAST(los AS BIGINT) AS total_los_days,
-  {R('rpd', 2)} AS revenue_per_day, CAST(rk AS BIGINT) AS rpd_rank FROM y
-ORDER BY rpd DESC NULLS LAST, hospital LIMIT 10""",
+  {R('rpd', 2)} AS revenue_per_day, CAST(rk AS BIGINT) AS rpd_rank,
+  (SELECT {R('CAST(SUM(billing_amount) AS DOUBLE) / NULLIF(CAST(SUM(length_of_stay) AS DOUBLE), 0)', 2)} FROM adm)
+    AS network_revenue_per_day FROM y
+ORDER BY rpd DESC NULLS LAST, hospital NULLS FIRST LIMIT 10""",
     "o05_revenue_per_day_admission_type": dist(
         "admission_type", "admission_type",
         f",\n  {R(AVG('billing_amount'), 2)} AS avg_billing, {R(AVG('length_of_stay'), 2)} AS avg_los,"
@@ -342,9 +375,9 @@ SELECT {R('bb', 2)} AS base_avg_billing, {R('bl0', 2)} AS base_avg_los,
   {R('sl', 2)} AS shifted_avg_los, {R('sb / NULLIF(sl, 0)', 2)} AS shifted_revenue_per_day FROM b""",
     # ------------------------------------------------------------ advanced
     "a01_mom_rolling_trend": f"""WITH m AS (SELECT {MONTH} AS month, ROUND(SUM(billing_amount), 2) AS mr FROM adm GROUP BY 1),
-x AS (SELECT month, mr, LAG(mr) OVER (ORDER BY month) AS prev,
+x AS (SELECT month, mr, LAG(mr) OVER (ORDER BY month NULLS FIRST) AS prev,
   CAST(SUM(mr) OVER w3 AS DOUBLE) / COUNT(mr) OVER w3 AS ravg FROM m
-  WINDOW w3 AS (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+  WINDOW w3 AS (ORDER BY month NULLS FIRST ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 y AS (SELECT month, CAST(mr AS DOUBLE) AS revenue, CAST(prev AS DOUBLE) AS prev_revenue,
   {R('CAST(mr - prev AS DOUBLE) * 100.0 / CAST(NULLIF(prev, 0) AS DOUBLE)', 1)} AS mom_growth_pct,
   {R('ravg', 2)} AS rolling_avg_3m FROM x)
@@ -357,25 +390,21 @@ SELECT hospital, {R('rev', 2)} AS revenue, CAST(rk AS BIGINT) AS revenue_rank, C
   {R('pr', 4)} AS pct_rank,
   CASE q WHEN 1 THEN 'Top Performer' WHEN 2 THEN 'Above Average' WHEN 3 THEN 'Below Average'
          WHEN 4 THEN 'Needs Improvement' END AS performance_tier FROM r""",
-    "a03_doctor_scorecard": f"""WITH doctor_metrics AS (
-  SELECT doctor, COUNT(*) AS total_patients, SUM(billing_amount) AS total_revenue,
-    CAST({CNT("test_results = 'Normal'")} AS DOUBLE) * 100.0 / COUNT(*) AS normal_outcome_rate,
-    CAST(SUM(length_of_stay) AS DOUBLE) / NULLIF(COUNT(length_of_stay), 0) AS avg_los
-  FROM adm GROUP BY doctor),
-doctor_scored AS (
-  SELECT *, NTILE(4) OVER (ORDER BY total_patients NULLS FIRST, doctor) AS volume_score,
-    NTILE(4) OVER (ORDER BY total_revenue NULLS FIRST, doctor) AS revenue_score,
-    NTILE(4) OVER (ORDER BY normal_outcome_rate NULLS FIRST, doctor) AS outcome_score,
-    NTILE(4) OVER (ORDER BY avg_los DESC NULLS LAST, doctor) AS efficiency_score
-  FROM doctor_metrics)
-SELECT doctor, total_patients, {R('total_revenue', 2)} AS total_revenue,
-  {R('normal_outcome_rate', 2)} AS normal_outcome_rate, {R('avg_los', 2)} AS avg_los,
-  CAST(volume_score AS BIGINT) AS volume_score, CAST(revenue_score AS BIGINT) AS revenue_score,
-  CAST(outcome_score AS BIGINT) AS outcome_score, CAST(efficiency_score AS BIGINT) AS efficiency_score,
-  {R('(volume_score * 25 + revenue_score * 35 + outcome_score * 25 + efficiency_score * 15) / 100.0', 2)} AS composite_score,
-  CAST(RANK() OVER (ORDER BY volume_score * 25 + revenue_score * 35 + outcome_score * 25
-                    + efficiency_score * 15 DESC) AS BIGINT) AS overall_rank
-FROM doctor_scored ORDER BY overall_rank""",
+    "a03_doctor_scorecard": f"""WITH d AS (SELECT doctor AS who, COUNT(*) AS n, SUM(billing_amount) AS money,
+    100.0 * CAST({CNT("test_results = 'Normal'")} AS DOUBLE) / COUNT(*) AS fine, {AVG('length_of_stay')} AS days
+  FROM adm GROUP BY 1),
+place AS (SELECT *, COUNT(*) OVER () AS total,
+    ROW_NUMBER() OVER (ORDER BY n, who NULLS FIRST) - 1 AS p1,
+    ROW_NUMBER() OVER (ORDER BY money NULLS FIRST, who NULLS FIRST) - 1 AS p2,
+    ROW_NUMBER() OVER (ORDER BY fine, who NULLS FIRST) - 1 AS p3,
+    ROW_NUMBER() OVER (ORDER BY days DESC NULLS LAST, who NULLS FIRST) - 1 AS p4 FROM d),
+tile AS (SELECT *, {TILE('p1')} AS t1, {TILE('p2')} AS t2, {TILE('p3')} AS t3, {TILE('p4')} AS t4 FROM place),
+sum100 AS (SELECT *, t1 * 25 + t2 * 35 + t3 * 25 + t4 * 15 AS points FROM tile),
+better AS (SELECT points, SUM(COUNT(*)) OVER (ORDER BY points DESC) - COUNT(*) + 1 AS rk FROM sum100 GROUP BY points)
+SELECT who AS doctor, n AS total_patients, {R('money', 2)} AS total_revenue, {R('fine', 2)} AS normal_outcome_rate,
+  {R('days', 2)} AS avg_los, t1 AS volume_score, t2 AS revenue_score, t3 AS outcome_score, t4 AS efficiency_score,
+  {R('points / 100.0', 2)} AS composite_score, CAST(rk AS BIGINT) AS overall_rank
+FROM sum100 JOIN better USING (points)""",
     "a04_condition_insurer_cohorts": f"""WITH g AS (SELECT medical_condition, insurance_provider, COUNT(*) AS total_patients,
   SUM(billing_amount) AS rev FROM adm GROUP BY 1, 2)
 SELECT medical_condition, insurance_provider, total_patients, {R('rev', 2)} AS revenue,
@@ -430,6 +459,30 @@ SELECT hospital, sliced_avg_billing, network_avg_billing,
 SELECT hospital, {R('rev', 2)} AS revenue, CAST(RANK() OVER (ORDER BY rev DESC) AS BIGINT) AS revenue_rank,
   CAST(DENSE_RANK() OVER (ORDER BY rev DESC) AS BIGINT) AS revenue_dense_rank,
   CAST(NTILE(4) OVER (ORDER BY rev DESC, hospital) AS BIGINT) AS revenue_quartile FROM h""",
+    "d06_doctor_rank_sliced": f"""WITH h AS (SELECT doctor, SUM(billing_amount) AS rev FROM adm
+  WHERE year(date_of_admission) = 1996 AND admission_type = 'Emergency' GROUP BY 1)
+SELECT doctor, {R('rev', 2)} AS revenue, CAST(RANK() OVER (ORDER BY rev DESC NULLS LAST) AS BIGINT) AS revenue_rank,
+  CAST(DENSE_RANK() OVER (ORDER BY rev DESC NULLS LAST) AS BIGINT) AS revenue_dense_rank,
+  CAST(NTILE(4) OVER (ORDER BY rev DESC NULLS LAST, doctor NULLS FIRST) AS BIGINT) AS revenue_quartile FROM h""",
+    "d07_sliced_conditions": f"""SELECT medical_condition, COUNT(*) AS total_patients,
+  {R('SUM(billing_amount)', 2)} AS total_revenue, {R(AVG('billing_amount'), 2)} AS avg_billing,
+  {R(AVG('length_of_stay'), 1)} AS avg_length_of_stay,
+  {R('CAST(SUM(billing_amount) AS DOUBLE) / NULLIF(CAST(SUM(length_of_stay) AS DOUBLE), 0)', 2)} AS revenue_per_day
+FROM adm WHERE year(date_of_admission) = 1996 AND admission_type = 'Emergency' GROUP BY 1""",
+    "e11_full_duplicate_audit": f"""SELECT {', '.join(c for c in COLUMNS if c != 'billing_amount')},
+  CAST(billing_amount AS DOUBLE) AS billing_amount, COUNT(*) AS copies FROM adm
+GROUP BY {', '.join(COLUMNS)} HAVING COUNT(*) > 1""",
+    "o13_hospital_risk_profile": f"""WITH r AS ({RISK}),
+s AS (SELECT *, age_points + type_points + result_points + billing_points AS score FROM r)
+SELECT hospital, COUNT(*) AS total_patients, {R('SUM(billing_amount)', 2)} AS revenue,
+  {R('CAST(SUM(score) AS DOUBLE) / COUNT(*)', 2)} AS avg_risk_score, {CNT('score >= 8')} AS review_patients,
+  {P(CNT('score >= 8'), 'COUNT(*)')} AS review_pct FROM s GROUP BY 1""",
+    "a10_elderly_emergency_cohort": f"""WITH r AS ({RISK}),
+s AS (SELECT *, age_points + type_points + result_points + billing_points AS score FROM r
+      WHERE age_points = 4 AND admission_type = 'Emergency' AND test_results = 'Abnormal')
+SELECT COUNT(*) AS cohort_patients, CAST(MIN(score) AS BIGINT) AS min_risk_score,
+  CAST(MAX(score) AS BIGINT) AS max_risk_score, {CNT('billing_amount > 70000')} AS patients_above_cut,
+  {P(CNT('billing_amount > 70000'), 'COUNT(*)')} AS pct_above_cut, {R(AVG('billing_amount'), 2)} AS avg_billing FROM s""",
     "m01_measures_by_year": MEASURES_BY_YEAR,
 }
 
@@ -474,6 +527,7 @@ DATE_OUTPUTS = {
     "a01_mom_rolling_trend": ("month",),
     "a08_review_queue": ("date_of_admission",),
     "d01_monthly_admissions": ("month",),
+    "e11_full_duplicate_audit": ("date_of_admission", "discharge_date"),
 }
 
 

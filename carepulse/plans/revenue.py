@@ -145,22 +145,32 @@ def r10_condition_admission_matrix(adm: DataFrame, cfg: Config = DEFAULTS) -> Da
                     X.rhu(ratio, 3).alias("heat_ratio"), X.cell_bucket(ratio, cfg).alias("cell_bucket"))
 
 
-PIVOT_INLINE_LIMIT = 32
+OTHER = "other"
 
 
 def r11_insurer_condition_matrix(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Insurer rows x one revenue column per condition.  The column values are
-    given explicitly (no job to discover them).  For a short list each column
-    is a conditional sum in one aggregate (one shuffle); a long list uses
-    Spark's two-phase pivot."""
+    """Insurer rows x one revenue column per listed condition, ``other`` for
+    the revenue of every other condition and of none, the insurer's total, and
+    each listed cell's conditional-formatting bucket (ratio to the mean
+    non-empty cell).  Each column is a conditional sum in one aggregate, so no
+    job looks for the columns and a row always adds up to its total."""
     vals = list(cfg.condition_values)
-    b = F.col("billing_amount")
-    if len(vals) <= PIVOT_INLINE_LIMIT:
-        p = adm.groupBy("insurance_provider").agg(
-            *[F.sum(F.when(F.col("medical_condition") == v, b)).alias(v) for v in vals])
-    else:
-        p = adm.groupBy("insurance_provider").pivot("medical_condition", vals).agg(F.sum(b))
-    return p.select("insurance_provider", *[X.rhu(F.col(f"`{v}`"), 2).alias(v) for v in vals])
+    c, b = F.col("medical_condition"), F.col("billing_amount")
+    listed = F.coalesce(c.isin(*vals), F.lit(False))
+    p = adm.groupBy("insurance_provider").agg(
+        *[F.sum(F.when(c == v, b)).alias(v) for v in vals],
+        F.sum(F.when(~listed, b)).alias(OTHER), F.sum(b).alias("_total"))
+    cells = [F.col(f"`{v}`") for v in (*vals, OTHER)]
+    n = sum((x.isNotNull().cast("long") for x in cells[1:]), cells[0].isNotNull().cast("long"))
+    p = p.withColumn("_n", n).withColumns({"_all": grand("_total"), "_cells": grand("_n")})
+
+    def ratio(v):
+        return F.try_divide(F.col(f"`{v}`").cast("double") * F.col("_cells"), F.col("_all").cast("double"))
+    return p.select(
+        "insurance_provider", *[X.rhu(F.col(f"`{v}`"), 2).alias(v) for v in (*vals, OTHER)],
+        X.rhu("_total", 2).alias("insurer_total"),
+        *[F.when(F.col(f"`{v}`").isNotNull(), X.cell_bucket(ratio(v), cfg)).alias(f"{v}_bucket")
+          for v in vals])
 
 
 def r12_monthly_calendar_mom(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
@@ -179,9 +189,11 @@ def r12_monthly_calendar_mom(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFram
 
 
 def r13_matrix_totals(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Insurer x condition revenue with row, column and grand totals (CUBE)."""
-    c = adm.cube("insurance_provider", "medical_condition").agg(
-        X.rhu(F.sum(F.col("billing_amount")), 2).alias("revenue"), F.count(F.lit(1)).alias("total_patients"),
+    """Insurer x condition revenue with row, column and grand totals: the rows
+    are summed to cells first, the CUBE expands the cells only."""
+    cells = adm.groupBy("insurance_provider", "medical_condition").agg(
+        F.sum(F.col("billing_amount")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return cells.cube("insurance_provider", "medical_condition").agg(
+        X.rhu(F.sum("_s"), 2).alias("revenue"), F.sum("_n").alias("total_patients"),
         F.grouping("insurance_provider").cast("long").alias("is_insurer_total"),
         F.grouping("medical_condition").cast("long").alias("is_condition_total"))
-    return c

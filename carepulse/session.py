@@ -43,7 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` when the session names one (a cluster's shared
     folder, never overridden), else - tests and local runs - a scratch folder.
     (``setCheckpointDir`` adds a fresh sub-folder on every call, so it must not
-    be called again once set.)"""
+    be called again once set.)  Away from local masters the folder must be
+    named: other executors cannot read a machine-local one."""
     try:
         sc = spark.sparkContext
     except Exception:  # a remote (Connect) session: the server owns the setting
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="carepulse-ckpt-", dir="/tmp")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base

@@ -1,9 +1,14 @@
 """Dashboard marts (S5) and their refresh (S6).
 
 Each dashboard visual reads one small Parquet table.  A refresh recomputes the
-marts from the admissions table and overwrites them; marts that carry a month
-or year column are partitioned by year and refreshed with dynamic partition
-overwrite, so a refresh limited to recent years rewrites only those years.
+marts from the whole admissions table, so running totals, growth and shares are
+right.  Marts with a month are partitioned by year; a refresh limited to years
+rewrites those years' partitions only, the other marts are rewritten whole, so
+all pages agree.
+
+``write_slices`` also stores one pre-aggregate at the grain of the pages'
+slicers (:data:`SLICER_COLUMNS`) with additive sums; :func:`sliced_page` answers
+the additive visuals under any slicer selection from it, without the fact.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
-from ..functions.measures import slice_
+from ..functions import exprs as X
 from ..plans import registry
 
 # dashboard page -> visual datasets (analysis keys)
@@ -35,31 +40,69 @@ def _year_column(df: DataFrame) -> str | None:
 
 def write_marts(adm: DataFrame, out_dir: str, cfg: Config = DEFAULTS,
                 pages: dict | None = None, years: tuple[int, int] | None = None) -> list[str]:
-    """Compute every visual's dataset and write it under ``out_dir/<page>/<key>``.
-    ``years`` limits a refresh to a year range; only time-partitioned marts are
-    then rewritten (dynamic partition overwrite), the rest are left as they are."""
-    src = slice_(adm, year_range=years) if years else adm
+    """Compute every visual's dataset over all of ``adm`` and write it under
+    ``out_dir/<page>/<key>``.  ``years`` (first, last) limits which years of the
+    marts by month are rewritten; a full run replaces them all, so a year that
+    left the table leaves the mart."""
     written = []
     for page, keys in (pages or PAGES).items():
         for key in keys:
-            ds = registry.ANALYSES[key](src, cfg)
+            ds = registry.ANALYSES[key](adm, cfg)
             month = _year_column(ds)
             path = f"{out_dir.rstrip('/')}/{page}/{key}"
             if month:
-                # dynamic: an overwrite replaces only the years it writes
-                ds.withColumn("year", F.year(month)).write.mode("overwrite") \
-                  .option("partitionOverwriteMode", "dynamic") \
+                ds = ds.withColumn("year", F.year(month))
+                if years:
+                    ds = ds.where(F.col("year").between(*years))
+                # static: the whole mart; dynamic: only the years it writes
+                ds.write.mode("overwrite") \
+                  .option("partitionOverwriteMode", "dynamic" if years else "static") \
                   .partitionBy("year").parquet(path)
-            elif years:
-                continue  # whole-history marts are not refreshed by a partial run
             else:
                 ds.write.mode("overwrite").parquet(path)
             written.append(path)
     return written
 
 
+SLICER_COLUMNS = ("year", "month", "hospital", "medical_condition", "insurance_provider",
+                  "admission_type", "test_results", "gender")
+
+
+def slices(adm: DataFrame) -> DataFrame:
+    """The shared pre-aggregate: additive sums per slicer combination."""
+    b, los = F.col("billing_amount"), F.col("length_of_stay")
+    keys = {"year": F.year("date_of_admission"), "month": X.month_start()}
+    return adm.groupBy(*[keys.get(c, F.col(c)).alias(c) for c in SLICER_COLUMNS]).agg(
+        F.count(F.lit(1)).alias("patients"), F.sum(b).alias("revenue_sum"), F.count(b).alias("billed"),
+        F.sum(los).alias("days"), F.count(los).alias("stays"))
+
+
+def write_slices(adm: DataFrame, out_dir: str) -> str:
+    """Write :func:`slices` (one scan of the fact), partitioned by year."""
+    path = f"{out_dir.rstrip('/')}/slices"
+    slices(adm).write.mode("overwrite").option("partitionOverwriteMode", "static") \
+        .partitionBy("year").parquet(path)
+    return path
+
+
+def sliced_page(pre: DataFrame, by: tuple[str, ...] = (), **ctx) -> DataFrame:
+    """Additive measures by any of :data:`SLICER_COLUMNS` under slicer selections
+    (a value, or a list of values, by column), from the pre-aggregate."""
+    for c, v in ctx.items():
+        if c not in SLICER_COLUMNS:
+            raise ValueError(f"no slicer {c!r}")
+        pre = pre.where(F.col(c).isin(*v) if isinstance(v, (list, tuple, set)) else F.col(c) == v)
+    out = pre.groupBy(*by).agg(
+        F.coalesce(F.sum("patients"), F.lit(0)).alias("total_patients"),
+        F.sum("revenue_sum").alias("_r"), F.sum("billed").alias("_b"),
+        F.sum("days").alias("_d"), F.sum("stays").alias("_s"))
+    return out.select(*by, "total_patients", X.rhu("_r", 2).alias("total_revenue"),
+                      X.rhu(X.safe_div("_r", "_b"), 2).alias("avg_billing"),
+                      X.rhu(X.safe_div("_d", "_s"), 1).alias("avg_length_of_stay"),
+                      X.rhu(X.safe_div("_r", "_d"), 2).alias("revenue_per_day"))
+
+
 def refresh_marts(adm: DataFrame, out_dir: str, cfg: Config = DEFAULTS,
                   years: tuple[int, int] | None = None) -> list[str]:
-    """S6: re-run the marts (all of them, or the time-partitioned ones for a
-    year range)."""
-    return write_marts(adm, out_dir, cfg, years=years)
+    """S6: re-run the marts and the slicers' pre-aggregate."""
+    return [*write_marts(adm, out_dir, cfg, years=years), write_slices(adm, out_dir)]

@@ -29,59 +29,107 @@ SCHEMA = T.StructType([
     T.StructField("test_results", T.StringType()),
 ])
 COLUMNS = tuple(f.name for f in SCHEMA.fields)
-STRING_COLUMNS = tuple(f.name for f in SCHEMA.fields if isinstance(f.dataType, T.StringType))
 
-# CSV headers as raw text ("Date of Admission"); everything is read as string
-# first so a bad value becomes NULL plus a corrupt-record note, not a failed job.
-_RAW = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS]
-                    + [T.StructField("_corrupt", T.StringType())])
+
+# where Spark's reader notes a line with another number of fields
+BROKEN = "_corrupt"
+# text columns that are keys of an analysis
+FOLDED = ("gender", "blood_type", "medical_condition", "doctor", "hospital", "insurance_provider",
+          "admission_type", "medication", "test_results")
 
 
 def snake(name: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_")
 
 
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """The CSV files' columns as text, bound by the header's names: any order is
+    read right, a missing, unknown or repeated column is an error.  Files of one
+    folder must share one header line; one with another is an error when read."""
+    names = spark.read.option("header", True).csv(path).columns
+    cols = [snake(c) for c in names]
+    wrong = sorted(set(COLUMNS) - set(cols)), sorted(set(cols) - set(COLUMNS) - {"admission_id"})
+    if wrong[0] or wrong[1] or len(set(cols)) < len(cols):
+        raise ValueError(f"CSV header: missing {wrong[0]}, unknown or repeated {wrong[1]} in {names}")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in (*names, BROKEN)])
+    raw = (spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", BROKEN).option("enforceSchema", False)
+           .option("columnPruning", False).csv(path))      # else short lines go unnoticed
+    return raw.withColumnsRenamed(dict(zip(names, cols)))
+
+
 def read_admissions(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd",
                     fold_case: bool = False) -> DataFrame:
-    """S1: CSV import with an explicit schema (no inference pass over the data)."""
-    raw = (spark.read.schema(_RAW)
-           .option("header", True)
-           .option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt")
-           .option("enforceSchema", True)
-           .csv(path))
-    return standardise(raw, date_format=date_format, fold_case=fold_case)
+    """S1: CSV import with explicit types (no inference pass over the data).
+    Values that cannot be read are NULL here and listed by :func:`read_rejects`."""
+    return standardise(read_raw(spark, path), date_format=date_format, fold_case=fold_case)
+
+
+def _typed(f: T.StructField, date_format: str):
+    c = F.col(f.name).cast("string")
+    if isinstance(f.dataType, T.DateType):
+        return F.coalesce(F.try_to_date(c, date_format), c.try_cast("date"))
+    if isinstance(f.dataType, T.StringType):
+        return F.nullif(F.trim(c), F.lit(""))
+    return F.trim(c).try_cast(f.dataType)
+
+
+def read_rejects(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """One row per value of the CSV files that was not read: ``column_name``
+    (``line`` for a line with another number of fields), ``raw_text`` (the value,
+    or the line), ``reason``.  Kept apart from the fact."""
+    raw = read_raw(spark, path)
+    bad = [F.when(F.col(BROKEN).isNotNull(), F.struct(
+        F.lit("line").alias("column_name"), F.col(BROKEN).alias("raw_text"),
+        F.lit("number of fields").alias("reason")))]
+    for f in SCHEMA.fields:
+        if not isinstance(f.dataType, T.StringType):
+            c = F.col(f.name)
+            wrong = (F.trim(c) != "") & _typed(f, date_format).isNull() & F.col(BROKEN).isNull()
+            bad.append(F.when(wrong, F.struct(
+                F.lit(f.name).alias("column_name"), c.alias("raw_text"),
+                F.lit(f"not a {f.dataType.simpleString()}").alias("reason"))))
+    return raw.select(F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("r")).select("r.*")
 
 
 def standardise(df: DataFrame, date_format: str = "yyyy-MM-dd",
                 fold_case: bool = False) -> DataFrame:
-    """S2: snake_case names, typed columns, trimmed text; optionally case-folded
-    text keys (SQL Server compares case-insensitively by default)."""
-    df = df.withColumnsRenamed({c: snake(c) for c in df.columns if snake(c) != c})
-    out = {}
-    for f in SCHEMA.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.DateType):
-            out[f.name] = F.coalesce(F.try_to_date(c.cast("string"), date_format),
-                                     c.cast("string").try_cast("date"))
-        elif isinstance(f.dataType, T.StringType):
-            s = F.trim(c.cast("string"))
-            s = F.nullif(s, F.lit(""))
-            out[f.name] = F.initcap(s) if fold_case and f.name not in ("name", "doctor",
-                                                                       "hospital") else s
-        else:
-            out[f.name] = c.cast("string").try_cast(f.dataType)
-    keep = [c for c in df.columns if c not in out and c != "_corrupt"]
-    res = df.select(*keep, *[v.alias(k) for k, v in out.items()])
+    """S2: snake_case names, typed columns, trimmed text.  With ``fold_case``
+    the spellings of a text that differ in case only (SQL Server compares
+    case-insensitively by default) become one: the most frequent, then the
+    smallest, of those that occur; hospital and doctor included."""
+    df = df.withColumnsRenamed({c: snake(c) for c in df.columns if c != BROKEN and snake(c) != c})
+    keep = [c for c in df.columns if c not in COLUMNS and c != BROKEN]
+    res = df.select(*keep, *[_typed(f, date_format).alias(f.name) for f in SCHEMA.fields])
+    if fold_case:
+        for c in FOLDED:
+            res = _one_spelling(res, c)
+        res = res.select(*keep, *COLUMNS)
     return with_admission_id(res)
 
 
+def _one_spelling(df: DataFrame, c: str) -> DataFrame:
+    """Replace each value of ``c`` by the spelling that stands for its case."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+    shown = counts.groupBy(F.lower(c).alias("_key")).agg(
+        F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias("_shown"), F.count(F.lit(1)).alias("_k"))
+    other = shown.where("_k > 1").select("_key", "_shown")
+    return df.join(other, F.lower(c) == F.col("_key"), "left") \
+        .withColumn(c, F.coalesce("_shown", c)).drop("_key", "_shown")
+
+
 def with_admission_id(df: DataFrame) -> DataFrame:
-    """A content key for row-level outputs when the source carries none;
-    exact duplicate rows share it, as they are the same admission twice."""
+    """A content key for row-level outputs when the source carries none: the
+    SHA-256 of the values with their lengths and explicit NULL marks, so no two
+    different rows share it; exact duplicate rows do, as they are the same
+    admission twice (:func:`e11_full_duplicate_audit` counts them)."""
     if "admission_id" in df.columns:
         return df
-    return df.withColumn("admission_id", F.xxhash64(*[F.col(c) for c in COLUMNS]))
+
+    def mark(c):
+        s = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
+    return df.withColumn("admission_id", F.sha2(F.concat_ws("|", *[mark(c) for c in COLUMNS]), 256))
 
 
 def with_derived(adm: DataFrame) -> DataFrame:
@@ -92,15 +140,18 @@ def with_derived(adm: DataFrame) -> DataFrame:
     return adm.withColumns(cols)
 
 
-def write_admissions(df: DataFrame, path: str, mode: str = "overwrite",
+def write_admissions(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None,
                      cluster_by: tuple[str, ...] = ("hospital", "date_of_admission")) -> None:
     """S3: Parquet partitioned by admission year, so a year slicer prunes
-    files; within each task the rows are sorted by ``cluster_by`` so Parquet
-    row-group min/max statistics let hospital and date slicers skip data (one
-    sort per task at write time, no shuffle)."""
+    folders.  Rows are range-partitioned by year and ``cluster_by``: a file
+    holds a range of hospitals, so file and row-group statistics skip data, and
+    there are at most ``files`` + years files (default: the shuffle partitions),
+    not tasks x years.  A hospital with a third of all rows is split by date."""
     out = df.withColumn("admission_year", F.year("date_of_admission"))
     if cluster_by:
-        out = out.sortWithinPartitions("admission_year", *cluster_by)
+        n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        keys = ["admission_year", *cluster_by]
+        out = out.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     out.write.mode(mode).partitionBy("admission_year").parquet(path)
 
 

@@ -8,22 +8,23 @@ X2 asks, for each flagged admission, whether a review happened within
 ``review_within_hours``.  On the driver tables it runs over ``events``
 (``signup`` = admission, ``view`` = review, keyed by ``user_id``).
 
-* Batch form (:func:`review_check`): signups and reviews are bucketed by
-  (user, day); a review is also copied into the previous day's bucket when it
-  falls within the window of that day's last hours.  A running minimum over
-  each bucket, in reverse time order, gives the first review at or after each
-  signup.  No pair of rows is ever emitted and a very active user is split by
-  day, not held in one task.
+* Batch form (:func:`review_check`): signups and reviews are bucketed by user
+  and a stretch of time as long as the window; a review is also copied into the
+  bucket before, so every signup meets all reviews that can answer it.  A
+  running minimum over each bucket, in reverse time order, gives the first
+  review at or after each signup.  No pair of rows is ever emitted and a very
+  active user is split by time, not held in one task.
 * Streaming form (:func:`unreviewed_stream`): ``applyInPandasWithState`` keyed
-  by user keeps only the pending signups and the recent review times; when the
-  watermark passes a signup's deadline with no review seen, the signup is
-  emitted (append mode).
+  by the same (user, stretch) buckets keeps only the pending signups and the
+  review times that can still answer one; when the watermark passes a signup's
+  deadline with no review seen, the signup is emitted (append mode).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..config import Config, DEFAULTS
@@ -45,10 +46,8 @@ def risk_flags(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 def admissions_stream(spark: SparkSession, source_dir: str, extra_schema=None,
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """``readStream`` over a folder of admission Parquet files."""
-    schema = SCHEMA
-    if extra_schema is not None:
-        for f in extra_schema.fields:
-            schema = schema.add(f)
+    extra = [] if extra_schema is None else list(extra_schema.fields)
+    schema = T.StructType(SCHEMA.fields + extra)      # a new one: SCHEMA is shared
     r = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -75,12 +74,14 @@ def review_check(events: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     e = events.where(F.col("event_type").isin(SIGNUP, VIEW)).select(
         "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
         (F.col("event_type") == VIEW).cast("int").alias("kind"))
-    day = F.date_trunc("day", "ts")
-    # a view early in a day may answer a signup late on the previous day, so
-    # it is also placed in that day's bucket (one scan, at most two copies)
-    early = (F.col("kind") == 1) & (F.col("ts") < day + F.make_interval(hours=F.lit(hours)))
+    width = max(1, hours * 3_600_000_000)
+    at = F.unix_micros("ts")
+    start = at - F.pmod(at, F.lit(width))
+    # a view answers signups of its own and of the previous stretch only (one
+    # scan, two copies of a view); a view without a user answers nobody
+    e = e.where("kind = 0 or user_id is not null")
     u = e.withColumn("bucket", F.explode(
-        F.when(early, F.array(day, day - F.expr("INTERVAL 1 DAY"))).otherwise(F.array(day))))
+        F.when(F.col("kind") == 1, F.array(start, start - width)).otherwise(F.array(start))))
     w = (Window.partitionBy("user_id", "bucket")
          .orderBy(F.col("ts").desc(), F.col("kind").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -103,59 +104,47 @@ OUT_SCHEMA = "event_id long, user_id long, ts timestamp, deadline timestamp"
 STATE_SCHEMA = "pending_ids array<long>, pending_ts array<long>, views array<long>"
 
 
-def _pending_update(hours: int, tz: str):
-    window_us = hours * 3600 * 1_000_000
+def _pending_update(hours: int):
+    width = max(1, hours * 3_600_000_000)
 
     def fn(key, pdfs, state):
+        import numpy as np
         import pandas as pd
 
-        user = int(key[0])
-        if state.exists:
-            ids, ts, views = state.get
-            pending = dict(zip(ids or [], ts or []))
-            views = list(views or [])
-        else:
-            pending, views = {}, []
+        user, start = int(key[0]), int(key[1])
+        kept = state.get if state.exists else ([], [], [])
+        ids, ts, views = (np.array(x or [], np.int64) for x in kept)
         wm = state.getCurrentWatermarkMs() * 1000
         if not state.hasTimedOut:
-            for pdf in pdfs:
-                # Arrow hands timestamps over as session-local wall time
-                t = pd.to_datetime(pdf["ts"])
-                if t.dt.tz is None:
-                    t = t.dt.tz_localize(tz)
-                t_us = t.dt.tz_convert("UTC").astype("datetime64[us, UTC]").astype("int64").to_numpy()
-                is_view = (pdf["event_type"] == VIEW).to_numpy()
-                views.extend(int(v) for v in t_us[is_view])
-                for eid, tv in zip(pdf["event_id"].to_numpy()[~is_view], t_us[~is_view]):
-                    pending[int(eid)] = int(tv)
-        views.sort()
-        # a pending signup is answered by any view in [t, t + window]
-        if views and pending:
-            import bisect
-            for eid, t in list(pending.items()):
-                i = bisect.bisect_left(views, t)
-                if i < len(views) and views[i] <= t + window_us:
-                    del pending[eid]
-        out = [(eid, user, t, t + window_us) for eid, t in pending.items()
-               if t + window_us < wm]
-        for eid, *_ in out:
-            del pending[eid]
-        # views older than (watermark - window) cannot answer a future signup
-        views = [v for v in views if v >= wm - window_us]
-        if pending:
-            state.update((list(pending), list(pending.values()), views))
-            state.setTimeoutTimestamp(max((min(pending.values()) + window_us) // 1000 + 1,
-                                          state.getCurrentWatermarkMs() + 1))
-        elif views:
-            state.update(([], [], views))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + window_us // 1000 + 1)
-        else:
+            new = pd.concat(list(pdfs))
+            at, is_view = new["us"].to_numpy(np.int64), new["is_view"].to_numpy(bool)
+            views = np.concatenate((views, at[is_view]))
+            ids = np.concatenate((ids, new["event_id"].to_numpy(np.int64)[~is_view]))
+            ts = np.concatenate((ts, at[~is_view]))
+        # a signup is answered by the first view at or after it, if in time
+        views = np.unique(views)
+        first = np.append(views, np.iinfo(np.int64).max)[np.searchsorted(views, ts)]
+        waiting = first > ts + hours * 3_600_000_000
+        ids, ts = ids[waiting], ts[waiting]
+        due = ts + hours * 3_600_000_000 < wm
+        out = ids[due], ts[due]
+        ids, ts = ids[~due], ts[~due]
+        # later signups of this stretch are not before the watermark
+        views = views[views >= wm] if not len(ts) else views[views >= min(wm, ts.min())]
+        now = state.getCurrentWatermarkMs()
+        if len(ids):
+            state.update((ids.tolist(), ts.tolist(), views.tolist()))
+            state.setTimeoutTimestamp(max(int(ts.min() + hours * 3_600_000_000) // 1000 + 1, now + 1))
+        elif len(views) and wm < start + width:
+            state.update(([], [], views.tolist()))
+            state.setTimeoutTimestamp(max((start + width) // 1000 + 1, now + 1))
+        elif state.exists:
             state.remove()
-        if out:
+        if len(out[0]):
             yield pd.DataFrame({
-                "event_id": [o[0] for o in out], "user_id": [o[1] for o in out],
-                "ts": pd.to_datetime([o[2] for o in out], unit="us", utc=True),
-                "deadline": pd.to_datetime([o[3] for o in out], unit="us", utc=True)})
+                "event_id": out[0], "user_id": user,
+                "ts": pd.to_datetime(out[1], unit="us", utc=True),
+                "deadline": pd.to_datetime(out[1] + hours * 3_600_000_000, unit="us", utc=True)})
 
     return fn
 
@@ -163,14 +152,18 @@ def _pending_update(hours: int, tz: str):
 def unreviewed_stream(events_stream: DataFrame, cfg: Config = DEFAULTS,
                       lateness: str = "1 hour") -> DataFrame:
     """Signups with no view of the same user within the window, emitted once
-    the watermark has passed their deadline."""
+    the watermark has passed their deadline.  State is kept per user and stretch
+    of the window's length, so one user's events are not one task's."""
+    width = max(1, cfg.review_within_hours * 3_600_000_000)
     # rows without a user or a time cannot be placed in event time
     e = (events_stream.where(F.col("event_type").isin(SIGNUP, VIEW)
                              & F.col("user_id").isNotNull() & F.col("ts").isNotNull())
-         .select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-         .withWatermark("ts", lateness))
-    return e.groupBy("user_id").applyInPandasWithState(
-        _pending_update(cfg.review_within_hours,
-                        events_stream.sparkSession.conf.get("spark.sql.session.timeZone")),
-        OUT_SCHEMA, STATE_SCHEMA, "append",
+         .select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
+                 (F.col("event_type") == VIEW).alias("is_view"))
+         .withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts")))
+    start = F.col("us") - F.pmod("us", F.lit(width))
+    e = e.withColumn("bucket", F.explode(
+        F.when(F.col("is_view"), F.array(start, start - width)).otherwise(F.array(start))))
+    return e.groupBy("user_id", "bucket").applyInPandasWithState(
+        _pending_update(cfg.review_within_hours), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)

@@ -7,9 +7,9 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from carepulse.config import DEFAULTS
 from carepulse.operators.quantiles import exact_percentiles
 from carepulse.operators.ranking import Key, ntile_of, rank_all, rank_by_counts
 
@@ -21,11 +21,21 @@ def _frame(spark, n, seed, null_every=11, distinct=13):
     return spark.createDataFrame(rows, "id long, k int, s string")
 
 
-def _ranked(df, strategy):
-    cfg = DEFAULTS.with_(rank_strategy=strategy, window_row_limit=0, rank_partitions=4)
-    out = rank_all(df, [Key("k", True), ("s", False)], ["id"], rank="rk", dense_rank="drk",
-                   row_number="rn", ntile=[(4, "q4"), (3, "q3")], percent_rank="pr",
-                   strategy=strategy, cfg=cfg)
+def _windowed(df):
+    """The plain single-task windows."""
+    by = [F.col("k").desc(), F.col("s")]
+    w, full = Window.orderBy(*by), Window.orderBy(*by, "id")
+    return _sorted(df.withColumns({
+        "rk": F.rank().over(w), "drk": F.dense_rank().over(w), "rn": F.row_number().over(full),
+        "q4": F.ntile(4).over(full), "q3": F.ntile(3).over(full), "pr": F.percent_rank().over(w)}))
+
+
+def _ranked(df):
+    return _sorted(rank_all(df, [Key("k", True), ("s", False)], ["id"], rank="rk", dense_rank="drk",
+                            row_number="rn", ntile=[(4, "q4"), (3, "q3")], percent_rank="pr"))
+
+
+def _sorted(out):
     return out.select("id", "rk", "drk", "rn", "q4", "q3", F.round("pr", 12).alias("pr")) \
               .toPandas().sort_values("id").reset_index(drop=True)
 
@@ -33,8 +43,7 @@ def _ranked(df, strategy):
 @pytest.mark.parametrize("n", [1, 3, 7, 57, 400])
 def test_distributed_rank_equals_window(spark, n):
     df = _frame(spark, n, seed=n)
-    a = _ranked(df, "window")
-    b = _ranked(df, "distributed")
+    a, b = _windowed(df), _ranked(df)
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
 
 
@@ -58,22 +67,39 @@ def test_ntile_formula_matches_sql(spark):
         assert got == [e[0] for e in exp], n
 
 
-@pytest.mark.parametrize("strategy_limit", [10**9, 0])
-def test_exact_percentiles(spark, strategy_limit):
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+def test_rank_only_specs(spark, n):
+    df = spark.createDataFrame([(i, i % 2) for i in range(n)], "id long, k int")
+    got = rank_all(df, ["k"], rank="rk", percent_rank="pr", dense_rank="dr").toPandas().sort_values("id")
+    w = Window.orderBy("k")
+    exp = df.withColumns({"rk": F.rank().over(w), "pr": F.percent_rank().over(w),
+                          "dr": F.dense_rank().over(w)}).toPandas().sort_values("id")
+    assert got[["rk", "dr", "pr"]].values.tolist() == exp[["rk", "dr", "pr"]].values.tolist()
+
+
+@pytest.mark.parametrize("spread", [1000, 1e12, 1e-9])
+def test_exact_percentiles(spark, spread):
     rnd = random.Random(5)
-    vals = [round(rnd.uniform(0, 1000), 2) for _ in range(997)] + [None, None]
+    vals = [rnd.uniform(0, spread) if spread != 1000 else round(rnd.uniform(0, spread), 2)
+            for _ in range(997)] + [spread * 1e6, None, None]
     pdf = pd.DataFrame({"v": vals})
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    cfg = DEFAULTS.with_(window_row_limit=strategy_limit, rank_partitions=3)
     got = exact_percentiles(df, "v", {"p50": 0.5, "p25": 0.25, "p90": 0.9, "p0": 0.0,
-                                      "p100": 1.0}, cfg).first().asDict()
+                                      "p100": 1.0}).first().asDict()
     exp = duckdb.sql("SELECT quantile_cont(v, 0.5) p50, quantile_cont(v, 0.25) p25, "
                      "quantile_cont(v, 0.9) p90, min(v) p0, max(v) p100 FROM pdf").df()
     for k, v in got.items():
-        assert abs(v - exp[k][0]) < 1e-9, k
+        assert v == pytest.approx(exp[k][0], rel=1e-12, abs=1e-15), k
 
 
 def test_percentiles_empty_input(spark):
     df = spark.createDataFrame([(None,)], "v double")
     got = exact_percentiles(df, "v", {"p50": 0.5}).first()
     assert got["p50"] is None
+
+
+def test_percentiles_of_decimals_that_doubles_merge(spark):
+    vals = ["9007199254740992.01", "9007199254740992.02", "9007199254740992.03"] * 3
+    df = spark.createDataFrame([(v,) for v in vals], "s string").selectExpr("CAST(s AS DECIMAL(20,2)) AS v")
+    got = exact_percentiles(df, "v", {"p50": 0.5}, summary=True).first()
+    assert got["p50"] == 9007199254740992.02 and got["_n"] == 9
