@@ -57,7 +57,7 @@ def rhu(x, digits: int) -> Column:
 
 
 def safe_div(num, den) -> Column:
-    """DAX ``DIVIDE`` / ``NULLIF(den, 0)``: NULL (blank) when den is 0 or NULL."""
+    """A quotient that is NULL (blank) when the divisor is 0 or NULL."""
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))
 
 
@@ -78,12 +78,12 @@ def count_if(cond: Column) -> Column:
 
 # ------------------------------------------------------------------ dates
 def length_of_stay(admit="date_of_admission", discharge="discharge_date") -> Column:
-    """``DATEDIFF(admit, discharge, DAY)``; Spark's datediff takes (end, start)."""
+    """Days from admission to discharge (Spark's datediff takes the end first)."""
     return F.datediff(col(discharge), col(admit))
 
 
 def month_start(d="date_of_admission") -> Column:
-    """``DATEFROMPARTS(YEAR(d), MONTH(d), 1)`` as a DATE."""
+    """First day of the month as a DATE."""
     return F.trunc(col(d), "month")
 
 

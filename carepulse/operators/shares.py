@@ -1,7 +1,7 @@
 """Shares of a total and group distributions.
 
-``COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()`` is a window over ``()``: it moves
-the *grouped* rows into one task.  For a categorical axis (condition, insurer,
+A share of all rows needs the total beside each group: a window without a
+partition moves the *grouped* rows into one task.  For a categorical axis (condition, insurer,
 admission type, a tier label) the grouped rows are a handful, so that is the
 cheapest plan (:func:`grand`).  For entity-level rows (hospitals, doctors,
 rooms) the total is instead a global aggregate - provably one row - broadcast

@@ -14,7 +14,7 @@ from ..functions import exprs as X
 
 
 def running_total(value: str, order: str) -> Column:
-    """``SUM(x) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING)``."""
+    """Sum of the values up to and with the current row."""
     return F.sum(value).over(Window.orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow))
 
@@ -26,7 +26,7 @@ def year_to_date(value: str, month: str) -> Column:
 
 
 def previous_row(value: str, order: str) -> Column:
-    """``LAG(x) OVER (ORDER BY o)``: the previous *present* row."""
+    """The value of the row before, of the rows that are present."""
     return F.lag(value).over(Window.orderBy(order))
 
 
@@ -38,7 +38,7 @@ def rolling_avg(value: str, order: str, k: int) -> Column:
 
 
 def growth_pct(cur: str | Column, prev: str | Column, digits: int = 1) -> Column:
-    """``ROUND((cur - prev) * 100.0 / NULLIF(prev, 0), d)``."""
+    """Change in percent of the previous value; NULL if that is 0 or missing."""
     c, p = X.col(cur), X.col(prev)
     return X.rhu(F.try_divide((c - p).cast("double") * F.lit(100.0), F.nullif(p, F.lit(0)).cast("double")), digits)
 

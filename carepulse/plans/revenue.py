@@ -66,8 +66,7 @@ def r04_hospital_top10(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def monthly_revenue(adm: DataFrame) -> DataFrame:
-    """``DATEFROMPARTS(YEAR, MONTH, 1)`` months with ``ROUND(SUM(billing), 2)``
-    kept as an exact DECIMAL."""
+    """Months (their first day) with their revenue as an exact DECIMAL."""
     return adm.groupBy(X.month_start().alias("month")).agg(
         F.round(F.sum(F.col("billing_amount")), 2).alias("_mr"))
 
