@@ -37,10 +37,22 @@ def lanes(lengths: np.ndarray, width: int, longest_first: bool = True):
     return row, place[lane], loads[order]
 
 
-def sheet(tokens: np.ndarray, lengths: np.ndarray, width: int, longest_first: bool = True):
+def pieces(tokens: np.ndarray, lengths: np.ndarray, size: int):
+    """(lengths, token before each) of the documents cut to at most ``size``
+    tokens, so that lanes are evenly filled in training."""
+    n = -(-lengths // size)
+    doc = np.repeat(np.arange(len(lengths)), n)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.minimum(size, lengths[doc] - k * size)
+    start = np.cumsum(out) - out
+    return out, np.where(k > 0, tokens[np.maximum(start - 1, 0)], 0)
+
+
+def sheet(tokens: np.ndarray, lengths: np.ndarray, width: int, longest_first: bool = True,
+          lead: np.ndarray | int = 0):
     """(inputs, targets, documents, active) as rows of time by lanes: the input
-    of a position is the token before it, 0 at the start of a document, where
-    the state is also reset; unused cells have document -1."""
+    of a position is the token before it, ``lead`` (0) at the start of a
+    document, where the state is also reset; unused cells have document -1."""
     row, lane, loads = lanes(lengths, width, longest_first)
     start = np.cumsum(lengths) - lengths
     doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -52,7 +64,7 @@ def sheet(tokens: np.ndarray, lengths: np.ndarray, width: int, longest_first: bo
     targets[t, k], docs[t, k] = tokens, doc
     before = np.empty(len(tokens), np.int64)
     before[1:], before[:1] = tokens[:-1], 0
-    before[at == 0] = 0
+    before[at == 0] = lead
     inputs[t, k], first[t, k] = before, at == 0
     active = (loads[None, :] > np.arange(shape[0])[:, None]).sum(axis=1)
     return inputs, targets, docs, first, active
@@ -184,13 +196,15 @@ class Gru:
         return total / LOG10
 
     def train(self, tokens, lengths, seen: np.ndarray, rate: float = 0.05,
-              width: int = 192, window: int = 16) -> None:
+              width: int = 192, window: int = 16, piece: int = 512) -> None:
         """One pass of truncated backpropagation over the documents, AdaGrad;
-        ``seen`` (the sums of squares) is updated along with the parameters."""
+        ``seen`` (the sums of squares) is updated along with the parameters.  The
+        state is carried from window to window within ``piece`` tokens."""
         if not len(lengths):
             return
+        lengths, lead = pieces(tokens, lengths, piece)
         # in the given order: by length the last windows would all be short texts
-        inputs, targets, docs, first, active = sheet(tokens, lengths, width, False)
+        inputs, targets, docs, first, active = sheet(tokens, lengths, width, False, lead)
         n, p = self.hidden, self.p
         h = np.zeros((inputs.shape[1], n), np.float32)
         names = list(p)

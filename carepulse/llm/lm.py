@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, checkpointed, held_out, map_batches, table, written
+from .common import as_bytes, batch, checkpointed, held_out, table, written
 from .gru import Gru
 
 END, RARE = 0, 1
@@ -38,11 +38,12 @@ class Lm:
     words: int = 1024           # with a number of their own in the network
     hidden: int = 12
     rate: float = 0.1
-    block_tokens: int = 600_000
-    block_words: int = 150_000
-    train_every: int = 3        # the network is fitted on every third training document,
+    block_tokens: int = 1_000_000
+    block_words: int = 200_000
+    train_every: int = 2        # the network is fitted on every second training document,
     warm_up: int = 24           # in the first round on every 24th
     fan_in: int = 16            # parameter vectors summed by a task
+    chunk_tokens: int = 1_500_000   # tokens that the network handles side by side
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -187,15 +188,25 @@ def train_round(prepared: DataFrame, start: np.ndarray, words: int, cfg: Lm, eve
     def run(batches):
         model = Gru(words, cfg.hidden, flat=shared.value.copy())
         seen = np.full(model.flat.size, 1e-5, np.float32)
-        total = 0
+        total, learned = 0, 0
+        chunk: list = []
+
+        def train():
+            model.train(*(np.concatenate(x) for x in zip(*chunk)), seen, cfg.rate)
+            chunk.clear()
         for b in batches:
-            for held, lengths, packed in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for i in range(b.num_rows):
+                held, lengths, packed = (c[0].as_py() for c in b.slice(i, 1).columns)
                 lengths = np.array(lengths, np.int64)
                 use = ~np.array(held, bool)
-                use &= np.cumsum(use) % every == 0
-                part = _chosen(_tokens(packed, lengths), lengths, use)
-                model.train(*part, seen, cfg.rate)
-                total += len(part[0])
+                use &= (np.cumsum(use) + learned) % every == 0
+                learned += len(use) - int(np.sum(held))
+                chunk.append(_chosen(_tokens(packed, lengths), lengths, use))
+                total += len(chunk[-1][0])
+                if sum(len(t) for t, _ in chunk) >= cfg.chunk_tokens:
+                    train()
+        if chunk:
+            train()
         if total:
             yield batch(pa.array([(model.flat.astype(np.float64) * total).tobytes()], pa.binary()),
                         pa.array([total], pa.int64()), names=["flat", "tokens"])
@@ -240,19 +251,30 @@ def score_blocks(prepared: DataFrame, model: Gru, cfg: Lm) -> DataFrame:
     shared = prepared.sparkSession.sparkContext.broadcast((model.words, model.flat))
     names = [x.split()[0] for x in SCORED.split(", ")]
 
-    def start():
+    def run(batches):
         words, flat = shared.value
         net = Gru(words, cfg.hidden, flat=flat)
-
-        def step(b: pa.RecordBatch):
-            ids, held, lengths, known, base, rare, packed = (c.to_pylist()[0] for c in b.columns)
-            lengths = np.array(lengths, np.int64)
-            score = net.score(_tokens(packed, lengths), lengths) + np.array(rare)
-            return batch(pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths),
-                         pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                         pa.array(score, pa.float64()), names=names)
-        return step
-    return map_batches(prepared, SCORED, start, rows=1)
+        chunk: list = []                 # blocks, scored side by side
+
+        def emit():
+            ids, held, lengths, known, base, rare, tokens = (list(x) for x in zip(*chunk))
+            chunk.clear()
+            lengths = np.concatenate(lengths)
+            score = net.score(np.concatenate(tokens), lengths) + np.concatenate(rare)
+            return batch(pa.array(sum(ids, []), pa.int64()), pa.array(sum(held, []), pa.bool_()),
+                         pa.array(lengths), pa.array(sum(known, []), pa.int64()),
+                         pa.array(np.concatenate(base)), pa.array(score), names=names)
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, held, lengths, known, base, rare, packed = (c[0].as_py() for c in b.slice(i, 1).columns)
+                lengths = np.array(lengths, np.int64)
+                chunk.append((ids, held, lengths, known, np.array(base, float), np.array(rare, float),
+                              _tokens(packed, lengths)))
+                if sum(len(c[-1]) for c in chunk) >= cfg.chunk_tokens:
+                    yield emit()
+        if chunk:
+            yield emit()
+    return prepared.mapInArrow(run, SCORED)
 
 
 def lm_scores(docs: DataFrame, cfg: Lm = Lm()) -> DataFrame:
