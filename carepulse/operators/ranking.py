@@ -170,7 +170,8 @@ def _ranked_values(df: DataFrame, by: list[Key]) -> DataFrame:
     and the partitions' totals (one row each) are broadcast."""
     names = [k.name for k in by]
     sort = [k.sort() for k in by]
-    counts = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))
+    # few rows; checkpointed so that sampling the range bounds reads no fact
+    counts = checkpointed(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_c")))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     r = checkpointed(counts.repartitionByRange(parts, *sort).withColumn("_b", F.spark_partition_id()))
     to_here = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
