@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Config, DEFAULTS
 from ..functions import exprs as X
 from .ranking import checkpointed
 

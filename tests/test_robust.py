@@ -2,7 +2,6 @@
 small table mixing NULLs in every column, negative and zero stays, zero and
 negative billing, one hospital, one condition."""
 
-import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
