@@ -6,11 +6,10 @@
 2. Word counts over all training documents; the ``words`` most frequent get
    numbers in the network, the rest share the class of rare words, inside which
    a word has probability (c + 1) / (rare tokens + rare words + 1).
-3. Every task trains the network of ``gru.py`` on every ``train_every``-th
-   training document of its blocks from a common start; parameters are averaged,
-   weighted by tokens, by sums over ever fewer partitions.  A thinner round makes
-   the common start.  Counts, vocabulary and output biases come from all
-   training documents.
+3. Every task trains the network of ``gru.py`` on all training documents of its
+   blocks from a common start; parameters are averaged, weighted by tokens, by
+   sums over ever fewer partitions.  A round over every ``warm_up``-th document
+   makes the common start.
 4. Each document is scored whole: the state is carried from window to window.
 """
 
@@ -40,8 +39,8 @@ class Lm:
     rate: float = 0.1
     block_tokens: int = 1_000_000
     block_words: int = 200_000
-    train_every: int = 2        # the network is fitted on every second training document,
-    warm_up: int = 24           # in the first round on every 24th
+    train_every: int = 1        # the network is fitted on every training document;
+    warm_up: int = 24           # the first round, which makes the start, on every 24th
     fan_in: int = 16            # parameter vectors summed by a task
     chunk_tokens: int = 1_500_000   # tokens that the network handles side by side
 

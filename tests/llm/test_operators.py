@@ -405,6 +405,14 @@ def test_training_beats_the_start(spark, corpus):
     assert np.mean([r["score"] / r["n_tokens"] for r in out]) > 0.6 * np.mean([r["base_score"] / r["n_tokens"] for r in out])
 
 
+def test_every_training_document_is_learned(spark):
+    """The only training document of the only partition trains the network."""
+    docs = spark.createDataFrame([(0, False, "a b c d e f g " * 12_000), (1, True, "a b c d e f g " * 40)],
+                                 "id bigint, held boolean, text string").coalesce(1)
+    out = lm.lm_scores(docs, lm.Lm(words=8, hidden=8)).where("held_out").collect()
+    assert out[0]["score"] > 0.6 * out[0]["base_score"]
+
+
 # -- pipeline --------------------------------------------------------------
 
 def test_pipeline_brute_force(spark, corpus):
