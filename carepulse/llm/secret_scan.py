@@ -87,6 +87,27 @@ def marginal_bytes(candidate: bytes, around: bytes, level: int = 3) -> int:
     return len(z.compress(lead + candidate)) - len(z.compress(lead))
 
 
+def without_copies(text: str, word: str, least: int = 12) -> str:
+    """``text`` with blanks for all it shares with ``word`` in runs of ``least``
+    characters: a copy nearby says nothing about how random a string is."""
+    runs = {word[i:i + least] for i in range(len(word) - least + 1)}
+    out, done = [], 0
+    for i in range(len(text) - least + 1):
+        if text[i:i + least] in runs:
+            at = max(done, i)
+            out += [text[done:at], " " * (i + least - at)]
+            done = i + least
+    return "".join([*out, text[done:]])
+
+
+def context_of(text: str, a: int, b: int, size: int) -> str:
+    """``size`` code points on each side of ``text[a:b]``, without its copies;
+    copies that the edge of the context cuts are blanked whole."""
+    word, more = text[a:b], size + b - a
+    left = without_copies(text[max(0, a - more):a], word)
+    return left[-size:] + without_copies(text[b:b + more], word)[:size]
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]],
                 cfg: Novelty = Novelty()) -> list[tuple[str, int, int]]:
     """Incompressible strings in a sensitive context that no base span meets."""
@@ -111,7 +132,7 @@ def novel_spans(text: str, base: list[tuple[str, int, int]],
             kinds = sum(bool(re.search(p, word)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
             if kinds < 2 or not re.search("[0-9]", word):
                 continue                                   # words and names
-            around = text[max(0, a - cfg.context):a] + text[b:b + cfg.context]
+            around = context_of(text, a, b, cfg.context)
             if marginal_bytes(word.encode(), around.encode(), cfg.level) >= cfg.min_ratio * len(word):
                 out.append(("novel", a, b))
     return out

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import string
 import struct
 import zlib
 from collections import Counter
@@ -223,6 +224,20 @@ def test_novel_strings():
     assert secret_scan.redact("a password=abcdef99 b", secret_scan.find_secrets("a password=abcdef99 b")) == "a [SECRET] b"
 
 
+def random_string(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_copies_do_not_hide_a_secret():
+    rng = random.Random(4)
+    for gap in (0, 5, 990, 1000, 1024):
+        key = random_string(rng, string.ascii_letters + string.digits, 30) + "7k"
+        line = f"the bearer {key} \n"
+        text = line + "word " * (gap // 5) + line
+        assert [text[a:b] for _, a, b in secret_scan.find_secrets(text)] == [key, key]
+        assert key not in secret_scan.redact(text, secret_scan.find_secrets(text))
+
+
 # -- pieces ----------------------------------------------------------------
 
 @pytest.fixture(scope="module")
