@@ -6,6 +6,7 @@ it adds (its marginal size) tell random strings from names and words."""
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,6 +30,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")     # the maximal runs of 24 or more
 _HEX_MARKS = bytes(ord("x") if b in b"0123456789abcdef" else 32 for b in range(256))
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: The same with punctuation: printable ASCII but quotes and angle brackets.
+WIDE = re.compile(r"[!#-&(-;=?-_a-~]{12,}")
+_NAME = re.compile(r"[\w.-]*[:=]+", re.ASCII)          # what a value may be assigned to
+_ALPHABETS = tuple(re.compile(f"[{x}]+") for x in (
+    "0-9", "0-9a-f", "0-9A-F", "a-z", "A-Z", "a-z0-9", "A-Z0-9", "A-Za-z", "A-Za-z0-9", "A-Za-z0-9+/_=-"))
 SENSITIVE = re.compile(
     r"passw|passphrase|pwd|secret|token|api[_ -]?key|apikey|credential|auth|bearer|private[_ -]?key"
     r"|access[_ -]?key|session[_ -]?key|client[_ -]?key|encryption[_ -]?key|signing[_ -]?key|signature",
@@ -56,7 +62,8 @@ IDENTIFIERS = (
 class Novelty:
     before: int = 48            # code points before a candidate that may hold a sensitive word
     context: int = 1024         # code points around it that the compressor knows
-    min_ratio: float = 0.7      # marginal bytes per byte at which a string is incompressible
+    min_ratio: float = 0.7      # marginal bytes per byte, or per byte that a random string adds
+    max_known: float = 0.7      # share of known pairs of characters from which a string is words
     level: int = 3
 
 
@@ -108,36 +115,99 @@ def context_of(text: str, a: int, b: int, size: int) -> str:
     return left[-size:] + without_copies(text[b:b + more], word)[:size]
 
 
+def random_like(word: str) -> bytes:
+    """A random string of the length and alphabet of ``word``, by rule."""
+    for x in _ALPHABETS:
+        if x.fullmatch(word):
+            chars = [c for c in map(chr, range(33, 127)) if x.fullmatch(c)]
+            break
+    else:
+        chars = list(map(chr, range(33, 127)))
+    return "".join(random.Random(len(word)).choices(chars, k=len(word))).encode()
+
+
+def known_pairs(word: str, around: str) -> float:
+    """Share of ``word``'s pairs of characters that the identifiers or the words
+    around it hold (strings as long as a candidate are not taken for words)."""
+    words = CANDIDATE.sub(" ", around).lower()
+    low, known = word.lower(), _identifier_pairs() | set(zip(words, words[1:]))
+    return sum(x in known for x in zip(low, low[1:])) / (len(low) - 1)
+
+
+@lru_cache(1)
+def _identifier_pairs() -> frozenset:
+    words = IDENTIFIERS[:IDENTIFIERS.index(" abcdefgh")].lower()      # without the alphabets
+    return frozenset(zip(words, words[1:]))
+
+
+def is_novel(text: str, a: int, b: int, cfg: Novelty) -> bool:
+    """Is ``text[a:b]`` incompressible?  Bytes of strings with letters and digits
+    count as they are.  Zstandard stores short unknown words as they are and
+    codes the letters of long strings, so the others, and what stays under the
+    flat bound, are held against a random string, and words by their pairs."""
+    word = text[a:b]
+    around = context_of(text, a, b, cfg.context)
+    size = marginal_bytes(word.encode(), around.encode(), cfg.level)
+    digits = any(c.isdigit() for c in word)
+    mixed = CANDIDATE.fullmatch(word) and digits and (
+        any(c.islower() for c in word) + any(c.isupper() for c in word) > 0)
+    if mixed and size >= cfg.min_ratio * len(word):
+        return True
+    if not word.isdigit() and not any(c.isalpha() for c in word):
+        return False                                       # rules, dates, numbers with signs
+    like = marginal_bytes(random_like(word), around.encode(), cfg.level)
+    if size < cfg.min_ratio * min(len(word), like):
+        return False
+    return word.isdigit() or known_pairs(word, around) < cfg.max_known
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]],
                 cfg: Novelty = Novelty()) -> list[tuple[str, int, int]]:
-    """Incompressible strings in a sensitive context that no base span meets."""
+    """Incompressible strings in a sensitive context that no base span meets:
+    whole ones with their punctuation, else their parts without it."""
     low = text.lower()
     if not any(x in low for x in SENSITIVE_HINTS):
         return []
     out = []
     done = -1
+
+    def free(a, b):
+        return not any(s < b and a < e for _, s, e in base)
     for hint in SENSITIVE.finditer(text):
         lo, hi = hint.start(), hint.end() + cfg.before
         # a name such as access_key_id may hold the hint itself
-        for m in CANDIDATE.finditer(text, max(done, lo), len(text)):
-            a, b = m.span()
-            if a > hi:
+        for run in WIDE.finditer(text, max(done, lo), len(text)):
+            if run.start() > hi:
                 break
-            done = b
-            word = m[0]
-            if a <= hint.start() < b and "=" not in word and ":" not in word:
-                continue                                   # the sensitive word itself
-            if any(s < b and a < e for _, s, e in base):
-                continue
-            kinds = sum(bool(re.search(p, word)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-            if kinds < 2 or not re.search("[0-9]", word):
-                continue                                   # words and names
-            around = context_of(text, a, b, cfg.context)
-            if marginal_bytes(word.encode(), around.encode(), cfg.level) >= cfg.min_ratio * len(word):
+            a, b = wide_span(text, *run.span())
+            if a <= hi and b - a >= 12 and not a <= hint.start() < b and not CANDIDATE.fullmatch(text, a, b) \
+                    and free(a, b) and is_novel(text, a, b, cfg):
                 out.append(("novel", a, b))
+                done = run.end()
+                continue
+            for m in CANDIDATE.finditer(text, *run.span()):
+                a, b = m.span()
+                if a > hi:
+                    break
+                done = b
+                word = m[0]
+                if a <= hint.start() < b and "=" not in word:
+                    continue                               # the sensitive word itself
+                if free(a, b) and is_novel(text, a, b, cfg):
+                    out.append(("novel", a, b))
     return out
 
 
+def wide_span(text: str, a: int, b: int) -> tuple[int, int]:
+    """A run without the sensitive name it is assigned to, and without brackets
+    and stops around it."""
+    name = _NAME.match(text, a, b)
+    if name and SENSITIVE.search(name[0]):
+        a = name.end()
+    a += len(text[a:b]) - len(text[a:b].lstrip("([{,;:"))
+    return a, a + len(text[a:b].rstrip(")]},;:."))
+
+
 def find_secrets(text: str, cfg: Novelty = Novelty()) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end), by start and then kind; base spans first."""
     base = base_spans(text)

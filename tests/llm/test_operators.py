@@ -238,6 +238,27 @@ def test_copies_do_not_hide_a_secret():
         assert key not in secret_scan.redact(text, secret_scan.find_secrets(text))
 
 
+@pytest.mark.parametrize("alphabet,n,least", [
+    (string.ascii_lowercase, 24, 38), (string.ascii_letters, 24, 39), (string.digits, 24, 40),
+    ("0123456789ABCDEF", 96, 40), ("0123456789ABCDEF", 128, 40), ("0123456789ABCDEF", 256, 40)])
+def test_random_strings_of_any_alphabet(alphabet, n, least):
+    rng = random.Random(5)
+    found = 0
+    for _ in range(40):
+        key = random_string(rng, alphabet, n)
+        text = f"the bearer {key} is sent with the request"
+        found += [text[a:b] for _, a, b in secret_scan.find_secrets(text)] == [key]
+    assert found >= least
+
+
+def test_punctuated_secrets_and_plain_words():
+    text = "the passphrase (hT7!vq#Zp2&mX9$kLw) opens it"
+    assert [text[a:b] for _, a, b in secret_scan.find_secrets(text)] == ["hT7!vq#Zp2&mX9$kLw"]
+    for plain in ("authentication characteristics", "token internationalization", "secret getUserAccountSettings()",
+                  "credential http://example.com/account/settings", "token on 2024-01-15/2024-02-20"):
+        assert secret_scan.find_secrets(plain) == []
+
+
 # -- pieces ----------------------------------------------------------------
 
 @pytest.fixture(scope="module")
