@@ -262,16 +262,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw)
     also keeps one row."""
     cols = docs.columns
     groups = checkpointed(near_duplicates(docs, id_col, text, **kw))
-    gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
-    # repeated ids and null ids are rare: settle them apart from the rest
+    # an id used for several texts may go from one component and name another,
+    # so repeated ids and null ids, which are rare, are settled by fingerprint
     odd = groups.groupBy("id").count().where("count > 1 or id is null")
     odd = checkpointed(odd.select(F.col("id").alias("__odd")))
-    if odd.isEmpty():
-        return kept
     key = F.col(id_col).cast("bigint")
-    rare = kept.join(odd, key.eqNullSafe(F.col("__odd")), "left_semi")
-    plain = kept.join(odd, key.eqNullSafe(F.col("__odd")), "left_anti")
+    gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
+    if odd.isEmpty():
+        return docs.join(gone, key == F.col("__gone"), "left_anti")
+    rare = docs.join(odd, key.eqNullSafe(F.col("__odd")), "left_semi")
+    plain = docs.join(odd, key.eqNullSafe(F.col("__odd")), "left_anti") \
+        .join(gone, key == F.col("__gone"), "left_anti")
     return plain.unionByName(_settle(rare, groups, id_col, text, kw.get("shingle", 4))).select(*cols)
 
 

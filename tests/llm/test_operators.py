@@ -144,6 +144,13 @@ def test_near_duplicates_and_keep_one(spark, make_docs, corpus):
     assert kept.count(None) == 1
 
 
+def test_keep_one_with_an_id_of_two_texts(spark, make_docs):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = make_docs([(1, a), (2, a), (2, b), (3, b), (4, a), (4, "some other words"), (4, "some other words")])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == [
+        (1, a), (2, b), (4, "some other words")]
+
+
 # -- decontamination -------------------------------------------------------
 
 def slow_align(a, b):
