@@ -1,7 +1,8 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
-The units of a text are its lines, its paragraphs (between blank lines) and the
-whole text.  For bigram sets A and B the coefficient 2|A & B| / (|A| + |B|) can
+The units of a text are its lines, its paragraphs (between blank lines), the
+whole text, and for each template the runs of words, across lines and
+paragraphs, that begin and end with its bigrams.  For bigram sets A and B the coefficient 2|A & B| / (|A| + |B|) can
 reach t only if |B| lies between |A| t/(2-t) and |A| (2-t)/t: templates outside
 these bounds are never compared.  A match also holds more than the share t/(2-t)
 of a template's bigrams, so it holds one of any words that touch the rest of
@@ -72,9 +73,28 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or "
      "neighboring rights to this work."),
 )
+_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR "
+    "ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE.")
+_ISC_DISCLAIMER = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+    "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+    "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+    "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+    "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+# the whole wordings beside the notices
+TEMPLATES += tuple((n, t + (_ISC_DISCLAIMER if n == "ISC" else _DISCLAIMER)) for n, t in TEMPLATES
+                   if n in ("ISC", "BSD-2-Clause", "BSD-3-Clause"))
 THRESHOLD = 0.8
 _BLANK_LINES = re.compile(r"\n[ \t]*\n")
 _NOT_WORD = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -107,36 +127,96 @@ class Templates:
         self.threshold = threshold
         self.ratio = (2 - threshold) / threshold
         self.anchors = set().union(*(anchors_of(g, threshold) for _, _, g in self.sets))
+        self.holders: dict = {}              # bigram: the templates that hold it
+        for k, (_, _, g) in enumerate(self.sets):
+            for x in g:
+                self.holders.setdefault(x, []).append(k)
 
     def match(self, grams: frozenset) -> list[tuple[str, float]]:
         """(name, coefficient) of the best templates that reach the threshold."""
+        return [x[:2] for x in self.matches(grams)]
+
+    def matches(self, grams: frozenset) -> list[tuple[str, float, int]]:
+        """``match`` with the number of shared bigrams."""
         n, out = len(grams), {}
         lo = bisect_left(self.sizes, n / self.ratio - 1e-9)
         hi = bisect_right(self.sizes, n * self.ratio + 1e-9)
         for size, name, g in self.sets[lo:hi]:
-            dice = 2 * len(grams & g) / (n + size)
+            shared = len(grams & g)
+            dice = 2 * shared / (n + size)
             if dice >= self.threshold:
-                out[name] = max(dice, out.get(name, 0.0))
-        best = max(out.values(), default=0.0)
-        return sorted((k, v) for k, v in out.items() if v == best)
+                out[name] = max((dice, shared), out.get(name, (0.0, 0)))
+        best = max((d for d, _ in out.values()), default=0.0)
+        return sorted((k, d, c) for k, (d, c) in out.items() if d == best)
+
+    def windows(self, words: list[str]):
+        """(first word, last word, name, coefficient, shared bigrams) of runs of
+        words that reach the threshold: from each bigram of a template the best
+        run, among those of a size that can match."""
+        grams = list(zip(words, words[1:]))
+        at: dict[int, list[int]] = {}
+        for i, x in enumerate(grams):
+            for k in self.holders.get(x, ()):
+                at.setdefault(k, []).append(i)
+        for k, hits in at.items():
+            size, name, g = self.sets[k]
+            need, most = size / self.ratio - 1e-9, size * self.ratio + 1e-9
+            reach = int(2 * most) + 1        # twice the size: bigrams may repeat
+            done = -1
+            for n, i in enumerate(hits):
+                if i <= done or bisect_right(hits, i + reach) - n < need:
+                    continue
+                seen, shared, best, end = set(), 0, (0.0, 0), i
+                for j in range(i, min(i + reach, hits[-1]) + 1):
+                    x = grams[j]
+                    if x in seen:
+                        if end == j - 1 and x in g:
+                            end = j          # the run goes on with words it had before
+                        continue
+                    seen.add(x)
+                    if len(seen) > most:
+                        break
+                    if x in g:
+                        shared += 1
+                        if (now := (2 * shared / (len(seen) + size), shared)) > best:
+                            best, end = now, j
+                if best[0] >= self.threshold:
+                    yield i, end + 1, name, *best
+                    if best[0] == 1.0:
+                        done = end
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, name, coefficient) of the units that match, in code
-        points; of overlapping units of one name the best stays (of equals the
-        shortest, then the first)."""
+        points; of overlapping units of one name the best stays (of equals the one
+        that shares most, then the shortest, then the first), of several names
+        those that share most bigrams."""
         low = text.lower()
         if not any(x in low for x in self.anchors):
             return []
-        found = []
+        found, spans, words = [], [], []
+        for m in _WORD.finditer(text):
+            for w in words_of(m[0]):
+                words.append(w)
+                spans.append(m.span())
+        starts, ends = [a for a, _ in spans], [b for _, b in spans]
+        whole: dict = {}                     # the shortest unit of a run of words
         for a, b in units(text):
+            lo, hi = bisect_left(starts, a), bisect_right(ends, b) - 1
+            if lo > hi:
+                continue
+            if (lo, hi) not in whole or b - a < whole[lo, hi][1] - whole[lo, hi][0]:
+                whole[lo, hi] = a, b
             w = words_of(text[a:b])
             if not self.anchors.isdisjoint(w):
-                found += [(a, b, n, d) for n, d in self.match(bigrams(w))]
-        out: list = []
-        for u in sorted(found, key=lambda u: (-u[3], u[1] - u[0], u[0], u[2])):
-            if not any(u[2] == v[2] and u[0] < v[1] and v[0] < u[1] for v in out):
-                out.append(u)
-        return sorted(out)
+                found += [(a, b, *x) for x in self.matches(bigrams(w))]
+        for lo, hi, *x in self.windows(words):
+            found.append((*whole.get((lo, hi), (starts[lo], ends[hi])), *x))
+        best: list = []
+        for u in sorted(found, key=lambda u: (-u[3], -u[4], u[1] - u[0], u[0], u[2])):
+            if not any(u[2] == v[2] and u[0] < v[1] and v[0] < u[1] for v in best):
+                best.append(u)
+        return sorted(u[:4] for u in best if not any(
+            u[0] < v[1] and v[0] < u[1] and (v[4], v[3]) > (u[4], u[3]) for v in best if v[2] != u[2]))
 
 
 def units(text: str) -> list[tuple[int, int]]:

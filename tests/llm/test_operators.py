@@ -342,6 +342,21 @@ def test_license_lines(spark, make_docs):
     assert got == {1: [("MIT", "Released und"), ("MIT", "PERMISSION I")], 2: []}
 
 
+@pytest.mark.parametrize("name,k", [("MIT", 4), ("BSD-2-Clause", -2), ("BSD-3-Clause", -1), ("ISC", -3)])
+def test_licenses_across_lines_and_paragraphs(name, k):
+    known, wording = licenses.Templates(), licenses.TEMPLATES[k]
+    assert wording[0] == name
+    body, other = wording[1], " ".join(f"word{i}" for i in range(150))
+    wrapped = re.sub(r"((?:\S+ ){9})", r"\1\n", body)
+    for mid in (body.replace(". ", ".\n\n"), wrapped, body):
+        for text in (f"{other}\n\n{mid}\n\n{other}", f"{other} {mid} {other}"):
+            hit, = known.scan(text)
+            assert hit[2] == name and hit[3] > 0.95
+            assert licenses.words_of(text[hit[0]:hit[1]]) == licenses.words_of(body)
+    (a, b, n, d), = known.scan(text := f"{other} released under the\nMIT License {other}")
+    assert (n, d, text[a:b]) == ("MIT", 1.0, "released under the\nMIT License")
+
+
 # -- languages -------------------------------------------------------------
 
 def test_language_held_out_accuracy(spark, corpus):
