@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, licenses, lm, pieces, quality, secret_scan, simhash
+from . import (chat, decontaminate, fim, langid, licenses, lm, pieces, quality, secret_scan, simhash, url_rules,
+               whitening)
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,9 +16,14 @@ QUERIES = {
     "op8_license_scans": licenses.op8_license_scans,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_secret_scans": secret_scan.op10_secret_scans,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_url_filters": url_rules.op13_url_filters,
 }
 
 SQL = {
     "op4_quality_rules": quality.OP4_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
+    "op13_url_filters": url_rules.OP13_SQL,
 }
