@@ -2,11 +2,20 @@
 
 Spark's exact ``percentile`` aggregate keeps a value -> count map and merges it
 in one final task; with high-cardinality money values that map is the whole
-column.  Here each requested rank is searched by histogram: every pass counts
-the rows of ``BUCKETS`` equal slices of the range that still holds a rank (one
-map-side combined aggregate with a bounded result) and goes on with the slice
-that holds it, until that slice is one value.  No rows are sorted, shuffled
-whole or kept, and the plan is the same at every size.
+column.  Here two passes select the ranks exactly:
+
+1. A mergeable quantile sketch (``percentile_approx``) gives two values around
+   each wanted rank, beside the count, sum, minimum and maximum.
+2. Rows between two such values (a few ten-thousandths of all) are counted per
+   value, all other rows per gap between them; both are map-side combined.  In
+   their order (range-partitioned, running sums per partition) the rank's value
+   is the one whose running count passes it.
+
+If a rank lies in a gap all the same (doubles that cannot tell two decimals
+apart), a third pass takes that gap as its bracket, which cannot miss.
+
+The passes run when the function is called: the second one's filter is the
+first one's result, and the range sort of the bracket needs a checkpoint.
 """
 
 from __future__ import annotations
@@ -17,50 +26,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
+from .joins import checkpointed
+from .ranking import rows_before
+
+#: The sketch's ranks are right to the row count over this.
+ACCURACY = 10_000
 
-BUCKETS = 4096
-
-
-def _slices(df: DataFrame, ranges: list[tuple]) -> dict[int, list[tuple]]:
-    """Per range: (count, least, greatest) of its non-empty slices, in order."""
-    v, d = F.col("v"), F.col("v").cast("double")
-    seg, slot = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for i, (lo, hi) in enumerate(ranges):
-        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-        a, b = float(lo), float(hi)
-        # monotone in v; where doubles cannot tell two values apart, by value
-        at = (F.least(F.lit(BUCKETS - 1), F.floor((d - a) / F.lit(b - a) * BUCKETS)).cast("int")
-              if b > a else F.when(v == F.lit(lo), 0).otherwise(1))
-        seg, slot = F.when(inside, i).otherwise(seg), F.when(inside, at).otherwise(slot)
-    rows = (df.select("v", seg.alias("s"), slot.alias("k")).where("s is not null")
-              .groupBy("s", "k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"),
-                                     F.max("v").alias("b")).collect())
-    out: dict[int, list[tuple]] = {i: [] for i in range(len(ranges))}
-    for r in sorted(rows, key=lambda r: (r["s"], r["k"])):
-        out[r["s"]].append((r["n"], r["a"], r["b"]))
-    return out
-
-
-def select_ranks(df: DataFrame, ranks: list[int], lo, hi) -> dict[int, object]:
-    """The values at 0-based ``ranks`` of the non-null column ``v`` in [lo, hi]."""
-    found: dict[int, object] = {}
-    left = {r: (r, lo, hi) for r in ranks}         # rank -> (rank inside, range)
-    while left:
-        for r, (_, a, b) in list(left.items()):
-            if a == b:
-                found[r] = a
-                del left[r]
-        if not left:
-            break
-        ranges = sorted({(a, b) for _, a, b in left.values()})
-        counts = _slices(df, ranges)
-        for r, (inside, a, b) in list(left.items()):
-            for n, x, y in counts[ranges.index((a, b))]:
-                if inside < n:
-                    left[r] = (inside, x, y)
-                    break
-                inside -= n
-    return found
+
+def bracketed(v: DataFrame, brackets: list[tuple]) -> DataFrame:
+    """The rows of ``v`` counted per value inside the closed ``brackets`` (``x``)
+    and per gap outside (``x`` NULL): ``c``, least ``lo`` and greatest ``hi``."""
+    c = F.col("v")
+    inside, passed = F.lit(False), F.lit(0)
+    for lo, hi in brackets:
+        inside = inside | c.between(F.lit(lo), F.lit(hi))
+        passed = passed + (c > F.lit(hi)).cast("int")
+    return v.groupBy(F.when(inside, c).alias("x"), F.when(~inside, passed).alias("gap")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).drop("gap")
+
+
+def select_ranks(v: DataFrame, ranks: list[int], brackets: list[tuple]) -> DataFrame:
+    """One row with ``at<rank>``, the values at the 0-based ``ranks`` of ``v``
+    (not NULL); the brackets say where they are expected."""
+    def holds(r: int):
+        return (F.col("_before") <= r) & (F.col("_before") + F.col("c") > r)
+    while True:
+        rows = checkpointed(rows_before(bracketed(v, brackets), [F.col("lo").asc()], "c"))
+        wanted = F.lit(False)
+        for r in ranks:
+            wanted = wanted | holds(r)
+        gaps = rows.where(wanted & F.col("x").isNull()).select("lo", "hi").collect()   # a few ranks
+        if not gaps:
+            return rows.agg(*[F.max(F.when(holds(r), F.col("x"))).alias(f"at{r}") for r in ranks])
+        brackets = [*brackets, *((g["lo"], g["hi"]) for g in gaps)]
 
 
 def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float],
@@ -70,24 +68,25 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float],
     input gives NULLs.  With ``summary`` the row also carries ``_n`` (non-NULL
     count), ``_sum`` (exact sum in the column's type), ``_min`` and ``_max``."""
     v = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
+    around = sorted({min(1.0, max(0.0, p + d / ACCURACY)) for p in probs.values() for d in (-2, 2)})
     one = v.agg(F.sum("v").alias("_sum"), F.min("v").alias("_min"), F.max("v").alias("_max"),
-                F.count("v").alias("_n"))
+                F.count("v").alias("_n"), F.percentile_approx("v", around, ACCURACY).alias("_at"))
     row = one.first()
-    n = row["_n"]
+    n, types = row["_n"], dict(one.dtypes)
+    extra = [F.lit(row[c]).cast(types[c]).alias(c) for c in ("_sum", "_min", "_max", "_n")] if summary else []
+    if not n:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(k) for k in probs], *extra)
+    value = dict(zip(around, row["_at"])) | {0.0: row["_min"], 1.0: row["_max"]}
+    brackets = sorted({(value[min(1.0, max(0.0, p - 2 / ACCURACY))], value[min(1.0, max(0.0, p + 2 / ACCURACY))])
+                       for p in probs.values()})
     places = {k: p * (n - 1) for k, p in probs.items()}
-    ranks = {f(x) for x in places.values() for f in (math.floor, math.ceil)} if n else set()
-    at = select_ranks(v, sorted(ranks), row["_min"], row["_max"]) if n else {}
-    cols = []
-    for k, x in places.items():
-        if not n:
-            cols.append(F.lit(None).cast("double").alias(k))
-            continue
-        a, b = float(at[math.floor(x)]), float(at[math.ceil(x)])
-        cols.append(F.lit(a + (b - a) * (x - math.floor(x))).alias(k))
-    types = dict(one.dtypes)
-    if summary:
-        cols += [F.lit(row[c]).cast(types[c]).alias(c) for c in ("_sum", "_min", "_max", "_n")]
-    return df.sparkSession.range(1).select(*cols)
+    ranks = sorted({f(x) for x in places.values() for f in (math.floor, math.ceil)})
+    at = select_ranks(v, ranks, brackets)
+
+    def between(x: float):
+        a, b = F.col(f"at{math.floor(x)}").cast("double"), F.col(f"at{math.ceil(x)}").cast("double")
+        return a + (b - a) * F.lit(x - math.floor(x))
+    return at.select(*[between(x).alias(k) for k, x in places.items()], *extra)
 
 
 def percentiles(df: DataFrame, column: str, probs: dict[str, float],

@@ -1,18 +1,22 @@
 """Global ranking without a single-task window.
 
 ``Window.orderBy(...)`` with no ``partitionBy`` sends every row to one task.
-:func:`rank_all` computes RANK, DENSE_RANK, ROW_NUMBER, NTILE and PERCENT_RANK
-over a global order with one plan at every size:
-
-* the rows are range-partitioned and sorted on a unique key, so a row's place in
-  its partition is known without a window; partitions' row counts (one row each,
-  so their broadcast is bounded) turn places into global row numbers;
-* NTILE is arithmetic on the row number and the row count;
+:func:`rank_many` computes RANK, DENSE_RANK, ROW_NUMBER, NTILE and PERCENT_RANK
+over any number of global orders with one plan at every size:
+
+* with several orders each row is copied once per order, tagged with the order's
+  number and holding that order's sort values only; one range shuffle by (tag,
+  sort values) sorts them all, so a row's place in its partition is known without
+  a window (:func:`placed`);
+* the row counts per partition and tag (one row each, so their broadcast is
+  bounded) turn places into row numbers of each order;
+* the copies of a row meet again by its key; NTILE is arithmetic on the row
+  number and the row count;
 * RANK and PERCENT_RANK of a value are its least row number, found per value
-  with a map-side combined aggregate and joined back, DENSE_RANK the row number
-  of the value among the different values.
+  with a map-side combined aggregate and joined back; DENSE_RANK counts those
+  least rows, again per partition first.
 
-The numbered rows are checkpointed, as range bounds come from a sample and two
+The sorted rows are checkpointed, as range bounds come from a sample and two
 evaluations may cut differently.
 """
 
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
+from .joins import checkpointed, join_counted
 
 
 @dataclass(frozen=True)
@@ -66,28 +71,31 @@ def ntile_of(rn: Column, n: Column | int, k: int) -> Column:
             .cast("long")
 
 
-def numbered(df: DataFrame, keys: list[Key], out: str) -> DataFrame:
-    """Add ``out``: the 1-based place of each row in the global order ``keys``,
-    which must be unique per row."""
-    spark = df.sparkSession
-    sort = [k.sort() for k in keys]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    r = (df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
-           .withColumn("_m", F.monotonically_increasing_id()))
-    r = checkpointed(r).withColumn("_b", F.shiftright("_m", 33))
-    counts = r.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    ordered = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = counts.select("_b", (F.sum("_n").over(ordered) - F.col("_n")).alias("_off"))
-    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return (r.join(F.broadcast(before), "_b")
-             .withColumn(out, F.col("_off") + place + 1).drop("_b", "_m", "_off"))
+def _to_here(w=Window):
+    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint folder."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def placed(df: DataFrame, group: str, sort: list[Column]) -> DataFrame:
+    """Add ``_rn``, the 1-based place of each row in the order ``sort`` of the
+    rows with its ``group``, and ``_all``, their number.  ``sort`` must be unique
+    per row of a group; the groups are few (orders, kinds of entity).  One range
+    shuffle and one checkpoint, however many groups there are."""
+    order = [F.col(group), *sort]
+    r = (df.repartitionByRange(_partitions(df), *order).sortWithinPartitions(*order)
+           .withColumn("_m", F.monotonically_increasing_id()))
+    r = checkpointed(r)
+    r = r.withColumns({"_b": F.shiftright("_m", 33), "_p": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    # one row per partition and group that meet: partitions + groups at most
+    runs = r.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_p0"))
+    w = Window.partitionBy(group)
+    runs = runs.select(F.col(group).alias("_g"), F.col("_b").alias("_rb"), F.sum("_n").over(w).alias("_all"),
+                       (F.sum("_n").over(_to_here(w.orderBy("_b"))) - F.col("_n") - F.col("_p0")).alias("_off"))
+    return (r.join(F.broadcast(runs), (F.col("_b") == F.col("_rb")) & F.col(group).eqNullSafe(F.col("_g")))
+             .withColumn("_rn", F.col("_off") + F.col("_p") + 1).drop("_m", "_p", "_off", "_g", "_rb"))
 
 
 def rank_all(df: DataFrame, by, tie=(), *, rank: str | None = None,
@@ -110,76 +118,136 @@ def rank_many(df: DataFrame, specs: list[dict], *, cfg: Config = DEFAULTS) -> Da
 
     Each spec is a dict with ``by``, optional ``tie``, output names (``rank``,
     ``dense_rank``, ``row_number``, ``ntile=(k, name)``, ``percent_rank``) and
-    optional ``with_`` (columns computed from earlier specs' outputs first)."""
-    for spec in specs:
-        if spec.get("with_"):
-            df = df.withColumns(spec["with_"])
-        df = _rank_one(df, spec)
+    optional ``with_`` (columns computed from earlier specs' outputs first).
+    Specs up to the next ``with_`` share one range shuffle; where there are
+    several of them their ``tie`` must be the same and name a unique key.
+    ``few`` marks a rank over a score with a bounded number of values."""
+    batch: list[dict] = []
+    for spec in [*specs, None]:
+        if batch and (spec is None or spec.get("with_") or _only_ranked(spec) or _only_ranked(batch[0])):
+            df = _rank_values(df, batch[0], cfg) if _only_ranked(batch[0]) else _rank_batch(df, batch)
+            batch = []
+        if spec is not None:
+            if spec.get("with_"):
+                df = df.withColumns(spec["with_"])
+            batch.append(spec)
     return df
 
 
+def _only_ranked(spec: dict) -> bool:
+    """Only values are ordered, so they are counted first."""
+    return not (spec.get("row_number") or spec.get("ntile") or spec.get("dense_rank"))
+
+
 def _ntiles(spec) -> list[tuple[int, str]]:
     nt = spec.get("ntile")
     return [] if nt is None else ([nt] if isinstance(nt, tuple) else list(nt))
 
 
-def _rank_one(df: DataFrame, spec: dict) -> DataFrame:
-    by = _keys(spec["by"])
-    names = [k.name for k in by]
-    tiles = _ntiles(spec)
-    if spec.get("row_number") or tiles:
-        df = numbered(df, by + _keys(spec.get("tie") or ()), "_rn")
-        cols = {}
-        if tiles:
-            df = _with_count(df)
-        for k, name in tiles:
-            cols[name] = ntile_of(F.col("_rn"), F.col("_all"), k)
+def _rank_batch(df: DataFrame, specs: list[dict]) -> DataFrame:
+    """Specs over one input by one range shuffle."""
+    columns, orders = df.columns, [_keys(s["by"]) + _keys(s.get("tie") or ()) for s in specs]
+    if len(specs) == 1:
+        rows = placed(df.withColumn("_o", F.lit(0)), "_o", [k.sort() for k in orders[0]])
+        out = rows.withColumnsRenamed({"_rn": "_rn0"})
+    else:
+        key = [k.name for k in _keys(specs[0]["tie"])]
+        if any([k.name for k in _keys(s.get("tie") or ())] != key for s in specs):
+            raise ValueError("specs that are ranked together need one and the same tie key")
+        rest = [c for c in columns if c not in key]
+        # a copy per order: its own sort values, the other columns on the first only
+        copies = df.select("*", F.explode(F.array(*map(F.lit, range(len(specs))))).alias("_o"))
+        sorts = {f"_s{i}_{j}": (i, k) for i, by in enumerate(orders) for j, k in enumerate(by) if k.name not in key}
+        copies = copies.select(
+            *key, "_o", *[F.when(F.col("_o") == i, F.col(k.name)).alias(c) for c, (i, k) in sorts.items()],
+            *[F.when(F.col("_o") == 0, F.col(c)).alias(c) for c in rest])
+        # rows of one order have NULL in the others' sort columns: no say in its order
+        rows = placed(copies, "_o", [k.sort(F.col(c)) for c, (_, k) in sorts.items()]
+                      + [k.sort() for k in orders[0] if k.name in key])
+        out = rows.groupBy(*key).agg(
+            F.max("_all").alias("_all"), *[F.max(F.when(F.col("_o") == 0, F.col(c))).alias(c) for c in rest],
+            *[F.max(F.when(F.col("_o") == i, F.col("_rn"))).alias(f"_rn{i}") for i in range(len(specs))])
+    cols: dict[str, Column] = {}
+    for i, spec in enumerate(specs):
+        for k, name in _ntiles(spec):
+            cols[name] = ntile_of(F.col(f"_rn{i}"), F.col("_all"), k)
         if spec.get("row_number"):
-            cols[spec["row_number"]] = F.col("_rn").cast("long")
-        df = df.withColumns(cols)
-        least = df.groupBy(*names).agg(F.min("_rn").alias("_rank"))
-    elif spec.get("rank") or spec.get("percent_rank"):
-        # only the values are ordered: their rows are counted first
+            cols[spec["row_number"]] = F.col(f"_rn{i}").cast("long")
+        if spec.get("rank") or spec.get("dense_rank") or spec.get("percent_rank"):
+            names = [k.name for k in _keys(spec["by"])]
+            one = rows.where(F.col("_o") == i)
+            if len(specs) > 1:
+                one = one.withColumns({k.name: F.col(c) for c, (n, k) in sorts.items() if n == i})
+            ranks = _ranks_of(one, names, bool(spec.get("dense_rank")))
+            out = join_on_keys(out, ranks.withColumnsRenamed({"_rank": f"_rank{i}", "_dense": f"_dense{i}"}), names)
+            if spec.get("dense_rank"):
+                cols[spec["dense_rank"]] = F.col(f"_dense{i}").cast("long")
+            cols |= _rank_columns(spec, F.col(f"_rank{i}"))
+    return out.select(*columns, *[c.alias(name) for name, c in cols.items()])
+
+
+def _ranks_of(rows: DataFrame, names: list[str], dense: bool) -> DataFrame:
+    """Per value its ``_rank``, the least row number, and ``_dense``, the number
+    of values up to it.  Values are counted per partition of the sorted rows."""
+    least = rows.groupBy(*names).agg(F.min(F.struct("_rn", "_b")).alias("_at"))
+    least = least.select(*names, F.col("_at._rn").alias("_rank"), F.col("_at._b").alias("_b"))
+    if not dense:
+        return least.drop("_b")
+    heads = least.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    heads = heads.select(F.col("_b").alias("_hb"), (F.sum("_n").over(_to_here(Window.orderBy("_b")))
+                                                    - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_rank"))
+    return least.withColumn("_place", place).join(F.broadcast(heads), F.col("_b") == F.col("_hb")) \
+        .select(*names, "_rank", (F.col("_before") + F.col("_place")).alias("_dense"))
+
+
+def _rank_columns(spec: dict, rank: Column) -> dict[str, Column]:
+    """The outputs that follow from the rank and ``_all``."""
+    cols = {}
+    if spec.get("rank"):
+        cols[spec["rank"]] = rank.cast("long")
+    if spec.get("percent_rank"):
+        cols[spec["percent_rank"]] = F.when(F.col("_all") <= 1, F.lit(0.0)).otherwise(
+            (rank - 1) / F.greatest(F.col("_all") - 1, F.lit(1)))
+    return cols
+
+
+def _rank_values(df: DataFrame, spec: dict, cfg: Config) -> DataFrame:
+    """RANK and PERCENT_RANK by the values' row counts."""
+    by = _keys(spec["by"])
+    names, columns = [k.name for k in by], df.columns
+    if spec.get("few"):
+        side = F.broadcast(_few_values(df, by))
+    else:
         df = checkpointed(df)
-        least = _ranked_values(df, by)
-    if not (spec.get("rank") or spec.get("dense_rank") or spec.get("percent_rank")):
-        return df.drop("_rn", "_all")
-    if spec.get("dense_rank"):
-        dense = numbered(df.select(*names).distinct(), by, "_dense")
-        df = join_on_keys(df, dense, names).withColumn(spec["dense_rank"], F.col("_dense").cast("long"))
-    if spec.get("rank") or spec.get("percent_rank"):
-        if spec.get("percent_rank") and "_all" not in df.columns:
-            df = _with_count(df)
-        df = join_on_keys(df, least, names)
-        if spec.get("rank"):
-            df = df.withColumn(spec["rank"], F.col("_rank").cast("long"))
-        if spec.get("percent_rank"):
-            df = df.withColumn(spec["percent_rank"], F.when(F.col("_all") <= 1, F.lit(0.0)).otherwise(
-                (F.col("_rank") - 1) / F.greatest(F.col("_all") - 1, F.lit(1))))
-    return df.drop("_rn", "_all", "_dense", "_rank")
-
-
-def _with_count(df: DataFrame) -> DataFrame:
-    """Add ``_all``, the row count (one row, broadcast)."""
-    return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all"))))
-
-
-def _ranked_values(df: DataFrame, by: list[Key]) -> DataFrame:
-    """The different values of the keys with ``_rank``: 1 + the rows before.
-    Values are range-partitioned; their running row counts stay in a partition,
-    and the partitions' totals (one row each) are broadcast."""
-    names = [k.name for k in by]
-    sort = [k.sort() for k in by]
-    # few rows; checkpointed so that sampling the range bounds reads no fact
-    counts = checkpointed(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_c")))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    r = checkpointed(counts.repartitionByRange(parts, *sort).withColumn("_b", F.spark_partition_id()))
-    to_here = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = r.groupBy("_b").agg(F.sum("_c").alias("_n"))
-    before = totals.select("_b", (F.sum("_n").over(to_here.orderBy("_b")) - F.col("_n")).alias("_off"))
-    place = F.sum("_c").over(to_here.partitionBy("_b").orderBy(*sort)) - F.col("_c")
-    return (r.withColumn("_place", place).join(F.broadcast(before), "_b")
-             .select(*names, (F.col("_off") + F.col("_place") + 1).alias("_rank")))
+        counts = checkpointed(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_c")))
+        side = rows_before(counts, [k.sort() for k in by], "_c").withColumn("_rank", F.col("_before") + 1)
+    if spec.get("percent_rank"):
+        df = df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all"))))
+    out = join_on_keys(df, side.select(*names, "_rank"), names)
+    return out.select(*columns, *[c.alias(name) for name, c in _rank_columns(spec, F.col("_rank")).items()])
+
+
+def _few_values(df: DataFrame, by: list[Key]) -> DataFrame:
+    """The values of a bounded score with ``_rank``: one row per value, so their
+    window stays in one task."""
+    counts = df.groupBy(*[k.name for k in by]).agg(F.count(F.lit(1)).alias("_c"))
+    running = F.sum("_c").over(_to_here(Window.orderBy(*[k.sort() for k in by])))
+    return counts.select(*[k.name for k in by], (running - F.col("_c") + 1).alias("_rank"))
+
+
+def rows_before(counts: DataFrame, sort: list[Column], count: str) -> DataFrame:
+    """Add ``_before``: the sum of ``count`` over the rows before, in the order
+    ``sort`` (unique).  Rows are range-partitioned; running sums stay in a
+    partition, and the partitions' totals (one row each) are broadcast."""
+    r = checkpointed(counts.repartitionByRange(_partitions(counts), *sort)
+                     .withColumn("_b", F.spark_partition_id()))
+    totals = r.groupBy("_b").agg(F.sum(count).alias("_n"))
+    before = totals.select(F.col("_b").alias("_rb"), (F.sum("_n").over(_to_here(Window.orderBy("_b")))
+                                                      - F.col("_n")).alias("_off"))
+    inside = F.sum(count).over(_to_here(Window.partitionBy("_b").orderBy(*sort))) - F.col(count)
+    return (r.withColumn("_in", inside).join(F.broadcast(before), F.col("_b") == F.col("_rb"))
+             .withColumn("_before", F.col("_off") + F.col("_in")).drop("_b", "_rb", "_off", "_in"))
 
 
 def join_on_keys(df: DataFrame, side: DataFrame, names: list[str]) -> DataFrame:
@@ -197,12 +265,11 @@ def join_on_keys(df: DataFrame, side: DataFrame, names: list[str]) -> DataFrame:
 def rank_by_counts(df: DataFrame, by, *, rank: str, cfg: Config = DEFAULTS) -> DataFrame:
     """RANK of rows over a key with few values (a bounded score): 1 + the rows
     with a strictly earlier key.  Counts per value are combined map-side, so a
-    value with a third of all rows costs one row; the rows are not ordered."""
+    value with a third of all rows costs one row; the rows are neither ordered
+    nor moved: the ranked values are counted and broadcast."""
     by_k = _keys(by)
-    names = [k.name for k in by_k]
-    least = _ranked_values(df, by_k).withColumnRenamed("_rank", rank)
-    out = join_on_keys(df, least, names)
-    return out.select(*df.columns, F.col(rank).cast("long").alias(rank))
+    side = _few_values(df, by_k).withColumn(rank, F.col("_rank").cast("long")).drop("_rank")
+    return join_counted(df, side, [k.name for k in by_k]).select(*df.columns, rank)
 
 
 def top_k_per_group(df: DataFrame, group, order, k: int, rank_col: str = "rank") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .ranking import checkpointed
+from .joins import checkpointed
 
 
 def grand(c) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
 from ..operators import timeseries as TS
-from ..operators.ranking import checkpointed, rank_all, rank_by_counts, rank_many, top_k_per_group
+from ..operators.joins import checkpointed
+from ..operators.ranking import rank_all, rank_by_counts, rank_many, top_k_per_group
 from ..operators.shares import distribution
 from .operations import entity_metrics
 from .revenue import monthly_revenue
@@ -47,8 +48,8 @@ def doctor_metrics(adm: DataFrame) -> DataFrame:
 
 
 def a03_doctor_scorecard(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Four NTILE(4) dimension scores, weighted into one composite, ranked.
-    Weights are integer percentages so ties in the score stay exact."""
+    """Four NTILE(4) dimension scores, weighted into one composite, ranked.  The
+    four orders share one range shuffle.  Weights are integer percentages so ties in the score stay exact."""
     m = doctor_metrics(adm)
     wv, wr, wo, we = cfg.score_weights
     score = (F.col("volume_score") * wv + F.col("revenue_score") * wr
@@ -58,7 +59,8 @@ def a03_doctor_scorecard(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
         dict(by=[("_rev", False)], tie=["doctor"], ntile=(4, "revenue_score")),
         dict(by=[("normal_outcome_rate", False)], tie=["doctor"], ntile=(4, "outcome_score")),
         dict(by=[("avg_los", True)], tie=["doctor"], ntile=(4, "efficiency_score")),
-        dict(with_={"_score100": score}, by=[("_score100", True)], rank="overall_rank"),
+        # four quartiles weighted: at most 4^4 scores
+        dict(with_={"_score100": score}, by=[("_score100", True)], rank="overall_rank", few=True),
     ], cfg=cfg)
     return m.select(
         "doctor", "total_patients", X.rhu("_rev", 2).alias("total_revenue"),
@@ -87,7 +89,8 @@ def a04_condition_insurer_cohorts(adm: DataFrame, cfg: Config = DEFAULTS) -> Dat
 def a05_patient_risk(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Per-admission risk points, score, tier and global rank by score.  The
     score is a small bounded integer, so the global RANK comes from counts per
-    score (no single-task window over the rows)."""
+    score (no single-task window over the rows), which are joined to the rows
+    where these are read."""
     r = X.with_risk(adm, cfg)
     r = r.select(*cfg.row_keys, "age_points", "type_points", "result_points",
                  "billing_points", "risk_score", "risk_tier")

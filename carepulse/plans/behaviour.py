@@ -17,8 +17,8 @@ from ..operators.shares import distribution, grand
 
 
 def b01_los_overall(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Average, minimum, maximum and median length of stay, all from one set of
-    per-value counts (one scan)."""
+    """Average, minimum, maximum and median length of stay: one scan for all but
+    the median, whose exact rank takes a second one."""
     q = percentiles(adm, "length_of_stay", {"median_los": 0.5}, cfg, summary=True)
     return q.select(X.rhu(X.safe_div("_sum", "_n"), 2).alias("avg_los"),
                     F.col("_min").cast("long").alias("min_los"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
+from ..operators.joins import join_counted
 from ..operators.shares import distribution
 from ..sources.schema import COLUMNS
 
@@ -50,18 +51,18 @@ def e03_duplicate_audit(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 
 def e11_full_duplicate_audit(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Rows equal in all columns of the source file, with their copies.  Only a
-    128-bit fingerprint is shuffled for every row; the columns themselves are
-    grouped for rows whose fingerprint occurs twice."""
+    """Rows equal in all columns of the source file, with their copies.  A
+    128-bit fingerprint is counted for every row first; the fingerprints that
+    occur twice are measured and, below the byte bound, broadcast, so only the
+    rows that have one leave the task that reads them."""
     def mark(c):      # the length tells values apart, a dash is a NULL
         s = F.col(c).cast("string")
         return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
-    fp = F.unhex(F.md5(F.concat_ws("|", *[mark(c) for c in COLUMNS])))
-    rows = adm.select(*COLUMNS, fp.alias("_fp"))
+    rows = adm.select(*COLUMNS, F.unhex(F.md5(F.concat_ws("|", *[mark(c) for c in COLUMNS]))).alias("_fp"))
     twice = rows.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_fp")
-    return (rows.join(twice, "_fp", "left_semi").groupBy(*COLUMNS)
-                .agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
-                .withColumn("billing_amount", F.col("billing_amount").cast("double")))
+    return (join_counted(rows, twice, ["_fp"], "left_semi").groupBy(*COLUMNS)
+            .agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+            .withColumn("billing_amount", F.col("billing_amount").cast("double")))
 
 
 def range_rules(cfg: Config = DEFAULTS) -> dict:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
-from ..operators.ranking import rank_all
+from ..operators.joins import join_counted
+from ..operators.ranking import ntile_of, placed
 from ..operators.shares import distribution, with_totals
 from .revenue import top_n_by
 
@@ -87,9 +88,11 @@ def o05_revenue_per_day_admission_type(adm: DataFrame, cfg: Config = DEFAULTS) -
 def o06_long_stay_patients(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Admissions staying longer than ``long_stay_factor`` times their
     condition's average (an equi-join of the rows to a per-condition aggregate,
-    then a row filter).  Spark chooses the join by bytes and splits hot keys."""
-    avg = adm.groupBy("medical_condition").agg(X.avg_exact(F.col("length_of_stay")).alias("_avg"))
-    j = adm.join(avg, "medical_condition")
+    then a row filter).  The averages are computed and measured first, so the
+    rows are filtered where they are read."""
+    avg = adm.groupBy("medical_condition").agg(X.avg_exact(F.col("length_of_stay")).alias("_avg")) \
+        .where(F.col("medical_condition").isNotNull())
+    j = join_counted(adm, avg, ["medical_condition"])
     j = j.filter(F.col("length_of_stay") > F.col("_avg") * cfg.long_stay_factor)
     return j.select(*cfg.row_keys, "medical_condition", "hospital",
                     F.col("billing_amount").cast("double").alias("billing_amount"),
@@ -139,21 +142,21 @@ def o09_doctor_bar(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
                     F.col("_n").alias("total_patients"), "revenue_rank")
 
 
-def _quartile_extremes(adm: DataFrame, key: str, cfg: Config) -> DataFrame:
-    """Entities of one kind in the top and bottom revenue quartile."""
-    g = adm.groupBy(key).agg(F.sum(F.col("billing_amount")).alias("_rev"))
-    q = rank_all(g, [("_rev", True)], [key], ntile=(4, "revenue_quartile"), cfg=cfg)
-    q = q.filter(F.col("revenue_quartile").isin(1, 4))
-    return q.select(F.lit(key).alias("entity_type"), F.col(key).alias("entity"),
-                    X.rhu("_rev", 2).alias("revenue"), "revenue_quartile",
-                    F.when(F.col("revenue_quartile") == 1, "Top").otherwise("Bottom")
-                    .alias("performer"))
-
-
 def o10_top_bottom_performers(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Top- and bottom-quartile hospitals and doctors by revenue."""
-    return _quartile_extremes(adm, "hospital", cfg).unionByName(
-        _quartile_extremes(adm, "doctor", cfg))
+    """Top- and bottom-quartile hospitals and doctors by revenue: both kinds of
+    entity from one scan (grouping sets over hospital x doctor cells) and ranked
+    by one range shuffle."""
+    cells = adm.groupBy("hospital", "doctor").agg(F.sum("billing_amount").alias("_rev"))
+    g = cells.groupingSets([["hospital"], ["doctor"]], "hospital", "doctor").agg(
+        F.grouping("hospital").alias("_g"), F.sum("_rev").alias("_rev"))
+    by_doctor = F.col("_g") == 1
+    g = g.select(F.when(by_doctor, "doctor").otherwise("hospital").alias("entity_type"),
+                 F.when(by_doctor, F.col("doctor")).otherwise(F.col("hospital")).alias("entity"), "_rev")
+    q = placed(g, "entity_type", [F.col("_rev").desc_nulls_last(), F.col("entity").asc_nulls_first()])
+    q = q.withColumn("revenue_quartile", ntile_of(F.col("_rn"), F.col("_all"), 4))
+    return q.filter(F.col("revenue_quartile").isin(1, 4)).select(
+        "entity_type", "entity", X.rhu("_rev", 2).alias("revenue"), "revenue_quartile",
+        F.when(F.col("revenue_quartile") == 1, "Top").otherwise("Bottom").alias("performer"))
 
 
 def o11_gap_to_network(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:

@@ -14,9 +14,9 @@ from ..operators.shares import grand
 
 
 def r01_billing_kpis(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Total, average, median and quartiles of billing (exact percentiles).
-    Total and average come from the same per-value counts as the percentiles
-    (exact DECIMAL sum of value x count), so the fact is scanned once."""
+    """Total, average, median and quartiles of billing (exact percentiles): one
+    scan gives total, average and a sketch, a second the exact ranks (a third
+    only where doubles cannot tell the values apart)."""
     q = percentiles(adm, "billing_amount",
                     {"median_billing": 0.5, "p25_billing": 0.25, "p75_billing": 0.75}, cfg,
                     summary=True)

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from carepulse.operators.quantiles import exact_percentiles
-from carepulse.operators.ranking import Key, ntile_of, rank_all, rank_by_counts
+from carepulse.operators.ranking import Key, ntile_of, placed, rank_all, rank_by_counts, rank_many
 
 
 def _frame(spark, n, seed, null_every=11, distinct=13):
@@ -103,3 +103,65 @@ def test_percentiles_of_decimals_that_doubles_merge(spark):
     df = spark.createDataFrame([(v,) for v in vals], "s string").selectExpr("CAST(s AS DECIMAL(20,2)) AS v")
     got = exact_percentiles(df, "v", {"p50": 0.5}, summary=True).first()
     assert got["p50"] == 9007199254740992.02 and got["_n"] == 9
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 7, 57, 400])
+def test_several_orders_at_once_equal_windows(spark, n):
+    """Orders of several types, directions and NULL places over one input, with
+    rows that carry other columns, by one range shuffle."""
+    rnd = random.Random(n)
+    rows = [(i, rnd.choice([None, 1.5, 2.5, -1.0]), rnd.choice([None, "a", "b"]), rnd.randrange(5),
+             rnd.choice([None, "x"])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, k double, s string, c int, other string") \
+        .selectExpr("id", "k", "s", "CAST(c AS DECIMAL(28,2)) AS c", "other")
+    got = rank_many(df, [
+        dict(by=[Key("k", True)], tie=["id"], ntile=(4, "q"), rank="rk"),
+        dict(by=["s", Key("c", True)], tie=["id"], row_number="rn", dense_rank="dr"),
+        dict(by=[Key("c", False, False)], tie=["id"], ntile=[(3, "t"), (2, "h")], percent_rank="pr"),
+        dict(with_={"sum": F.col("q") + F.col("t")}, by=[("sum", True)], rank="few", few=True),
+        dict(by=["h"], rank="last")])
+    a, b, c = [F.col("k").desc()], [F.col("s"), F.col("c").desc()], [F.col("c").asc_nulls_last()]
+    exp = df.withColumns({
+        "q": F.ntile(4).over(Window.orderBy(*a, "id")), "rk": F.rank().over(Window.orderBy(*a)),
+        "rn": F.row_number().over(Window.orderBy(*b, "id")), "dr": F.dense_rank().over(Window.orderBy(*b)),
+        "t": F.ntile(3).over(Window.orderBy(*c, "id")), "h": F.ntile(2).over(Window.orderBy(*c, "id")),
+        "pr": F.percent_rank().over(Window.orderBy(*c))}).withColumn("sum", F.col("q") + F.col("t"))
+    exp = exp.withColumns({"few": F.rank().over(Window.orderBy(F.col("sum").desc())),
+                           "last": F.rank().over(Window.orderBy("h"))})
+    assert sorted(got.columns) == sorted(exp.columns)
+    assert sorted(got.select(exp.columns).collect(), key=lambda r: r["id"]) == sorted(exp.collect(), key=lambda r: r["id"])
+
+
+def test_orders_together_need_one_tie_key(spark):
+    df = spark.range(3).selectExpr("id", "id AS other")
+    with pytest.raises(ValueError):
+        rank_many(df, [dict(by=["id"], tie=["id"], ntile=(2, "a")), dict(by=["id"], tie=["other"], ntile=(2, "b"))])
+
+
+def test_placed_within_groups(spark):
+    rows = [(i, "abc"[min(2, i * i % 7 % 3)], (i * 37) % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string, v int")
+    got = placed(df, "g", [F.col("v").desc(), F.col("id").asc()])
+    w = Window.partitionBy("g").orderBy(F.col("v").desc(), "id")
+    bad = got.withColumns({"x": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("g"))}) \
+        .where("x <> _rn or n <> _all")
+    assert got.count() == 500 and bad.count() == 0
+
+
+def test_percentiles_of_hot_values_and_gaps(spark):
+    """A third of the rows hold one value; ranks beside it and in it are exact."""
+    vals = [5.0] * 1000 + [float(i) for i in range(1500)] + [1e300, -1e300, 0.1 + 0.2]
+    df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(7)
+    ps = {f"p{i}": i / 40 for i in range(41)}
+    got = exact_percentiles(df, "v", ps).first().asDict()
+    pdf = pd.DataFrame({"v": vals})                                                      # noqa: F841
+    for k, p in ps.items():
+        exp = duckdb.sql(f"SELECT quantile_cont(v, {p}) FROM pdf").fetchall()[0][0]
+        assert got[k] == pytest.approx(exp, rel=1e-12), k
+
+
+def test_a_rank_outside_its_bracket_is_found(spark):
+    from carepulse.operators.quantiles import select_ranks
+    df = spark.range(1000).selectExpr("CAST(id AS DECIMAL(18,2)) AS v")
+    row = select_ranks(df, [0, 500, 999], [(10, 12), (600, 601)]).first()
+    assert [int(row[f"at{r}"]) for r in (0, 500, 999)] == [0, 500, 999]
