@@ -24,6 +24,7 @@ class Config:
     dominance_limit_pct: float = 22.0
     normal_rate_limit_pct: float = 35.0
     emergency_target_pct: float = 35.0
+    significance: float = 0.05           # b16: p-values below it are marked
     # doctor scorecard weights in percent: volume, revenue, outcome, efficiency
     score_weights: tuple[int, int, int, int] = (25, 35, 25, 15)
     # risk model points

@@ -12,6 +12,8 @@ Numeric conventions (shared with the DuckDB oracles):
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +78,62 @@ def count_if(cond: Column) -> Column:
     return F.count_if(cond)
 
 
+# ------------------------------------------------------------ special functions
+# fixed values: coefficients of Stirling's series for ln(gamma)
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+#: Terms of the series and steps of the fraction below: enough for 1e-10 up to
+#: shape 200; the normal approximation takes over beyond.
+GAMMA_STEPS, GAMMA_LARGE = 200, 200
+
+
+def log_gamma(a: Column) -> Column:
+    """ln(gamma(a)) for a > 0: Stirling's series eight places up, and down again
+    by gamma(a + 1) = a gamma(a)."""
+    z = a + 8
+    series = sum(F.lit(c) / F.pow(z, F.lit(2 * k + 1)) for k, c in enumerate(STIRLING))
+    down = sum((F.log(a + k) for k in range(1, 8)), F.log(a))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - down
+
+
+def gamma_q(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma function Q(a, x), a > 0, as a Column: the
+    series of P for x < a + 1, else the continued fraction (Lentz), above
+    :data:`GAMMA_LARGE` the cube-root normal approximation (error below 1e-5)."""
+    a, x = a.cast("double"), x.cast("double")
+    steps = F.sequence(F.lit(1), F.lit(GAMMA_STEPS))
+    front = F.exp(a * F.log(x) - x - log_gamma(a))
+    series = F.aggregate(steps, F.struct((1 / a).alias("t"), (1 / a).alias("s")), lambda acc, k: F.struct(
+        (acc["t"] * x / (a + k)).alias("t"), (acc["s"] + acc["t"] * x / (a + k)).alias("s")), lambda acc: acc["s"])
+    tiny = F.lit(1e-300)
+
+    def step(acc: Column, k: Column) -> Column:
+        an, b = -k * (k - a), x + 1 - a + 2 * k
+        d = an * acc["d"] + b
+        d = 1 / F.when(F.abs(d) < tiny, tiny).otherwise(d)
+        c = b + an / acc["c"]
+        c = F.when(F.abs(c) < tiny, tiny).otherwise(c)
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+    d0 = 1 / (x + 1 - a)
+    fraction = F.aggregate(steps, F.struct(F.lit(1e300).alias("c"), d0.alias("d"), d0.alias("h")), step,
+                           lambda acc: acc["h"])
+    # Wilson and Hilferty: the cube root of chi-square over its degrees is near normal
+    u = (F.pow(x / a, F.lit(1 / 3)) - 1 + 1 / (9 * a)) * 3 * F.sqrt(a)
+    q = (F.when(x <= 0, F.lit(1.0)).when(a > GAMMA_LARGE, normal_tail(u))
+         .when(x < a + 1, 1 - front * series).otherwise(front * fraction))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))
+
+
+def normal_tail(u: Column) -> Column:
+    """Upper tail of the standard normal distribution (error below 1e-7): a
+    polynomial in 1 / (1 + 0.2316419 |u|) times the density."""
+    t = 1 / (1 + 0.2316419 * F.abs(u))
+    # fixed values: the polynomial's coefficients
+    poly = sum(F.lit(c) * F.pow(t, F.lit(k + 1)) for k, c in enumerate(
+        (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)))
+    tail = F.exp(-u * u / 2) / math.sqrt(2 * math.pi) * poly
+    return F.when(u >= 0, tail).otherwise(1 - tail)
+
+
 # ------------------------------------------------------------------ dates
 def length_of_stay(admit="date_of_admission", discharge="discharge_date") -> Column:
     """Days from admission to discharge (Spark's datediff takes the end first)."""
@@ -140,7 +198,7 @@ def los_tier(los="length_of_stay", cfg: Config = DEFAULTS) -> Column:
 def room_tier(ratio, cfg: Config = DEFAULTS) -> Column:
     hi, mid = cfg.room_cuts
     r = col(ratio)
-    return (F.when(r >= hi, ROOM_TIER_LABELS[0])
+    return (F.when(r.isNull(), UNKNOWN).when(r >= hi, ROOM_TIER_LABELS[0])
             .when(r >= mid, ROOM_TIER_LABELS[1])
             .otherwise(ROOM_TIER_LABELS[2]))
 
@@ -154,9 +212,12 @@ def cell_bucket(ratio, cfg: Config = DEFAULTS) -> Column:
             .otherwise(CELL_BUCKET_LABELS[1]))
 
 
-def trend_label(growth) -> Column:
+def trend_label(growth, first) -> Column:
+    """Baseline for the ``first`` month, Unknown for a later one without growth
+    (the month before has no revenue, or none is known)."""
     g = col(growth)
-    return (F.when(g.isNull(), TREND_LABELS[0])
+    return (F.when(col(first), TREND_LABELS[0])
+            .when(g.isNull(), UNKNOWN)
             .when(g > 0, TREND_LABELS[1])
             .when(g < 0, TREND_LABELS[2])
             .otherwise(TREND_LABELS[3]))

@@ -27,10 +27,11 @@ def _session() -> SparkSession:
 
 
 def import_csv(spark: SparkSession, csv: str, table: str, date_format: str = "yyyy-MM-dd",
-               fold_case: bool = False) -> None:
-    """S1 + S2 + S3: raw CSV -> typed, standardised, year-partitioned Parquet."""
-    from .sources.schema import read_admissions, write_admissions
-    write_admissions(read_admissions(spark, csv, date_format, fold_case), table)
+               fold_case: bool = False, rejects: str | None = None) -> dict[str, int]:
+    """S1 + S2 + S3: raw CSV -> typed, standardised, year-partitioned Parquet, and
+    the values that could not be read (``<table>_rejects`` unless named)."""
+    from .sources.schema import import_admissions
+    return import_admissions(spark, csv, table, rejects or f"{table.rstrip('/')}_rejects", date_format, fold_case)
 
 
 def marts(spark: SparkSession, table: str, out: str, years=None) -> list[str]:
@@ -57,12 +58,13 @@ def analyse(spark: SparkSession, table: str, key: str, out: str) -> list[str]:
 
 
 def intake(spark: SparkSession, source: str, sink: str, checkpoint: str,
-           available_now: bool = False):
-    """X1: score admissions arriving as Parquet files and append the flagged ones."""
+           available_now: bool = False, redelivery: str = "7 days"):
+    """X1: score admissions arriving as Parquet files and append the flagged ones,
+    each once however often its file arrives within ``redelivery``."""
     from .streaming.intake import admissions_stream, start_risk_intake
     from .sources.schema import with_admission_id
     stream = with_admission_id(admissions_stream(spark, source))
-    return start_risk_intake(stream, sink, checkpoint, DEFAULTS, available_now=available_now)
+    return start_risk_intake(stream, sink, checkpoint, DEFAULTS, available_now=available_now, redelivery=redelivery)
 
 
 def main(argv=None) -> None:
@@ -73,6 +75,7 @@ def main(argv=None) -> None:
     p.add_argument("--table", required=True)
     p.add_argument("--date-format", default="yyyy-MM-dd")
     p.add_argument("--fold-case", action="store_true")
+    p.add_argument("--rejects", help="where rejected values go (default: <table>_rejects)")
     p = sub.add_parser("marts")
     p.add_argument("--table", required=True)
     p.add_argument("--out", required=True)
@@ -86,16 +89,18 @@ def main(argv=None) -> None:
     p.add_argument("--sink", required=True)
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--available-now", action="store_true")
+    p.add_argument("--redelivery", default="7 days", help="how long a redelivered admission is known")
     a = ap.parse_args(argv)
     spark = _session()
     if a.cmd == "import":
-        import_csv(spark, a.csv, a.table, a.date_format, a.fold_case)
+        counts = import_csv(spark, a.csv, a.table, a.date_format, a.fold_case, a.rejects)
+        print(", ".join(f"{k} {v}" for k, v in counts.items()))
     elif a.cmd == "marts":
         marts(spark, a.table, a.out, a.years)
     elif a.cmd == "analyse":
         analyse(spark, a.table, a.key, a.out)
     else:
-        q = intake(spark, a.source, a.sink, a.checkpoint, a.available_now)
+        q = intake(spark, a.source, a.sink, a.checkpoint, a.available_now, a.redelivery)
         q.awaitTermination()
 
 

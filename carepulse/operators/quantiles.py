@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, DEFAULTS
@@ -103,3 +103,47 @@ def percentiles(df: DataFrame, column: str, probs: dict[str, float],
         return one.select(*[F.col("_q")[i].alias(k) for i, k in enumerate(probs)],
                           *([F.col(x) for x in ("_sum", "_min", "_max", "_n")] if summary else []))
     return exact_percentiles(df, column, probs, cfg, summary)
+
+
+def quantiles_of_counts(counts: DataFrame, by: tuple[str, ...], value: str, n: str,
+                        probs: dict[str, float]) -> DataFrame:
+    """Per group ``by`` the percentiles (as :func:`exact_percentiles`) of values
+    given with their row counts ``n``, one row per group and value.  A window
+    holds a group's different values only."""
+    w = Window.partitionBy(*by)
+    rows = counts.where(F.col(value).isNotNull()).select(
+        *by, F.col(value).cast("double").alias("_v"),
+        F.sum(n).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
+        F.sum(n).over(w).alias("_all"))
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    out = {}
+    for name, p in probs.items():
+        place = (F.col("_all") - 1) * F.lit(float(p))
+        low = F.floor(place)
+        out[name] = at(low), at(F.ceil(place)), F.max(place - low)
+    g = rows.groupBy(*by).agg(*[c.alias(f"_{k}{i}") for k, cs in out.items() for i, c in enumerate(cs)])
+    return g.select(*by, *[(F.col(f"_{k}0") + (F.col(f"_{k}1") - F.col(f"_{k}0")) * F.col(f"_{k}2")).alias(k)
+                           for k in out])
+
+
+#: Relative error of a value that :func:`log_bucket` stands for.
+BUCKET_ERROR = 0.01
+_GAMMA = (1 + BUCKET_ERROR) / (1 - BUCKET_ERROR)
+
+
+def log_bucket(v: Column) -> Column:
+    """A whole number, rising with ``v``, of a logarithmic scale: values that
+    share it differ by a factor of (1 + e) / (1 - e) at most.  Counts per bucket
+    add up, so they are a mergeable quantile sketch.  Covers |v| from 1e-9 (what
+    is smaller counts as 0)."""
+    size = F.ceil(F.log(F.abs(v.cast("double")) * 1e9) / F.lit(math.log(_GAMMA)))
+    return F.when(v.isNull(), F.lit(None)).when(F.abs(v.cast("double")) <= 1e-9, F.lit(0)).otherwise(
+        F.signum(v.cast("double")) * size).cast("int")
+
+
+def bucket_value(b: Column) -> Column:
+    """The value that stands for a bucket: within :data:`BUCKET_ERROR` of all in it."""
+    size = F.pow(F.lit(_GAMMA), F.abs(b)) * F.lit(2 / (_GAMMA + 1) * 1e-9)
+    return F.when(b == 0, F.lit(0.0)).otherwise(F.signum(b.cast("double")) * size)

@@ -43,5 +43,10 @@ def distribution(adm: DataFrame, key: Column | str, name: str | None = None,
         k = k.alias(name)
     aggs = [F.count(F.lit(1)).alias(count_name)]
     aggs += [c.alias(n) for n, c in (extra or {}).items()]
-    g = adm.groupBy(k).agg(*aggs)
+    return shared(adm.groupBy(k).agg(*aggs), count_name, pct_name, digits)
+
+
+def shared(g: DataFrame, count_name: str = "total_patients", pct_name: str = "pct_of_total",
+           digits: int = 1) -> DataFrame:
+    """Rows of a categorical axis with their percentage of all."""
     return g.withColumn(pct_name, X.pct(count_name, grand(count_name), digits))

@@ -25,7 +25,8 @@ def a01_mom_rolling_trend(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
         F.col("_prev").cast("double").alias("prev_revenue"),
         TS.growth_pct("_mr", "_prev", 1).alias("mom_growth_pct"),
         X.rhu(TS.rolling_avg("_mr", "month", cfg.rolling_months), 2).alias("rolling_avg_3m"),
-    ).withColumn("trend_label", X.trend_label("mom_growth_pct"))
+        (F.row_number().over(Window.orderBy("month")) == 1).alias("_first"),
+    ).withColumn("trend_label", X.trend_label("mom_growth_pct", "_first")).drop("_first")
 
 
 def a02_hospital_tiers(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
@@ -119,23 +120,29 @@ def a06_executive_summary(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     # do not each re-plan (and re-scan) the fact with a pruned aggregate
     g = checkpointed(g)
     full = (1 << len(keys)) - 1          # grouping id of the grand-total set
-    # a global aggregate over the grand-total slice: exactly one row, also
-    # for an empty input (a grouping set over no rows yields none)
-    tot = g.where(F.col("_gid") == full).agg(
-        *[F.sum(c).alias(c) for c in ("_rev", "_nb", "_los", "_nlos", "_e", "_normal")],
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
-    kpis = tot.select(
+    # this key grouped only, by its grouping id
+    tops = {key: g.where(F.col("_gid") == (full & ~(1 << (len(keys) - 1 - i)))) for i, key in enumerate(keys)}
+    return summary(g.where(F.col("_gid") == full), tops)
+
+
+def summary(total: DataFrame, tops: dict[str, DataFrame]) -> DataFrame:
+    """:func:`a06_executive_summary` from sums: ``total`` adds up to the whole,
+    ``tops`` has the rows (``_rev``) of each entity by its column's name."""
+    # a global aggregate: exactly one row, also for an empty input (a grouping
+    # set over no rows yields none)
+    tot = total.agg(*[F.sum(c).alias(c) for c in ("_rev", "_nb", "_los", "_nlos", "_e", "_normal")],
+                    F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+    out = tot.select(
         X.rhu("_rev", 2).alias("total_revenue"), F.col("_n").alias("total_patients"),
         X.rhu(X.safe_div("_rev", "_nb"), 2).alias("avg_billing"),
         X.rhu(X.safe_div("_los", "_nlos"), 1).alias("avg_los"),
         X.rhu(X.safe_div("_rev", "_los"), 2).alias("revenue_per_day"),
         X.pct("_e", "_n", 1).alias("emergency_pct"), X.pct("_normal", "_n", 1).alias("normal_pct"))
-    out = kpis
-    for i, (key, name) in enumerate(zip(keys, ("top_condition", "top_hospital", "top_insurer"))):
-        gid = full & ~(1 << (len(keys) - 1 - i))   # only this key grouped
-        top = g.where(F.col("_gid") == gid).agg(
-            F.min_by(key, F.struct(F.col("_rev").isNull().alias("x"), (-F.col("_rev")).alias("r"),
-                                   F.col(key).isNull().alias("y"), F.col(key).alias("k"))).alias(name))
+    names = {"medical_condition": "top_condition", "hospital": "top_hospital", "insurance_provider": "top_insurer"}
+    for key, name in names.items():
+        top = tops[key].agg(F.min_by(key, F.struct(
+            F.col("_rev").isNull().alias("x"), (-F.col("_rev")).alias("r"),
+            F.col(key).isNull().alias("y"), F.col(key).alias("k"))).alias(name))
         out = out.crossJoin(F.broadcast(top))
     return out
 

@@ -114,16 +114,9 @@ def chi_square_cells(cells: DataFrame, row: str, col: str, count: str) -> DataFr
 
 
 def chi_square_tail(x: Column, df: Column) -> Column:
-    """Upper tail of chi-square with an even number of degrees of freedom, a
-    finite sum: exp(-x/2) * sum over k < df/2 of (x/2)^k / k!.  NULL if odd."""
-    half = x / 2
-    tail = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), (df / 2).cast("int"))),
-        F.struct(F.exp(-half).alias("term"), F.lit(0.0).alias("sum")),
-        lambda acc, k: F.struct((acc["term"] * half / k).alias("term"),
-                                (acc["sum"] + acc["term"]).alias("sum")),
-        lambda acc: acc["sum"])
-    return F.when((df > 0) & (df % 2 == 0), X.rhu(F.least(F.lit(1.0), tail), 4))
+    """Upper tail of chi-square with ``df`` degrees of freedom, rounded to 4 digits:
+    the regularised incomplete gamma function Q(df/2, x/2).  NULL for df <= 0."""
+    return F.when(df > 0, X.rhu(X.gamma_q(df / 2, x / 2), 4))
 
 
 def b10_medication_independence(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
@@ -203,3 +196,20 @@ def b14_abnormal_billing(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 def b15_outcome_mix(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Share of each test result."""
     return distribution(adm, "test_results")
+
+
+def b16_medication_normal_test(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Whether a medication's normal-result rate differs from that of all others:
+    a chi-square test of the 2 x 2 table (one degree of freedom) per medication."""
+    g = adm.groupBy("medication").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("test_results") == "Normal").alias("_m"))
+    g = g.withColumns({"_an": grand("_n").cast("double"), "_am": grand("_m").cast("double")})
+    n, m, an, am = (F.col(c) for c in ("_n", "_m", "_an", "_am"))
+    cross = m * (an - n - am + m) - (n - m) * (am - m)
+    chi2 = F.try_divide(an * cross * cross, n.cast("double") * (an - n) * am * (an - am))
+    p = F.when(chi2.isNotNull(), chi_square_tail(chi2, F.lit(1)))
+    return g.select(
+        "medication", n.alias("total_patients"), X.pct("_m", "_n", 1).alias("normal_rate"),
+        X.rhu(F.try_divide((am - m) * 100.0, an - n), 1).alias("other_normal_rate"),
+        X.rhu(chi2, 4).alias("chi2_stat"), p.alias("p_value"),
+        F.coalesce(p < cfg.significance, F.lit(False)).alias("significant"))

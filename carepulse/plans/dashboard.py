@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import Config, DEFAULTS
 from ..functions import exprs as X
 from ..functions.measures import evaluate, slice_, slice_condition
+from .operations import entity_metrics
 
 
 CARD_MEASURES = ("total_revenue", "total_patients", "avg_billing", "avg_length_of_stay")
@@ -22,9 +23,14 @@ def d01_monthly_admissions(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 def d02_condition_scatter(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Average stay against average billing per condition (page-2 scatter)."""
-    return adm.groupBy("medical_condition").agg(
-        F.count(F.lit(1)).alias("total_patients"), X.rhu(X.avg_exact(F.col("length_of_stay")), 2).alias("avg_los"),
-        X.rhu(X.avg_exact(F.col("billing_amount")), 2).alias("avg_billing"))
+    return condition_scatter(entity_metrics(adm, "medical_condition"))
+
+
+def condition_scatter(g: DataFrame) -> DataFrame:
+    """:func:`d02_condition_scatter` from the conditions' sums."""
+    return g.select("medical_condition", F.col("_n").alias("total_patients"),
+                    X.rhu(X.safe_div("_los", "_nlos"), 2).alias("avg_los"),
+                    X.rhu(X.safe_div("_rev", "_nb"), 2).alias("avg_billing"))
 
 
 def d03_sliced_cards(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
@@ -84,3 +90,14 @@ def d07_sliced_conditions(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     slicers' pre-aggregate as the published page does."""
     from ..sources.marts import sliced_page, slices
     return sliced_page(slices(adm), ("medical_condition",), **dict(cfg.slice_example))
+
+
+def d08_sliced_stays(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """Quartiles of the length of stay and distinct hospitals per condition under
+    a page's slicers, from the pages' mergeable cells (counts per stay; slices)."""
+    from ..sources.marts import sliced_distinct_hospitals, sliced_median_stay, slices, stays
+    ctx, by = dict(cfg.slice_example), ("medical_condition",)
+    q = sliced_median_stay(stays(adm), by, **ctx)
+    h = sliced_distinct_hospitals(slices(adm), by, **ctx).withColumnRenamed("medical_condition", "_c")
+    return h.join(q, F.col("_c").eqNullSafe(F.col("medical_condition")), "left").select(
+        F.col("_c").alias("medical_condition"), "p25_los", "median_los", "p75_los", "distinct_hospitals")

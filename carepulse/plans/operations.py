@@ -67,7 +67,12 @@ def o03_room_utilization(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 def o04_revenue_per_day_hospital(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Top hospitals by revenue per day (ratio of sums, DIVIDE semantics) beside
     the network's figure."""
-    m = with_totals(entity_metrics(adm, "hospital"), _nrev=F.sum("_rev"), _nlos_all=F.sum("_los"))
+    return revenue_per_day_top(entity_metrics(adm, "hospital"), cfg)
+
+
+def revenue_per_day_top(m: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """:func:`o04_revenue_per_day_hospital` from the hospitals' sums."""
+    m = with_totals(m, _nrev=F.sum("_rev"), _nlos_all=F.sum("_los"))
     m = m.withColumn("_rpd", X.safe_div("_rev", "_los"))
     t = top_n_by(m, "hospital", "_rpd", cfg.top_n, "rpd_rank")
     return t.select("hospital", X.rhu("_rev", 2).alias("revenue"),
@@ -105,9 +110,14 @@ def o07_emergency_rate(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Emergency share for the network and for each hospital against the target
     (rows summed per hospital first; the ROLLUP expands the hospitals only)."""
     h = adm.groupBy("hospital").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("admission_type") == "Emergency").alias("_em"))
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("admission_type") == "Emergency").alias("_e"))
+    return emergency_rates(h, cfg)
+
+
+def emergency_rates(h: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """:func:`o07_emergency_rate` from the hospitals' ``_n`` and ``_e``."""
     g = h.rollup("hospital").agg(F.grouping("hospital").alias("_g"),
-                                 F.sum("_n").alias("total_patients"), F.sum("_em").alias("_e"))
+                                 F.sum("_n").alias("total_patients"), F.sum("_e").alias("_e"))
     pct = X.pct("_e", "total_patients", 1)
     return g.select(
         F.when(F.col("_g") == 1, "network").otherwise("hospital").alias("scope_type"),
@@ -120,8 +130,12 @@ def o07_emergency_rate(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 def o08_test_outcome_stack(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Result mix within each hospital and each condition (100% stacked bars),
     both groupings over the hospital x condition x result cells."""
-    cells = adm.groupBy("hospital", "medical_condition", "test_results").agg(
-        F.count(F.lit(1)).alias("_n"))
+    return outcome_stack(adm.groupBy("hospital", "medical_condition", "test_results").agg(
+        F.count(F.lit(1)).alias("_n")))
+
+
+def outcome_stack(cells: DataFrame) -> DataFrame:
+    """:func:`o08_test_outcome_stack` from the cells' ``_n``."""
     g = cells.groupingSets(
         [["hospital", "test_results"], ["medical_condition", "test_results"]],
         "hospital", "medical_condition", "test_results",
@@ -136,7 +150,11 @@ def o08_test_outcome_stack(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 def o09_doctor_bar(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Top doctors by revenue (distributed top-n)."""
-    m = entity_metrics(adm, "doctor")
+    return top_doctors(entity_metrics(adm, "doctor"), cfg)
+
+
+def top_doctors(m: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """:func:`o09_doctor_bar` from the doctors' sums."""
     t = top_n_by(m, "doctor", "_rev", cfg.top_n, "revenue_rank")
     return t.select("doctor", X.rhu("_rev", 2).alias("revenue"),
                     F.col("_n").alias("total_patients"), "revenue_rank")

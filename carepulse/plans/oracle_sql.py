@@ -41,10 +41,13 @@ def TILE(place: str, tiles: int = 4) -> str:
 
 
 def TAIL(x: str, df: str) -> str:
-    """Upper tail of chi-square for an even number of degrees of freedom."""
-    terms = (f"list_sum(list_transform(range(CAST(({df}) // 2 AS BIGINT)), "
-             f"lambda k: exp(k * ln(greatest(({x}) / 2, 1e-300)) - lgamma(k + 1) - ({x}) / 2)))")
-    return f"CASE WHEN ({df}) > 0 AND ({df}) % 2 = 0 THEN {R(f'least(1.0, {terms})', 4)} END"
+    """Upper tail of chi-square: a finite sum for an even number of degrees of
+    freedom, one less the series of the lower tail for an odd one."""
+    even = (f"list_sum(list_transform(range(CAST(({df}) // 2 AS BIGINT)), "
+            f"lambda k: exp(k * ln(greatest(({x}) / 2, 1e-300)) - lgamma(k + 1) - ({x}) / 2)))")
+    odd = (f"1.0 - list_sum(list_transform(range(2000), lambda k: exp((({df}) / 2.0 + k) * "
+           f"ln(greatest(({x}) / 2, 1e-300)) - ({x}) / 2 - lgamma(({df}) / 2.0 + k + 1))))")
+    return (f"CASE WHEN ({df}) > 0 THEN {R(f'greatest(0.0, least(1.0, CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END))', 4)} END")
 
 
 AGE_GROUP = ("CASE " + " ".join(
@@ -282,6 +285,18 @@ SELECT medication, CAST(tp AS BIGINT) AS total_patients,
   {R('CAST(nm AS DOUBLE) * 100.0 / tp', 1)} AS normal_rate,
   {R('CAST(nm AS DOUBLE) * 100.0 / tp - CAST(na AS DOUBLE) * 100.0 / n', 2)} AS diff_vs_overall,
   {R('s - tp', 4)} AS chi2_part, {TAIL('s - tp', 'outcomes - 1')} AS p_value FROM x""",
+    "b16_medication_normal_test": f"""WITH g AS (SELECT medication, COUNT(*) AS n, {CNT("test_results = 'Normal'")} AS nm FROM adm GROUP BY 1),
+t AS (SELECT *, CAST(SUM(n) OVER () AS DOUBLE) AS an, CAST(SUM(nm) OVER () AS DOUBLE) AS am FROM g),
+x AS (SELECT *, an * power(nm * (an - n - am + nm) - (n - nm) * (am - nm), 2)
+    / nullif(CAST(n AS DOUBLE) * (an - n) * am * (an - am), 0) AS chi2 FROM t)
+SELECT medication, CAST(n AS BIGINT) AS total_patients, {P('nm', 'n')} AS normal_rate,
+  {R('(am - nm) * 100.0 / nullif(an - n, 0)', 1)} AS other_normal_rate, {R('chi2', 4)} AS chi2_stat,
+  {TAIL('chi2', '1')} AS p_value, COALESCE({TAIL('chi2', '1')} < 0.05, FALSE) AS significant FROM x""",
+    "d08_sliced_stays": f"""SELECT medical_condition, {R('quantile_cont(CAST(length_of_stay AS DOUBLE), 0.25)', 2)} AS p25_los,
+  {R('quantile_cont(CAST(length_of_stay AS DOUBLE), 0.5)', 2)} AS median_los,
+  {R('quantile_cont(CAST(length_of_stay AS DOUBLE), 0.75)', 2)} AS p75_los,
+  COUNT(DISTINCT hospital) AS distinct_hospitals
+FROM adm WHERE year(date_of_admission) = 1996 AND admission_type = 'Emergency' GROUP BY 1""",
     "b13_condition_outcomes": f"""WITH r AS ({rates('medical_condition', 'medical_condition')})
 SELECT *, normal_rate > 35.0 AS normal_above_limit FROM r""",
     "b14_abnormal_billing": f"""SELECT medical_condition,
@@ -310,7 +325,7 @@ SELECT hospital, own AS avg_billing, net AS network_avg_billing, {R('own - net',
 x AS (SELECT *, SUM(days) OVER () AS alld, COUNT(*) OVER () AS rooms FROM r),
 y AS (SELECT room_number, admissions, CAST(days AS BIGINT) AS occupied_days,
   {R('CAST(days * rooms AS DOUBLE) / NULLIF(CAST(alld AS DOUBLE), 0)', 2)} AS utilization_ratio FROM x)
-SELECT *, CASE WHEN utilization_ratio >= 1.2 THEN 'High' WHEN utilization_ratio >= 0.8 THEN 'Moderate'
+SELECT *, CASE WHEN utilization_ratio IS NULL THEN 'Unknown' WHEN utilization_ratio >= 1.2 THEN 'High' WHEN utilization_ratio >= 0.8 THEN 'Moderate'
   ELSE 'Low' END AS utilization_tier FROM y""",
     "o04_revenue_per_day_hospital": f"""WITH m AS (SELECT hospital, SUM(billing_amount) AS rev,
   SUM(length_of_stay) AS los FROM adm GROUP BY 1),
@@ -380,9 +395,9 @@ x AS (SELECT month, mr, LAG(mr) OVER (ORDER BY month NULLS FIRST) AS prev,
   WINDOW w3 AS (ORDER BY month NULLS FIRST ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 y AS (SELECT month, CAST(mr AS DOUBLE) AS revenue, CAST(prev AS DOUBLE) AS prev_revenue,
   {R('CAST(mr - prev AS DOUBLE) * 100.0 / CAST(NULLIF(prev, 0) AS DOUBLE)', 1)} AS mom_growth_pct,
-  {R('ravg', 2)} AS rolling_avg_3m FROM x)
-SELECT *, CASE WHEN mom_growth_pct IS NULL THEN 'Baseline' WHEN mom_growth_pct > 0 THEN 'Growth'
-  WHEN mom_growth_pct < 0 THEN 'Decline' ELSE 'Flat' END AS trend_label FROM y""",
+  {R('ravg', 2)} AS rolling_avg_3m, ROW_NUMBER() OVER (ORDER BY month NULLS FIRST) AS nth FROM x)
+SELECT * EXCLUDE (nth), CASE WHEN nth = 1 THEN 'Baseline' WHEN mom_growth_pct IS NULL THEN 'Unknown'
+  WHEN mom_growth_pct > 0 THEN 'Growth' WHEN mom_growth_pct < 0 THEN 'Decline' ELSE 'Flat' END AS trend_label FROM y""",
     "a02_hospital_tiers": f"""WITH h AS (SELECT hospital, SUM(billing_amount) AS rev FROM adm GROUP BY 1),
 r AS (SELECT hospital, rev, RANK() OVER (ORDER BY rev DESC) AS rk,
   NTILE(4) OVER (ORDER BY rev DESC, hospital) AS q, PERCENT_RANK() OVER (ORDER BY rev DESC) AS pr FROM h)
@@ -537,3 +552,14 @@ def with_text_dates(key: str, sql: str) -> str:
         return sql
     rep = ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS q"
+
+
+# what the jobs leave behind equals the analyses over the same rows
+BODIES["s5_published_trend"] = BODIES["s6_refreshed_trend"] = BODIES["r05_monthly_trend"]
+BODIES["x1_risk_flags"] = BODIES["a08_review_queue"]
+BODIES["s1_csv_import"] = f"""SELECT CAST(year(date_of_admission) AS BIGINT) AS admission_year,
+  COUNT(*) AS total_patients, {R('SUM(billing_amount)', 2)} AS revenue, CAST(SUM(length_of_stay) AS BIGINT) AS days,
+  COUNT(DISTINCT doctor) AS doctors, COUNT(medical_condition) AS with_condition, CAST(0 AS BIGINT) AS rejected_values
+FROM adm GROUP BY 1"""
+DATE_OUTPUTS |= {"s5_published_trend": ("month",), "s6_refreshed_trend": ("month",),
+                 "x1_risk_flags": ("date_of_admission",)}

@@ -31,6 +31,11 @@ EVENT_ANALYSES: dict[str, Callable[[DataFrame, Config], DataFrame]] = {
 ALL = {**ANALYSES, **EVENT_ANALYSES}
 
 
+def _lifecycle() -> dict[str, Callable[[DataFrame, Config], DataFrame]]:
+    from .lifecycle import LIFECYCLE as found      # it uses the marts, which use the analyses here
+    return found
+
+
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture admissions view (lazy; the joins run inside each query)."""
     return with_derived(fixture_admissions(spark, sf_dir))
@@ -61,7 +66,11 @@ def _materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     # here was completely written by this process
     if path not in _BUILT:
         from ..sources.schema import write_admissions
-        write_admissions(fixture_admissions(spark, sf_dir), path)
+        # the joins run once: the range sort reads its input twice
+        fixture_admissions(spark, sf_dir).write.mode("overwrite").parquet(f"{path}-staged")
+        write_admissions(spark.read.parquet(f"{path}-staged"), path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-staged")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         _BUILT.add(path)
     return with_derived(spark.read.parquet(path))
 
@@ -71,6 +80,8 @@ def run(name: str, spark: SparkSession, sf_dir: str, cfg: Config = FIXTURE,
     """Run one analysis over the fixture at ``sf_dir``.  With ``materialize``
     the flat admissions table is built once per session (see
     :func:`materialized_admissions`) and every analysis reads it."""
+    if name in _lifecycle():
+        return _lifecycle()[name](materialized_admissions(spark, sf_dir) if adm is None else adm, cfg)
     if name in EVENT_ANALYSES:
         return EVENT_ANALYSES[name](table(spark, sf_dir, "events"), cfg)
     if adm is None:

@@ -26,14 +26,19 @@ def r01_billing_kpis(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
                                                      "p75_billing")])
 
 
-def _revenue_by(adm: DataFrame, key: str) -> DataFrame:
+def _revenue_by(adm: DataFrame, *key: str) -> DataFrame:
     """Revenue and admissions per value of ``key``."""
-    return adm.groupBy(key).agg(F.sum(F.col("billing_amount")).alias("_rev"), F.count(F.lit(1)).alias("_n"))
+    return adm.groupBy(*key).agg(F.sum(F.col("billing_amount")).alias("_rev"), F.count(F.lit(1)).alias("_n"))
 
 
 def r02_condition_share(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Revenue per condition, its share of all revenue and its rank."""
-    g = _revenue_by(adm, "medical_condition").withColumn("_all", grand("_rev"))
+    return condition_share(_revenue_by(adm, "medical_condition"))
+
+
+def condition_share(g: DataFrame) -> DataFrame:
+    """:func:`r02_condition_share` from the conditions' revenue ``_rev``."""
+    g = g.withColumn("_all", grand("_rev"))
     g = g.withColumn("revenue_rank", F.rank().over(Window.orderBy(F.col("_rev").desc()))
                      .cast("long"))
     return g.select("medical_condition", X.rhu("_rev", 2).alias("revenue"),
@@ -73,7 +78,11 @@ def monthly_revenue(adm: DataFrame) -> DataFrame:
 
 def r05_monthly_trend(adm: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Monthly revenue, running total and month-over-month growth."""
-    m = monthly_revenue(adm)
+    return monthly_trend(monthly_revenue(adm))
+
+
+def monthly_trend(m: DataFrame) -> DataFrame:
+    """:func:`r05_monthly_trend` from the months' revenue ``_mr``."""
     prev = TS.previous_row("_mr", "month")
     return m.select(
         "month",
@@ -135,11 +144,14 @@ def r10_condition_admission_matrix(adm: DataFrame, cfg: Config = DEFAULTS) -> Da
     """Condition x admission type revenue (stacked bar / matrix) with each
     cell's share of all revenue and its conditional-formatting bucket (ratio
     to the mean cell)."""
-    g = adm.groupBy("medical_condition", "admission_type").agg(
-        F.count(F.lit(1)).alias("total_patients"), F.sum(F.col("billing_amount")).alias("_rev"))
+    return condition_admission_matrix(_revenue_by(adm, "medical_condition", "admission_type"), cfg)
+
+
+def condition_admission_matrix(g: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """:func:`r10_condition_admission_matrix` from the cells' ``_n`` and ``_rev``."""
     g = g.withColumns({"_tot": grand("_rev"), "_cells": F.count(F.lit(1)).over(Window.partitionBy())})
     ratio = F.try_divide(F.col("_rev").cast("double") * F.col("_cells"), F.col("_tot").cast("double"))
-    return g.select("medical_condition", "admission_type", "total_patients",
+    return g.select("medical_condition", "admission_type", F.col("_n").alias("total_patients"),
                     X.rhu("_rev", 2).alias("revenue"), X.pct("_rev", "_tot", 1).alias("share_pct"),
                     X.rhu(ratio, 3).alias("heat_ratio"), X.cell_bucket(ratio, cfg).alias("cell_bucket"))
 
@@ -153,10 +165,16 @@ def r11_insurer_condition_matrix(adm: DataFrame, cfg: Config = DEFAULTS) -> Data
     each listed cell's conditional-formatting bucket (ratio to the mean
     non-empty cell).  Each column is a conditional sum in one aggregate, so no
     job looks for the columns and a row always adds up to its total."""
+    return insurer_condition_matrix(adm, "billing_amount", cfg)
+
+
+def insurer_condition_matrix(rows: DataFrame, amount: str, cfg: Config = DEFAULTS) -> DataFrame:
+    """:func:`r11_insurer_condition_matrix` from admissions, or from sums of them
+    by insurer and condition."""
     vals = list(cfg.condition_values)
-    c, b = F.col("medical_condition"), F.col("billing_amount")
+    c, b = F.col("medical_condition"), F.col(amount)
     listed = F.coalesce(c.isin(*vals), F.lit(False))
-    p = adm.groupBy("insurance_provider").agg(
+    p = rows.groupBy("insurance_provider").agg(
         *[F.sum(F.when(c == v, b)).alias(v) for v in vals],
         F.sum(F.when(~listed, b)).alias(OTHER), F.sum(b).alias("_total"))
     cells = [F.col(f"`{v}`") for v in (*vals, OTHER)]

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
+from ..operators.joins import checkpointed, join_counted
+from ..session import ensure_checkpoint_dir
 
 # The fifteen columns of the source file, in file order, with our Spark types.
 SCHEMA = T.StructType([
@@ -74,11 +77,11 @@ def _typed(f: T.StructField, date_format: str):
     return F.trim(c).try_cast(f.dataType)
 
 
-def read_rejects(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """One row per value of the CSV files that was not read: ``column_name``
-    (``line`` for a line with another number of fields), ``raw_text`` (the value,
-    or the line), ``reason``.  Kept apart from the fact."""
-    raw = read_raw(spark, path)
+REJECT = "struct<column_name:string,raw_text:string,reason:string>"
+
+
+def _rejected(date_format: str) -> Column:
+    """Array of the values of a raw line that cannot be read."""
     bad = [F.when(F.col(BROKEN).isNotNull(), F.struct(
         F.lit("line").alias("column_name"), F.col(BROKEN).alias("raw_text"),
         F.lit("number of fields").alias("reason")))]
@@ -89,7 +92,51 @@ def read_rejects(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd"
             bad.append(F.when(wrong, F.struct(
                 F.lit(f.name).alias("column_name"), c.alias("raw_text"),
                 F.lit(f"not a {f.dataType.simpleString()}").alias("reason"))))
-    return raw.select(F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("r")).select("r.*")
+    return F.filter(F.array(*bad), lambda x: x.isNotNull())
+
+
+def read_rejects(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """One row per value of the CSV files that was not read: ``column_name``
+    (``line`` for a line with another number of fields), ``raw_text`` (the value,
+    or the line), ``reason``.  Kept apart from the fact."""
+    raw = read_raw(spark, path)
+    return raw.select(F.explode(_rejected(date_format)).alias("r")).select("r.*")
+
+
+class ImportMismatch(RuntimeError):
+    """What an import wrote does not add up to the lines it read."""
+
+
+def import_admissions(spark: SparkSession, csv: str, table: str, rejects: str,
+                      date_format: str = "yyyy-MM-dd", fold_case: bool = False) -> dict[str, int]:
+    """S1-S3 in one parse of the CSV files: the typed rows and, beside each, the
+    values that could not be read go to a staging table; from it the admissions
+    table and the table of rejects are written.  Lines, lines with a reject and
+    rejected values are counted while they pass (``observe``) in each of the
+    three writes; if the counts differ, :class:`ImportMismatch` says so.  Returns
+    ``lines``, ``rows``, ``bad_lines``, ``rejected`` (values written)."""
+    stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/import-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(stage)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(where)
+    read, kept, refused = Observation("read"), Observation("kept"), Observation("refused")
+    raw = read_raw(spark, csv)
+    keep = [c for c in raw.columns if c not in COLUMNS and c != BROKEN]
+    rows = raw.select(*keep, *[_typed(f, date_format).alias(f.name) for f in SCHEMA.fields],
+                      _rejected(date_format).cast(f"array<{REJECT}>").alias("_rejects"))
+    rows.observe(read, F.count(F.lit(1)).alias("lines"), F.sum(F.size("_rejects")).alias("values"),
+                 F.count_if(F.size("_rejects") > 0).alias("bad")).write.parquet(stage)
+    staged = spark.read.schema(rows.schema).parquet(stage)
+    typed = standardise(staged.drop("_rejects"), fold_case=fold_case)
+    write_admissions(typed, table, count=kept)
+    bad = staged.where(F.size("_rejects") > 0).select(F.explode("_rejects").alias("r")).select("r.*")
+    bad.observe(refused, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(rejects)
+    out = {"lines": read.get["lines"], "rows": kept.get["n"], "bad_lines": read.get["bad"],
+           "rejected": refused.get["n"]}
+    if out["lines"] != out["rows"] or (read.get["values"] or 0) != out["rejected"]:
+        raise ImportMismatch(f"read {out['lines']} lines and {read.get['values']} bad values, wrote {out}")
+    fs.delete(where, True)
+    return out
 
 
 def standardise(df: DataFrame, date_format: str = "yyyy-MM-dd",
@@ -102,20 +149,40 @@ def standardise(df: DataFrame, date_format: str = "yyyy-MM-dd",
     keep = [c for c in df.columns if c not in COLUMNS and c != BROKEN]
     res = df.select(*keep, *[_typed(f, date_format).alias(f.name) for f in SCHEMA.fields])
     if fold_case:
-        for c in FOLDED:
-            res = _one_spelling(res, c)
-        res = res.select(*keep, *COLUMNS)
+        res = one_spelling(res, FOLDED)
     return with_admission_id(res)
 
 
-def _one_spelling(df: DataFrame, c: str) -> DataFrame:
-    """Replace each value of ``c`` by the spelling that stands for its case."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    shown = counts.groupBy(F.lower(c).alias("_key")).agg(
-        F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias("_shown"), F.count(F.lit(1)).alias("_k"))
-    other = shown.where("_k > 1").select("_key", "_shown")
-    return df.join(other, F.lower(c) == F.col("_key"), "left") \
-        .withColumn(c, F.coalesce("_shown", c)).drop("_key", "_shown")
+#: Different spellings of a column up to which its replacements are an expression.
+FEW_SPELLINGS = 64
+
+
+def one_spelling(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Replace each value of ``columns`` by the spelling that stands for its case.
+
+    One pass counts the spellings of all columns together; what is left are the
+    spellings that lose, checkpointed.  A column with few of them is replaced by
+    an expression, so in all but the names there is no join; the others are
+    joined to their measured dictionary."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("s")) for c in columns])).alias("p")
+    counts = df.select(pairs).select("p.*").where("s is not null").groupBy("c", "s").agg(
+        F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("c", F.lower("s").alias("low")).agg(
+        F.min_by("s", F.struct(-F.col("n"), F.col("s"))).alias("shown"), F.collect_list("s").alias("all"))
+    lost = checkpointed(best.where(F.size("all") > 1).select("c", "shown", F.explode("all").alias("s"))
+                        .where("s <> shown"))
+    size = {r["c"]: r["count"] for r in lost.groupBy("c").count().collect()}     # a row per column
+    few = [c for c in columns if 0 < size.get(c, 0) <= FEW_SPELLINGS]
+    words: dict[str, list] = {c: [] for c in few}
+    for r in lost.where(F.col("c").isin(*few)).collect() if few else []:
+        words[r["c"]] += [F.lit(r["s"]), F.lit(r["shown"])]
+    out = df.withColumns({c: F.coalesce(F.try_element_at(F.create_map(*w), F.col(c)), F.col(c))
+                          for c, w in words.items()}) if few else df
+    for c in columns:
+        if size.get(c, 0) > FEW_SPELLINGS:
+            side = lost.where(F.col("c") == c).select(F.col("s").alias(c), F.col("shown").alias("_shown"))
+            out = join_counted(out, side, [c], "left").withColumn(c, F.coalesce("_shown", c)).drop("_shown")
+    return out.select(*df.columns)
 
 
 def with_admission_id(df: DataFrame) -> DataFrame:
@@ -141,17 +208,22 @@ def with_derived(adm: DataFrame) -> DataFrame:
 
 
 def write_admissions(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None,
-                     cluster_by: tuple[str, ...] = ("hospital", "date_of_admission")) -> None:
+                     cluster_by: tuple[str, ...] = ("hospital", "date_of_admission"),
+                     count: Observation | None = None) -> None:
     """S3: Parquet partitioned by admission year, so a year slicer prunes
     folders.  Rows are range-partitioned by year and ``cluster_by``: a file
     holds a range of hospitals, so file and row-group statistics skip data, and
     there are at most ``files`` + years files (default: the shuffle partitions),
-    not tasks x years.  A hospital with a third of all rows is split by date."""
+    not tasks x years.  A hospital with a third of all rows is split by date.
+    Spark samples the range bounds by reading ``df`` once more, so pass a stored
+    table, not a join.  ``count`` observes the rows written as ``n``."""
     out = df.withColumn("admission_year", F.year("date_of_admission"))
     if cluster_by:
         n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
         keys = ["admission_year", *cluster_by]
         out = out.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    if count is not None:
+        out = out.observe(count, F.count(F.lit(1)).alias("n"))
     out.write.mode(mode).partitionBy("admission_year").parquet(path)
 
 

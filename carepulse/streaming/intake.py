@@ -1,8 +1,10 @@
 """Admission intake: the risk model on arriving rows (X1) and the review
 deadline check (X2).
 
-X1 is stateless: the same ``risk_score`` Column as the batch analyses, applied
-to a ``readStream`` source and appended to a sink.
+X1 applies the same ``risk_score`` Column as the batch analyses to a
+``readStream`` source and appends the flagged rows to a sink.  A file that is
+delivered again adds no flag: flagged admissions are remembered by id for a span
+of arrival time (:func:`once_per_admission`).
 
 X2 asks, for each flagged admission, whether a review happened within
 ``review_within_hours``.  On the driver tables it runs over ``events``
@@ -54,12 +56,32 @@ def admissions_stream(spark: SparkSession, source_dir: str, extra_schema=None,
     return r.load(source_dir)
 
 
+def once_per_admission(flags: DataFrame, keys: list[str], redelivery: str = "7 days") -> DataFrame:
+    """A stream's flags with each admission (its ``keys``) once, if it comes again
+    within ``redelivery`` of its first arrival.  The watermark is on the arrival
+    (the batch's time, which a restart repeats), not on the admission date: an
+    admission entered weeks late is still flagged.  Flags without any key are all
+    kept.  The state holds the keys of flagged admissions only, for that span; an
+    admission that rises to the threshold when it is delivered again corrected is
+    flagged then."""
+    named = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
+    key = F.when(named, F.to_json(F.struct(*keys))).otherwise(F.uuid())
+    arrived = flags.withColumns({"_arrived": F.current_timestamp(), "_key": key})
+    return arrived.withWatermark("_arrived", redelivery).dropDuplicatesWithinWatermark(["_key"]) \
+        .drop("_arrived", "_key")
+
+
 def start_risk_intake(adm_stream: DataFrame, sink_dir: str, checkpoint_location: str,
                       cfg: Config = DEFAULTS, available_now: bool = False,
-                      processing_time: str | None = "1 minute"):
+                      processing_time: str | None = "1 minute", redelivery: str | None = "7 days"):
     """Append flagged admissions to a Parquet sink (exactly-once via the
-    checkpoint location, which must be on shared storage)."""
-    w = (risk_flags(adm_stream, cfg).writeStream.format("parquet")
+    checkpoint location, which must be on shared storage); with ``redelivery``,
+    and where the rows carry their keys, each admission once."""
+    flags = risk_flags(adm_stream, cfg)
+    keys = [k for k in cfg.row_keys if k in flags.columns]
+    if redelivery and keys:
+        flags = once_per_admission(flags, keys, redelivery)
+    w = (flags.writeStream.format("parquet")
          .option("path", sink_dir).option("checkpointLocation", checkpoint_location)
          .outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)

@@ -190,3 +190,88 @@ def test_shared_folder_is_required_off_local_masters():
         conf = {}
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_import_writes_table_and_rejects_that_add_up(spark):
+    from carepulse import jobs
+    bad = {**ROW, "Age": "old", "Date of Admission": "2020-13-45"}
+    d = _csv([list(ROW.values()), list(bad.values()), ["only", "two"], list(ROW.values())])
+    got = jobs.import_csv(spark, d, f"{d}-table")
+    assert got == {"lines": 4, "rows": 4, "bad_lines": 2, "rejected": 3}
+    assert spark.read.parquet(f"{d}-table").count() == 4
+    rejects = {(r["column_name"], r["raw_text"]) for r in spark.read.parquet(f"{d}-table_rejects").collect()}
+    assert rejects == {("age", "old"), ("date_of_admission", "2020-13-45"), ("line", "only,two")}
+    # an import without rejects, and one of a file that holds the header only
+    clean = _csv([list(ROW.values())])
+    assert jobs.import_csv(spark, clean, f"{clean}-t", rejects=f"{clean}-r")["rejected"] == 0
+    assert spark.read.parquet(f"{clean}-r").count() == 0
+
+
+def test_import_fails_when_counts_differ(spark, monkeypatch):
+    from carepulse.sources import schema
+    real = schema.write_admissions
+
+    def lossy(df, path, count=None, **kw):
+        return real(df.where("age is not null"), path, count=count, **kw)
+    monkeypatch.setattr(schema, "write_admissions", lossy)
+    d = _csv([list(ROW.values()), list({**ROW, "Age": ""}.values())])
+    with pytest.raises(schema.ImportMismatch):
+        schema.import_admissions(spark, d, f"{d}-t", f"{d}-r")
+
+
+def test_spellings_of_many_names_are_joined_and_few_replaced(spark, monkeypatch):
+    from carepulse.sources import schema
+    n = 2 * schema.FEW_SPELLINGS
+    rows = [{**ROW, "Doctor": (f"Dr {i % n}" if i < 4 * n else f"DR {i % n}"),
+             "Gender": "female" if i % 5 == 0 else "Female"} for i in range(5 * n)]
+    raw = schema.read_raw(spark, _csv([list(r.values()) for r in rows]))
+    joins = []
+    real = schema.join_counted
+    monkeypatch.setattr(schema, "join_counted", lambda *a, **k: joins.append(a[2]) or real(*a, **k))
+    got = schema.standardise(raw, fold_case=True)
+    assert joins == [["doctor"]]
+    assert {r["doctor"] for r in got.select("doctor").collect()} == {f"Dr {i}" for i in range(n)}
+    assert {r["gender"] for r in got.select("gender").collect()} == {"Female"}
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("FileScan csv") == 1            # the dictionary was the other read
+
+
+@pytest.mark.parametrize("a,xs", [(0.5, [0.01, 0.2, 1, 5, 30]), (1.5, [0.1, 2, 9]), (3.5, [0.5, 3, 4.4, 4.6, 12, 40]),
+                                  (10.0, [1, 10, 25]), (60.5, [30, 61, 90]), (199.0, [150, 199, 260])])
+def test_incomplete_gamma_equals_its_integral(spark, a, xs):
+    """Against Simpson's rule on the density (in u = sqrt(t), which is smooth at 0)."""
+    import math
+
+    from carepulse.functions.exprs import gamma_q, log_gamma
+
+    def integral(x):
+        n = 40_000
+        h = math.sqrt(x) / n
+
+        def f(u):
+            return 0.0 if u == 0 and a > 0.5 else 2 * math.exp((2 * a - 1) * math.log(u) - u * u - math.lgamma(a)) \
+                if u else 2 / math.gamma(a)
+        return 1 - h / 3 * sum((1 if i in (0, n) else 4 if i % 2 else 2) * f(i * h) for i in range(n + 1))
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    for r in df.select("x", gamma_q(F.lit(a), F.col("x")).alias("q"), log_gamma(F.lit(a)).alias("lg")).collect():
+        assert r["q"] == pytest.approx(integral(r["x"]), abs=1e-7)
+        assert r["lg"] == pytest.approx(math.lgamma(a), rel=1e-12, abs=1e-12)
+
+
+def test_chi_square_tail_of_odd_even_and_large_degrees(spark):
+    from carepulse.plans.behaviour import chi_square_tail
+    # fixed values of the published table: 5 % points, and far beyond both ends
+    rows = [(3.841, 1, 0.05), (7.815, 3, 0.05), (9.488, 4, 0.05), (11.070, 5, 0.05), (43.773, 30, 0.05), (0.0, 3, 1.0),
+            (-1e-9, 3, 1.0), (500.0, 3, 0.0), (1e6, 7, 0.0), (447.632, 399, 0.0466), (5.0, 0, None)]
+    df = spark.createDataFrame([(float(x), k, p) for x, k, p in rows], "x double, k int, p double")
+    for r in df.withColumn("q", chi_square_tail(F.col("x"), F.col("k"))).collect():
+        assert r["q"] == r["p"] or r["q"] == pytest.approx(r["p"], abs=2e-4), r
+
+
+def test_labels_of_missing_values(spark):
+    from carepulse.functions.exprs import room_tier, trend_label
+    df = spark.createDataFrame([(None, True), (None, False), (1.0, False), (-1.0, False), (0.0, False)],
+                               "g double, first boolean")
+    assert [r[0] for r in df.select(trend_label("g", "first")).collect()] == [
+        "Baseline", "Unknown", "Growth", "Decline", "Flat"]
+    assert [r[0] for r in df.select(room_tier("g")).collect()] == ["Unknown", "Unknown", "Moderate", "Low", "Low"]

@@ -99,18 +99,21 @@ def test_ranking_has_one_plan_at_every_size(spark, entities):
     assert out.where("q not between 1 and 4 or r < 1 or p < 0 or p > 1").count() == 0
 
 
-def executions(spark, call) -> list[str]:
+def executions(spark, call, whole: bool = False) -> list[str]:
     """The physical plans of all executions that a call and its result start,
-    those of eager checkpoints included."""
+    those of eager checkpoints included: the final trees, or ``whole``, all text."""
     store = spark._jsparkSession.sharedState().statusStore()
     wait = spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty
     wait(30_000)
-    before = store.executionsCount()
+
+    def listed() -> dict:        # the store keeps the last thousand only
+        runs = store.executionsList()
+        return {runs.apply(i).executionId(): runs.apply(i) for i in range(runs.size())}
+    last = max(listed(), default=-1)
     call().collect()
     wait(30_000)
-    runs = store.executionsList()
-    plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
-    return [p.split("== Initial Plan ==")[0].split("\n\n")[0] for p in plans]
+    plans = [r.physicalPlanDescription() for k, r in sorted(listed().items()) if k > last]
+    return plans if whole else [p.split("== Initial Plan ==")[0].split("\n\n")[0] for p in plans]
 
 
 def fact_scans(spark, call) -> int:

@@ -115,3 +115,31 @@ def test_x2_late_review_beyond_watermark_is_dropped(spark):
     q.awaitTermination()
     got = {r[0] for r in spark.read.parquet(f"{d}/out").select("event_id").collect()}
     assert got == {1}
+
+
+def test_a_redelivered_file_adds_no_flag(spark, adm01):
+    """Delivered twice, in one batch and in a later one, after a restart; an
+    admission entered years late is flagged, rows without an id all are."""
+    from carepulse.config import DEFAULTS
+    from carepulse.sources.schema import COLUMNS, with_admission_id
+    d = tempfile.mkdtemp(prefix="carepulse-redeliver-", dir="/tmp")
+    rows = with_admission_id(adm01.select(*COLUMNS)).dropDuplicates(["admission_id"]).select("admission_id", *COLUMNS)
+    rows.limit(4000).coalesce(1).write.parquet(f"{d}/rows")
+    rows = spark.read.parquet(f"{d}/rows")
+    want = intake.risk_flags(rows, DEFAULTS).count()
+
+    def deliver(df, times=1):
+        for _ in range(times):
+            df.write.mode("append").parquet(f"{d}/in")
+        stream = intake.admissions_stream(spark, f"{d}/in", df.select("admission_id").schema)
+        intake.start_risk_intake(stream, f"{d}/flags", f"{d}/chk", DEFAULTS, available_now=True).awaitTermination()
+        return spark.read.parquet(f"{d}/flags").count()
+    assert deliver(rows, 2) == want                     # twice in one batch
+    assert deliver(rows) == want                        # and again, by a restarted query
+    late = intake.risk_flags(rows, DEFAULTS).select("admission_id").limit(3)
+    late = rows.join(late, "admission_id").withColumns({
+        "admission_id": F.concat(F.lit("late-"), "admission_id"),
+        "date_of_admission": F.lit("1980-01-01").cast("date")}).select("admission_id", *COLUMNS)
+    assert deliver(late) == want + late.count()
+    nameless = late.withColumn("admission_id", F.lit(None).cast("string"))
+    assert deliver(nameless) == want + 2 * late.count()
