@@ -71,7 +71,31 @@ def sheet(tokens: np.ndarray, lengths: np.ndarray, width: int, longest_first: bo
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _softmax(logits, shift=None):
+    """exp of the logits in place, less ``shift`` (their greatest value), and the
+    sums of the rows.  One value for all rows, as a row's own takes a slow pass;
+    rows that vanish beside it make it their own."""
+    top = logits.max() if shift is None else shift
+    logits -= top
+    few = logits.max(axis=1) < -60 if float(logits.min(initial=0)) < -60 else None
+    kept = logits[few] if few is not None and few.any() else None
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    own = None
+    if kept is not None:
+        most = kept.max(axis=1, keepdims=True)
+        logits[few] = np.exp(kept - most)
+        total[few] = logits[few].sum(axis=1)
+        own = np.zeros(len(logits), logits.dtype)
+        own[few] = most[:, 0]
+    return logits, total, top, own
 
 
 class Gru:
@@ -112,72 +136,88 @@ class Gru:
         self.p["ob"][:] = inner
         self.p["cb"] -= self.p["cb"].mean()
 
-    def run(self, inputs, first, active, h, keep: list | None = None):
+    def run(self, inputs, first, active, h, keep: dict | None = None):
         """States of a window; ``keep`` collects what the backward pass needs.
         Returns the states of all active cells, row after row, and the last."""
         p, n = self.p, self.hidden
-        out = []
+        ends = np.cumsum(active)
+        size = int(ends[-1])
+        x = p["x"][np.concatenate([inputs[t, :int(a)] for t, a in enumerate(active)])]
+        x += p["b"]
+        h0, zr, c, g, out = (np.empty((size, w * n), self.flat.dtype) for w in (1, 2, 1, 3, 1))
+        if keep is not None:
+            keep.update(h=h0, zr=zr, c=c, g=g)
         for t in range(len(inputs)):
             a = int(active[t])
-            h = h[:a] * ~first[t, :a, None]
-            x = p["x"][inputs[t, :a]]
-            x += p["b"]
-            g = h @ p["u"]
-            zr = _sigmoid(x[:, :2 * n] + g[:, :2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[:, 2 * n:] + r * g[:, 2 * n:])
-            new = c + z * (h - c)
-            if keep is not None:
-                keep.append((h, z, r, c, g[:, 2 * n:]))
-            out.append(new)
+            rows = slice(int(ends[t]) - a, int(ends[t]))
+            prev, gate, cand, hu, new = h0[rows], zr[rows], c[rows], g[rows], out[rows]
+            np.multiply(h[:a], ~first[t, :a, None], out=prev)
+            np.matmul(prev, p["u"], out=hu)
+            np.add(x[rows, :2 * n], hu[:, :2 * n], out=gate)
+            _sigmoid(gate)
+            np.multiply(gate[:, n:], hu[:, 2 * n:], out=cand)
+            cand += x[rows, 2 * n:]
+            np.tanh(cand, out=cand)
+            np.subtract(prev, cand, out=new)
+            new *= gate[:, :n]
+            new += cand
             h = new
-        return np.concatenate(out), h
+        return out, h
 
     def logprob(self, states, targets, grad: dict | None = None):
         """Natural log probability of each target; with ``grad`` also the
         gradients of the negative log likelihood over ``grad["size"]`` (``dh``
-        for the states)."""
+        for the states).  Targets are handled by class, each class's together."""
         p = self.p
         cls = self.class_of(targets)
+        order = np.argsort(cls, kind="stable")
+        cls, targets, states = cls[order], targets[order], states[order]
+        at = np.arange(len(targets))
         logits = states @ p["c"]
         logits += p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1, keepdims=True)
-        at = np.arange(len(targets))
-        out = logits[at, cls] - np.log(total[:, 0])
+        picked = logits[at, cls]
+        e, total, top, own = _softmax(logits)
+        out = picked - top - np.log(total)
+        if own is not None:
+            out -= own
         if grad is not None:
-            scale = np.float32(1 / grad.pop("size", max(1, len(targets))))
-            d = e / total
-            d[at, cls] -= 1
-            d *= scale
-            grad["c"], grad["cb"] = states.T @ d, d.sum(axis=0)
-            dh = d @ p["c"].T
+            scale = self.flat.dtype.type(1 / grad.pop("size", max(1, len(targets))))
+            e *= (scale / total)[:, None]
+            e[at, cls] -= scale
+            grad["c"], grad["cb"] = states.T @ e, e.sum(axis=0)
+            dh = e @ p["c"].T
             grad["o"], grad["ob"] = np.zeros_like(p["o"]), np.zeros_like(p["ob"])
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(2, self.classes + 1))
+        edges = np.searchsorted(cls, np.arange(2, self.classes + 1))
         for k in range(self.blocks):
-            rows = order[edges[k]:edges[k + 1]]
-            if not len(rows):
+            rows = slice(int(edges[k]), int(edges[k + 1]))
+            if rows.start == rows.stop:
                 continue
             s = states[rows]
             inner = s @ p["o"][k].T
             inner += p["ob"][k] + self.spare[k]
-            inner -= inner.max(axis=1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(axis=1, keepdims=True)
             member = (targets[rows] - 2) % CLASS_SIZE
-            i = np.arange(len(rows))
-            out[rows] += inner[i, member] - np.log(total[:, 0])
+            i = at[:len(s)]
+            picked = inner[i, member]
+            e, total, top, own = _softmax(inner[:, :self.members(k)])
+            part = picked - top - np.log(total)
+            if own is not None:
+                part -= own
+            out[rows] += part
             if grad is not None:
-                d = e / total
-                d[i, member] -= 1
-                d *= scale
-                grad["o"][k], grad["ob"][k] = d.T @ s, d.sum(axis=0)
-                dh[rows] += d @ p["o"][k]
+                e *= (scale / total)[:, None]
+                e[i, member] -= scale
+                m = self.members(k)
+                grad["o"][k, :m], grad["ob"][k, :m] = e.T @ s, e.sum(axis=0)
+                dh[rows] += e @ p["o"][k, :m]
+        back = np.empty(len(order), np.int64)
+        back[order] = at
         if grad is not None:
-            grad["dh"] = dh
-        return out
+            grad["dh"] = dh[back]
+        return out[back]
+
+    def members(self, k: int) -> int:
+        """Words in a class: the last one may be part full."""
+        return min(CLASS_SIZE, self.words - k * CLASS_SIZE)
 
     def score(self, tokens, lengths, width: int = 256, window: int = 32) -> np.ndarray:
         """log10 probability of each document; the state is carried from window
@@ -211,7 +251,7 @@ class Gru:
         at = dict(zip(names, np.cumsum([0] + [p[k].size for k in names])))
         for t in range(0, len(inputs), window):
             w = slice(t, t + window)
-            keep: list = []
+            keep: dict = {}
             states, h = self.run(inputs[w], first[w], active[w], h, keep)
             used = docs[w] >= 0
             # of a full window: the last ones, of few long documents, weigh less
@@ -232,25 +272,32 @@ class Gru:
     def _backward(self, inputs, first, active, keep, grad) -> None:
         n, u = self.hidden, self.p["u"]
         ends = np.cumsum(active)
-        dh = np.zeros((int(active[0]), n), np.float32)
-        dgs, dxs, hs = [], [], []
-        for t in range(len(keep) - 1, -1, -1):
-            h, z, r, c, g = keep[t]
+        size = int(ends[-1])
+        h, z, r, c, g = keep["h"], keep["zr"][:, :n], keep["zr"][:, n:], keep["c"], keep["g"][:, 2 * n:]
+        # of all cells at once: what a state's gradient is times for the
+        # candidate, and for update gate, reset gate and candidate's state side
+        cand = (1 - z) * (1 - c * c)
+        by = np.empty((size, 3, n), self.flat.dtype)
+        by[:, 0] = (h - c) * z * (1 - z)
+        by[:, 1] = cand * g * r * (1 - r)
+        by[:, 2] = cand * r
+        dg = np.empty_like(by)
+        flat, ut, ds = dg.reshape(size, 3 * n), np.ascontiguousarray(u.T), grad["dh"]
+        z = np.ascontiguousarray(z)
+        dh = np.zeros((int(active[0]), n), self.flat.dtype)
+        for t in range(len(active) - 1, -1, -1):
             a = int(active[t])
-            d = grad["dh"][ends[t] - a:ends[t]].copy()
-            d[:len(dh)] += dh[:a] if len(dh) > a else dh
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (h - c) * z * (1 - z)
-            dr = dc * g * r * (1 - r)
-            dg = np.concatenate((dz, dr, dc * r), axis=1)
-            dgs.append(dg)
-            dxs.append(np.concatenate((dz, dr, dc), axis=1))
-            hs.append(h)
-            dh = (d * z + dg @ u.T) * ~first[t, :a, None]
-        dx = np.concatenate(dxs)
-        grad["u"] = np.concatenate(hs).T @ np.concatenate(dgs)
-        grad["b"] = dx.sum(axis=0)
-        ids = np.concatenate([inputs[t, :int(active[t])] for t in range(len(keep) - 1, -1, -1)])
+            rows = slice(int(ends[t]) - a, int(ends[t]))
+            d = ds[rows]
+            d[:len(dh)] += dh[:a]
+            np.multiply(by[rows], d[:, None], out=dg[rows])
+            dh = flat[rows] @ ut
+            dh += d * z[rows]
+            dh *= ~first[t, :a, None]
+        grad["u"] = h.T @ flat
+        dg[:, 2] = ds * cand                # now at the input's side
+        grad["b"] = flat.sum(axis=0)
+        ids = np.concatenate([inputs[t, :int(a)] for t, a in enumerate(active)])
         order = np.argsort(ids, kind="stable")
         rows, lo = np.unique(ids[order], return_index=True)
-        grad["x"] = rows, np.add.reduceat(dx[order], lo, axis=0)
+        grad["x"] = rows, np.add.reduceat(flat[order], lo, axis=0)

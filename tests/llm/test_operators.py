@@ -395,7 +395,7 @@ def test_gradients():
     def loss():
         s, _ = g.run(i, f, a, np.zeros((i.shape[1], 6)))
         return -g.logprob(s, t[d >= 0]).mean()
-    keep, grad = [], {}
+    keep, grad = {}, {}
     s, _ = g.run(i, f, a, np.zeros((i.shape[1], 6)), keep)
     g.logprob(s, t[d >= 0], grad)
     g._backward(i, f, a, keep, grad)
