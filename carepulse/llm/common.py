@@ -2,8 +2,9 @@
 
 Conventions of every operator here:
 
-* it selects the columns it needs by name first, so extra input columns never
-  clash with its own; output columns are the ones its docstring lists;
+* it selects the columns it needs by name first, or, where it returns all of
+  them, gives the others names of its own meanwhile (:func:`parked`), so extra
+  input columns never clash; output columns are the ones its docstring lists;
 * a null text counts as an empty text, an empty table gives an empty result;
 * text is taken from Arrow as bytes and decoded with replacement, so a broken
   byte sequence cannot fail a task.
@@ -85,6 +86,13 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def parked(df: DataFrame, used: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns that are not ``used`` under names that no operator
+    uses, and the renaming that gives theirs back."""
+    names = {c: f"_parked_{i}" for i, c in enumerate(df.columns) if c not in used}
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def held_out(id_col: Column, parts: int, rest: int = 2) -> Column:
     """crc32 of the id as text, modulo ``parts``, equals ``rest`` (null id: no)."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == rest, F.lit(False))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_texts, batch, map_batches, table
+from .common import as_texts, batch, map_batches, parked, table
 
 #: Words of a benchmark block: its index stays under about 60 bytes a word.
 BLOCK_WORDS = 200_000
@@ -234,15 +234,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
                cfg: Leak = Leak(), out: str = "leaks") -> DataFrame:
     """Columns ``keep`` and ``out`` (items and scores, by item id) per row of
     ``docs``.  Null and empty texts have none; an empty benchmark gives none;
-    repeated rows are each judged."""
+    repeated rows are each judged.  ``out`` must not be one of ``keep``."""
+    if out in keep:
+        raise ValueError(f"column {out} is there already")
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(*keep, F.col(text).alias("__text"),
-                      F.array().cast(HIT).alias("__leaks"))
+    own = {c: f"_parked_{i}" for i, c in enumerate(keep)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(text).alias("__text"),
+                       F.array().cast(HIT).alias("__leaks"))
     for block in benchmark_blocks(benchmark, item_id, item_text, cfg.n):
         index = sc.broadcast(block)
         seeds = sc.broadcast(Seeds(block, *corpus_counts(docs, text, index), cfg))
         rows = _search(rows, index, seeds, cfg)
-    return rows.select(*keep, F.array_sort("__leaks").alias(out))
+    return rows.select(*[F.col(n).alias(c) for c, n in own.items()], F.array_sort("__leaks").alias(out))
 
 
 def _search(rows: DataFrame, index, seeds, cfg: Leak) -> DataFrame:
@@ -263,9 +266,9 @@ def _search(rows: DataFrame, index, seeds, cfg: Leak) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cfg: Leak = Leak()) -> DataFrame:
     """The rows of ``docs`` into which no benchmark item leaked."""
-    cols = docs.columns
-    found = find_leaks(docs, benchmark, cols, text, cfg=cfg, out="__found")
-    return found.where(F.size("__found") == 0).select(*cols)
+    rows, back = parked(docs, [text])
+    found = find_leaks(rows, benchmark, rows.columns, text, cfg=cfg, out="_found")
+    return found.where(F.size("_found") == 0).drop("_found").withColumnsRenamed(back)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, checkpointed, map_batches, small, table
+from .common import as_bytes, batch, checkpointed, map_batches, parked, small, table
 
 WINDOW = 8
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
@@ -177,12 +177,13 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source",
               rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.  Texts are
     measured twice instead of being shuffled or stored."""
-    cols = docs.columns
     narrow = docs.select(F.col(host).alias("__src"), F.col(text).alias("text"))
     verdicts = host_verdicts(measure(narrow, ["__src"]), "__src", rules)
-    wide = docs.withColumn("__src", F.col(host))
-    m = measure_beside(wide, text)
-    return judged(m, "__src", rules, verdicts).where("__kept").select(*cols)
+    wide, back = parked(docs, [text])
+    source = {v: k for k, v in back.items()}.get(host, host)
+    m = measure_beside(wide.withColumn("__src", F.col(source)), text)
+    return judged(m, "__src", rules, verdicts).where("__kept").select(*wide.columns) \
+        .withColumnsRenamed(back)
 
 
 def measure_beside(docs: DataFrame, text: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Secret scans: base patterns, and zstandard novelty for what they miss.
 
-A candidate near a sensitive word is compressed together with the code around
-it, primed with a dictionary of common identifiers and that context; the bytes
+A candidate near a sensitive word, before or behind it, is compressed together
+with the code around it, primed with a dictionary of common identifiers and that context; the bytes
 it adds (its marginal size) tell random strings from names and words."""
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,7 @@ _HEX_MARKS = bytes(ord("x") if b in b"0123456789abcdef" else 32 for b in range(2
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 #: The same with punctuation: printable ASCII but quotes and angle brackets.
 WIDE = re.compile(r"[!#-&(-;=?-_a-~]{12,}")
+_ASSIGNED = re.compile(r"""[\w-]*["']?\s*[:=]""", re.ASCII)
 _NAME = re.compile(r"[\w.-]*[:=]+", re.ASCII)          # what a value may be assigned to
 _ALPHABETS = tuple(re.compile(f"[{x}]+") for x in (
     "0-9", "0-9a-f", "0-9A-F", "a-z", "A-Z", "a-z0-9", "A-Z0-9", "A-Za-z", "A-Za-z0-9", "A-Za-z0-9+/_=-"))
@@ -60,7 +63,7 @@ IDENTIFIERS = (
 
 @dataclass(frozen=True)
 class Novelty:
-    before: int = 48            # code points before a candidate that may hold a sensitive word
+    near: int = 48              # characters, blanks aside, between a candidate and a sensitive word
     context: int = 1024         # code points around it that the compressor knows
     min_ratio: float = 0.7      # marginal bytes per byte, or per byte that a random string adds
     max_known: float = 0.7      # share of known pairs of characters from which a string is words
@@ -161,49 +164,82 @@ def is_novel(text: str, a: int, b: int, cfg: Novelty) -> bool:
     return word.isdigit() or known_pairs(word, around) < cfg.max_known
 
 
+class Surroundings:
+    """Where a text's sensitive words and base spans lie, for lookups by bisection."""
+
+    def __init__(self, text: str, base: list[tuple[str, int, int]], near: int):
+        hints = [m.span() for m in SENSITIVE.finditer(text)]
+        self.starts, self.ends, self.reach = [a for a, _ in hints], [b for _, b in hints], near
+        # a word that a value is assigned to says nothing about what stands before it
+        self.labels = [a for a, b in hints if not _ASSIGNED.match(text, b)]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if hints else np.zeros(0, np.uint32)
+        blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        self.solid = np.concatenate(([0], np.cumsum(~blank)))     # characters before a place, blanks aside
+        self.taken: list[list[int]] = []                          # base spans, overlaps joined
+        for _, a, b in base:
+            if self.taken and a < self.taken[-1][1]:
+                self.taken[-1][1] = max(self.taken[-1][1], b)
+            else:
+                self.taken.append([a, b])
+        self.from_ = [a for a, _ in self.taken]
+
+    def free(self, a: int, b: int) -> bool:
+        """No base span meets [a, b)."""
+        i = bisect_left(self.from_, b) - 1
+        return i < 0 or self.taken[i][1] <= a
+
+    def holds(self, a: int, b: int) -> bool:
+        """A sensitive word starts in [a, b)."""
+        return bisect_left(self.starts, a) < bisect_left(self.starts, b)
+
+    def sensitive(self, a: int, b: int) -> bool:
+        """A sensitive word ends shortly before [a, b), or one without a value of
+        its own starts shortly after it."""
+        i, j = bisect_right(self.ends, a) - 1, bisect_left(self.labels, b)
+        return (i >= 0 and self.solid[a] - self.solid[self.ends[i]] <= self.reach) or (
+            j < len(self.labels) and self.solid[self.labels[j]] - self.solid[b] <= self.reach)
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]],
                 cfg: Novelty = Novelty()) -> list[tuple[str, int, int]]:
     """Incompressible strings in a sensitive context that no base span meets:
-    whole ones with their punctuation, else their parts without it."""
+    whole runs with their punctuation, else their parts without it.  Each run and
+    each part is judged once, so the time grows with the text, blanks or not."""
     low = text.lower()
     if not any(x in low for x in SENSITIVE_HINTS):
         return []
-    out = []
-    done = -1
-
-    def free(a, b):
-        return not any(s < b and a < e for _, s, e in base)
-    for hint in SENSITIVE.finditer(text):
-        lo, hi = hint.start(), hint.end() + cfg.before
-        # a name such as access_key_id may hold the hint itself
-        for run in WIDE.finditer(text, max(done, lo), len(text)):
-            if run.start() > hi:
-                break
-            a, b = wide_span(text, *run.span())
-            if a <= hi and b - a >= 12 and not a <= hint.start() < b and not CANDIDATE.fullmatch(text, a, b) \
-                    and free(a, b) and is_novel(text, a, b, cfg):
+    place = Surroundings(text, base, cfg.near)
+    out: list[tuple[str, int, int]] = []
+    if not place.starts:
+        return out
+
+    def secret(a: int, b: int) -> bool:
+        return (b - a >= 12 and place.sensitive(a, b) and not place.holds(a, b) and place.free(a, b)
+                and is_novel(text, a, b, cfg))
+    for run in WIDE.finditer(text):
+        a, b = wide_span(text, *run.span())
+        if not CANDIDATE.fullmatch(text, a, b) and secret(a, b):
+            out.append(("novel", a, b))
+            continue
+        for m in CANDIDATE.finditer(text, *run.span()):
+            a, b = m.span()
+            if place.holds(a, b):              # a value behind the name it is assigned to
+                a = after_name(text, a, b)
+            if secret(a, b):
                 out.append(("novel", a, b))
-                done = run.end()
-                continue
-            for m in CANDIDATE.finditer(text, *run.span()):
-                a, b = m.span()
-                if a > hi:
-                    break
-                done = b
-                word = m[0]
-                if a <= hint.start() < b and "=" not in word:
-                    continue                               # the sensitive word itself
-                if free(a, b) and is_novel(text, a, b, cfg):
-                    out.append(("novel", a, b))
     return out
 
 
+def after_name(text: str, a: int, b: int) -> int:
+    """Where the value starts that [a, b) assigns to a sensitive name, else ``a``."""
+    name = _NAME.match(text, a, b)
+    return name.end() if name and SENSITIVE.search(name[0]) else a
+
+
 def wide_span(text: str, a: int, b: int) -> tuple[int, int]:
     """A run without the sensitive name it is assigned to, and without brackets
     and stops around it."""
-    name = _NAME.match(text, a, b)
-    if name and SENSITIVE.search(name[0]):
-        a = name.end()
+    a = after_name(text, a, b)
     a += len(text[a:b]) - len(text[a:b].lstrip("([{,;:"))
     return a, a + len(text[a:b].rstrip(")]},;:."))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, checkpointed, map_batches, table
+from .common import as_bytes, batch, checkpointed, map_batches, parked, table
 
 SEED = 42
 PIVOTS = 16
@@ -260,6 +260,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw)
     """``docs`` with one document of each component: the one with the smallest
     id (of repeated rows with that id one stays).  A component of null ids only
     also keeps one row."""
+    docs, back = parked(docs, [id_col, text])
     cols = docs.columns
     groups = checkpointed(near_duplicates(docs, id_col, text, **kw))
     # an id used for several texts may go from one component and name another,
@@ -269,11 +270,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw)
     key = F.col(id_col).cast("bigint")
     gone = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone")).distinct()
     if odd.isEmpty():
-        return docs.join(gone, key == F.col("__gone"), "left_anti")
+        return docs.join(gone, key == F.col("__gone"), "left_anti").withColumnsRenamed(back)
     rare = docs.join(odd, key.eqNullSafe(F.col("__odd")), "left_semi")
     plain = docs.join(odd, key.eqNullSafe(F.col("__odd")), "left_anti") \
         .join(gone, key == F.col("__gone"), "left_anti")
-    return plain.unionByName(_settle(rare, groups, id_col, text, kw.get("shingle", 4))).select(*cols)
+    return plain.unionByName(_settle(rare, groups, id_col, text, kw.get("shingle", 4))).select(*cols) \
+        .withColumnsRenamed(back)
 
 
 def _settle(rare: DataFrame, groups: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
