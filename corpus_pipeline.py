@@ -5,6 +5,10 @@ Parquet and read again as the next stage's documents; all but the last return
 the columns of ``docs``.  SQL cannot express the stages (hash fingerprints,
 alignment, compression, Viterbi), so ORACLE_SQL is None and tests/llm compares
 run() with a brute-force version.
+
+Every stage takes null and empty texts as texts without words, keeps repeated
+rows apart from its own decision, returns an empty table for an empty one, and
+carries further columns, whatever their names, unchanged.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carepulse.llm import decontaminate, pieces, quality, secret_scan, simhash
-from carepulse.llm.common import table
+from carepulse.llm.common import parked, table
 from carepulse.session import ensure_checkpoint_dir
 
 
@@ -44,13 +48,27 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the text, with its piece ids, their number, and whether
-    they decode to the text."""
-    coded = pieces.decode_pieces(pieces.encode_pieces(docs), out="__decoded")
+    """``docs`` without the text, with its piece ids (``ids``), their number
+    (``n_pieces``), and whether they decode to the text (``round_trip``).  Null
+    and empty texts have no pieces.  A column of the documents that has one of
+    these three names is returned as ``doc_`` and its name."""
+    own = ("ids", "n_pieces", "round_trip")
+    rows, back = parked(docs, ["text"])
+    taken = set(docs.columns) | set(own)
+
+    def shown(name: str) -> str:
+        while name in own or name != first and name in taken:
+            name = f"doc_{name}"
+        return name
+    final = {}
+    for place, first in back.items():
+        final[place] = shown(first)
+        taken.add(final[place])
+    coded = pieces.decode_pieces(pieces.encode_pieces(rows), out="decoded")
     return coded.withColumns({
         "n_pieces": F.size("ids").cast("bigint"),
-        "round_trip": F.col("__decoded") == F.coalesce("text", F.lit("")),
-    }).drop("text", "__decoded")
+        "round_trip": F.col("decoded") == F.coalesce("text", F.lit("")),
+    }).drop("text", "decoded").withColumnsRenamed(final)
 
 
 STAGES = [
