@@ -24,7 +24,6 @@ def shape(plan: str) -> dict:
             below = re.sub(r"^[\s:+\-*()0-9]+", "", lines[i + 1]).split("(")[0].split("[")[0]
             single_inputs.append(below.strip())
     return {
-        "scans": plan.count("FileScan parquet"),
         "checkpoint_reads": plan.count("Scan ExistingRDD"),
         "hash_shuffles": len(re.findall(r"Exchange hashpartitioning", plan)),
         "range_shuffles": len(re.findall(r"Exchange rangepartitioning", plan)),
@@ -37,6 +36,18 @@ def shape(plan: str) -> dict:
     }
 
 
+def listed(spark) -> dict:
+    """The executions that the session remembers, by number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {runs.apply(i).executionId(): runs.apply(i) for i in range(runs.size())}
+
+
+def scans_of(run) -> int:
+    tree = run.physicalPlanDescription().split("== Initial Plan ==")[0].split("\n\n")[0]
+    return len(re.findall(r"Scan parquet +\(\d+\)", tree))
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from carepulse.config import FIXTURE
@@ -47,29 +58,31 @@ def main() -> None:
     print("# PLANS\n")
     print(f"Executed plan shape (AQE final plan) of every registered analysis on `{sf}`,"
           " generated by `tools/plan_report.py`. Scans count reads of the admissions (or events)"
-          " Parquet in the final job; jobs that materialise a small aggregate first (checkpoint)"
-          " show as checkpoint reads. A single-partition exchange lists the operator below it:"
+          " Parquet in all jobs that the analysis starts; the other columns are of the final job:"
+          " what earlier ones materialised shows as checkpoint reads. A single-partition exchange lists the operator below it:"
           " every one sits on already-aggregated rows (a global aggregate's partials, a handful"
           " of categorical groups, a calendar of months, per-partition offsets, or a top-n).\n")
     print("| key | scans | ckpt reads | hash shuffles | range shuffles | broadcasts | windows |"
           " single-partition exchanges over | notes |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for k in ALL:
+        last = max(listed(spark), default=-1)
         df = run(k, spark, sf, FIXTURE, adm=adm)
         df.collect()
+        scans = sum(scans_of(r) for n, r in listed(spark).items() if n > last)
         p = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         s = shape(p)
         notes = ", ".join(n for n, f in (("WindowGroupLimit", s["group_limit"]),
                                          ("TakeOrderedAndProject", s["take_ordered"]),
                                          ("Expand", s["expand"])) if f)
         single = "; ".join(sorted(set(s["single_partition"]))) or "-"
-        print(f"| `{k}` | {s['scans']} | {s['checkpoint_reads']} | {s['hash_shuffles']} |"
+        print(f"| `{k}` | {scans} | {s['checkpoint_reads']} | {s['hash_shuffles']} |"
               f" {s['range_shuffles']} | {s['broadcasts']} | {s['windows']} | {single} | {notes} |")
     print("\n## Selected executed plans\n")
     selected = [
         ("e02_null_audit", FIXTURE, "one aggregate pass over the fact, then an unpivot of one row"),
         ("o06_long_stay_patients", FIXTURE,
-         "rows joined to the per-condition averages; Spark chooses the join by bytes"),
+         "rows joined to the measured, broadcast per-condition averages where they are read"),
         ("a05_patient_risk", FIXTURE,
          "per-row risk rank from the per-score counts: no window over the rows"),
         ("r12_monthly_calendar_mom", FIXTURE,
