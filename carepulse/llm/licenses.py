@@ -11,7 +11,7 @@ them: texts and units without such an anchor word are passed over."""
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -211,12 +211,31 @@ class Templates:
                 found += [(a, b, *x) for x in self.matches(bigrams(w))]
         for lo, hi, *x in self.windows(words):
             found.append((*whole.get((lo, hi), (starts[lo], ends[hi])), *x))
-        best: list = []
-        for u in sorted(found, key=lambda u: (-u[3], -u[4], u[1] - u[0], u[0], u[2])):
-            if not any(u[2] == v[2] and u[0] < v[1] and v[0] < u[1] for v in best):
-                best.append(u)
-        return sorted(u[:4] for u in best if not any(
-            u[0] < v[1] and v[0] < u[1] and (v[4], v[3]) > (u[4], u[3]) for v in best if v[2] != u[2]))
+        return [u[:4] for u in chosen(found)]
+
+
+def _overlapping(taken: list, start: int, end: int):
+    """The units of ``taken``, disjoint and in order, that overlap a range."""
+    i = bisect_left(taken, (start,))
+    if i and taken[i - 1][1] > start:
+        i -= 1
+    while i < len(taken) and taken[i][0] < end:
+        yield taken[i]
+        i += 1
+
+
+def chosen(found: list) -> list:
+    """Of overlapping units (start, end, name, coefficient, shared bigrams) those
+    that stay, in order.  Units of one name that stay are disjoint, so each is
+    compared with its neighbours only and two names meet once a unit."""
+    by_name: dict[str, list] = {}
+    for u in sorted(found, key=lambda u: (-u[3], -u[4], u[1] - u[0], u[0], u[2])):
+        taken = by_name.setdefault(u[2], [])
+        if next(_overlapping(taken, u[0], u[1]), None) is None:
+            insort(taken, u)
+    return sorted(u for name, taken in by_name.items() for u in taken if not any(
+        (v[4], v[3]) > (u[4], u[3]) for other, rest in by_name.items() if other != name
+        for v in _overlapping(rest, u[0], u[1])))
 
 
 def units(text: str) -> list[tuple[int, int]]:
