@@ -11,11 +11,14 @@ removing each backslash before a character gives back the original.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
+CHUNK = 1024
 OPEN, OPEN_END, MORE, END = "<|turn:", "|>\n", "<|more|>", "<|end|>\n"
 
 
@@ -31,6 +34,36 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(values: Column, first: Column) -> Column:
+    """``first`` and its sums with the entries, one after the other."""
+    return F.aggregate(values, F.array(first), lambda acc, x: F.concat(
+        acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def starts_of(lengths: Column, run: int = 256) -> Column:
+    """Where each of the pieces of these lengths (array<bigint>) starts.  An array
+    that grows is copied at each step, so sums are taken within runs, and the
+    runs' own sums give where each begins."""
+    zero = F.lit(0).cast("bigint")
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, lambda a, x: a + x)
+
+    def all_but_last(a: Column) -> Column:
+        return F.slice(a, F.lit(1), F.size(a) - 1)
+    runs = let(lengths, lambda n: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(n) - 1) / run).cast("int")),
+        lambda j: F.slice(n, j * run + 1, F.lit(run))))
+    return let(runs, lambda r: F.flatten(F.zip_with(
+        r, all_but_last(_sums(F.transform(r, total), zero)),
+        lambda part, at: all_but_last(_sums(part, at)))))
+
+
 def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", text: str = "text",
                  loss_role: str = "assistant") -> DataFrame:
@@ -76,20 +109,14 @@ def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
             F.array(piece(F.lit(END), False)))
 
     cut = merged.select("conv_id", F.flatten(F.transform("merged", pieces)).alias("pieces"))
-    spans_type = "array<struct<start:bigint,end:bigint>>"
+    spans = F.zip_with("pieces", starts_of(F.transform("pieces", lambda p: F.length(p["s"]).cast("bigint"))),
+                       lambda p, at: F.struct(at.alias("start"), (at + F.length(p["s"])).alias("end"),
+                                              p["loss"].alias("loss")))
     return cut.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
-        F.aggregate(
-            "pieces",
-            F.struct(F.lit(0).cast("bigint").alias("at"),
-                     F.array().cast(spans_type).alias("spans")),
-            lambda acc, p: F.struct(
-                (acc["at"] + F.length(p["s"])).alias("at"),
-                F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(
-                    acc["at"].alias("start"), (acc["at"] + F.length(p["s"])).alias("end")))))
-                .otherwise(acc["spans"]).alias("spans")),
-            lambda acc: acc["spans"]).alias("loss_spans"))
+        F.transform(F.filter(spans, lambda s: s["loss"]),
+                    lambda s: F.struct(s["start"], s["end"])).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -107,9 +134,17 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, as an array."""
-    return F.transform(spans, lambda s: unescape(F.substring(
-        formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    """The texts under the loss mask, unescaped, as an array.  The text is cut
+    once into chunks of ``CHUNK`` code points, as a substring is found by
+    walking to it; a span is read from the chunks that it lies in."""
+    def text(chunks: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / CHUNK).cast("int")
+        last = F.floor(s["end"] / CHUNK).cast("int")
+        return unescape(F.substring(
+            F.array_join(F.slice(chunks, first + 1, last - first + 1), ""),
+            (s["start"] - first * CHUNK + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    return let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)),
+               lambda chunks: F.transform(spans, lambda s: text(chunks, s)))
 
 
 #: A conversation that quotes control strings, formatted with the others.
