@@ -2,8 +2,14 @@
 
 Every document is measured once; rule failures are summed by host, each host's
 failure rate is shrunk with a beta prior fitted to all hosts by moments, and the
-host verdicts are joined back: on a flagged host the limits are halved and the
-repeated-line rule also applies, so a document without failures stays anywhere.
+host verdicts are joined back.  They decide on each document that holds the base:
+
+* of a sound host (shrunk rate at most ``sound_limit``) it stays;
+* of a flagged host (above ``host_limit``) it goes, unless its appeal succeeds:
+  no rule fails with all limits halved, and lines do not repeat;
+* of any other host it stays unless it fails a rule itself.
+
+The fewer documents a host has, the nearer its shrunk rate is to the mean.
 """
 
 from __future__ import annotations
@@ -17,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, checkpointed, map_batches, parked, small, table
+from ..operators.joins import join_counted
+from .common import as_bytes, batch, checkpointed, map_batches, parked, table
 
 WINDOW = 8
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
@@ -34,6 +41,7 @@ class Rules:
     adjacent_pct: int = 20          # words equal to the word before
     dup_line_pct: int = 30          # repeated lines; by itself only on flagged hosts
     host_limit: float = 0.5         # shrunk failure rate above which a host is flagged
+    sound_limit: float = 0.05       # shrunk failure rate up to which a host is sound
     max_strength: float = 1e6       # of the prior, when hosts do not differ
 
 
@@ -123,7 +131,7 @@ def any_failure(r: Rules) -> Column:
 
 
 def host_verdicts(measured: DataFrame, host: str, rules: Rules) -> DataFrame:
-    """One row per host (null is a host): ``host, n, failures, shrunk, flagged``.
+    """One row per host (null is a host): ``host, n, failures, shrunk, flagged, sound``.
 
     The prior is beta(m s, (1 - m) s): m the overall rate, s = 1/rho - 1 with rho
     the moment estimate of the correlation within hosts.  Counts are summed
@@ -146,31 +154,34 @@ def host_verdicts(measured: DataFrame, host: str, rules: Rules) -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select(       # one row
         "__host", "n", "failures",
         ((F.col("failures") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))).alias("shrunk")
-    ).withColumn("flagged", F.col("shrunk") > rules.host_limit)
+    ).withColumn("flagged", F.col("shrunk") > rules.host_limit) \
+        .withColumn("sound", F.col("shrunk") <= rules.sound_limit)
 
 
 def judged(measured: DataFrame, host: str, rules: Rules, verdicts: DataFrame) -> DataFrame:
-    """``measured`` with ``__flagged`` and ``__kept``.  Only flagged hosts are
-    joined; their table is broadcast within its size bound."""
-    flagged = checkpointed(verdicts.where("flagged").select("__host", F.lit(True).alias("__flagged")))
-    out = measured.join(small(flagged, flagged.count(), 256),
-                        F.col(host).eqNullSafe(F.col("__host")), "left").drop("__host")
-    out = out.withColumn("__flagged", F.coalesce("__flagged", F.lit(False)))
+    """``measured`` with ``__flagged``, ``__sound`` and ``__kept``.  Only hosts that
+    are flagged or sound are joined: broadcast within a measured size, above it
+    with salted hosts."""
+    marked = verdicts.where("flagged OR sound").select(
+        F.col("__host").alias(host), F.col("flagged").alias("__flagged"), F.col("sound").alias("__sound"))
+    out = join_counted(measured, marked, [host], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("__flagged", "__sound")})
     return out.withColumn("__kept", ~F.when(F.col("__flagged"), failed_strictly(rules))
-                          .otherwise(failed(rules)))
+                          .when(F.col("__sound"), base_failed(rules)).otherwise(failed(rules)))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                   host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """One row per input row: id, METRICS, ``base_failed``, ``host_flagged`` and
-    ``kept``.  Repeated rows are measured alike and all returned."""
+    """One row per input row: id, METRICS, ``base_failed``, ``host_flagged``,
+    ``host_sound`` and ``kept``.  Repeated rows are measured alike and all returned."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(host).alias("__src"),
                        F.col(text).alias("text"))
     m = checkpointed(measure(rows, ["__id", "__src"]))
     out = judged(m, "__src", rules, host_verdicts(m, "__src", rules))
     return out.select(F.col("__id").alias(id_col), *(_m(x).alias(x) for x in METRICS),
                       base_failed(rules).alias("base_failed"),
-                      F.col("__flagged").alias("host_flagged"), F.col("__kept").alias("kept"))
+                      F.col("__flagged").alias("host_flagged"), F.col("__sound").alias("host_sound"),
+                      F.col("__kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source",
@@ -195,7 +206,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed", "kept", "n_adjacent", "n_lines",
-                      "host_flagged")
+                      "host_flagged", "host_sound")
 
 
 OP4_SQL = r"""
@@ -227,10 +238,12 @@ p AS (SELECT sum(f) / sum(n) AS m, count(*) AS k, sum(n) AS nn, sum(n * n) AS n2
 q AS (SELECT m, CASE WHEN nn - n2 / nn - (k - 1) = 0 OR m * (1 - m) = 0 THEN NULL
              ELSE (ff - m * f - (k - 1) * m * (1 - m)) / ((nn - n2 / nn - (k - 1)) * m * (1 - m)) END AS rho FROM p),
 s AS (SELECT m, least(1e6, greatest(0, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE 1e6 END)) AS s FROM q),
-v AS (SELECT host, (h.f + s.m * s.s) / (h.n + s.s) > 0.5 AS flagged FROM h, s)
+v0 AS (SELECT host, (h.f + s.m * s.s) / (h.n + s.s) AS shrunk FROM h, s),
+v AS (SELECT host, shrunk > 0.5 AS flagged, shrunk <= 0.05 AS sound FROM v0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT CASE WHEN flagged THEN failed OR dup OR 200 * n_repeat_words > 30 * n_words OR 200 * n_symbols > 10 * n_words
-                          OR 200 * n_adjacent > 20 * n_words ELSE failed END AS kept,
-  n_adjacent, n_lines, flagged AS host_flagged
+                          OR 200 * n_adjacent > 20 * n_words
+           WHEN sound THEN base_failed ELSE failed END AS kept,
+  n_adjacent, n_lines, flagged AS host_flagged, sound AS host_sound
 FROM f2 JOIN v ON f2.source IS NOT DISTINCT FROM v.host
 """
