@@ -70,21 +70,27 @@ def sheet(tokens: np.ndarray, lengths: np.ndarray, width: int, longest_first: bo
     return inputs, targets, docs, first, active
 
 
-def _sigmoid(x):
+def _sigmoid_of_minus(x):
     """In place."""
-    np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _softmax(logits, shift=None):
-    """exp of the logits in place, less ``shift`` (their greatest value), and the
-    sums of the rows.  One value for all rows, as a row's own takes a slow pass;
-    rows that vanish beside it make it their own."""
-    top = logits.max() if shift is None else shift
+def _bounds(weights, bias):
+    """(least, greatest) logit that states, all within -1 and 1, can give."""
+    reach = np.abs(weights).sum(axis=-1)
+    return (bias - reach).min(axis=-1), (bias + reach).max(axis=-1)
+
+
+def _softmax(logits, least, top):
+    """exp of the logits in place, less ``top``, and the sums of the rows; no
+    logit lies outside ``least`` and ``top``.  One shift for all rows, as a row's
+    own takes a slow pass; rows that vanish beside it make it their own."""
+    if top - least >= 60:
+        top = logits.max()
     logits -= top
-    few = logits.max(axis=1) < -60 if float(logits.min(initial=0)) < -60 else None
+    few = logits.max(axis=1) < -60 if top - least >= 60 and float(logits.min(initial=0)) < -60 else None
     kept = logits[few] if few is not None and few.any() else None
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
@@ -118,6 +124,7 @@ class Gru:
             n = int(np.prod(s))
             self.p[name] = flat[at:at + n].reshape(s)
             at += n
+
         # members beyond the last word never occur
         self.spare = np.zeros((self.blocks, CLASS_SIZE), np.float32)
         self.spare.reshape(-1)[words:] = -1e9
@@ -144,17 +151,21 @@ class Gru:
         size = int(ends[-1])
         x = p["x"][np.concatenate([inputs[t, :int(a)] for t, a in enumerate(active)])]
         x += p["b"]
+        np.negative(x[:, :2 * n], out=x[:, :2 * n])       # the gates take exp of minus their sums
         h0, zr, c, g, out = (np.empty((size, w * n), self.flat.dtype) for w in (1, 2, 1, 3, 1))
         if keep is not None:
             keep.update(h=h0, zr=zr, c=c, g=g)
+        starts = first.any(axis=1).tolist()
         for t in range(len(inputs)):
             a = int(active[t])
             rows = slice(int(ends[t]) - a, int(ends[t]))
             prev, gate, cand, hu, new = h0[rows], zr[rows], c[rows], g[rows], out[rows]
-            np.multiply(h[:a], ~first[t, :a, None], out=prev)
+            np.copyto(prev, h[:a])
+            if starts[t]:
+                prev[first[t, :a]] = 0
             np.matmul(prev, p["u"], out=hu)
-            np.add(x[rows, :2 * n], hu[:, :2 * n], out=gate)
-            _sigmoid(gate)
+            np.subtract(x[rows, :2 * n], hu[:, :2 * n], out=gate)
+            _sigmoid_of_minus(gate)
             np.multiply(gate[:, n:], hu[:, 2 * n:], out=cand)
             cand += x[rows, 2 * n:]
             np.tanh(cand, out=cand)
@@ -169,14 +180,14 @@ class Gru:
         gradients of the negative log likelihood over ``grad["size"]`` (``dh``
         for the states).  Targets are handled by class, each class's together."""
         p = self.p
-        cls = self.class_of(targets)
+        cls = self.class_of(targets).astype(np.int16)      # short numbers sort by radix
         order = np.argsort(cls, kind="stable")
         cls, targets, states = cls[order], targets[order], states[order]
         at = np.arange(len(targets))
         logits = states @ p["c"]
         logits += p["cb"]
         picked = logits[at, cls]
-        e, total, top, own = _softmax(logits)
+        e, total, top, own = _softmax(logits, *_bounds(p["c"].T, p["cb"]))
         out = picked - top - np.log(total)
         if own is not None:
             out -= own
@@ -187,7 +198,10 @@ class Gru:
             grad["c"], grad["cb"] = states.T @ e, e.sum(axis=0)
             dh = e @ p["c"].T
             grad["o"], grad["ob"] = np.zeros_like(p["o"]), np.zeros_like(p["ob"])
-        edges = np.searchsorted(cls, np.arange(2, self.classes + 1))
+        edges = np.searchsorted(cls, np.arange(2, self.classes + 1, dtype=np.int16))
+        least, most = _bounds(p["o"][:-1], p["ob"][:-1]) if self.blocks else ((), ())
+        m = self.members(self.blocks - 1)
+        last = _bounds(p["o"][-1, :m], p["ob"][-1, :m]) if self.blocks else ()
         for k in range(self.blocks):
             rows = slice(int(edges[k]), int(edges[k + 1]))
             if rows.start == rows.stop:
@@ -198,7 +212,8 @@ class Gru:
             member = (targets[rows] - 2) % CLASS_SIZE
             i = at[:len(s)]
             picked = inner[i, member]
-            e, total, top, own = _softmax(inner[:, :self.members(k)])
+            e, total, top, own = _softmax(inner[:, :self.members(k)], *(
+                last if k == self.blocks - 1 else (least[k], most[k])))
             part = picked - top - np.log(total)
             if own is not None:
                 part -= own
@@ -219,7 +234,7 @@ class Gru:
         """Words in a class: the last one may be part full."""
         return min(CLASS_SIZE, self.words - k * CLASS_SIZE)
 
-    def score(self, tokens, lengths, width: int = 256, window: int = 32) -> np.ndarray:
+    def score(self, tokens, lengths, width: int = 256, window: int = 64) -> np.ndarray:
         """log10 probability of each document; the state is carried from window
         to window to the document's end."""
         total = np.zeros(len(lengths))
@@ -285,6 +300,7 @@ class Gru:
         flat, ut, ds = dg.reshape(size, 3 * n), np.ascontiguousarray(u.T), grad["dh"]
         z = np.ascontiguousarray(z)
         dh = np.zeros((int(active[0]), n), self.flat.dtype)
+        starts = first.any(axis=1).tolist()
         for t in range(len(active) - 1, -1, -1):
             a = int(active[t])
             rows = slice(int(ends[t]) - a, int(ends[t]))
@@ -293,11 +309,14 @@ class Gru:
             np.multiply(by[rows], d[:, None], out=dg[rows])
             dh = flat[rows] @ ut
             dh += d * z[rows]
-            dh *= ~first[t, :a, None]
+            if starts[t]:
+                dh[first[t, :a]] = 0
         grad["u"] = h.T @ flat
         dg[:, 2] = ds * cand                # now at the input's side
         grad["b"] = flat.sum(axis=0)
         ids = np.concatenate([inputs[t, :int(a)] for t, a in enumerate(active)])
+        if self.words < 2**15 - 2:
+            ids = ids.astype(np.int16)
         order = np.argsort(ids, kind="stable")
         rows, lo = np.unique(ids[order], return_index=True)
         grad["x"] = rows, np.add.reduceat(flat[order], lo, axis=0)

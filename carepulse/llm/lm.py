@@ -122,24 +122,29 @@ PREPARED = ("ids array<bigint>, held array<boolean>, lengths array<int>, known a
 def prepare(cut: DataFrame, counts: DataFrame, t: Totals) -> DataFrame:
     """Blocks with network numbers for tokens (an end after each document), the
     base scores, and each document's log10 sum inside the class of rare words."""
-    spark = cut.sparkSession
     names = [x.split()[0] for x in PREPARED.split(", ")]
-    top = spark.createDataFrame([(w, i + 2) for i, (w, _) in enumerate(t.top)], "word string, k int")
-    known = counts.join(F.broadcast(top), "word", "left") \
-        .select("word", "c", F.coalesce("k", F.lit(RARE)).alias("k"))
-    found = cut.select(F.col("block").alias("b"), F.posexplode("words").alias("pos", "word")).join(known, "word") \
-        .select("b", "pos", "c", "k")
-    body = cut.select("block", "ids", "held", "lengths", "tokens")
+    frequent = [w for w, _ in t.top]
+    number = {w: (c, i + 2) for i, (w, c) in enumerate(t.top)}
+    # frequent words stand in most blocks: they are looked up in the task, so no
+    # key of the join grows with the number of blocks of a common word
+    tail = cut.select(F.col("block").alias("b"), F.posexplode("words").alias("pos", "word")) \
+        .where(~F.col("word").isin(frequent))
+    found = tail.join(counts.hint("shuffle_hash"), "word").select("b", "pos", "c")
+    body = cut.select("block", "ids", "held", "lengths", "tokens", F.size("words").alias("n"), F.filter(
+        F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))),
+        lambda x: x["word"].isin(frequent)).alias("top"))
     in_top = sum(c for _, c in t.top)
     rare_norm = float(np.log10(max(0, t.tokens - t.ends - in_top) + max(0, t.words - len(t.top)) + 1))
     norm = float(np.log10(t.tokens + t.words + 1))
     ends = t.ends
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        pos = left.column("pos").to_numpy()
-        c, k = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int16)
-        c[pos], k[pos] = left.column("c").to_numpy(), left.column("k").to_numpy()
         row = right.to_pylist()[0]
+        c, k = np.zeros(row["n"], np.int64), np.full(row["n"], RARE, np.int16)
+        if left.num_rows:
+            c[left.column("pos").to_numpy()] = left.column("c").to_numpy()
+        for x in row["top"]:
+            c[x["pos"]], k[x["pos"]] = number[x["word"]]
         lengths = np.array(row["lengths"], np.int64)
         flat = _unpack(row["tokens"], "<i4")
         doc = np.repeat(np.arange(len(lengths)), lengths)
