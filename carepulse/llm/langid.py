@@ -28,6 +28,7 @@ class Fit:
     bits: int = 15              # 2**bits hash buckets
     max_n: int = 3              # characters of the longest n-gram
     max_per_lang: int = 1500    # training documents of a language (expected bound)
+    max_langs: int = 256        # the most frequent languages are learned; bounds the weights
     epochs: int = 2
     alpha: float = 1.0          # FTRL step
     beta: float = 1.0
@@ -166,9 +167,12 @@ def document_frequencies(docs: DataFrame, cfg: Fit) -> np.ndarray:
 
 
 def fit(docs: DataFrame, cfg: Fit = Fit()) -> Model:
-    """A model of columns ``key`` (any id), ``text`` and non-null ``lang``."""
+    """A model of columns ``key`` (any id), ``text`` and non-null ``lang``.  Of more
+    than ``cfg.max_langs`` languages the most frequent are learned (of equals the
+    first by name); documents of the others count in the document frequencies only."""
     size = 1 << cfg.bits
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().toLocalIterator()}
+    most = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(cfg.max_langs)
+    counts = {r["lang"]: r["count"] for r in most.collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.ones(size), np.zeros((size, 0)), 1.0)
@@ -207,12 +211,16 @@ def fit(docs: DataFrame, cfg: Fit = Fit()) -> Model:
                  len(names), cfg)
         logits = np.array([x @ w[at] for _, _, at, x in held]).reshape(-1, len(names))
         t = temperature(logits, np.array([y for _, y, _, _ in held], np.int64))
-        yield batch(pa.array([w.astype("<f8").tobytes()], pa.binary()), pa.array([t]),
-                    names=["weights", "temperature"])
+        flat = w.reshape(-1)
+        at = np.flatnonzero(flat)
+        yield batch(pa.array([at.astype("<i4").tobytes()], pa.binary()),
+                    pa.array([flat[at].astype("<f8").tobytes()], pa.binary()), pa.array([t]),
+                    names=["at", "weights", "temperature"])
     feats = map_batches(sample, "lang string, draw bigint, buckets binary, counts binary", feature_rows)
-    row = feats.repartition(1).mapInArrow(train, "weights binary, temperature double").first()
-    w = np.frombuffer(row["weights"], "<f8").reshape(size, len(langs))
-    return Model(langs, idf, w, row["temperature"])
+    row = feats.repartition(1).mapInArrow(train, "at binary, weights binary, temperature double").first()
+    w = np.zeros(size * len(langs))
+    w[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["weights"], "<f8")
+    return Model(langs, idf, w.reshape(size, len(langs)), row["temperature"])
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",

@@ -24,11 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_counted
 from .common import as_bytes, batch, checkpointed, map_batches, parked, table
 
 SEED = 42
 PIVOTS = 16
 BUCKET_ROWS = 20_000
+#: Fingerprints of a component above which it is not gathered in a task.
+HOT_ROWS = 1000
 #: Reference fingerprints, made by rule.
 PIVOT_TABLE = np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), SEED)
                         for i in range(PIVOTS)], np.uint64)
@@ -236,6 +239,19 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _named_components(named: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``f, component_id, root`` of the members ``fp, least, root``.  The members of
+    components above ``hot_rows``, of which there are few, are not brought
+    together: their components' ids are broadcast within a measured size."""
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    hot = ids.where(F.col("n") > hot_rows).select(
+        "root", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+    marked = join_counted(named, hot, ["root"], "left")
+    large = marked.where("hot").select(F.col("fp").alias("f"), F.col("hot_id").alias("component_id"), "root")
+    small = marked.where("hot is null").join(ids, "root")
+    return large.unionByName(small.select(F.col("fp").alias("f"), "component_id", "root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     shingle: int = 4, max_bits: int = 4, blocks: int | None = None,
                     bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -249,10 +265,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = checkpointed(fingerprints(docs, id_col, text, shingle))
     fps = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
     comp = checkpointed(components(links(fps.select("fp"), max_bits, blocks, bucket_rows)))
-    named = fps.join(comp, fps.fp == comp.node, "left") \
-        .select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, "root").select(F.col("fp").alias("f"), "component_id", "root")
+    named = checkpointed(fps.join(comp, fps.fp == comp.node, "left").select("fp", "least", "root"))
+    alone = named.where("root is null").select(
+        F.col("fp").alias("f"), F.col("least").alias("component_id"), F.col("fp").alias("root"))
+    by_fp = alone.unionByName(_named_components(named.where("root is not null")))
     return rows.join(by_fp, F.col("fp") == F.col("f")).select("id", "fp", "component_id", "root")
 
 
