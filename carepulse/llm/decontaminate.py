@@ -234,7 +234,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
                cfg: Leak = Leak(), out: str = "leaks") -> DataFrame:
     """Columns ``keep`` and ``out`` (items and scores, by item id) per row of
     ``docs``.  Null and empty texts have none; an empty benchmark gives none;
-    repeated rows are each judged.  ``out`` must not be one of ``keep``."""
+    repeated rows are each judged.  An item of fewer than ``cfg.n`` words is its
+    own seed: a text that holds it word for word, side by side, has it, also if
+    it is one common word.  ``out`` must not be one of ``keep``."""
     if out in keep:
         raise ValueError(f"column {out} is there already")
     sc = docs.sparkSession.sparkContext
