@@ -1,10 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is cut into blocks of at most ``BLOCK_WORDS`` words, each with a
-broadcast index of proven size, so any benchmark can be searched: a document is
-read once and passes the blocks one after the other.  No text is shuffled.
-
-1. Corpus counts: how often each word of the benchmark occurs (all documents;
+The benchmark is a query set: its different items are dealt by hash to blocks of
+about ``BLOCK_WORDS`` words, and ``LIVE_BLOCKS`` of them at a time are indexed,
+broadcast and searched in one pass over the documents.  What the driver and the
+tasks hold is bounded by such a round, not by the benchmark.  A benchmark of one
+round is a plain map over the documents; of several, each round leaves its leaks
+by the digest of the text, its broadcasts are destroyed, and the few texts with
+leaks are joined back at the end.  No text is shuffled while searching.
+
+1. Corpus counts: how often each word of the round's items occurs (all documents;
    summed per task, then by one small aggregation).
 2. Seeds of an item are its n-grams that chance would put into at most
    ``rare_share`` as many places as there are documents (words taken as
@@ -26,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_texts, batch, map_batches, parked, table
+from .common import BROADCAST_BYTES, as_texts, batch, checkpointed, map_batches, parked, table
 
-#: Words of a benchmark block: its index stays under about 60 bytes a word.
+#: Words of a benchmark block: its index and seeds stay under about 100 bytes a word.
 BLOCK_WORDS = 200_000
+#: Blocks that are broadcast and searched together.
+LIVE_BLOCKS = 4
+#: Tasks that a text's rows are dealt to where the leaks found are too many to broadcast.
+SALTS = 32
 _MARKS = b".,;:!?\"'()[]{}"
 _BLANKED = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 
@@ -104,9 +112,8 @@ class Index:
     def lengths(self) -> list[int]:
         return sorted({min(self.n, len(ids)) for _, ids in self.items})
 
-    def numbers(self, text: str) -> np.ndarray:
-        w = words_of(text)
-        return np.fromiter(map(self.vocab.get, w, repeat(0)), np.int64, len(w))
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
 
 
 class Seeds:
@@ -151,7 +158,7 @@ def align(item: np.ndarray, window: np.ndarray) -> int:
 
 
 def leaks(index: Index, seeds: Seeds, ids: np.ndarray, cfg: Leak) -> list[tuple[int, float]]:
-    """(item key, score) of the items that leaked into a text."""
+    """(item key, score) of the items that leaked into a text; a key may be null."""
     pos, gram = index.hits(ids)
     if not len(pos):
         return []
@@ -181,49 +188,51 @@ def leaks(index: Index, seeds: Seeds, ids: np.ndarray, cfg: Leak) -> list[tuple[
         score = best / (2 * len(words))
         if score >= cfg.min_score:
             out.append((key, score))
-    return sorted(out)
-
-
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, n: int) -> list[Index]:
-    """Indexes of the benchmark's blocks.  Null and blank items are left out:
-    they have no words to leak; items of one id are separate items."""
-    items = benchmark.where(F.col(text).isNotNull()).select(
-        F.col(item_id).cast("bigint"), F.col(text)).orderBy(item_id, text).toLocalIterator()
-    blocks, held, size = [], [], 0
-    for key, item in items:
-        held.append((key, item))
-        size += len(item.split())
-        if size >= BLOCK_WORDS:
-            blocks.append(Index(held, n))
-            held, size = [], 0
-    if held:
-        blocks.append(Index(held, n))
-    return [b for b in blocks if b.items]
-
-
-def corpus_counts(docs: DataFrame, text: str, index) -> tuple[np.ndarray, int]:
-    """How often each word of a block occurs in all documents (number 0: all
-    other words), and the documents."""
-    size = index.value.base
+    return out
+
+
+def benchmark_items(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, int]:
+    """``key, item, block`` of the different items, and the number of blocks.  Null
+    and blank items are left out: they have no words to leak; texts of one id are
+    separate items, equal rows are one."""
+    words = F.size(F.split(F.translate(text, _MARKS.decode(), " " * len(_MARKS)), r"\s+"))
+    items = checkpointed(benchmark.where(F.col(text).isNotNull()).select(
+        F.col(item_id).cast("bigint").alias("key"), F.col(text).alias("item"), words.alias("words")).distinct())
+    total = items.agg(F.sum("words")).first()[0] or 0
+    blocks = -(-total // BLOCK_WORDS)
+    return items.select("key", "item", F.pmod(F.xxhash64("key", "item"), F.lit(max(1, blocks))).alias("block")), blocks
+
+
+def corpus_counts(docs: DataFrame, text: str, shared) -> tuple[list[np.ndarray], int]:
+    """How often each word of a round's blocks occurs in all documents (by block;
+    number 0: all other words), and the documents."""
+    sizes = [x.base for x in shared.value]
 
     def run(batches):
-        idx, total = index.value, np.zeros(size + 1, np.int64)
+        indexes, documents = shared.value, 0
+        totals = [np.zeros(x.base, np.int64) for x in indexes]
         for b in batches:
+            documents += b.num_rows
             for i in range(0, b.num_rows, 256):
                 for t in as_texts(b.slice(i, 256).column(0)):
-                    ids = idx.numbers(t)
-                    if len(ids) > size:
-                        total[:size] += np.bincount(ids, minlength=size)
-                    else:
-                        np.add.at(total, ids, 1)
-                    total[size] += 1
-        at = np.flatnonzero(total)
-        yield batch(pa.array(at), pa.array(total[at]), names=["word", "n"])
-    sums = docs.select(F.col(text).alias("t")).mapInArrow(run, "word bigint, n bigint") \
-        .groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size + 1, np.int64)
-    out[sums.column("word").to_numpy()] = sums.column("n").to_numpy()
-    return out[:-1], int(out[-1])
+                    w = words_of(t)
+                    for idx, total in zip(indexes, totals):
+                        ids = idx.numbers(w)
+                        if len(ids) > idx.base:
+                            total += np.bincount(ids, minlength=idx.base)
+                        else:
+                            np.add.at(total, ids, 1)
+        for k, total in enumerate(totals):
+            at = np.flatnonzero(total)
+            yield batch(pa.array(np.full(len(at), k)), pa.array(at), pa.array(total[at]), names=["block", "word", "n"])
+        yield batch(pa.array([-1]), pa.array([0]), pa.array([documents]), names=["block", "word", "n"])
+    sums = docs.select(F.col(text).alias("t")).mapInArrow(run, "block bigint, word bigint, n bigint") \
+        .groupBy("block", "word").agg(F.sum("n").alias("n")).toArrow()
+    block, word, n = (sums.column(c).to_numpy() for c in ("block", "word", "n"))
+    out = [np.zeros(size, np.int64) for size in sizes]
+    for k, counts in enumerate(out):
+        counts[word[block == k]] = n[block == k]
+    return out, int(n[block == -1].sum())
 
 
 HIT = "array<struct<item_id:bigint,score:double>>"
@@ -234,38 +243,89 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
                cfg: Leak = Leak(), out: str = "leaks") -> DataFrame:
     """Columns ``keep`` and ``out`` (items and scores, by item id) per row of
     ``docs``.  Null and empty texts have none; an empty benchmark gives none;
-    repeated rows are each judged.  An item of fewer than ``cfg.n`` words is its
-    own seed: a text that holds it word for word, side by side, has it, also if
-    it is one common word.  ``out`` must not be one of ``keep``."""
+    repeated rows are each judged, repeated items once.  An item of fewer than
+    ``cfg.n`` words is its own seed: a text that holds it word for word, side by
+    side, has it, also if it is one common word.  ``out`` must not be one of ``keep``."""
     if out in keep:
         raise ValueError(f"column {out} is there already")
-    sc = docs.sparkSession.sparkContext
     own = {c: f"_parked_{i}" for i, c in enumerate(keep)}
-    rows = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(text).alias("__text"),
-                       F.array().cast(HIT).alias("__leaks"))
-    for block in benchmark_blocks(benchmark, item_id, item_text, cfg.n):
-        index = sc.broadcast(block)
-        seeds = sc.broadcast(Seeds(block, *corpus_counts(docs, text, index), cfg))
-        rows = _search(rows, index, seeds, cfg)
+    items, blocks = benchmark_items(benchmark, item_id, item_text)
+    rounds = [range(lo, min(lo + LIVE_BLOCKS, blocks)) for lo in range(0, blocks, LIVE_BLOCKS)]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(text).alias("__text"))
+    if len(rounds) > 1:
+        rows = _join_leaks(rows, [_round_leaks(docs, text, items, r, cfg) for r in rounds])
+    else:
+        rows = rows.withColumn("__leaks", F.array().cast(HIT))
+        for r in rounds:
+            rows = _search(rows, *_broadcast(docs, text, items, r, cfg), cfg)
     return rows.select(*[F.col(n).alias(c) for c, n in own.items()], F.array_sort("__leaks").alias(out))
 
 
-def _search(rows: DataFrame, index, seeds, cfg: Leak) -> DataFrame:
+def _broadcast(docs: DataFrame, text: str, items: DataFrame, blocks: range, cfg: Leak):
+    """Broadcasts of the blocks' indexes and of their seeds."""
+    sc, held = docs.sparkSession.sparkContext, {k: [] for k in blocks}
+    for key, item, block in items.where(F.col("block").isin(*blocks)).collect():
+        held[block].append((key, item))
+    indexes = sc.broadcast([x for x in (Index(own, cfg.n) for own in held.values()) if x.items])
+    counts, documents = corpus_counts(docs, text, indexes)
+    return indexes, sc.broadcast([Seeds(x, n, documents, cfg) for x, n in zip(indexes.value, counts)])
+
+
+def _search(rows: DataFrame, indexes, seeds, cfg: Leak) -> DataFrame:
+    """``rows`` with the leaks of the broadcast blocks added to the last column,
+    ``__leaks``; the text is the column before it."""
     def start():
-        idx, own = index.value, seeds.value
+        blocks = list(zip(indexes.value, seeds.value))
 
         def step(b: pa.RecordBatch):
-            found = [leaks(idx, own, idx.numbers(t), cfg) for t in as_texts(b.column(b.num_columns - 2))]
+            texts = map(words_of, as_texts(b.column(b.num_columns - 2)))
+            found = [[hit for idx, own in blocks for hit in leaks(idx, own, idx.numbers(w), cfg)] for w in texts]
             if not any(found):
                 return b
             last = b.num_columns - 1
-            new = [o + [{"item_id": k, "score": s} for k, s in f]
-                   for o, f in zip(b.column(last).to_pylist(), found)]
+            new = [[{"item_id": k, "score": s} for k, s in f] for f in found]
             return b.set_column(last, b.schema.field(last), pa.array(new, b.schema.field(last).type))
         return step
     return map_batches(rows, rows.schema, start)
 
 
+def _digest(text: str):
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _round_leaks(docs: DataFrame, text: str, items: DataFrame, blocks: range, cfg: Leak) -> DataFrame:
+    """``__digest, __leaks`` of the texts into which items of these blocks leaked, one
+    row a text, written to the checkpoint folder: nothing of the round stays in memory."""
+    shared = _broadcast(docs, text, items, blocks, cfg)
+    rows = docs.select(F.col(text).alias("__text"), F.array().cast(HIT).alias("__leaks"))
+    found = _search(rows, *shared, cfg).where(F.size("__leaks") > 0) \
+        .groupBy(_digest("__text").alias("__digest")).agg(F.first("__leaks").alias("__leaks"))
+    found = checkpointed(found)
+    for x in shared:
+        x.destroy()
+    return found
+
+
+def _join_leaks(rows: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """``rows`` and ``__leaks`` of all rounds, by text: a broadcast join within the
+    counted size, else both sides salted, so that a text with very many copies is
+    dealt to many tasks."""
+    found = rounds[0]
+    for more in rounds[1:]:
+        found = found.unionByName(more)
+    found = checkpointed(found.groupBy("__digest").agg(F.flatten(F.collect_list("__leaks")).alias("__leaks")))
+    size = found.agg(F.sum(F.lit(128) + 32 * F.size("__leaks"))).first()[0] or 0
+    rows = rows.withColumn("__key", _digest("__text"))
+    on = F.col("__key") == F.col("__digest")
+    if size <= BROADCAST_BYTES:
+        found = F.broadcast(found)
+    else:
+        rows = rows.withColumn("__salt", F.monotonically_increasing_id() % SALTS)
+        found = found.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on &= F.col("__salt") == F.col("__slot")
+    return rows.join(found, on, "left").withColumn("__leaks", F.coalesce("__leaks", F.array().cast(HIT)))
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cfg: Leak = Leak()) -> DataFrame:
     """The rows of ``docs`` into which no benchmark item leaked."""
     rows, back = parked(docs, [text])
