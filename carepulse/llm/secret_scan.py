@@ -362,7 +362,9 @@ def learn_identifiers(docs: DataFrame, text: str = "text", cfg: Novelty = Novelt
         return step
     counts = map_batches(docs.select(F.col(text).alias("t")), "word string, n bigint", start) \
         .groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= cfg.min_texts)
-    return tuple(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(cfg.dictionary).collect())
+    # as Arrow, the tasks' best words meet in a task and only the result in the driver
+    best = counts.orderBy(F.desc("n"), "word").limit(cfg.dictionary).toArrow()
+    return tuple(best.column("word").to_pylist())
 
 
 def _shared_identifiers(docs: DataFrame, text: str, cfg: Novelty):
