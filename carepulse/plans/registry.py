@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config, FIXTURE
 from ..session import ensure_checkpoint_dir
-from ..sources.fixture import fixture_admissions, table
+from ..sources.fixture import fixture_admissions, fixture_columns, fixture_rows, table
 from ..streaming import intake
 from ..sources.schema import with_derived
 from . import advanced, behaviour, dashboard, explore, operations, revenue
@@ -66,9 +66,10 @@ def _materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     # here was completely written by this process
     if path not in _BUILT:
         from ..sources.schema import write_admissions
-        # the joins run once: the range sort reads its input twice
-        fixture_admissions(spark, sf_dir).write.mode("overwrite").parquet(f"{path}-staged")
-        write_admissions(spark.read.parquet(f"{path}-staged"), path)
+        # the joins run once: the range sort reads its input twice; rows are
+        # staged and sorted in their short form
+        fixture_rows(spark, sf_dir).write.mode("overwrite").parquet(f"{path}-staged")
+        write_admissions(spark.read.parquet(f"{path}-staged"), path, finish=fixture_columns)
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-staged")
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         _BUILT.add(path)

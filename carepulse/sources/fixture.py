@@ -20,6 +20,10 @@ from .schema import COLUMNS
 # Blood types by c_nationkey % 8, medications by (l_linenumber + l_partkey) % 5.
 BLOOD_TYPES = ("A+", "A-", "B+", "B-", "AB+", "AB-", "O+", "O-")
 MEDICATIONS = ("Aspirin", "Ibuprofen", "Lipitor", "Paracetamol", "Penicillin")
+# Customers by c_custkey % 2, orders by o_orderpriority, line items by l_returnflag.
+GENDERS = ("Female", "Male")
+ADMISSION_TYPES = ("Emergency", "Urgent", "Elective")
+TEST_RESULTS = ("Normal", "Abnormal", "Inconclusive")
 ROW_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,46 +38,62 @@ def _pick(values, idx):
     return out.otherwise(values[-1])
 
 
-def fixture_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined rows in short form, which is what is moved and sorted: age and
+    the values from fixed lists as bit fields of ``_kinds`` (gender 1, admission
+    type 2, test result 2, blood type 3, age 8 bits), the stay as days;
+    :func:`fixture_columns` spells them out."""
+    flag, prio = F.col("l_returnflag"), F.col("o_orderpriority")
+    result = F.when(flag == "N", 0).when(flag == "A", 1).otherwise(2)
+    kind = F.when(prio.isin("1-URGENT", "2-HIGH"), 0).when(prio == "3-MEDIUM", 1).otherwise(2)
+    gender = F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(1)
+    blood, last = F.col("c_nationkey") % 8, len(BLOOD_TYPES) - 1
+    blood = F.when(blood.between(0, last), blood).otherwise(last)
+    age = (F.col("c_custkey") * 37 % 90).cast("int")            # -89 to 89
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        "l_extendedprice", "l_returnflag", "l_shipdate")
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
-                                                 "c_mktsegment")
-    pa = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-
-    j = (li.join(od, li.l_orderkey == od.o_orderkey)
-           .join(cu, F.col("o_custkey") == cu.c_custkey)
+        *ROW_KEYS, F.col("l_shipdate").cast("date").alias("date_of_admission"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("billing_amount"),
+        (F.floor(F.col("l_quantity") * F.col("l_quantity") / 50).cast("int") + 1).alias("_stay"),
+        result.alias("_result"))
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", kind.alias("_kind"))
+    cu = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("insurance_provider"),
+        (gender + blood * 32 + (age + 90) * 256).cast("int").alias("_who"))
+    pa = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("medical_condition"),
+                                             F.col("p_size").alias("room_number"))
+    su = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("hospital"))
+
+    # customers meet the orders first: fewer rows to move than the line items
+    oc = od.join(cu, od.o_custkey == cu.c_custkey).select(
+        "o_orderkey", "name", "insurance_provider", (F.col("_who") + F.col("_kind") * 2).alias("_who"))
+    j = (li.join(oc, li.l_orderkey == oc.o_orderkey)
            .join(pa, li.l_partkey == pa.p_partkey)
            .join(su, li.l_suppkey == su.s_suppkey))
+    return j.select(*ROW_KEYS, "name", "medical_condition", "date_of_admission", "hospital",
+                    "insurance_provider", "billing_amount", "room_number", "_stay",
+                    (F.col("_who") + F.col("_result") * 8).alias("_kinds"))
+
 
-    los = (F.floor(F.col("l_quantity") * F.col("l_quantity") / 50).cast("int") + 1)
-    admit = F.col("l_shipdate").cast("date")
-    prio = F.col("o_orderpriority")
-    flag = F.col("l_returnflag")
+def fixture_columns(rows: DataFrame) -> DataFrame:
+    """The admissions of :func:`fixture_rows`; further columns stay at the end."""
+    def field(at: int, bits: int):
+        return F.shiftright("_kinds", at).bitwiseAND(F.lit((1 << bits) - 1))
     cols = {
-        "name": F.col("c_name"),
-        "age": (F.col("c_custkey") * 37 % 90).cast("int"),
-        "gender": F.when(F.col("c_custkey") % 2 == 0, "Female").otherwise("Male"),
-        "blood_type": _pick(BLOOD_TYPES, F.col("c_nationkey") % 8),
-        "medical_condition": F.col("p_type"),
-        "date_of_admission": admit,
+        "age": field(8, 8) - 90,
+        "gender": _pick(GENDERS, field(0, 1)),
+        "blood_type": _pick(BLOOD_TYPES, field(5, 3)),
         "doctor": F.col("l_partkey").cast("string"),
-        "hospital": F.col("s_name"),
-        "insurance_provider": F.col("c_mktsegment"),
-        "billing_amount": F.col("l_extendedprice").cast("decimal(18,2)"),
-        "room_number": F.col("p_size"),
-        "admission_type": (F.when(prio.isin("1-URGENT", "2-HIGH"), "Emergency")
-                           .when(prio == "3-MEDIUM", "Urgent").otherwise("Elective")),
-        "discharge_date": F.date_add(admit, los),
+        "admission_type": _pick(ADMISSION_TYPES, field(1, 2)),
+        "discharge_date": F.date_add("date_of_admission", F.col("_stay")),
         "medication": _pick(MEDICATIONS, (F.col("l_linenumber") + F.col("l_partkey")) % 5),
-        "test_results": (F.when(flag == "N", "Normal").when(flag == "A", "Abnormal")
-                         .otherwise("Inconclusive")),
+        "test_results": _pick(TEST_RESULTS, field(3, 2)),
     }
-    assert tuple(cols) == COLUMNS
-    return j.select(*[F.col(k) for k in ROW_KEYS], *[v.alias(k) for k, v in cols.items()])
+    rest = [c for c in rows.columns if c not in (*ROW_KEYS, *COLUMNS, "_stay", "_kinds")]
+    return rows.select(*ROW_KEYS, *[cols[c].alias(c) if c in cols else c for c in COLUMNS], *rest)
+
+
+def fixture_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture_columns(fixture_rows(spark, sf_dir))
 
 
 # The same view as SQL text (DuckDB and Spark SQL both run it unchanged).
