@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carepulse.config import FIXTURE
-from carepulse.plans import registry
+from carepulse.plans import lifecycle, registry
 from carepulse.sources import fixture, schema
 
 
@@ -54,6 +54,12 @@ def test_fixture_rows_spelled_out_equal_the_sql(spark, tables, moved):
     assert len(moved) == 1 and not {"gender", "blood_type", "doctor", "medication"} & set(moved[0][1])
 
 
+def test_import_moves_no_id(adm01, moved):
+    out = lifecycle.s1_csv_import(adm01.limit(50), FIXTURE)
+    assert sum(r["total_patients"] for r in out.collect()) == 50
+    assert len(moved) == 1 and "admission_id" not in moved[0][1]
+
+
 def test_a_task_sorts_a_bounded_number_of_rows(adm01, moved, monkeypatch, tmp_path):
     monkeypatch.setattr(schema, "SORTED_ROWS", 50, raising=False)
     rows = adm01.limit(1000)
