@@ -60,6 +60,12 @@ def test_import_moves_no_id(adm01, moved):
     assert len(moved) == 1 and "admission_id" not in moved[0][1]
 
 
+def test_delivered_files_are_not_sorted_again(adm01, moved):
+    rows = adm01.where("l_orderkey < 400")
+    want = registry.ANALYSES["a08_review_queue"](rows, FIXTURE).count()
+    assert lifecycle.x1_risk_flags(rows, FIXTURE).count() == want > 0 and not moved
+
+
 def test_a_task_sorts_a_bounded_number_of_rows(adm01, moved, monkeypatch, tmp_path):
     monkeypatch.setattr(schema, "SORTED_ROWS", 50, raising=False)
     rows = adm01.limit(1000)
