@@ -7,7 +7,8 @@
           --checkpoint s3://lake/_chk/intake
 
 The session comes from the cluster (``SparkSession.builder.getOrCreate()``);
-its settings, including ``spark.checkpoint.dir``, are read, never overridden.
+its settings, including ``spark.checkpoint.dir``, are read; while a job writes a
+table or starts a stream, shuffle files are told to go with their query.
 """
 
 from __future__ import annotations

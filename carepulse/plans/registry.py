@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config, FIXTURE
-from ..session import ensure_checkpoint_dir
+from ..session import SHUFFLES_GO, ensure_checkpoint_dir, settings
 from ..sources.fixture import fixture_admissions, fixture_columns, fixture_rows, table
 from ..streaming import intake
 from ..sources.schema import with_derived
@@ -65,10 +65,15 @@ def _materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the checkpoint folder is unique to this SparkContext, so a path recorded
     # here was completely written by this process
     if path not in _BUILT:
-        from ..sources.schema import write_admissions
+        from ..sources.schema import CODEC, passes, write_admissions
         # the joins run once: the range sort reads its input twice; rows are
-        # staged and sorted in their short form
-        fixture_rows(spark, sf_dir).write.mode("overwrite").parquet(f"{path}-staged")
+        # staged and sorted in their short form, many of them in parts, so that
+        # the disks hold the shuffle files of one part only
+        n = passes(table(spark, sf_dir, "lineitem").count())
+        with settings(spark, SHUFFLES_GO):
+            for i in range(n):
+                fixture_rows(spark, sf_dir, (i, n)).write.mode("append" if i else "overwrite") \
+                    .option("compression", CODEC).parquet(f"{path}-staged")
         write_admissions(spark.read.parquet(f"{path}-staged"), path, finish=fixture_columns)
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-staged")
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -38,11 +38,16 @@ def _pick(values, idx):
     return out.otherwise(values[-1])
 
 
-def fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_rows(spark: SparkSession, sf_dir: str, part: tuple[int, int] = (0, 1)) -> DataFrame:
     """The joined rows in short form, which is what is moved and sorted: age and
     the values from fixed lists as bit fields of ``_kinds`` (gender 1, admission
     type 2, test result 2, blood type 3, age 8 bits), the stay as days;
-    :func:`fixture_columns` spells them out."""
+    :func:`fixture_columns` spells them out.  ``part`` (i, n): the i-th of n parts
+    of the orders, by hash."""
+    def of_part(df: DataFrame, key: str) -> DataFrame:
+        i, n = part
+        return df if n == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+
     flag, prio = F.col("l_returnflag"), F.col("o_orderpriority")
     result = F.when(flag == "N", 0).when(flag == "A", 1).otherwise(2)
     kind = F.when(prio.isin("1-URGENT", "2-HIGH"), 0).when(prio == "3-MEDIUM", 1).otherwise(2)
@@ -50,12 +55,12 @@ def fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     blood, last = F.col("c_nationkey") % 8, len(BLOOD_TYPES) - 1
     blood = F.when(blood.between(0, last), blood).otherwise(last)
     age = (F.col("c_custkey") * 37 % 90).cast("int")            # -89 to 89
-    li = table(spark, sf_dir, "lineitem").select(
+    li = of_part(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         *ROW_KEYS, F.col("l_shipdate").cast("date").alias("date_of_admission"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("billing_amount"),
         (F.floor(F.col("l_quantity") * F.col("l_quantity") / 50).cast("int") + 1).alias("_stay"),
         result.alias("_result"))
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", kind.alias("_kind"))
+    od = of_part(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "o_custkey", kind.alias("_kind"))
     cu = table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("insurance_provider"),
         (gender + blood * 32 + (age + 90) * 256).cast("int").alias("_who"))
