@@ -2,6 +2,7 @@
 no input that was taken in."""
 
 import glob
+import json
 import os
 import time
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from carepulse.config import FIXTURE
 from carepulse.plans import lifecycle, registry
 from carepulse.sources import fixture, schema
+from carepulse.streaming import intake
 
 
 def shuffled(spark) -> set[str]:
@@ -123,3 +125,45 @@ def test_the_import_in_passes_leaves_no_csv(spark, adm01, folders, monkeypatch):
     assert not kept(spark, before)
     assert sorted(map(repr, out.collect())) == want
     assert sorted(x for x in os.listdir(folders[-1]) if x[0] != ".") == ["rejects", "table"]
+
+
+def test_the_intake_keeps_no_input_and_no_shuffle(spark, adm01, folders):
+    rows = adm01.where("l_orderkey < 400")
+    want = registry.ANALYSES["a08_review_queue"](rows, FIXTURE).count()
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    before = shuffled(spark)
+    try:
+        out = lifecycle.x1_risk_flags(rows, FIXTURE)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert not kept(spark, before)
+    assert out.count() == want > 0
+    assert sorted(x for x in os.listdir(folders[0]) if x[0] != ".") == ["chk", "flags"]
+    assert "RocksDB" in _provider(folders[0])
+    # no more stores than the ids need: each allots some MB
+    assert len(os.listdir(f"{folders[0]}/chk/state/0")) <= spark.sparkContext.defaultParallelism + 1
+
+
+def _provider(folder: str) -> str:
+    with open(f"{folder}/chk/offsets/0") as f:
+        return json.loads(f.read().split("\n")[1])["conf"][intake._PROVIDER]
+
+
+def test_a_checkpoint_keeps_its_store(spark, adm01, tmp_path, monkeypatch):
+    """Begun with ids in the heap, goes on with them; a session's own choice holds."""
+    keys = list(FIXTURE.row_keys)
+    rows = adm01.where("l_orderkey < 300").select(*keys, *schema.COLUMNS)
+
+    def deliver(to):
+        rows.coalesce(3).write.mode("append").parquet(f"{to}/in")
+        stream = intake.admissions_stream(spark, f"{to}/in", rows.select(*keys).schema, max_bytes_per_trigger=1)
+        intake.start_risk_intake(stream, f"{to}/flags", f"{to}/chk", FIXTURE, available_now=True).awaitTermination()
+        return spark.read.parquet(f"{to}/flags").count()
+    monkeypatch.setattr(intake, "STATE", {})
+    want = deliver(tmp_path)
+    assert want == intake.risk_flags(rows, FIXTURE).count() > 0 and "HDFS" in _provider(tmp_path)
+    monkeypatch.undo()
+    assert deliver(tmp_path) == want and "HDFS" in _provider(tmp_path)
+    assert deliver(f"{tmp_path}/new") == want and "RocksDB" in _provider(f"{tmp_path}/new")
+    assert "HDFS" in spark.conf.get(intake._PROVIDER)
